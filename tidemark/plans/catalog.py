@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.contracts import CONTRACTS
+from tidemark.functions import flag, in_window, is_blank, money_sum, seconds_between
+from tidemark.operators import cdc, joins, windows
+from tidemark.operators.aggregates import duplicate_keys, preferred_value, quantiles
+from tidemark.plans import quality, refresh, reports
 from tidemark.plans.marts import discounts, health, margin, payments, sales, stock
 from tidemark.plans.workspace import Workspace
+from tidemark.session import scratch
+from tidemark.sources import landing
+from tidemark.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _spaces: dict[tuple[str, str], Workspace] = {}
@@ -75,3 +84,461 @@ query("item_margin_daily_window")(lambda w: margin.item_margin_daily(w.lake, w.a
 query("stock_coverage_window")(lambda w: stock.stock_coverage(w.lake, w.as_of, 28))
 query("stockout_candidates_wide")(lambda w: stock.stockout_candidates(w.lake, w.as_of, w.days))
 query("orphan_summary_window")(lambda w: health.orphan_summary(w.lake, w.as_of, 7))
+
+# --- landing --------------------------------------------------------------
+
+
+def broken_lines(orders: DataFrame) -> DataFrame:
+    """The order records as JSON text, some of them damaged in four ways: cut
+    short, a text for an amount, a missing customer, an unknown status."""
+    key = F.col("order_id").cast("bigint")
+    cut, text = key % 97 == 0, key % 89 == 0
+    missing, unknown = key % 83 == 0, key % 79 == 0
+    fields = [F.col(c).cast("string").alias(c) for c in orders.columns]
+    damaged = orders.select(*fields).withColumns(
+        {
+            "total_amount": F.when(~cut & text, "abc").otherwise(F.col("total_amount")),
+            "customer_id": F.when(cut | text | ~missing, F.col("customer_id")),
+            "order_status": F.when(~cut & ~text & ~missing & unknown, "lost").otherwise(
+                F.col("order_status")
+            ),
+        }
+    )
+    line = F.to_json(F.struct(*orders.columns))
+    return damaged.select(F.when(cut, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+def _split(w: Workspace) -> tuple[DataFrame, DataFrame]:
+    contract = CONTRACTS["order"]
+    lines = broken_lines(w.lake.landing("order"))
+    return landing.split_malformed(
+        landing.coerce(landing.parse_lines(lines, contract), contract), contract
+    )
+
+
+@query("coerce")
+def _coerce(w: Workspace) -> DataFrame:
+    return _split(w)[0]
+
+
+@query("dlq_split")
+def _dlq_split(w: Workspace) -> DataFrame:
+    good, bad = _split(w)
+    counted = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    return counted.unionByName(
+        good.agg(F.count(F.lit(1)).alias("lines")).withColumn("reason", F.lit("landed"))
+    )
+
+
+@query("landing_json")
+def _landing_json(w: Workspace) -> DataFrame:
+    path = scratch(w.spark, "json")
+    landing.to_lines(w.lake.landing("order")).write.text(path)
+    good, _ = landing.read_landing_json(w.spark, path, CONTRACTS["order"])
+    return good
+
+
+@query("landing_partitioned")
+def _landing_partitioned(w: Workspace) -> DataFrame:
+    """Month partitions of the payment landing table, written and read back."""
+    path = scratch(w.spark, "landing")
+    landing.write_partitioned(w.lake.landing("order_payment"), path)
+    return (
+        w.spark.read.parquet(path)
+        .groupBy(F.col(landing.MONTH).cast("string").alias("month"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("_offset").alias("last_offset"))
+    )
+
+
+query("offset_dups")(lambda w: landing.duplicate_offsets(w.lake.landing("order_item")))
+
+
+@query("offset_replay")
+def _offset_replay(w: Workspace) -> DataFrame:
+    """A full replay of the order records adds no row."""
+    records = w.lake.landing("order")
+    return landing.dedup_offsets(records.unionByName(records))
+
+
+query("retention")(
+    lambda w: landing.apply_retention(
+        w.lake.landing("order"), w.as_of, CONTRACTS["order"].retention_days
+    )
+)
+query("schema_conformance")(
+    lambda w: health.union_by_contract(
+        CONTRACTS.values(), lambda c: landing.conformance(w.lake.landing(c.entity), c)
+    )
+)
+query("window_filter")(
+    lambda w: w.lake.current("order")
+    .where(in_window("created_at", w.as_of, 90))
+    .select("order_id", "created_at", "total_amount")
+)
+
+
+@query("blank_dc")
+def _blank_dc(w: Workspace) -> DataFrame:
+    blank = flag(is_blank("dc_id")).alias("blank")
+    return w.lake.current("order_item").groupBy(blank).agg(
+        F.count(F.lit(1)).alias("items"), F.sum("quantity").alias("units")
+    )
+
+
+# --- core -----------------------------------------------------------------
+
+query("core_projection")(lambda w: w.lake.core("order_item"))
+query("current_order")(lambda w: w.lake.current("order"))
+query("current_order_item")(lambda w: w.lake.current("order_item"))
+query("current_argmax")(
+    lambda w: cdc.current_by_max(
+        w.lake.core("order_item"), CONTRACTS["order_item"], ["item_id", "quantity", "total_amount"]
+    )
+)
+
+
+@query("cdc_delete_resurrect")
+def _delete_resurrect(w: Workspace) -> DataFrame:
+    """Every order that was ever deleted: is it alive again, and in what status."""
+    deleted = w.lake.landing("order").where(F.col("_op") == "d").select("order_id").distinct()
+    alive = w.lake.current("order").select("order_id", "order_status")
+    return deleted.join(alive, "order_id", "left").select(
+        "order_id", flag(F.col("order_status").isNotNull()).alias("alive"), "order_status"
+    )
+
+
+@query("compaction_invariant")
+def _compaction(w: Workspace) -> DataFrame:
+    contract = CONTRACTS["order_item"]
+    return cdc.current_state(cdc.compact(w.lake.core("order_item"), contract), contract)
+
+
+@query("rebuild_parity")
+def _rebuild(w: Workspace) -> DataFrame:
+    rebuilt = cdc.rebuild_core(w.lake.landing("order_item"), CONTRACTS["order_item"])
+    return rebuilt.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_is_deleted").alias("deleted_rows"),
+        money_sum("total_amount").alias("total_amount"),
+    )
+
+
+query("cdc_profile")(
+    lambda w: health.union_by_contract(
+        CONTRACTS.values(),
+        lambda c: cdc.cdc_profile(w.lake.landing(c.entity), w.lake.core(c.entity), c),
+    )
+)
+query("seq_regressions")(
+    lambda w: cdc.seq_regressions(w.lake.landing("order_item"), CONTRACTS["order_item"].key)
+)
+
+
+@query("raw_vs_current")
+def _raw_vs_current(w: Workspace) -> DataFrame:
+    def block(contract) -> DataFrame:
+        count = F.count(F.lit(1))
+        raw = w.lake.core(contract.entity).agg(count.alias("raw_rows"))
+        now = w.lake.current(contract.entity).agg(count.alias("current_rows"))
+        return cdc.with_scalars(raw, now).withColumn("entity", F.lit(contract.entity))
+
+    return health.union_by_contract(CONTRACTS.values(), block)
+
+
+query("key_uniqueness")(
+    lambda w: duplicate_keys(w.lake.landing("order_item"), CONTRACTS["order_item"].key)
+)
+
+# --- joins and aggregates -------------------------------------------------
+
+query("lookup_join")(
+    lambda w: joins.lookup_join(
+        w.lake.current("order").select("order_id", "business_unit_code"),
+        w.lookups["business_unit"],
+        "business_unit_code",
+        {"bu_name": ("bu_name", "(sem cadastro)"), "bu_country": ("country", None)},
+        "bu_found",
+    )
+)
+query("asof_price")(
+    lambda w: margin.priced_items(w.lake, w.as_of, w.days).select(
+        "order_id",
+        "item_seq",
+        "item_id",
+        "created_at",
+        "price_list_id",
+        "list_price",
+        "cost_price",
+        "price_valid_from",
+    )
+)
+query("current_price")(lambda w: joins.price_at(w.lake.current("prices"), w.as_of))
+
+
+@query("anti_null")
+def _anti_null(w: Workspace) -> DataFrame:
+    """Items at a centre without a position; an item without a centre stays."""
+    stock = w.lake.current("stock_position").select("item_id", "dc_id")
+    items = w.lake.current("order_item").select("order_id", "item_seq", "item_id", "dc_id")
+    return items.join(stock, ["item_id", "dc_id"], "left_anti")
+
+
+query("anti_with_total")(
+    lambda w: joins.anti_with_total(
+        w.lake.current("order_payment"), w.lake.current("order"), [("order_id", "order_id")]
+    )
+)
+query("touched_orders")(
+    lambda w: joins.touched_keys(
+        [w.lake.current(e) for e in ("order", "order_item", "order_payment")],
+        "order_id",
+        w.as_of - timedelta(days=3),
+    )
+)
+query("fanout_guard")(
+    lambda w: joins.fanout_guard(
+        w.mart("order_360"), w.lake.current("order_item"), "order_id", "items_count"
+    )
+)
+query("unassigned_total")(lambda w: reports.unassigned_total(w.mart("stock_coverage")))
+query("preferred_channel")(
+    lambda w: preferred_value(w.lake.current("order"), "customer_id", "channel", "channel")
+)
+
+
+@query("latency_quantiles")
+def _latency_quantiles(w: Workspace) -> DataFrame:
+    attempts = w.lake.current("order_payment").select(
+        "acquirer", seconds_between("created_at", "authorized_at").alias("latency")
+    )
+    return quantiles(attempts, ["acquirer"], "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+# --- reports --------------------------------------------------------------
+
+query("order_lookup")(lambda w: _flat(reports.order_lookup(w.mart("order_360"), w.as_of, "42")))
+query("customer_orders")(lambda w: reports.customer_orders(w.mart("order_360")))
+query("customer_orders_of")(lambda w: reports.customer_orders(w.mart("order_360"), "42", 50))
+query("revenue_last_30d")(
+    lambda w: reports.revenue_last_days(w.mart("revenue_by_bu_day"), w.as_of)
+)
+query("cancel_rate_by_bu")(
+    lambda w: reports.cancel_rate_by_bu(w.mart("revenue_by_bu_day"), w.as_of, w.days)
+)
+query("approval_by_acquirer")(
+    lambda w: reports.approval_by_acquirer(w.mart("payment_funnel_day"), w.payments_as_of, w.days)
+)
+query("unknown_coupons")(
+    lambda w: reports.unknown_coupons(w.mart("discount_effectiveness"), w.as_of)
+)
+query("coupons_over_limit")(lambda w: reports.coupons_over_limit(w.mart("discount_effectiveness")))
+query("campaign_vs_baseline")(
+    lambda w: reports.campaign_vs_baseline(
+        w.mart("discount_effectiveness"), w.mart("discount_baseline_day"), w.as_of, w.days
+    )
+)
+query("items_without_price")(lambda w: reports.items_without_price(w.mart("item_margin_daily")))
+query("sold_below_cost")(
+    lambda w: reports.sold_below_cost(w.mart("item_margin_daily"), w.as_of, w.days)
+)
+query("top_margin_items")(
+    lambda w: reports.top_margin_items(w.mart("item_margin_daily"), w.as_of, w.days)
+)
+query("coverage_alerts")(lambda w: reports.coverage_alerts(w.mart("stock_coverage")))
+query("coverage_by_dc")(lambda w: reports.coverage_by_dc(w.mart("stock_coverage"), "3"))
+query("stockout_queue")(lambda w: reports.stockout_queue(w.mart("stockout_candidates")))
+query("stockout_summary")(lambda w: reports.stockout_summary(w.mart("stockout_candidates")))
+query("rfm_scores")(lambda w: reports.rfm_scores(w.mart("customer_metrics")))
+query("retention_curve")(
+    lambda w: reports.retention_curve(w.mart("customer_cohort"), date(1995, 1, 1))
+)
+query("dq_alerts")(
+    lambda w: reports.dq_alerts(w.mart("dq_overview"), w.mart("orphan_summary"))
+)
+query("entity_state")(lambda w: reports.entity_state(w.mart("dq_overview")))
+query("orphan_verdict")(lambda w: reports.orphan_verdict(w.mart("orphan_summary")))
+query("data_health")(
+    lambda w: reports.data_health(
+        reports.dq_alerts(w.mart("dq_overview"), w.mart("orphan_summary"))
+    )
+)
+query("capital_by_dc")(lambda w: reports.capital_by_dc(w.mart("idle_catalog")))
+query("catalog_gaps")(lambda w: reports.catalog_gaps(w.mart("idle_catalog")))
+query("idle_ranking")(lambda w: reports.idle_ranking(w.mart("idle_catalog")))
+query("top_idle")(lambda w: reports.top_idle(w.mart("idle_catalog")))
+
+# --- refresh --------------------------------------------------------------
+
+
+@query("refresh_window_parity")
+def _refresh_window(w: Workspace) -> DataFrame:
+    """A wide refresh, then the cited window on top: equal to the mart at once."""
+    path = scratch(w.spark, "mart")
+
+    def job(at, days):
+        return sales.revenue_by_bu_day(w.lake, w.lookups, at, days)
+
+    refresh.refresh_window(job, path, w.as_of, w.days, "order_date")
+    refresh.refresh_window(job, path, w.as_of, 3, "order_date")
+    return refresh.read_mart(w.spark, path)
+
+
+@query("refresh_full_parity")
+def _refresh_full(w: Workspace) -> DataFrame:
+    root = scratch(w.spark, "mart")
+    refresh.refresh_full(w.mart("stock_coverage").limit(0), root, "empty")
+    refresh.refresh_full(w.mart("stock_coverage"), root, "whole")
+    return refresh.read_current(w.spark, root)
+
+
+@query("refresh_keys_parity")
+def _refresh_keys(w: Workspace) -> DataFrame:
+    """Built before cancellations and deletes are known, then only the touched
+    orders are recomputed: equal to the mart built at once."""
+    path = scratch(w.spark, "mart")
+    raw = w.lake.landing("order")
+    early = _lake_with(w, order=raw.where(F.col("_cdc_seq") == 1))
+
+    def build(lake):
+        return lambda keys: sales.order_360(lake, w.lookups, w.as_of, None, keys)
+
+    everyone = raw.select("order_id")
+    refresh.refresh_keys(build(early), everyone, path, "order_id", "order_created_at")
+    changed = raw.where(F.col("_cdc_seq") > 1).select("order_id")
+    refresh.refresh_keys(build(w.lake), changed, path, "order_id", "order_created_at")
+    return _flat(refresh.read_mart(w.spark, path))
+
+
+def _lake_with(w: Workspace, **replaced: DataFrame) -> cdc.Lake:
+    return cdc.Lake(
+        {e: replaced.get(e, w.lake.landing(e)) for e in CONTRACTS}, CONTRACTS
+    )
+
+
+@query("late_arrival")
+def _late_arrival(w: Workspace) -> DataFrame:
+    """First refresh: a third of the orders and half of the items have not landed.
+    Second refresh, nothing else done: the mart is complete."""
+    path = scratch(w.spark, "mart")
+    number = F.col("order_id").cast("bigint")
+    early = _lake_with(
+        w,
+        order=w.lake.landing("order").where(number % 3 != 0),
+        order_item=w.lake.landing("order_item").where(number % 2 == 0),
+    )
+    for lake in (early, w.lake):
+        refresh.refresh_window(
+            lambda at, days, lake=lake: sales.revenue_by_bu_day(lake, w.lookups, at, days),
+            path,
+            w.as_of,
+            w.days,
+            "order_date",
+        )
+    return refresh.read_mart(w.spark, path)
+
+
+@query("latest_by")
+def _latest_by(w: Workspace) -> DataFrame:
+    """Append mode: two refreshes of the baseline, the newer one is read."""
+    first = discounts.discount_baseline_day(w.lake, w.as_of - timedelta(days=1), w.days)
+    both = first.unionByName(w.mart("discount_baseline_day"))
+    return windows.latest_by(both, ["order_date", "business_unit_code"], "_refreshed_at")
+
+
+@query("refresh_log")
+def _refresh_log(w: Workspace) -> DataFrame:
+    """Two logged refreshes and their state."""
+    log, root = scratch(w.spark, "log"), scratch(w.spark, "mart")
+    for name in ("stock_coverage", "idle_catalog"):
+        refresh.run_logged(
+            w.spark,
+            log,
+            name,
+            w.as_of,
+            lambda name=name: refresh.refresh_full(w.mart(name), f"{root}/{name}", "1"),
+        )
+    state = refresh.refresh_state(w.spark.read.parquet(log), w.as_of)
+    return state.select("mart", "run_at", "status", "rows", "age_seconds", "healthy")
+
+
+@query("second_access_path")
+def _second_access_path(w: Workspace) -> DataFrame:
+    """The order mart once more, sorted by customer for the lookup by customer."""
+    path = scratch(w.spark, "by-customer")
+    refresh.write_second_order(w.mart("order_360"), path, ["customer_id", "order_created_at"])
+    return reports.customer_orders(w.spark.read.parquet(path))
+
+
+# --- streams --------------------------------------------------------------
+
+
+def _finish(*running) -> None:
+    for one in running:
+        one.awaitTermination()
+
+
+@query("landing_stream")
+def _landing_stream(w: Workspace) -> DataFrame:
+    base = scratch(w.spark, "stream")
+    landing.to_lines(w.lake.landing("order")).write.text(f"{base}/topic")
+    lines = w.spark.readStream.text(f"{base}/topic")
+    _finish(
+        *jobs.stream_landing(
+            lines, CONTRACTS["order"], f"{base}/landing", f"{base}/quarantine", f"{base}/checkpoint"
+        )
+    )
+    return w.spark.read.parquet(f"{base}/landing").drop(landing.MONTH)
+
+
+def _order_stream(w: Workspace, base: str) -> DataFrame:
+    w.lake.landing("order").write.parquet(f"{base}/landing")
+    return jobs.landing_stream(w.spark, f"{base}/landing", CONTRACTS["order"])
+
+
+@query("core_stream")
+def _core_stream(w: Workspace) -> DataFrame:
+    base, contract = scratch(w.spark, "stream"), CONTRACTS["order"]
+    stream = _order_stream(w, base)
+    _finish(jobs.stream_core(stream, contract, f"{base}/core", f"{base}/checkpoint"))
+    return cdc.current_state(w.spark.read.parquet(f"{base}/core"), contract)
+
+
+@query("core_upsert")
+def _core_upsert(w: Workspace) -> DataFrame:
+    base, contract = scratch(w.spark, "stream"), CONTRACTS["order"]
+    stream = _order_stream(w, base)
+    _finish(jobs.stream_upsert(stream, contract, f"{base}/core", f"{base}/checkpoint", 8))
+    kept = w.spark.read.parquet(f"{base}/core").where(F.col("_is_deleted") == 0)
+    return kept.select(*contract.columns, "_ingested_at")
+
+
+@query("events_per_window")
+def _events_per_window(w: Workspace) -> DataFrame:
+    base = scratch(w.spark, "stream")
+    events = (
+        w.spark.readStream.schema(w.tables.table("events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(w.tables.folder)
+    )
+    _finish(jobs.stream_windowed(events, f"{base}/totals", f"{base}/checkpoint"))
+    return jobs.read_windowed(w.spark, f"{base}/totals")
+
+
+# --- quality --------------------------------------------------------------
+
+for _name, _fn in quality.PARITIES.items():
+    query(f"parity_{_name}")(_fn)
+query("parity_revenue_by_currency")(quality.parity_revenue_by_currency)
+
+for _id, _check in quality.CHECKS.items():
+    query("dq_" + _id.replace(".", "_"))(
+        lambda w, _check=_check: quality.run_check(_check, w, w.as_of)
+    )
+
+
+@query("dq_landing_dlq_depth")
+def _dlq_depth(w: Workspace) -> DataFrame:
+    item = quality.Check(
+        "landing.dlq_depth", "error", "lte", 0, lambda w: quality.rows(_split(w)[1])
+    )
+    return quality.run_check(item, w, w.as_of)

@@ -40,7 +40,7 @@ class Workspace:
         tables = RetailTables(spark, folder)
         lake = Lake({e: tables.landing(e) for e in CONTRACTS}, CONTRACTS)
         space = cls(lake)
-        space.tables = tables
+        space.spark, space.tables = spark, tables
         return space
 
     @cached_property
