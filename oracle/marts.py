@@ -465,7 +465,7 @@ FROM (SELECT max(_kafka_ts) AS last_kafka_ts, count(*) AS landing_rows,
       FROM {entity}_newest) c,
      (SELECT count(*) AS cdc_seq_non_monotonic FROM (
         SELECT DISTINCT {keys} FROM (
-          SELECT {keys}, _cdc_seq, lag(_cdc_seq) OVER (PARTITION BY {keys} ORDER BY _partition, _offset) AS before
+          SELECT {keys}, _cdc_seq, lag(_cdc_seq) OVER (PARTITION BY {keys} ORDER BY _partition, _offset, _cdc_seq) AS before
           FROM {entity}_raw) w WHERE before > _cdc_seq) d) r
 """
 

@@ -87,7 +87,7 @@ BODIES |= {
     "seq_regressions": """
 SELECT order_id, item_seq, count(*) AS regressions
 FROM (SELECT order_id, item_seq, _cdc_seq,
-        lag(_cdc_seq) OVER (PARTITION BY order_id, item_seq ORDER BY _partition, _offset) AS before FROM order_item_raw) w
+        lag(_cdc_seq) OVER (PARTITION BY order_id, item_seq ORDER BY _partition, _offset, _cdc_seq) AS before FROM order_item_raw) w
 WHERE before > _cdc_seq GROUP BY 1, 2""",
     "raw_vs_current": "\nUNION ALL\n".join(
         f"SELECT '{e}' AS entity, (SELECT count(*) FROM {e}_core) AS raw_rows, (SELECT count(*) FROM {e}_now) AS current_rows"

@@ -38,6 +38,10 @@ TECHNICAL = T.StructType(
 VERSION_ORDER = ("_cdc_seq", "_kafka_ts", "_partition", "_offset")
 OFFSET_KEY = ("_topic", "_partition", "_offset")
 
+# A refresh window up to this many days is narrow: the keys it touches are few
+# against all history.
+NARROW_DAYS = 31
+
 # Status sets used by several marts.
 BILLABLE = ("paid", "invoiced", "shipped", "delivered")
 CANCELED = "canceled"

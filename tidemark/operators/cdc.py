@@ -66,6 +66,12 @@ def current_state(
     return live.select(*contract.columns, "_ingested_at", *extra)
 
 
+def current_of(core: DataFrame, contract: Contract, keys: DataFrame) -> DataFrame:
+    """Current rows of the keys in ``keys`` only. Whole keys are taken or left, so
+    the restriction may come before versions are compared."""
+    return current_state(core.join(keys, keys.columns, "left_semi"), contract)
+
+
 def current_under(core: DataFrame, contract: Contract, head: DataFrame, on: str) -> DataFrame:
     """Current rows of a child entity together with columns of its parent.
 
@@ -108,49 +114,80 @@ def rebuild_core(landing: DataFrame, contract: Contract) -> DataFrame:
     return to_core(landing, contract)
 
 
-def seq_regressions(landing: DataFrame, key: Sequence[str], chunk: int = 1_000_000) -> DataFrame:
-    """Per key: how often ``_cdc_seq`` falls in arrival order (partition, offset).
+# operation letter -> name of its counter
+OPERATION_COUNTS = {
+    "c": "ops_create",
+    "u": "ops_update",
+    "d": "ops_delete",
+    "r": "ops_snapshot",
+}
+
+
+def fold_keys(landing: DataFrame, key: Sequence[str], chunk: int = 1_000_000) -> DataFrame:
+    """One row per key of a landing table: records, operations, last message, and
+    ``regressions`` - how often ``_cdc_seq`` falls in arrival order (partition,
+    offset).
 
     A key may hold a large part of all records, so neighbours are compared within
     chunks of an offset range (at most ``chunk`` offsets each); the first and last
-    sequence of every chunk then settle the seams between chunks.
+    sequence of every chunk then settle the seams between chunks. Records that
+    share a coordinate are taken in sequence order.
     """
     key = list(key)
-    chunk_id = F.floor(F.col("_offset") / chunk).alias("_chunk")
-    arrivals = landing.select(*key, "_partition", "_offset", "_cdc_seq", chunk_id)
-    inside = Window.partitionBy(*key, "_partition", "_chunk").orderBy("_offset")
+    arrivals = landing.select(
+        *key,
+        "_partition",
+        "_offset",
+        "_cdc_seq",
+        "_op",
+        "_kafka_ts",
+        F.floor(F.col("_offset") / chunk).alias("_chunk"),
+    )
+    inside = Window.partitionBy(*key, "_partition", "_chunk").orderBy("_offset", "_cdc_seq")
+    place = F.struct("_offset", "_cdc_seq")
     chunks = (
         arrivals.withColumn("_falls", flag(F.lag("_cdc_seq").over(inside) > F.col("_cdc_seq")))
         .groupBy(*key, "_partition", "_chunk")
         .agg(
             F.sum("_falls").alias("_falls"),
-            F.min_by("_cdc_seq", "_offset").alias("_first"),
-            F.max_by("_cdc_seq", "_offset").alias("_last"),
+            F.min_by("_cdc_seq", place).alias("_first"),
+            F.max_by("_cdc_seq", place).alias("_last"),
+            F.count(F.lit(1)).alias("records"),
+            F.max("_kafka_ts").alias("last_kafka_ts"),
+            *[F.count_if(F.col("_op") == op).alias(n) for op, n in OPERATION_COUNTS.items()],
         )
     )
     across = Window.partitionBy(*key).orderBy("_partition", "_chunk")
     return (
         chunks.withColumn("_seam", flag(F.lag("_last").over(across) > F.col("_first")))
         .groupBy(*key)
-        .agg(F.sum(F.col("_falls") + F.col("_seam")).alias("regressions"))
-        .where(F.col("regressions") > 0)
+        .agg(
+            F.sum(F.col("_falls") + F.col("_seam")).alias("regressions"),
+            F.max("last_kafka_ts").alias("last_kafka_ts"),
+            *[F.sum(c).alias(c) for c in ("records", *OPERATION_COUNTS.values())],
+        )
     )
 
 
+def seq_regressions(landing: DataFrame, key: Sequence[str], chunk: int = 1_000_000) -> DataFrame:
+    """Keys whose sequence falls in arrival order, and how often."""
+    found = fold_keys(landing, key, chunk).where(F.col("regressions") > 0)
+    return found.select(*key, "regressions")
+
+
 def landing_profile(landing: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row: volume, distinct keys, operations, last message of a landing table."""
-
-    def ops(letter: str, name: str) -> Column:
-        return F.count_if(F.col("_op") == letter).alias(name)
-
-    return landing.agg(
-        F.max("_kafka_ts").alias("last_kafka_ts"),
-        F.count(F.lit(1)).alias("landing_rows"),
-        F.count_distinct(*[F.col(k) for k in key]).alias("landing_distinct_keys"),
-        ops("c", "ops_create"),
-        ops("u", "ops_update"),
-        ops("d", "ops_delete"),
-        ops("r", "ops_snapshot"),
+    """One row, from one pass: volume, distinct keys, operations, last message,
+    keys that arrived out of order."""
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    return fold_keys(landing, key).agg(
+        F.max("last_kafka_ts").alias("last_kafka_ts"),
+        total("records").alias("landing_rows"),
+        F.count(F.lit(1)).alias("landing_distinct_keys"),
+        *[total(n).alias(n) for n in OPERATION_COUNTS.values()],
+        F.count_if(F.col("regressions") > 0).alias("cdc_seq_non_monotonic"),
     )
 
 
@@ -179,13 +216,8 @@ def with_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
 
 def cdc_profile(landing: DataFrame, core: DataFrame, contract: Contract) -> DataFrame:
     """One row per entity: operations, keys, duplicates, out-of-order keys."""
-    left = landing_profile(landing, contract.key)
-    right = core_profile(core, contract)
-    falls = seq_regressions(landing, contract.key).agg(
-        F.count(F.lit(1)).alias("cdc_seq_non_monotonic")
-    )
-    joined = with_scalars(left, right, falls)
-    return joined.select(
+    both = with_scalars(landing_profile(landing, contract.key), core_profile(core, contract))
+    return both.select(
         F.lit(contract.context).alias("context"), F.lit(contract.entity).alias("entity"), "*"
     )
 
@@ -204,6 +236,15 @@ class Lake:
             self._core[entity] = to_core(self.landing(entity), self.contracts[entity])
         return self._core[entity]
 
+    def parents(self, child: str, on: str, parent: str, since: datetime, narrow: bool) -> DataFrame:
+        """Current parents of child rows created from ``since`` on. For a narrow
+        window only the parents named by any of its child versions are resolved,
+        instead of all history."""
+        if not narrow:
+            return self.current(parent)
+        recent = self.core(child).where(F.col("created_at") >= stamp(since))
+        return current_of(self.core(parent), self.contracts[parent], recent.select(on).distinct())
+
     def current(
         self,
         entity: str,

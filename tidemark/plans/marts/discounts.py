@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.contracts import CANCELED
 from tidemark.functions import (
     average_money,
-    in_window,
     is_blank,
     midnight,
     money_if,
@@ -44,7 +43,7 @@ def discount_effectiveness(
     )
     coded = (
         lake.current("order", since)
-        .where(in_window("created_at", as_of, window_days) & ~is_blank("discount_code"))
+        .where(~is_blank("discount_code"))
         .select(
             "order_id",
             "created_at",
@@ -109,9 +108,7 @@ def discount_effectiveness(
 
 def discount_baseline_day(lake: Lake, as_of: datetime, window_days: int = 90) -> DataFrame:
     """Day x business unit: valid orders and ticket with and without a coupon."""
-    orders = lake.current("order", midnight(as_of, window_days)).where(
-        in_window("created_at", as_of, window_days)
-    )
+    orders = lake.current("order", midnight(as_of, window_days))
     valid = F.col("order_status") != CANCELED
     coupon = ~is_blank("discount_code")
     totals = orders.groupBy(

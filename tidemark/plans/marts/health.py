@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract, Relation
-from tidemark.functions import age_seconds, flag, in_window, is_blank, midnight, normalize_code, stamp
+from tidemark.functions import age_seconds, flag, is_blank, midnight, normalize_code, stamp
 from tidemark.operators.cdc import Lake, cdc_profile
 from tidemark.operators.joins import mark_missing
 from tidemark.operators.windows import sample_per_group
@@ -79,9 +79,7 @@ def _marked(
     lake: Lake, contract: Contract, relation: Relation, as_of: datetime, days: int
 ) -> DataFrame:
     """Current rows of the window whose reference is filled in, with an orphan mark."""
-    rows = lake.current(contract.entity, midnight(as_of, days), coordinates=True).where(
-        in_window("created_at", as_of, days)
-    )
+    rows = lake.current(contract.entity, midnight(as_of, days), coordinates=True)
     local = [f"_l{i}" for i in range(len(relation.local))]
     value = (lambda c: normalize_code(c)) if relation.normalize else F.col
     for name, col in zip(local, relation.local):

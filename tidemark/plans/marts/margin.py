@@ -7,11 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.contracts import CANCELED
+from tidemark.contracts import CANCELED, NARROW_DAYS
 from tidemark.functions import (
     TOTAL,
     days_between,
-    in_window,
     midnight,
     money_if,
     stamp,
@@ -25,10 +24,10 @@ NO_PRICE = "(sem preco)"
 
 def sold_items(lake: Lake, as_of: datetime, window_days: int) -> DataFrame:
     """Current items of the window with unit, currency and status of their order."""
-    items = lake.current("order_item", midnight(as_of, window_days)).where(
-        in_window("created_at", as_of, window_days)
-    )
-    head = lake.current("order").select(
+    since = midnight(as_of, window_days)
+    items = lake.current("order_item", since)
+    narrow = window_days <= NARROW_DAYS
+    head = lake.parents("order_item", "order_id", "order", since, narrow).select(
         "order_id", "business_unit_code", "currency", "order_status"
     )
     return items.select(

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import in_window, midnight, money_sum, ratio, seconds_between, stamp
+from tidemark.contracts import NARROW_DAYS
+from tidemark.functions import midnight, money_sum, ratio, seconds_between, stamp
 from tidemark.operators.cdc import Lake
 from tidemark.operators.joins import Lookup, lookup_join
 
@@ -39,10 +40,10 @@ def payment_funnel_day(
     many attempts, so retries and distinct orders can be marked with windows on
     the folded rows and everything else is one sum per grain.
     """
-    payments = lake.current("order_payment", midnight(as_of, window_days)).where(
-        in_window("created_at", as_of, window_days)
-    )
-    orders = lake.current("order").select(
+    since = midnight(as_of, window_days)
+    payments = lake.current("order_payment", since)
+    narrow = window_days <= NARROW_DAYS
+    orders = lake.parents("order_payment", "order_id", "order", since, narrow).select(
         "order_id", "business_unit_code", F.col("channel").alias("order_channel"), "currency"
     )
     attempts = payments.join(orders, "order_id").select(

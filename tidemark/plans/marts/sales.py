@@ -12,7 +12,6 @@ from tidemark.functions import (
     AMOUNT,
     average_money,
     flag,
-    in_window,
     midnight,
     money,
     money_if,
@@ -20,7 +19,7 @@ from tidemark.functions import (
     stamp,
     sum_if,
 )
-from tidemark.operators.cdc import Lake, current_state
+from tidemark.operators.cdc import Lake, current_of
 from tidemark.operators.joins import Lookup, lookup_join, touched_keys
 
 # What payments count as authorized and as captured.
@@ -41,12 +40,11 @@ COUPON_360 = {
 
 
 def _of(lake: Lake, entity: str, keys: DataFrame | None) -> DataFrame:
-    """Current rows of an entity, restricted to the orders in ``keys``. The
-    restriction is by key, so it may come before versions are compared."""
-    core = lake.core(entity)
-    if keys is not None:
-        core = core.join(keys, "order_id", "left_semi")
-    return current_state(core, lake.contracts[entity])
+    """Current rows of an entity, of the orders in ``keys`` if given. An item or
+    payment never moves to another order, so its versions share the order."""
+    if keys is None:
+        return lake.current(entity)
+    return current_of(lake.core(entity), lake.contracts[entity], keys)
 
 
 def items_by_order(items: DataFrame) -> DataFrame:
@@ -236,7 +234,7 @@ def revenue_by_bu_day(
         .groupBy("order_id")
         .agg(F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("items"))
     )
-    orders = lake.current("order", since).where(in_window("created_at", as_of, window_days))
+    orders = lake.current("order", since)
     valid = F.col("order_status") != CANCELED
     grain = ("order_date", "business_unit_code", "order_channel", "currency")
     # an order is one row here, so plain counts are distinct counts

@@ -337,40 +337,56 @@ def retention_curve(cohort: DataFrame, since: date, segment: str | None = None)
 # --- quality --------------------------------------------------------------
 
 
+def _raised(df: DataFrame, context: str, entity: str, alerts: dict) -> DataFrame:
+    """One row per alert that applies, from one pass over ``df``. ``alerts`` maps a
+    kind to (condition, detail)."""
+    candidates = F.array(
+        *[
+            F.when(bad, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
+            for kind, (bad, detail) in alerts.items()
+        ]
+    )
+    return df.select(
+        F.col(context).alias("context"),
+        F.col(entity).alias("entity"),
+        F.inline(F.array_compact(candidates)),
+    ).select("kind", "context", "entity", "detail")
+
+
 def dq_alerts(overview: DataFrame, orphans: DataFrame) -> DataFrame:
     """Empty means healthy; every row asks for action."""
 
-    def entity(kind: str, bad, detail: str) -> DataFrame:
-        return overview.where(bad).select(
-            F.lit(kind).alias("kind"),
-            "context",
-            "entity",
-            F.col(detail).cast("string").alias("detail"),
-        )
-
-    def relation(kind: str, bad, text) -> DataFrame:
-        return orphans.where(bad).select(
-            F.lit(kind).alias("kind"),
-            F.col("from_context").alias("context"),
-            F.col("from_entity").alias("entity"),
-            F.concat("relation_id", *text).alias("detail"),
-        )
+    def text(col: str):
+        return F.col(col).cast("string")
 
+    of_entities = _raised(
+        overview,
+        "context",
+        "entity",
+        {
+            "freshness": (F.col("freshness_ok") == 0, text("freshness_seconds")),
+            "reconcile": (F.col("reconcile_ok") == 0, text("reconcile_diff")),
+            "core_dup": (F.col("keys_with_dup_in_core") != 0, text("keys_with_dup_in_core")),
+        },
+    )
     pct = F.round("orphan_rate_pct", 3).cast("decimal(12,3)").cast("string")
     p99 = F.round("orphan_age_p99_s").cast("bigint").cast("string")
-    return (
-        entity("freshness", F.col("freshness_ok") == 0, "freshness_seconds")
-        .unionByName(entity("reconcile", F.col("reconcile_ok") == 0, "reconcile_diff"))
-        .unionByName(
-            entity("core_dup", F.col("keys_with_dup_in_core") != 0, "keys_with_dup_in_core")
-        )
-        .unionByName(
-            relation("orphan_rate", F.col("rate_ok") == 0, [F.lit(" = "), pct, F.lit("%")])
-        )
-        .unionByName(
-            relation("orphan_age", F.col("age_ok") == 0, [F.lit(" p99 = "), p99, F.lit("s")])
-        )
+    of_relations = _raised(
+        orphans,
+        "from_context",
+        "from_entity",
+        {
+            "orphan_rate": (
+                F.col("rate_ok") == 0,
+                F.concat("relation_id", F.lit(" = "), pct, F.lit("%")),
+            ),
+            "orphan_age": (
+                F.col("age_ok") == 0,
+                F.concat("relation_id", F.lit(" p99 = "), p99, F.lit("s")),
+            ),
+        },
     )
+    return of_entities.unionByName(of_relations)
 
 
 def entity_state(overview: DataFrame) -> DataFrame:
