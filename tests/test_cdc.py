@@ -148,3 +148,26 @@ def test_profile_counts_operations_and_deleted_keys(spark):
     assert (row.core_rows, row.core_deleted_keys, row.keys_with_dup_in_core) == (1, 1, 0)
     assert (row.ops_create, row.ops_update, row.ops_delete) == (2, 1, 1)
     assert row.cdc_seq_non_monotonic == 1
+
+
+def test_a_payment_that_moved_is_found_only_where_it_is_now(spark):
+    contract = CONTRACTS["order_payment"]
+    core = cdc.to_core(records(spark, "order_payment", [
+        {"payment_id": "P", "order_id": "A"}, {"payment_id": "P", "order_id": "B"},
+        {"payment_id": "Q", "order_id": "A"},
+    ]), contract)
+
+    def of(order):
+        keys = spark.createDataFrame([(order,)], "order_id string")
+        return sorted(r.payment_id for r in cdc.current_of(core, contract, keys).collect())
+
+    assert (of("A"), of("B")) == (["Q"], ["P"])
+
+
+def test_parents_of_a_narrow_window_equal_all_parents(spark):
+    a_lake, since = workspace(spark, SMALL).lake, workspace(spark, SMALL).as_of - timedelta(days=20)
+    items = a_lake.current("order_item", since)
+    wide = items.join(a_lake.parents("order_item", "order_id", "order", since, False), "order_id")
+    narrow = items.join(a_lake.parents("order_item", "order_id", "order", since, True), "order_id")
+    assert 0 < narrow.count() < a_lake.current("order_item").count()
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))

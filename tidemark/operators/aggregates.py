@@ -43,15 +43,16 @@ def preferred_value(df: DataFrame, key: str, col: str, out: str, weight: str | N
 def allocation_share(weight: str, group: Sequence[str], scale: int = 6):
     """Share of a row in its group by ``weight``; equal shares when all weigh zero.
 
-    Meant for rows that are already aggregated (a few per group)."""
+    Rows without a weight take no share. Meant for rows that are already aggregated
+    (a few per group)."""
     rows = Window.partitionBy(*group)
     w = F.greatest(F.col(weight), F.lit(0)).cast("decimal(18,4)")
     total = F.sum(F.greatest(F.col(weight), F.lit(0))).over(rows).cast("decimal(18,4)")
-    count = F.count(F.lit(1)).over(rows).cast("decimal(18,4)")
+    count = F.count(weight).over(rows).cast("decimal(18,4)")
     one = F.lit(1).cast("decimal(18,4)")
     zero = F.lit(0).cast("decimal(18,4)")
     by_weight = (w / F.nullif(total, zero)).cast(f"decimal(38,{scale})")
-    equal = (one / count).cast(f"decimal(38,{scale})")
+    equal = (one / F.nullif(count, zero)).cast(f"decimal(38,{scale})")
     return F.when(total > 0, by_weight).otherwise(equal)
 
 

@@ -67,9 +67,20 @@ def current_state(
 
 
 def current_of(core: DataFrame, contract: Contract, keys: DataFrame) -> DataFrame:
-    """Current rows of the keys in ``keys`` only. Whole keys are taken or left, so
-    the restriction may come before versions are compared."""
-    return current_state(core.join(keys, keys.columns, "left_semi"), contract)
+    """Current rows whose ``keys`` columns are among ``keys``.
+
+    Columns that cannot differ between the versions of a key are restricted before
+    the versions are compared. Otherwise a key may have moved (a payment to another
+    order): all versions of every key that was ever there are compared, and the
+    rows that are there now are kept.
+    """
+    on = keys.columns
+    hit = core.join(keys, on, "left_semi")
+    if set(on) <= {*contract.key, *contract.immutable}:
+        return current_state(hit, contract)
+    ever = hit.select(*contract.key).distinct()
+    resolved = current_state(core.join(ever, list(contract.key), "left_semi"), contract)
+    return resolved.join(keys, on, "left_semi")
 
 
 def current_under(core: DataFrame, contract: Contract, head: DataFrame, on: str) -> DataFrame:

@@ -40,8 +40,7 @@ COUPON_360 = {
 
 
 def _of(lake: Lake, entity: str, keys: DataFrame | None) -> DataFrame:
-    """Current rows of an entity, of the orders in ``keys`` if given. An item or
-    payment never moves to another order, so its versions share the order."""
+    """Current rows of an entity, of the orders in ``keys`` if given."""
     if keys is None:
         return lake.current(entity)
     return current_of(lake.core(entity), lake.contracts[entity], keys)

@@ -63,30 +63,29 @@ def stock_coverage(lake: Lake, as_of: datetime, window_days: int = 28) -> DataFr
             sum_if(F.col("sold_at") >= stamp(start_7d), "quantity").alias("q7"),
         )
     )
-    unassigned = F.col("dc_id") == ""
-    at_centre = demand.where(~unassigned).select(
-        "item_id",
-        "dc_id",
-        F.col("q").alias("demand_qty_28d"),
-        F.col("q7").alias("demand_qty_7d"),
-    )
-    of_item = demand.groupBy("item_id").agg(
-        sum_if(unassigned, "q").alias("demand_qty_unassigned_28d"),
-        sum_if(~unassigned, "q").alias("attributed"),
-    )
-    stock = lake.current("stock_position").withColumns(
-        {
-            "share": allocation_share("available", ["item_id"]),
-            # (item, centre) is the key, so this counts the centres of the item
-            "dc_count_for_item": _count_over("item_id"),
-        }
-    )
+    # Stock and demand meet on (item, centre), the key both are already partitioned
+    # by. What concerns the whole item is then a window over its few centres.
+    nowhere = F.col("dc_id") == ""
+    of_item = Window.partitionBy("item_id")
+
+    def of_item_sum(col: Column) -> Column:
+        return F.coalesce(F.sum(col).over(of_item), F.lit(0))
+
     base = (
-        stock.join(at_centre, ["item_id", "dc_id"], "left")
-        .join(of_item, "item_id", "left")
-        .na.fill(
-            0, ["demand_qty_28d", "demand_qty_7d", "demand_qty_unassigned_28d", "attributed"]
+        lake.current("stock_position")
+        .withColumn("stocked", F.lit(1))
+        .join(demand, ["item_id", "dc_id"], "full")
+        .withColumns(
+            {
+                "share": allocation_share("available", ["item_id"]),
+                "dc_count_for_item": F.count("stocked").over(of_item),
+                "demand_qty_unassigned_28d": of_item_sum(F.when(nowhere, F.col("q"))),
+                "attributed": of_item_sum(F.when(~nowhere, F.col("q"))),
+                "demand_qty_28d": F.coalesce("q", F.lit(0)),
+                "demand_qty_7d": F.coalesce("q7", F.lit(0)),
+            }
         )
+        .where(F.col("stocked") == 1)
     )
     q, lost = F.col("demand_qty_28d"), F.col("demand_qty_unassigned_28d")
     item_total = F.col("attributed") + lost
@@ -155,10 +154,6 @@ def stock_coverage(lake: Lake, as_of: datetime, window_days: int = 28) -> DataFr
     )
 
 
-def _count_over(*keys: str) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*keys))
-
-
 def topic_lag(landing: DataFrame, as_of: datetime) -> DataFrame:
     """One row: seconds since the last message of a topic, never negative."""
     return landing.agg(
@@ -185,87 +180,92 @@ def stockout_candidates(lake: Lake, as_of: datetime, window_days: int = 28) -> D
             F.sum("total_amount").alias("revenue"),
         )
     )
-    measures = [
-        F.min("first").alias("first_sale_at"),
-        F.max("last").alias("last_sale_at"),
-        F.count_distinct("order_id").alias("orders_affected"),
-        F.sum("q7").alias("units_sold_7d"),
-        F.sum("q").alias("units_sold_28d"),
-        F.sum("revenue").cast(TOTAL).alias("revenue"),
-    ]
-    sold_item = per_order.groupBy("item_id").agg(*measures)
-    sold_item_dc = per_order.where(F.col("dc_id") != "").groupBy("item_id", "dc_id").agg(*measures)
-
-    stock = lake.current("stock_position").select(
-        "item_id", "dc_id", "available", "safety_stock", "position_at"
+    # an order counts once per item, at whichever centre it comes first
+    once = Window.partitionBy("item_id", "order_id").orderBy("dc_id")
+    sold = (
+        per_order.withColumn("new", flag(F.row_number().over(once) == 1))
+        .groupBy("item_id", "dc_id")
+        .agg(
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            F.count(F.lit(1)).alias("orders"),
+            F.sum("new").alias("item_orders"),
+            F.sum("q7").alias("q7"),
+            F.sum("q").alias("q"),
+            F.sum("revenue").cast(TOTAL).alias("revenue"),
+        )
     )
-    stocked_items = stock.select("item_id").distinct()
-    lag = topic_lag(lake.landing("stock_position"), as_of).scalar()
-    no_long, no_ts = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp_ntz")
-    absent = {
-        "available": no_long,
-        "safety_stock": no_long,
-        "position_at": no_ts,
-        "grace_window_seconds": F.lit(GRACE_SECONDS),
-        "revenue_at_risk": money("revenue", total=False),
+    stock = (
+        lake.current("stock_position")
+        .select("item_id", "dc_id", "available", "safety_stock", "position_at")
+        .withColumn("stocked", F.lit(1))
+    )
+    # Sales and stock meet on (item, centre), the key both are already partitioned
+    # by; an item's other centres are then seen by a window over its few rows.
+    of_item = Window.partitionBy("item_id")
+    whole = {
+        "first": F.min("first").over(of_item),
+        "last": F.max("last").over(of_item),
+        "orders": F.sum("item_orders").over(of_item),
+        "q7": F.sum("q7").over(of_item),
+        "q": F.sum("q").over(of_item),
+        "revenue": F.sum("revenue").over(of_item).cast(TOTAL),
     }
-    missing_record = (
-        sold_item.join(stocked_items, "item_id", "left_anti")
-        .withColumns(absent)
-        .withColumns(
-            {
-                "stockout_class": F.lit("missing_stock_record"),
-                "dc_id": F.lit(""),
-                "dc_known": F.lit(0),
-            }
+    base = sold.join(stock, ["item_id", "dc_id"], "full").withColumns(
+        {
+            **{f"item_{c}": value for c, value in whole.items()},
+            "centres": F.count("stocked").over(of_item),
+            "one_centre": F.min("dc_id").over(of_item),
+        }
+    )
+    here = F.col("stocked") == 1
+    stockout_class = (
+        F.when(
+            (F.col("centres") == 0) & (F.col("dc_id") == F.col("one_centre")),
+            "missing_stock_record",
         )
+        .when(
+            here & (F.col("available") <= 0) & (F.col("item_last") >= start_7d), "zero_available"
+        )
+        .when(
+            (F.col("centres") > 0) & F.col("stocked").isNull() & (F.col("dc_id") != ""),
+            "missing_dc_position",
+        )
+    )
+    found = base.withColumn("stockout_class", stockout_class).where(
+        F.col("stockout_class").isNotNull()
     )
+    is_zero = F.col("stockout_class") == "zero_available"
+    at_centre = F.col("stockout_class") == "missing_dc_position"
+    no_record = F.col("stockout_class") == "missing_stock_record"
+
+    def measure(name: str) -> Column:
+        return F.when(at_centre, F.col(name)).otherwise(F.col(f"item_{name}"))
+
+    measured = found.withColumns(
+        {
+            "dc_id": F.when(no_record, "").otherwise(F.col("dc_id")),
+            "dc_known": flag(~no_record),
+            "first_sale_at": measure("first"),
+            "last_sale_at": measure("last"),
+            "orders_affected": measure("orders"),
+            "units_sold_7d": measure("q7"),
+            "units_sold_28d": measure("q"),
+            "revenue": measure("revenue"),
+        }
+    )
+    # at zero stock: a week of sales at the mean price paid; else what was sold
     price = quotient("revenue", F.greatest(F.col("units_sold_28d"), F.lit(1)), 4)
     prospective = F.when(F.col("units_sold_7d") <= 0, F.lit(0).cast(AMOUNT)).otherwise(
         price.cast(AMOUNT) * F.col("units_sold_7d").cast("decimal(18,0)")
     )
-    zero_available = (
-        stock.where(F.col("available") <= 0)
-        .join(sold_item.where(F.col("last_sale_at") >= start_7d), "item_id")
-        .withColumns(
-            {
-                "stockout_class": F.lit("zero_available"),
-                "dc_known": F.lit(1),
-                "grace_window_seconds": F.lit(0),
-                "revenue_at_risk": prospective.cast(AMOUNT),
-            }
-        )
-    )
-    missing_dc = (
-        sold_item_dc.join(stock.select("item_id", "dc_id"), ["item_id", "dc_id"], "left_anti")
-        .join(stocked_items, "item_id", "left_semi")
-        .withColumns(absent)
-        .withColumns({"stockout_class": F.lit("missing_dc_position"), "dc_known": F.lit(1)})
-    )
-    columns = [
-        "stockout_class",
-        "item_id",
-        "dc_id",
-        "dc_known",
-        "first_sale_at",
-        "last_sale_at",
-        "orders_affected",
-        "units_sold_7d",
-        "units_sold_28d",
-        "revenue_at_risk",
-        "available",
-        "safety_stock",
-        "position_at",
-        "grace_window_seconds",
-    ]
-    found = (
-        missing_record.select(*columns)
-        .unionByName(zero_available.select(*columns))
-        .unionByName(missing_dc.select(*columns))
-    )
-    is_zero = F.col("stockout_class") == "zero_available"
-    aged = found.withColumns(
+    lag = topic_lag(lake.landing("stock_position"), as_of).scalar()
+    aged = measured.withColumns(
         {
+            "revenue_at_risk": F.when(is_zero, prospective.cast(AMOUNT)).otherwise(
+                money("revenue", total=False)
+            ),
+            "grace_window_seconds": F.when(is_zero, 0).otherwise(GRACE_SECONDS),
             "evidence_age_seconds": F.greatest(age_seconds("first_sale_at", as_of), F.lit(0)),
             "last_sale_age_seconds": F.greatest(age_seconds("last_sale_at", as_of), F.lit(0)),
             "inventory_lag_seconds": lag,
@@ -280,7 +280,7 @@ def stockout_candidates(lake: Lake, as_of: datetime, window_days: int = 28) -> D
     recent = F.col("units_sold_7d") > 0
     severity = (
         F.when(F.col("evidence_status") != "confirmed", "low")
-        .when(F.col("stockout_class") == "missing_dc_position", F.when(recent, "medium").otherwise("low"))
+        .when(at_centre, F.when(recent, "medium").otherwise("low"))
         .when(recent, "high")
         .otherwise("medium")
     )
