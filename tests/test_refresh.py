@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.support import AS_OF, ago, lake, lookups, only
-from tidemark.plans import refresh, reports
+from tidemark.plans import quality, refresh, reports
 from tidemark.plans.marts import sales, stock
 from tidemark.session import scratch
 
@@ -99,6 +99,9 @@ def test_full_replacement_switches_versions_and_survives_a_failed_job(spark):
     assert refresh.read_current(spark, root).count() == 0
     state = only(refresh.refresh_state(spark.read.parquet(log), AS_OF + timedelta(minutes=2)))
     assert (state.status, state.healthy, state.age_seconds) == ("Finished", 1, 60)
+    checks = quality.refresh_checks(spark.read.parquet(log), AS_OF + timedelta(hours=2))
+    assert {r.check_id: r.passed for r in checks.collect()} == {
+        "marts.refresh_health": 0, "marts.refresh_duration": 1}
     late = only(refresh.refresh_state(spark.read.parquet(log), AS_OF + timedelta(hours=2)))
     assert late.healthy == 0
 

@@ -28,11 +28,15 @@ def plain(value):
     return f"{value:f}" if isinstance(value, Decimal) else str(value)
 
 
+# how long a refresh took is nothing SQL could work out
+NOT_IN_SQL = {"dq_marts_refresh"}
+
+
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.queries()) - NOT_IN_SQL == set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(driver.oracle_sql()))
 def test_query_equals_sql(spark, sql_engine, name):
     df = driver.queries()[name](spark, SMALL)
     columns = sorted(df.columns)

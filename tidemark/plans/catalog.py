@@ -445,9 +445,8 @@ def _latest_by(w: Workspace) -> DataFrame:
     return windows.latest_by(both, ["order_date", "business_unit_code"], "_refreshed_at")
 
 
-@query("refresh_log")
-def _refresh_log(w: Workspace) -> DataFrame:
-    """Two logged refreshes and their state."""
+def _logged(w: Workspace) -> DataFrame:
+    """Two refreshes with their log."""
     log, root = scratch(w.spark, "log"), scratch(w.spark, "mart")
     for name in ("stock_coverage", "idle_catalog"):
         refresh.run_logged(
@@ -457,7 +456,12 @@ def _refresh_log(w: Workspace) -> DataFrame:
             w.as_of,
             lambda name=name: refresh.refresh_full(w.mart(name), f"{root}/{name}", "1"),
         )
-    state = refresh.refresh_state(w.spark.read.parquet(log), w.as_of)
+    return w.spark.read.parquet(log)
+
+
+@query("refresh_log")
+def _refresh_log(w: Workspace) -> DataFrame:
+    state = refresh.refresh_state(_logged(w), w.as_of)
     return state.select("mart", "run_at", "status", "rows", "age_seconds", "healthy")
 
 
@@ -542,3 +546,6 @@ def _dlq_depth(w: Workspace) -> DataFrame:
         "landing.dlq_depth", "error", "lte", 0, lambda w: quality.rows(_split(w)[1])
     )
     return quality.run_check(item, w, w.as_of)
+
+
+query("dq_marts_refresh")(lambda w: quality.refresh_checks(_logged(w), w.as_of))

@@ -75,79 +75,114 @@ def relation_id(contract: Contract, relation: Relation, lake: Lake) -> str:
     return f"{contract.context}.{contract.entity} -> {to.context}.{to.entity}"
 
 
-def _marked(
-    lake: Lake, contract: Contract, relation: Relation, as_of: datetime, days: int
-) -> DataFrame:
-    """Current rows of the window whose reference is filled in, with an orphan mark."""
+def _references(lake: Lake, contract: Contract, as_of: datetime, days: int) -> DataFrame:
+    """One row per current row of the window and relation it takes part in, with an
+    orphan mark. A relation whose local value is blank is not taken part in. All
+    relations of an entity are looked up from one pass over its rows."""
     rows = lake.current(contract.entity, midnight(as_of, days), coordinates=True)
-    local = [f"_l{i}" for i in range(len(relation.local))]
-    value = (lambda c: normalize_code(c)) if relation.normalize else F.col
-    for name, col in zip(local, relation.local):
-        rows = rows.withColumn(name, value(col)).where(~is_blank(name))
-    target = lake.current(relation.to)
-    if relation.kind == "temporal":
-        # some validity has begun by the time of the row
-        first = target.groupBy(*relation.remote).agg(F.min("valid_from").alias("_begins"))
-        joined = rows.join(
-            first.select(
-                *[F.col(r).alias(f"_r{i}") for i, r in enumerate(relation.remote)], "_begins"
-            ),
-            reduce(
-                lambda a, b: a & b,
-                [F.col(n) == F.col(f"_r{i}") for i, n in enumerate(local)],
-            ),
-            "left",
-        )
-        begun = F.col("_begins") <= F.col("created_at")
-        return joined.select(
-            *rows.columns, (1 - flag(begun)).alias("is_orphan")
+    entries = []
+    for i, relation in enumerate(r for c, r in relations_of(lake) if c is contract):
+        local = [f"_l{i}_{j}" for j in range(len(relation.local))]
+        for name, col in zip(local, relation.local):
+            rows = rows.withColumn(name, normalize_code(col) if relation.normalize else F.col(col))
+        mark = f"_orphan{i}"
+        target = lake.current(relation.to)
+        pairs = list(zip(local, relation.remote))
+        if relation.kind == "temporal":
+            rows = _mark_not_begun(rows, target, pairs, mark)
+        else:
+            rows = mark_missing(rows, target, pairs, mark)
+        filled = reduce(lambda a, b: a & b, [~is_blank(c) for c in local])
+        entries.append(
+            F.when(
+                filled,
+                F.struct(
+                    F.lit(relation_id(contract, relation, lake)).alias("relation_id"),
+                    F.col(mark).alias("is_orphan"),
+                    _text(local).alias("missing_key"),
+                ),
+            )
         )
-    return mark_missing(rows, target, list(zip(local, relation.remote)))
+    return rows.select(
+        _text(contract.key).alias("orphan_key"),
+        F.col("_ingested_at").alias("first_seen_at"),
+        age_seconds("_ingested_at", as_of).alias("age_seconds"),
+        F.lit(contract.topic).alias("sample_topic"),
+        F.col("_partition").alias("sample_partition"),
+        F.col("_offset").alias("sample_offset"),
+        F.inline(F.array_compact(F.array(*entries))),
+    )
 
 
-def orphan_summary(lake: Lake, as_of: datetime, window_days: int = 7) -> DataFrame:
-    """One row per relation: rate and age of the rows without a partner. A
-    quantile over nothing is null and passes."""
+def _mark_not_begun(rows: DataFrame, target: DataFrame, pairs: list, mark: str) -> DataFrame:
+    """Temporal relation: an orphan has no validity that began by its creation."""
+    begins = target.groupBy(*[r for _, r in pairs]).agg(F.min("valid_from").alias("_begins"))
+    renamed = begins.select(
+        *[F.col(r).alias(f"_r{j}") for j, (_, r) in enumerate(pairs)], "_begins"
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(l) == F.col(f"_r{j}") for j, (l, _) in enumerate(pairs)]
+    )
+    begun = F.col("_begins") <= F.col("created_at")
+    return rows.join(renamed, same, "left").select(*rows.columns, (1 - flag(begun)).alias(mark))
+
+
+def _all_references(lake: Lake, as_of: datetime, days: int) -> DataFrame:
+    children = list(dict.fromkeys(c for c, _ in relations_of(lake)))
+    return union_by_contract(children, lambda c: _references(lake, c, as_of, days))
 
-    def block(pair: tuple[Contract, Relation]) -> DataFrame:
-        contract, relation = pair
+
+def _declared(lake: Lake) -> DataFrame:
+    """The checked relations themselves, one row each."""
+    rows = []
+    for contract, relation in relations_of(lake):
         to = lake.contracts[relation.to]
-        orphan = F.col("is_orphan") == 1
-        # whole seconds of the window at most, however many orphans there are
-        by_age = (
-            _marked(lake, contract, relation, as_of, window_days)
-            .withColumn("age", F.when(orphan, age_seconds("_ingested_at", as_of)))
-            .groupBy("is_orphan", "age")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        stats = by_age.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphan_rows"),
-            F.percentile(
-                "age", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n")
-            ).alias("q"),
-            F.max("age").alias("orphan_age_max_s"),
-        )
-        return stats.select(
-            F.lit(relation_id(contract, relation, lake)).alias("relation_id"),
-            F.lit(contract.context).alias("from_context"),
-            F.lit(contract.entity).alias("from_entity"),
-            F.lit(to.context).alias("to_context"),
-            F.lit(to.entity).alias("to_entity"),
-            F.lit(relation.kind).alias("relation_kind"),
-            "total_rows",
-            "orphan_rows",
-            F.lit(relation.threshold_pct).alias("threshold_pct"),
-            "q",
-            "orphan_age_max_s",
-            F.lit(relation.window_s).cast("bigint").alias("refresh_window_s"),
+        rows.append(
+            (
+                relation_id(contract, relation, lake),
+                contract.context,
+                contract.entity,
+                to.context,
+                to.entity,
+                relation.kind,
+                relation.threshold_pct,
+                relation.window_s,
+            )
         )
+    return lake.core("order").sparkSession.createDataFrame(
+        rows,
+        "relation_id string, from_context string, from_entity string, to_context string, "
+        "to_entity string, relation_kind string, threshold_pct double, refresh_window_s bigint",
+    )
 
+
+def orphan_summary(lake: Lake, as_of: datetime, window_days: int = 7) -> DataFrame:
+    """One row per relation: rate and age of the rows without a partner. A
+    quantile over nothing is null and passes."""
+    orphan = F.col("is_orphan") == 1
+    # whole seconds of the window at most, however many orphans there are
+    by_age = (
+        _all_references(lake, as_of, window_days)
+        .withColumn("age", F.when(orphan, F.col("age_seconds")))
+        .groupBy("relation_id", "is_orphan", "age")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    stats = by_age.groupBy("relation_id").agg(
+        F.sum("n").alias("total_rows"),
+        F.sum(F.when(orphan, F.col("n"))).alias("orphan_rows"),
+        F.percentile("age", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"),
+        F.max("age").alias("orphan_age_max_s"),
+    )
+    every = (
+        _declared(lake)
+        .join(stats, "relation_id", "left")
+        .na.fill(0, ["total_rows", "orphan_rows"])
+    )
     pct = F.when(F.col("total_rows") == 0, F.lit(0.0)).otherwise(
         F.lit(100.0) * F.col("orphan_rows") / F.nullif(F.col("total_rows"), F.lit(0))
     )
     p99 = F.col("q")[2]
-    return union_by_contract(relations_of(lake), block).select(
+    return every.select(
         "relation_id",
         "from_context",
         "from_entity",
@@ -178,27 +213,8 @@ def orphan_records(
 ) -> DataFrame:
     """Single orphans with their source coordinates, oldest first, at most
     ``limit`` per relation (the report's own cap; exact numbers are in the summary)."""
-
-    def block(pair: tuple[Contract, Relation]) -> DataFrame:
-        contract, relation = pair
-        local = [f"_l{i}" for i in range(len(relation.local))]
-        return (
-            _marked(lake, contract, relation, as_of, window_days)
-            .where(F.col("is_orphan") == 1)
-            .select(
-                F.lit(relation_id(contract, relation, lake)).alias("relation_id"),
-                _text(contract.key).alias("orphan_key"),
-                _text(local).alias("missing_key"),
-                F.col("_ingested_at").alias("first_seen_at"),
-                age_seconds("_ingested_at", as_of).alias("age_seconds"),
-                F.lit(contract.topic).alias("sample_topic"),
-                F.col("_partition").alias("sample_partition"),
-                F.col("_offset").alias("sample_offset"),
-            )
-        )
-
-    orphans = union_by_contract(relations_of(lake), block)
+    orphans = _all_references(lake, as_of, window_days).where(F.col("is_orphan") == 1)
     order = [F.col("first_seen_at").asc(), F.col("orphan_key").asc()]
-    return sample_per_group(orphans, ["relation_id"], order, limit).withColumn(
+    return sample_per_group(orphans.drop("is_orphan"), ["relation_id"], order, limit).withColumn(
         "_refreshed_at", stamp(as_of)
     )

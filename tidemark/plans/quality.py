@@ -16,6 +16,7 @@ from tidemark.functions import TOTAL, flag, in_window, midnight, money_sum, out_
 from tidemark.operators.aggregates import duplicate_keys, quantiles
 from tidemark.operators.cdc import with_scalars
 from tidemark.operators.joins import fanout_guard, price_at
+from tidemark.plans.refresh import refresh_state
 from tidemark.plans.reports import coupons_over_limit
 from tidemark.plans.workspace import Workspace
 
@@ -517,3 +518,28 @@ def _dict_loaded(w: Workspace) -> DataFrame:
 
     blocks = [block(n) for n in ("business_unit", "discount_codes")]
     return reduce(DataFrame.unionByName, blocks).agg(F.sum("value").alias("value"))
+
+
+# --- refresh log --------------------------------------------------------------
+
+
+def refresh_checks(log: DataFrame, run_at: datetime) -> DataFrame:
+    """Marts whose last refresh failed or is too old, and marts that take half of
+    their interval or more: two rows in the form of the other checks."""
+    state = refresh_state(log, run_at)
+    items = (
+        ("marts.refresh_health", "error", "healthy"),
+        ("marts.refresh_duration", "warn", "duration_ok"),
+    )
+    blocks = [
+        run_check(
+            Check(
+                check_id, severity, "lte", 0,
+                lambda _, ok=ok: state.agg(F.count_if(F.col(ok) == 0).alias("value")),
+            ),
+            None,
+            run_at,
+        )
+        for check_id, severity, ok in items
+    ]
+    return reduce(DataFrame.unionByName, blocks)
