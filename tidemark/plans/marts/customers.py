@@ -74,10 +74,17 @@ def customer_metrics(lake: Lake, as_of: datetime) -> DataFrame:
         orders.select("order_id", "customer_id"),
         "order_id",
     )
-    items = bought.groupBy("customer_id").agg(
-        F.sum("quantity").alias("total_units"),
-        F.count_distinct("item_id").alias("distinct_items"),
-        F.count_distinct("order_id", "item_id").alias("items_lines_distinct"),
+    # folded step by step, so that both distinct counts are plain counts of rows
+    per_order = bought.groupBy("customer_id", "item_id", "order_id").agg(
+        F.sum("quantity").alias("units")
+    )
+    per_item = per_order.groupBy("customer_id", "item_id").agg(
+        F.sum("units").alias("units"), F.count(F.lit(1)).alias("orders")
+    )
+    items = per_item.groupBy("customer_id").agg(
+        F.sum("units").alias("total_units"),
+        F.count(F.lit(1)).alias("distinct_items"),
+        F.sum("orders").alias("items_lines_distinct"),
     )
     customers = lake.current("customer").select(
         "customer_id", "segment", "loyalty_tier", "state", "city", "customer_since"

@@ -57,23 +57,31 @@ def discount_effectiveness(
             normalize_code("discount_code").alias("discount_code_norm"),
         )
     )
-    known = lookup_join(
-        coded, lookups["discount_codes"], "discount_code_norm", REGISTRY, "code_found"
+    # what is judged per order needs three attributes of the code ...
+    judged = lookup_join(
+        coded,
+        lookups["discount_codes"],
+        "discount_code_norm",
+        {
+            "begins": ("valid_from", None),
+            "ends": ("valid_to", None),
+            "scope": ("business_unit_scope", ""),
+        },
+        "known",
     )
-    found = F.col("code_found") == 1
+    found = F.col("known") == 1
     outside_validity = found & (
-        (F.col("created_at") < F.col("valid_from")) | (F.col("created_at") > F.col("valid_to"))
+        (F.col("created_at") < F.col("begins")) | (F.col("created_at") > F.col("ends"))
     )
     # an empty scope means every unit
     outside_scope = (
-        found & (F.col("bu_scope") != "") & (F.col("bu_scope") != F.col("business_unit_code"))
+        found & (F.col("scope") != "") & (F.col("scope") != F.col("business_unit_code"))
     )
     valid = F.col("order_status") != CANCELED
     grain = ("order_date", "discount_code_norm", "business_unit_code")
-    registry = ("code_found", *REGISTRY)
-    totals = (
-        known.join(units, "order_id", "left")
-        .groupBy(*grain, *registry)
+    sums = (
+        judged.join(units, "order_id", "left")
+        .groupBy(*grain)
         .agg(
             F.min("discount_code_raw").alias("discount_code_raw"),
             F.count_if(outside_validity).alias("used_outside_validity"),
@@ -86,12 +94,17 @@ def discount_effectiveness(
             money_if(valid, "total_amount").alias("net_amount"),
         )
     )
+    # ... the descriptive ones are added to the few aggregated rows
+    totals = lookup_join(
+        sums, lookups["discount_codes"], "discount_code_norm", REGISTRY, "code_found"
+    )
     return totals.select(
         "order_date",
         "discount_code_norm",
         "discount_code_raw",
         "business_unit_code",
-        *registry,
+        "code_found",
+        *REGISTRY,
         "used_outside_validity",
         "used_outside_bu_scope",
         "orders",
