@@ -102,3 +102,15 @@ def test_a_stream_drives_refreshes(spark):
     run()
     run()
     assert ran == [0]
+
+
+def test_a_producer_that_sends_twice_lands_once(spark):
+    base = scratch(spark, "stream")
+    rows = records(spark, "order", [{"order_id": str(n)} for n in range(20)])
+    for _ in range(2):
+        landing.to_lines(rows).write.mode("append").text(f"{base}/topic")
+        lines = spark.readStream.text(f"{base}/topic")
+        finish(*jobs.stream_landing(
+            lines, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", replay_window="72 hours"))
+    landed = spark.read.parquet(f"{base}/l0").select(*rows.columns)
+    assert sorted(landed.collect()) == sorted(rows.collect())

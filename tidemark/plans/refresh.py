@@ -9,7 +9,8 @@ the replacement from. Nothing is read and overwritten in one plan.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +37,25 @@ def aligned_days(as_of: datetime, days: int, grain: str) -> int:
     return (midnight(as_of) - start).days
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared store and read back."""
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written to a fresh folder of the shared store and read back. The
+    folder is removed when the block has succeeded; after a failure it stays."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    yield spark.read.schema(df.schema).parquet(path)
+    files.delete(spark, path)
 
 
-def _replace_periods(staged: DataFrame, path: str, drop: Callable[[str], bool]) -> None:
-    """Overwrite the partitions present in ``staged``; of those absent from it,
+def _replace_periods(fresh: DataFrame, path: str, drop: Callable[[str], bool]) -> None:
+    """Overwrite the partitions present in ``fresh``; of those absent from it,
     remove the ones ``drop`` names (their groups have vanished)."""
-    spark = staged.sparkSession
+    spark = fresh.sparkSession
     # a handful of period labels, not data
-    present = {r[0] for r in staged.select(F.col(PERIOD).cast("string")).distinct().collect()}
+    present = {r[0] for r in fresh.select(F.col(PERIOD).cast("string")).distinct().collect()}
     (
-        staged.hint("rebalance", PERIOD)
+        fresh.hint("rebalance", PERIOD)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PERIOD)
@@ -79,11 +83,11 @@ def refresh_window(
     Another ``days`` on the same table is a directed refresh."""
     span = aligned_days(as_of, days, grain)
     period = F.date_format(date_col, _FORMATS[grain])
-    staged = stage(job(as_of, span).withColumn(PERIOD, period), "window")
     fmt = {"day": "%Y-%m-%d", "month": "%Y%m"}[grain]
     first = period_start(midnight(as_of, days), grain).strftime(fmt)
-    _replace_periods(staged, path, drop=lambda label: label >= first)
-    return staged.count()
+    with staged(job(as_of, span).withColumn(PERIOD, period), "window") as fresh:
+        _replace_periods(fresh, path, drop=lambda label: label >= first)
+        return fresh.count()
 
 
 def refresh_keys(
@@ -98,19 +102,21 @@ def refresh_keys(
     Only the periods that hold an old or a new row of these keys are rewritten; a
     key the job no longer returns disappears."""
     spark = keys.sparkSession
-    keys = stage(keys.select(key).distinct(), "keys")
     period = F.date_format(date_col, _FORMATS[grain])
-    fresh = stage(job(keys).withColumn(PERIOD, period), "fresh")
-    if not files.exists(spark, path):
-        _replace_periods(fresh, path, drop=lambda label: False)
+    with (
+        staged(keys.select(key).distinct(), "keys") as wanted,
+        staged(job(wanted).withColumn(PERIOD, period), "fresh") as fresh,
+    ):
+        if not files.exists(spark, path):
+            _replace_periods(fresh, path, drop=lambda label: False)
+            return fresh.count()
+        old = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
+        hit = old.join(wanted, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
+        touched = {r[0] for r in hit.distinct().collect()}  # period labels, not data
+        kept = old.where(F.col(PERIOD).isin(*touched)).join(wanted, key, "left_anti")
+        with staged(kept.unionByName(fresh), "merged") as merged:
+            _replace_periods(merged, path, drop=lambda label: label in touched)
         return fresh.count()
-    old = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
-    hit = old.join(keys, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
-    touched = {r[0] for r in hit.distinct().collect()}  # period labels, not data
-    kept = old.where(F.col(PERIOD).isin(*touched)).join(keys, key, "left_anti")
-    merged = stage(kept.unionByName(fresh), "merged")
-    _replace_periods(merged, path, drop=lambda label: label in touched)
-    return fresh.count()
 
 
 def refresh_full(df: DataFrame, root: str, version: str) -> int:
@@ -235,12 +241,12 @@ def retain(path: str, spark: SparkSession, as_of: datetime, days: int, ts_col: s
             files.delete(spark, folder)
         elif label == edge:
             rows = spark.read.parquet(path).where(F.col(MONTH) == int(edge))
-            kept = stage(apply_retention(rows, as_of, days, ts_col), "retain")
-            (
-                kept.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(MONTH)
-                .parquet(path)
-            )
-            if kept.isEmpty():
-                files.delete(spark, folder)
+            with staged(apply_retention(rows, as_of, days, ts_col), "retain") as kept:
+                (
+                    kept.write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy(MONTH)
+                    .parquet(path)
+                )
+                if kept.isEmpty():
+                    files.delete(spark, folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.contracts import Contract
+from tidemark.contracts import OFFSET_KEY, Contract
 from tidemark.operators.cdc import newest, to_core
 from tidemark.operators.windows import latest_by
 from tidemark.sources import files
@@ -34,14 +34,23 @@ def landing_stream(spark: SparkSession, path: str, contract: Contract, glob: str
 
 def stream_landing(
     lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str,
-    trigger: dict = NOW,
+    trigger: dict = NOW, replay_window: str | None = None,
 ) -> list[StreamingQuery]:
     """JSON lines to the landing table, and what cannot be read to quarantine.
 
     Two file sinks, each with its own checkpoint: every line ends in exactly one
-    of the two tables exactly once.
+    of the two tables exactly once. With ``replay_window`` a record the producer
+    sends again within that time is dropped by its source coordinates; the state
+    kept for it is bounded by the window.
     """
     good, bad = split_malformed(coerce(parse_lines(lines, contract), contract), contract)
+    if replay_window is not None:
+        good = (
+            good.withColumn("_seen_at", F.col("_kafka_ts").cast("timestamp"))
+            .withWatermark("_seen_at", replay_window)
+            .dropDuplicatesWithinWatermark(list(OFFSET_KEY))
+            .drop("_seen_at")
+        )
     landed = (
         by_month(good)
         .writeStream.format("parquet")
@@ -81,9 +90,11 @@ def merge_batch(
 
     Only the hash buckets of the batch's keys are read and replaced. The merged
     buckets are staged under the batch number first: a repeated batch finds them
-    and only repeats the replacement. Deleted keys stay as tombstones.
+    and only repeats the replacement. The staging of the batch before is removed,
+    as that batch is complete by now. Deleted keys stay as tombstones.
     """
     spark = batch.sparkSession
+    files.delete(spark, f"{staging}/batch-{batch_id - 1}")
     staged_path = f"{staging}/batch-{batch_id}"
     if not files.exists(spark, f"{staged_path}/_SUCCESS"):
         bucket = F.pmod(F.xxhash64(*contract.key), F.lit(buckets)).cast("int")
