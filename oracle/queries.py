@@ -27,6 +27,13 @@ BODIES: dict[str, str] = {
     "item_margin_daily_window": marts.margin(7),
     "stock_coverage_window": marts.coverage(28),
     "stockout_candidates_wide": marts.stockout(WIDE),
+    "stockout_candidates_vetoed": marts.stockout(28).replace("max(_kafka_ts)", "max(_kafka_ts - INTERVAL 2 HOUR)"),
+    "topic_lag": "\nUNION ALL\n".join(
+        f"SELECT 'sap.{entities.CONTEXT[e]}.{e}.v1' AS topic, "
+        f"CAST(greatest({secs('max(_kafka_ts)', PAYMENTS)}, 0) AS BIGINT) AS lag_seconds FROM {e}_raw"
+        for e in entities.COLUMNS
+    ),
+    "core_stored": f"SELECT * FROM order_item_now WHERE created_at >= {day(SALES, 90)}",
     "orphan_summary_window": marts.orphans(7),
 }
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.support import AS_OF, ago, records
-from tidemark.contracts import CONTRACTS
+from tidemark.contracts import CONTRACTS, MONTH
 from tidemark.plans import refresh
 from tidemark.session import scratch
 from tidemark.sources import landing
@@ -88,7 +88,7 @@ def test_month_partitions_prune_and_retention_removes_them(spark):
     landing.write_partitioned(rows, path)
     read = spark.read.parquet(path)
     assert sorted(r.order_id for r in read.collect()) == sorted(map(str, days))
-    plan = read.where(F.col(landing.MONTH) == 202609)._jdf.queryExecution().toString()
+    plan = read.where(F.col(MONTH) == 202609)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(_month" in plan
     refresh.retain(path, spark, AS_OF, 60, "_ingested_at")
     assert sorted(r.order_id for r in spark.read.parquet(path).collect()) == ["1", "2", "20", "45"]

@@ -9,6 +9,7 @@ from tidemark.functions import midnight
 from tidemark.operators import cdc
 from tidemark.plans import refresh
 from tidemark.plans.catalog import QUERIES, workspace
+from tidemark.sources import landing
 from tidemark.session import RECOMMENDED, scratch, shared_dir
 
 
@@ -28,6 +29,15 @@ def test_the_refresh_window_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate,2001-07-30T00:00)" in plan
 
 
+def test_a_stored_core_opens_only_the_months_of_the_window(spark):
+    w, contract, path = workspace(spark, SMALL), CONTRACTS["order"], scratch(spark, "core")
+    landing.write_core(w.lake.core("order"), path, contract)
+    since = midnight(w.as_of, 40)
+    recent = cdc.current_state(spark.read.parquet(path), contract, since, "created_at")
+    assert "(_month#" in physical(recent).split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert sorted(recent.collect()) == sorted(w.lake.current("order", since).collect())
+
+
 def test_only_needed_columns_are_read(spark):
     w = workspace(spark, SMALL)
     plan = physical(w.lake.current("order_item").groupBy("order_id").agg(F.sum("quantity")))
@@ -35,7 +45,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 WRITERS = ("refresh", "landing_json", "landing_partitioned", "landing_stream", "late_arrival", "second",
-           "core_stream", "core_upsert", "events_per_window", "rfm_scores")
+           "core_stream", "core_stored", "core_upsert", "events_per_window", "rfm_scores")
 
 
 def test_no_query_multiplies_rows_by_a_cross_join(spark):

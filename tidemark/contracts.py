@@ -37,6 +37,8 @@ TECHNICAL = T.StructType(
 # Version order of a key: change sequence first, source coordinates break ties.
 VERSION_ORDER = ("_cdc_seq", "_kafka_ts", "_partition", "_offset")
 OFFSET_KEY = ("_topic", "_partition", "_offset")
+# Partition column of stored landing and core tables: yyyyMM of some time column.
+MONTH = "_month"
 
 # A refresh window up to this many days is narrow: the keys it touches are few
 # against all history.
@@ -84,6 +86,12 @@ class Contract:
     def topic(self) -> str:
         return f"sap.{self.context}.{self.entity}.v1"
 
+    @property
+    def partition_on(self) -> str | None:
+        """Column whose month partitions the stored core. It must not change over
+        the versions of a key, or versions would be looked for in one partition only."""
+        return self.immutable[0] if self.immutable else None
+
     @property
     def columns(self) -> list[str]:
         return [name for name, _, _ in self.fields]

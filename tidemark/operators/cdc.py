@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.contracts import VERSION_ORDER, Contract
+from tidemark.contracts import MONTH, VERSION_ORDER, Contract
 from tidemark.functions import flag, stamp
 
 CORE_TECHNICAL = ("_cdc_seq", "_kafka_ts", "_partition", "_offset", "_is_deleted", "_ingested_at")
@@ -59,6 +59,8 @@ def current_state(
     recent = None if since is None else F.col(on) >= stamp(since)
     if recent is not None and on in contract.immutable:
         core = core.where(recent)
+        if MONTH in core.columns and on == contract.partition_on:
+            core = core.where(F.col(MONTH) >= int(since.strftime("%Y%m")))
     live = newest(core, contract.key).where(F.col("_is_deleted") == 0)
     if recent is not None and on not in contract.immutable:
         live = live.where(recent)

@@ -8,8 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import CONTRACTS
-from tidemark.functions import flag, in_window, is_blank, money_sum, seconds_between
+from tidemark.contracts import CONTRACTS, MONTH
+from tidemark.functions import flag, in_window, is_blank, midnight, money_sum, seconds_between
 from tidemark.operators import cdc, joins, windows
 from tidemark.operators.aggregates import duplicate_keys, preferred_value, quantiles
 from tidemark.plans import quality, refresh, reports
@@ -83,6 +83,16 @@ query("discount_baseline_day_window")(
 query("item_margin_daily_window")(lambda w: margin.item_margin_daily(w.lake, w.as_of, 7))
 query("stock_coverage_window")(lambda w: stock.stock_coverage(w.lake, w.as_of, 28))
 query("stockout_candidates_wide")(lambda w: stock.stockout_candidates(w.lake, w.as_of, w.days))
+
+
+@query("stockout_candidates_vetoed")
+def _vetoed(w: Workspace) -> DataFrame:
+    """The stock topic is two hours behind: no absence is conclusive."""
+    late = F.col("_kafka_ts") - F.expr("INTERVAL 2 HOURS")
+    behind = w.lake.landing("stock_position").withColumn("_kafka_ts", late)
+    return stock.stockout_candidates(_lake_with(w, stock_position=behind), w.as_of)
+
+
 query("orphan_summary_window")(lambda w: health.orphan_summary(w.lake, w.as_of, 7))
 
 # --- landing --------------------------------------------------------------
@@ -145,7 +155,7 @@ def _landing_partitioned(w: Workspace) -> DataFrame:
     landing.write_partitioned(w.lake.landing("order_payment"), path)
     return (
         w.spark.read.parquet(path)
-        .groupBy(F.col(landing.MONTH).cast("string").alias("month"))
+        .groupBy(F.col(MONTH).cast("string").alias("month"))
         .agg(F.count(F.lit(1)).alias("rows"), F.max("_offset").alias("last_offset"))
     )
 
@@ -249,6 +259,25 @@ query("key_uniqueness")(
     lambda w: duplicate_keys(w.lake.landing("order_item"), CONTRACTS["order_item"].key)
 )
 
+query("topic_lag")(
+    lambda w: health.union_by_contract(
+        CONTRACTS.values(),
+        lambda c: stock.topic_lag(w.lake.landing(c.entity), w.payments_as_of).withColumn(
+            "topic", F.lit(c.topic)
+        ),
+    )
+)
+
+
+@query("core_stored")
+def _core_stored(w: Workspace) -> DataFrame:
+    """Core items stored by month; the current items of the last 90 days."""
+    path, contract = scratch(w.spark, "core"), CONTRACTS["order_item"]
+    landing.write_core(w.lake.core("order_item"), path, contract)
+    since = midnight(w.as_of, 90)
+    return cdc.current_state(w.spark.read.parquet(path), contract, since, "created_at")
+
+
 # --- joins and aggregates -------------------------------------------------
 
 query("lookup_join")(
@@ -491,7 +520,7 @@ def _landing_stream(w: Workspace) -> DataFrame:
             lines, CONTRACTS["order"], f"{base}/landing", f"{base}/quarantine", f"{base}/checkpoint"
         )
     )
-    return w.spark.read.parquet(f"{base}/landing").drop(landing.MONTH)
+    return w.spark.read.parquet(f"{base}/landing").drop(MONTH)
 
 
 def _order_stream(w: Workspace, base: str) -> DataFrame:

@@ -16,10 +16,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.contracts import MONTH
 from tidemark.functions import flag, midnight, seconds_between, stamp
 from tidemark.operators.windows import latest_by
 from tidemark.session import scratch
 from tidemark.sources import files
+from tidemark.sources.landing import apply_retention
 
 PERIOD = "_period"
 _FORMATS = {"day": "yyyy-MM-dd", "month": "yyyyMM"}
@@ -232,8 +234,6 @@ def refresh_state(log: DataFrame, as_of: datetime) -> DataFrame:
 def retain(path: str, spark: SparkSession, as_of: datetime, days: int, ts_col: str) -> None:
     """Apply retention to a month-partitioned landing table: expired months are
     removed as folders, the boundary month is rewritten without its old rows."""
-    from tidemark.sources.landing import MONTH, apply_retention
-
     limit = as_of - timedelta(days=days)
     edge = limit.strftime("%Y%m")
     for label, folder in files.partitions(spark, path, MONTH).items():

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.contracts import OFFSET_KEY, OPERATIONS, Contract
+from tidemark.contracts import MONTH, OFFSET_KEY, OPERATIONS, Contract
 from tidemark.functions import stamp
 
-MONTH = "_month"
-
 
 def parse_lines(lines: DataFrame, contract: Contract) -> DataFrame:
     """JSON text (column ``value``) to one text column per landing field.
@@ -144,6 +142,15 @@ def write_partitioned(landing: DataFrame, path: str, ts: str = "_kafka_ts", mode
     by_month(landing, ts).hint("rebalance", MONTH).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
+def write_core(core: DataFrame, path: str, contract: Contract, mode: str = "append") -> None:
+    """Store core rows by month of the contract's immutable column, if it has one.
+    ``current_state`` then opens only the months of its window."""
+    if contract.partition_on is None:
+        core.write.mode(mode).parquet(path)
+    else:
+        write_partitioned(core, path, contract.partition_on, mode)
+
+
 def apply_retention(
     df: DataFrame, as_of: datetime, days: int, clock: str = "_ingested_at"
 ) -> DataFrame:

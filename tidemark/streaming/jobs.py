@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.contracts import OFFSET_KEY, Contract
+from tidemark.contracts import MONTH, OFFSET_KEY, Contract
 from tidemark.operators.cdc import newest, to_core
 from tidemark.operators.windows import latest_by
 from tidemark.sources import files
-from tidemark.sources.landing import MONTH, by_month, coerce, parse_lines, split_malformed
+from tidemark.sources.landing import by_month, coerce, parse_lines, split_malformed
 
 BUCKET, BATCH = "_bucket", "_batch"
 
