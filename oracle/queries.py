@@ -1,7 +1,7 @@
 """One SQL statement per registered query."""
 
 from oracle import entities, marts  # noqa: F401  (define the named expressions)
-from oracle.compose import CTES, exact, money, per_unit, rate, sql
+from oracle.compose import money, per_unit, rate, sql
 from oracle.marts import PAYMENTS, SALES, WIDE, ago, day, secs
 
 BODIES: dict[str, str] = {

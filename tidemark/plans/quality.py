@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.contracts import BILLABLE, CANCELED, VERSION_ORDER
-from tidemark.functions import TOTAL, flag, in_window, midnight, money_sum, out_of_range, stamp
+from tidemark.functions import flag, midnight, money_sum, out_of_range, stamp
 from tidemark.operators.aggregates import duplicate_keys, quantiles
 from tidemark.operators.cdc import with_scalars
 from tidemark.operators.joins import fanout_guard, price_at

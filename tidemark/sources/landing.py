@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.contracts import MONTH, OFFSET_KEY, OPERATIONS, Contract
+from tidemark.contracts import MONTH, OFFSET_KEY, OPERATIONS, TECHNICAL, Contract
 from tidemark.functions import stamp
 
 
@@ -74,8 +74,8 @@ def coerce(raw: DataFrame, contract: Contract) -> DataFrame:
     typed: dict[str, Column] = {}
     errors: list[Column] = [F.when(F.col("_corrupt").isNotNull(), "unparseable")]
     readable = F.col("_corrupt").isNull()
-    required = {*contract.required, *(f.name for f in contract.landing_schema.fields if f.name.startswith("_"))}
-    required.discard("_ingested_at")
+    technical = (f.name for f in TECHNICAL.fields if f.name != "_ingested_at")
+    required = {*contract.required, *technical}
     domains = {**contract.domains, "_op": OPERATIONS}
     for field in contract.landing_schema.fields:
         text = F.col(field.name)
