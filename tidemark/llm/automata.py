@@ -5,7 +5,7 @@ start in a document with a smaller doc_id is marked, and marked words are remove
 
 1. Each window has an anchor, the 5-gram with the smallest hash inside it; equal windows
    have equal anchors. Anchors are counted over all documents, those of two documents or more
-   go into a Bloom filter (``MAX_BITS`` at most) that all tasks get. A mistake of the filter
+   go into a Bloom filter (of bounded size) that all tasks get. A mistake of the filter
    costs work, never changes a result.
 2. Consecutive windows with the same anchor make one stretch (at most 21 words). Stretches
    whose anchor passed are the reference: equal ones are merged with their smallest doc_id and
@@ -36,16 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.filters import build_filter
 from tidemark.llm.text import Words, mix, pieces, shingles, stored
 
 WINDOW = 13
 GRAM = 5
 LAST = (1 << 63) - 1  # stands for a null doc_id
 SYMBOL = 5  # bytes of a word in a stretch
-SLICE_BITS = 1 << 19
-MAX_BITS = 1 << 28
-BITS_PER_KEY = 12
-PROBES = 4
 SHARD = 4096  # stretches of one automaton, about
 COMMON = 2000  # documents from which an anchor is cut into windows
 
@@ -106,68 +103,6 @@ def anchors(docs: DataFrame) -> DataFrame:
     return rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
 
 
-def _probe(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    h = mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    where = (h >> np.uint64(32)) % np.uint64(slices)
-    return where.astype(np.int64), [
-        (mix(keys + np.uint64(i)) >> np.uint64(45)).astype(np.int64) for i in range(1, PROBES + 1)
-    ]  # 19 bits each
-
-
-class Filter:
-    """A Bloom filter in slices of 64 KB; a key has all its bits in one slice."""
-
-    def __init__(self, slices: int, bits: np.ndarray):
-        self.slices, self.bits = slices, bits
-
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        if self.slices == 0:
-            return np.zeros(len(keys), bool)
-        where, places = _probe(keys, self.slices)
-        out = np.ones(len(keys), bool)
-        for place in places:
-            at = where * SLICE_BITS + place
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def build_filter(keys: DataFrame, n: int) -> Filter:
-    """Filter of the ``anchor`` s, sized for ``n`` of them up to ``MAX_BITS``. Every slice is made
-    where its keys are; the driver only puts the slices side by side."""
-    if n == 0:
-        return Filter(0, np.empty(0, np.uint8))
-    slices = min(MAX_BITS // SLICE_BITS, max(1, math.ceil(n * BITS_PER_KEY / SLICE_BITS)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            where, _ = _probe(keys.astype(np.uint64), slices)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where.astype(np.int32))], names=["anchor", "slice"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            where, places = _probe(keys, slices)
-            for one in np.unique(where).tolist():
-                bits = made.setdefault(one, np.zeros(SLICE_BITS, bool))
-                for at in places:
-                    bits[at[where == one]] = True
-        for one, bits in made.items():
-            packed = np.packbits(bits, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "bits"])
-
-    placed = keys.select("anchor").mapInArrow(place, "anchor long, slice int").repartition("slice")
-    out = np.zeros(slices * SLICE_BITS // 8, np.uint8)
-    for row in placed.mapInArrow(fill, "slice int, bits binary").toLocalIterator():
-        at = row["slice"] * SLICE_BITS // 8
-        out[at : at + SLICE_BITS // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return Filter(slices, out)
-
-
 def stretches(docs: DataFrame, shared, common) -> DataFrame:
     """``shard`` (anchor, or the window of a common anchor), ``content`` (words of the stretch),
     ``doc``, ``text_hash`` and ``start`` (word number), of stretches whose anchor is shared."""
@@ -313,8 +248,8 @@ def marked(docs: DataFrame) -> DataFrame:
     facts = counted.agg(
         F.count("*").alias("n"), F.sum("n").alias("places"), F.sum((F.col("n") > COMMON).cast("long")).alias("often")
     ).first()
-    shared = spark.sparkContext.broadcast(build_filter(counted, facts["n"]))
-    common = spark.sparkContext.broadcast(build_filter(counted.where(F.col("n") > COMMON), facts["often"] or 0))
+    shared = spark.sparkContext.broadcast(build_filter(counted.select("anchor"), facts["n"]))
+    common = spark.sparkContext.broadcast(build_filter(counted.where(F.col("n") > COMMON).select("anchor"), facts["often"] or 0))
     found = stretches(docs, shared, common).withColumn("content_id", F.xxhash64("shard", "content"))
     shards = max(1, math.ceil((facts["places"] or 0) / SHARD))
     distinct = found.groupBy("shard", "content", "content_id").agg(F.min("doc").alias("doc"))
