@@ -274,8 +274,21 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
     """The columns of ``docs`` with ``text`` cut (or left out), and ``n_words``, ``n_removed`` and
     ``kept_sha256`` (of the kept words joined by one space)."""
     keep = [c for c in docs.columns if c != "text"]
-    found = marked(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc")
-    joined = docs.withColumn("_key", _doc_key()).join(found, F.col("_key") == F.col("_doc"), "left")
+    found = stored(marked(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc"), "marks")
+    # documents that the filter does not know lose nothing and are spared the join
+    known = docs.sparkSession.sparkContext.broadcast(build_filter(found.select("_doc"), found.count()))
+    keyed = docs.select(*keep, "text", _doc_key().alias("_key"))
+
+    def pick(meets: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                has = known.value.has(batch.column(len(keep) + 1).to_numpy().astype(np.uint64))
+                yield batch.filter(pa.array(has == meets))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    met = pick(True).join(found, F.col("_key") == F.col("_doc"), "left").select(*keep, "text", "marks")
+    joined = met.unionByName(pick(False).select(*keep, "text", F.lit(None).cast(found.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,4 +325,4 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
     names = [*keep, *(["text"] if texts else []), "n_words", "n_removed", "kept_sha256"]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     kinds += ["text string"] * texts + ["n_words long", "n_removed long", "kept_sha256 string"]
-    return joined.select(*keep, "text", "marks").mapInArrow(run, ", ".join(kinds))
+    return joined.mapInArrow(run, ", ".join(kinds))
