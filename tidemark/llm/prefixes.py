@@ -39,7 +39,8 @@ from tidemark.llm.text import Words, mix, pieces, shingles, stored
 SIZE = 5
 HOT = 1 << 20
 LOCAL_HOT = 3
-VERIFY = 40.0  # cost of one verification, in postings
+BITS = 512
+VERIFY = 8.0  # cost of comparing one candidate, in postings
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> Iterator[np.ndarray]:
@@ -129,14 +130,14 @@ def matches_asked(frequency: np.ndarray, percent: int) -> tuple[int, int]:
     asked = 1 << np.arange(max(1, int(np.log2(max(least, 1))) + 1))
     asked = asked[asked <= max(least, 1)]
     postings = met[base + asked - 1]
-    cost = postings * (1 + VERIFY / asked) + asked
+    cost = asked + VERIFY * postings / asked
     k = int(asked[np.argmin(cost)])
     return k, base + k
 
 
 def documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per row: ``doc_id``, ``n`` (set size), ``node``, and, once per node and task, ``asked``
-    and its ``prefix`` tokens."""
+    """Per row: ``doc_id``, ``n`` (set size), ``node``, and, once per node and task, ``asked``,
+    its ``prefix`` tokens and ``bits`` (parity of the tokens that fall on each of 512 bits)."""
     rows = common(docs).toArrow()
     table = docs.sparkSession.sparkContext.broadcast(
         (rows["token"].to_numpy().astype(np.uint64), rows["n"].to_numpy())
@@ -146,7 +147,7 @@ def documents(docs: DataFrame, percent: int = 80) -> DataFrame:
         order, seen = Order(*table.value), set()
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
-                size, node, asked, prefix = [], [], [], []
+                size, node, asked, prefix, bits = [], [], [], [], []
                 for tokens in sets_of(data, offsets):
                     name = node_of(tokens) if len(tokens) else None
                     size.append(len(tokens))
@@ -154,28 +155,36 @@ def documents(docs: DataFrame, percent: int = 80) -> DataFrame:
                     if name is None or name in seen:
                         asked.append(None)
                         prefix.append(None)
+                        bits.append(None)
                         continue
                     seen.add(name)
                     ordered, frequency = order(tokens)
                     k, length = matches_asked(frequency, percent)
                     asked.append(k)
                     prefix.append(ordered[:length].astype(np.int64))
+                    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                         pa.array(asked, pa.int32()), pa.array(prefix, pa.list_(pa.int64())),
+                        pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "node", "asked", "prefix"],
+                    names=["doc_id", "n", "node", "asked", "prefix", "bits"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, asked int, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, asked int, prefix array<bigint>, bits array<bigint>")
 
 
-def shared_postings(rows: DataFrame) -> DataFrame:
+def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
     """Postings (token, node, n, asked) of tokens that two nodes or more hold, with the
-    ``prev`` node of the list."""
-    postings = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", F.col("n").cast("int"), "asked")
+    ``prev`` node of the list. Of two linked sets the smaller shares a token among its
+    first few (``part`` 2) with the larger's usual prefix (``part`` 1 or 2)."""
+    tokens = rows.where("prefix is not null").select(F.posexplode("prefix").alias("place", "token"), "node", F.col("n").cast("int"), "asked")
+    fewest = lambda top, bottom: F.col("n") - F.ceil(F.col("n") * top / bottom - 1e-9)
+    part = F.when(F.col("place") <= fewest(2 * percent, 100 + percent), 2).when(F.col("place") <= fewest(percent, 100), 1).otherwise(0)
+    postings = tokens.select("token", "node", "n", "asked", part.cast("byte").alias("part"))
     lists = Window.partitionBy("token").orderBy("n", "node")
     whole = lists.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # a node that several tasks report stands in a row; its first place counts
@@ -184,7 +193,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
         .withColumn("prev_n", F.lag("n").over(lists))
         .withColumn("several", F.first("node").over(whole) != F.last("node").over(whole))
         .where("several and (prev is null or prev != node)")
-        .select("token", "node", "n", "asked", "prev", "prev_n")
+        .select("token", "node", "n", "asked", "part", "prev", "prev_n")
     )
 
 
@@ -234,37 +243,69 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def likely(postings: DataFrame, percent: int) -> DataFrame:
-    """For each node the neighbour (a, b) in posting lists that it meets most often, if of like
-    size and met in a twentieth of its tokens. Only a start: ``across`` misses no pair."""
-    sizes = F.col("prev_n") * 100 >= F.col("n") * percent  # lists are in order of size
-    meetings = postings.where("prev is not null").where(sizes).groupBy("node", "prev").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    best = meetings.groupBy("node").agg(F.max(F.struct("met", "prev")).alias("best"), F.first("n").alias("n"))
-    return best.where("best.met * 20 >= n").select(F.col("node").alias("a"), F.col("best.prev").alias("b"))
-
-
-def across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of nodes in different components that share enough prefix tokens."""
-    named = (
-        postings.select("token", "node", "n", "asked")
-        .distinct()
-        .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+    """Pairs (a, b) to start with: each node with the neighbour in posting lists, and with the
+    list leader, that it meets most often. The leader of a list is the node whose lists
+    are longest together; among copies with own changes that is the one nearest to their
+    common source. Pairs must be of like size and meet in a twentieth of the tokens. Only a
+    start, linear in the postings: ``across`` misses no pair."""
+    lists = postings.groupBy("token").agg(F.count("*").alias("df"))
+    weight = postings.join(lists, "token").groupBy("node").agg(F.sum("df").alias("weight"))
+    ranked = postings.select("token", "node", "n").join(weight, "node")
+    leader = ranked.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("lead"))
+    led = postings.join(leader, "token").select("node", "n", F.col("lead.node").alias("other"), F.col("lead.n").alias("other_n"), F.lit(1).alias("kind"))
+    near = postings.where("prev is not null").select("node", "n", F.col("prev").alias("other"), F.col("prev_n").alias("other_n"), F.lit(0).alias("kind"))
+    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    meetings = led.unionByName(near).where(close & (F.col("node") != F.col("other"))).groupBy("node", "other", "kind").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    best = meetings.groupBy("node", "kind").agg(F.max(F.struct("met", "other")).alias("best"), F.first("n").alias("n"))
+    pairs = best.where("best.met * 20 >= n").select("node", F.col("best.other").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes in different components that share enough prefix
+    tokens: ``a`` the smaller, meeting ``b`` in one of its first tokens. A pair is given up when
+    the parity ``bits`` alone differ in more places than the sets may differ in tokens."""
+    # tokens of a prefix that no other set shares: the overlap with any set is at most ``alive``
+    alive = (
+        postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("size"), F.first("asked").alias("asked"))
+        .withColumn("alive", F.ceil(F.col("size") * percent / 100 - 1e-9) - F.col("asked") + F.col("shared"))
+        .where(F.col("alive") * 100 >= F.col("size") * percent)
+        .select("node", "alive")
+    )
+    named = postings.where("part > 0").join(alive, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = stored(named.select("token", "root", "node", "n", "part", "alive"), "named")
+    small, large = named.where("part = 2"), named
+    meets = (
+        small.select("token", F.col("root").alias("roota")).distinct()
+        .join(large.select("token", F.col("root").alias("rootb")).distinct(), "token")
+        .where("roota != rootb")
+    )
+    meets = stored(meets, "meets")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        rows = rows.select("token", *[F.col(c).alias(c + s) for c in ("root", "node", "n", "alive")])
+        there = rows.join(meets.select("token", f"root{s}").distinct(), ["token", f"root{s}"], "left_semi")
+        return there.join(bits.select(F.col("node").alias(f"node{s}"), F.col("bits").alias(f"bits{s}")), f"node{s}")
+
+    a, b = side(small, "a"), side(large, "b")
+    both = F.col("na") + F.col("nb")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
+    enough = F.least("alivea", "aliveb") * (100 + percent) >= both * percent
+    differ = F.aggregate(
+        F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
-    named = stored(named, "named")
-    groups = named.select("token", "root").distinct()
-    several = groups.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    groups = groups.join(several, "token")
-    meets = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "token").where("ra < rb")
-    side = lambda s: named.select("token", *[F.col(c).alias(f"{c[0]}{s}") for c in ("root", "node", "asked")], F.col("n").alias(f"size{s}"))
-    pairs = meets.join(side("a"), ["token", "ra"]).join(side("b"), ["token", "rb"])
-    close = (F.least("sizea", "sizeb") * 100 >= F.greatest("sizea", "sizeb") * percent)
+    alike = differ <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
+    pairs = meets.join(a, ["token", "roota"]).join(b, ["token", "rootb"])
+    pairs = pairs.where(ordered & enough & (F.col("na") * 100 >= F.col("nb") * percent) & alike).select("nodea", "nodeb").distinct()
+    # the whole prefixes, as far as others share them
+    lists = postings.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("asked").alias("asked"))
+    of = lambda s: lists.select(*[F.col(c).alias(c + s) for c in ("node", "tokens", "asked")])
+    met = F.size(F.array_intersect("tokensa", "tokensb"))
     return (
-        pairs.where(close)
-        .groupBy("na", "nb")
-        .agg(F.count("*").alias("met"), F.min(F.least("aa", "ab")).alias("asked"))
-        .where("met >= asked")
-        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    )
+        stored(pairs, "candidates").join(of("a"), "nodea").join(of("b"), "nodeb")
+        .where(met >= F.least("askeda", "askedb"))
+        .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -272,8 +313,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     full = documents(docs, percent)
-    postings = stored(shared_postings(full), "postings")
-    rows = stored(full.select("doc_id", "n", "node"), "sets")
+    postings = stored(shared_postings(full, percent), "postings")
+    rows = stored(full.select("doc_id", "n", "node", "bits"), "sets")
+    bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -284,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     links = check(likely(postings, percent))
     roots = stored(components(links), "roots")
-    more = check(across(postings, roots, percent))
+    more = check(across(postings, roots, bits, percent))
     if more.isEmpty():
         final = roots
     else:
