@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # fixed value: the pre-tokenizing pattern of byte-level BPE
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 LONGEST_REMEMBERED = 64
 
 
@@ -39,7 +39,7 @@ def _visible() -> dict[str, int]:
 
 
 class Codec(dict):
-    """Encoder and decoder of one vocabulary. As a mapping: piece -> its ids as bytes.
+    """Encoder of one vocabulary. As a mapping: piece -> its ids as bytes.
 
     Inside, tokens are numbered by merge order: bytes 0 to 255, then one per merge.
     """
@@ -76,10 +76,6 @@ class Codec(dict):
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        table = {i: t for t, i in outer.items()} | {i: t.encode() for t, i in added.items()}
-        lengths = np.array([len(table.get(i, b"")) for i in range(max(table) + 1)])
-        self.blob = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(lengths))), np.uint8)
-        self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)])[:-1]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merge rules leave ``a`` and ``b`` side by side: no merge across the
@@ -131,6 +127,12 @@ class Codec(dict):
                 token = out.pop()
                 at -= len(self.tokens[token])
 
+    def forget(self) -> None:
+        """Give back the memory of remembered pieces and pairs."""
+        self.clear()
+        self.older = {}
+        self.fits = {}
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
@@ -151,6 +153,19 @@ class Codec(dict):
         parts = self.cut.split(text)
         return b"".join([self.added[p] if i % 2 else b"".join([self[x] for x in self.pattern.findall(p)]) for i, p in enumerate(parts)])
 
+
+class Table:
+    """Decoder of one vocabulary: all tokens in one byte string, with offsets and lengths."""
+
+    def __init__(self, file: bytes):
+        spec, byte_of = json.loads(file), _visible()
+        table = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        table |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        parts = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.lengths = np.array([len(p) for p in parts])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""
         numbers = np.frombuffer(ids, "<u4")
@@ -160,16 +175,16 @@ class Codec(dict):
         return self.blob[np.arange(len(shift)) + shift].tobytes().decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_MADE: dict[tuple[type, int], object] = {}
 
 
-def _codec(file: bytes) -> Codec:
-    """The codec of a vocabulary, built once per worker process."""
-    key = hash(file)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(file)
-    return _CODECS[key]
+def _made(kind: type, file: bytes):
+    """A ``Codec`` or ``Table`` of the vocabulary, built once per worker process."""
+    key = kind, hash(file)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = kind(file)
+    return _MADE[key]
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -183,12 +198,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     file = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(file.value)
+        codec = _made(Codec, file.value)
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
                 ids = [codec.encode(text or "") for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        codec.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
@@ -199,11 +215,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     file = _vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(file.value)
+        table = _made(Table, file.value)
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
-                texts = [codec.decode(ids) for ids in part.column(1).to_pylist()]
+                texts = [table.decode(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

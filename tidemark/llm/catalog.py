@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -23,15 +24,18 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once per application, unless they have it on their path."""
+    """Send the package to the workers, once per application, unless they have it on their path,
+    and make Arrow batches small where the session left their size as it was: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
     if root in paths or app in _SHIPPED:
         return
-    with tempfile.TemporaryDirectory() as folder:  # the driver's copy, served by Spark
-        name = shutil.make_archive(os.path.join(folder, "tidemark"), "zip", root, "tidemark")
-        spark.sparkContext.addPyFile(name)
+    folder = tempfile.mkdtemp()  # the driver's own copy; Spark's file server hands it out until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tidemark"), "zip", root, "tidemark"))
     _SHIPPED.add(app)
 
 

@@ -131,6 +131,8 @@ class Model:
         return np.clip((self.features(stats) @ self.weights + 0.25) / 1.5, 0, 1)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
+        if not self.weights.any():
+            return np.full(len(stats), self.levels[0])
         raw = self.raw(stats)
         centres = (np.arange(BINS) + 0.5) / BINS
         # a thousandth of the raw score keeps the order inside a level

@@ -14,7 +14,7 @@ components only, and misses none of them; so a large group of copies, which is o
 by then, costs no more than its size.
 
 The order uses frequencies counted over all documents: a task reports the shingles that it
-meets in three documents or more, and the ``HOT`` most frequent become the common table of
+meets in two documents or more, and the ``HOT`` most frequent become the common table of
 all tasks (12 MB at most). The order only decides the cost, never the result.
 
 Rows: a document with fewer words than a shingle has its whole sequence as the one
@@ -38,7 +38,7 @@ from tidemark.llm.text import Words, mix, pieces, shingles, stored
 
 SIZE = 5
 HOT = 1 << 20
-LOCAL_HOT = 3
+LOCAL_HOT = 2
 BITS = 512
 VERIFY = 8.0  # cost of comparing one candidate, in postings
 
@@ -93,9 +93,9 @@ def common(docs: DataFrame) -> DataFrame:
                 for tokens_of in sets_of(data, offsets):
                     fresh.append(tokens_of)
                     waiting += len(tokens_of)
-                if waiting > 1 << 21:
+                if waiting > 1 << 19:
                     fold()
-                    if len(tokens) > 1 << 22:
+                    if len(tokens) > 1 << 20:
                         yield from report(LOCAL_HOT)
         fold()
         yield from report(LOCAL_HOT)

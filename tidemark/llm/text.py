@@ -1,8 +1,8 @@
 """Words of Arrow text columns as numpy arrays, and small shared helpers.
 
 A word is a run of bytes other than space and 0x09-0x0D. Texts are UTF-8, so no
-multi-byte character holds such a byte. Everything works on pieces of a few
-megabytes, whatever the length of a text.
+multi-byte character holds such a byte. Everything works on pieces of about a
+megabyte, one whole text at least.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -115,8 +115,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows ``lo:hi`` of a batch with their bytes and offsets, a few megabytes at a time
-    (one text at least). A null text counts as an empty one."""
+    """Rows ``lo:hi`` of a batch with their bytes and offsets, about a megabyte at a
+    time (one text at least). A null text counts as an empty one."""
     texts = batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
         texts = pc.fill_null(texts, "")
