@@ -64,18 +64,15 @@ def test_asof_is_inclusive_and_never_looks_ahead(spark):
     assert {r.id: r.price for r in got} == {1: 90, 2: None}
 
 
-def test_lookup_keeps_unknown_keys_on_both_join_paths(spark):
+def test_lookup_keeps_unknown_keys_in_a_lookup(spark):
     facts = spark.createDataFrame([("a",), ("zz",), (None,)], "code string")
     registry = spark.createDataFrame([("a", "Alpha", None), ("b", "Beta", "s")], "key string, name string, scope string")
-    for limit in (100, 1):
-        lookup = joins.load_lookup(registry, "key", limit)
-        assert lookup.small == (limit == 100)
-        got = joins.lookup_join(
-            facts, lookup, "code", {"name": ("name", "?"), "scope": ("scope", None)}, "found"
-        ).collect()
-        assert {(r.code, r.name, r.scope, r.found) for r in got} == {
-            ("a", "Alpha", None, 1), ("zz", "?", None, 0), (None, "?", None, 0),
-        }
+    got = joins.lookup_join(
+        facts, joins.Lookup(registry, "key"), "code", {"name": ("name", "?"), "scope": ("scope", None)}, "found"
+    ).collect()
+    assert {(r.code, r.name, r.scope, r.found) for r in got} == {
+        ("a", "Alpha", None, 1), ("zz", "?", None, 0), (None, "?", None, 0),
+    }
 
 
 def test_anti_join_keeps_the_total_and_nulls_do_not_empty_it(spark):

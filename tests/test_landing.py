@@ -148,3 +148,20 @@ def test_windows_are_cut_at_midnight():
     assert midnight(AS_OF, 3) == datetime(2026, 9, 10)
     assert midnight(datetime(2026, 3, 1, 5), 1) == datetime(2026, 2, 28)
     assert AS_OF - timedelta(days=3) != midnight(AS_OF, 3)
+
+
+def test_retention_goes_by_its_clock_and_not_by_the_folder(spark):
+    path = scratch(spark, "landing")
+    rows = records(spark, "order", [
+        {"order_id": "backfilled", "created_at": ago(200), "_ingested_at": ago(1)},
+        {"order_id": "old", "created_at": ago(200)}, {"order_id": "new"}])
+    landing.write_partitioned(rows, path)
+    refresh.retain(path, spark, AS_OF, 60, "_ingested_at")
+    assert sorted(r.order_id for r in spark.read.parquet(path).collect()) == ["backfilled", "new"]
+
+
+def test_excess_decimals_are_a_finding(spark):
+    line = landing.to_lines(records(spark, "order_item", [{"order_id": "A", "unit_price": 10}])).first().value
+    lines = spark.createDataFrame([(line.replace("10.0000", "10.123456"),)], "value string")
+    good, bad = landing.split_malformed(landing.coerce(landing.parse_lines(lines, CONTRACTS["order_item"]), CONTRACTS["order_item"]), CONTRACTS["order_item"])
+    assert good.count() == 0 and "scale:unit_price" in bad.first().reason

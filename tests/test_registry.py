@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from oracle.queries import all_sql
 from tests.support import SMALL
+from tidemark.plans.catalog import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -33,14 +35,15 @@ NOT_IN_SQL = {"dq_marts_refresh"}
 
 
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) - NOT_IN_SQL == set(driver.oracle_sql())
+    assert set(QUERIES) - NOT_IN_SQL == set(all_sql())
+    assert set(QUERIES) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", list(driver.oracle_sql()))
+@pytest.mark.parametrize("name", list(all_sql()))
 def test_query_equals_sql(spark, sql_engine, name):
-    df = driver.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
-    cursor = sql_engine.execute(driver.oracle_sql()[name])
+    cursor = sql_engine.execute(all_sql()[name])
     sql_columns = [d[0] for d in cursor.description]
     assert columns == sorted(sql_columns)
     places = [sql_columns.index(c) for c in columns]

@@ -4,12 +4,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tests.support import SMALL, records
+from tests.support import SMALL, ago, records
 from tidemark.contracts import CONTRACTS
 from tidemark.operators import cdc
 from tidemark.plans.catalog import workspace
 from tidemark.session import scratch
-from tidemark.sources import landing
+from tidemark.sources import files, landing
 from tidemark.streaming import jobs
 
 ORDER = CONTRACTS["order"]
@@ -111,6 +111,30 @@ def test_a_producer_that_sends_twice_lands_once(spark):
         landing.to_lines(rows).write.mode("append").text(f"{base}/topic")
         lines = spark.readStream.text(f"{base}/topic")
         finish(*jobs.stream_landing(
-            lines, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", replay_window="72 hours"))
+            lines, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", skip_replays=True))
     landed = spark.read.parquet(f"{base}/l0").select(*rows.columns)
     assert sorted(landed.collect()) == sorted(rows.collect())
+
+
+def test_a_very_late_record_still_lands(spark):
+    base = scratch(spark, "stream")
+    newest = records(spark, "order", [{"order_id": "new", "created_at": ago(0), "_offset": 1}])
+    late = records(spark, "order", [{"order_id": "late", "created_at": ago(10), "_offset": 2}])
+    for rows in (newest, late, late):
+        landing.to_lines(rows).write.mode("append").text(f"{base}/topic")
+        spark.createDataFrame([("no json",)], "value string").write.mode("append").text(f"{base}/topic")
+        lines = spark.readStream.text(f"{base}/topic")
+        finish(*jobs.stream_landing(lines, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", skip_replays=True))
+    assert sorted(r.order_id for r in spark.read.parquet(f"{base}/l0").collect()) == ["late", "new"]
+    assert spark.read.parquet(f"{base}/dlq").count() == 3
+
+
+def test_a_reset_checkpoint_does_not_reuse_old_staging(spark):
+    base = scratch(spark, "stream")
+    for run, key in enumerate("AB"):
+        records(spark, "order", [{"order_id": key}]).write.mode("append").parquet(f"{base}/l0-{key}")
+        source = jobs.landing_stream(spark, f"{base}/l0-{key}", ORDER)
+        if run:
+            files.delete(spark, f"{base}/cp")
+        finish(jobs.stream_upsert(source, ORDER, f"{base}/table", f"{base}/cp", buckets=2))
+    assert sorted(r.order_id for r in spark.read.parquet(f"{base}/table").collect()) == ["A", "B"]

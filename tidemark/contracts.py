@@ -40,10 +40,6 @@ OFFSET_KEY = ("_topic", "_partition", "_offset")
 # Partition column of stored landing and core tables: yyyyMM of some time column.
 MONTH = "_month"
 
-# A refresh window up to this many days is narrow: the keys it touches are few
-# against all history.
-NARROW_DAYS = 31
-
 # Status sets used by several marts.
 BILLABLE = ("paid", "invoiced", "shipped", "delivered")
 CANCELED = "canceled"

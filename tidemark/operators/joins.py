@@ -13,27 +13,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import flag, stamp, valid_at
 
-# A registry above this many rows is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Lookup:
-    """A small registry, read by key. ``small`` is the outcome of a row count."""
+    """A registry, read by key. How it is joined is left to Spark's byte statistics and
+    run-time planning."""
 
     frame: DataFrame
     key: str
-    small: bool
-
-    @property
-    def joinable(self) -> DataFrame:
-        return F.broadcast(self.frame) if self.small else self.frame
-
-
-def load_lookup(frame: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> Lookup:
-    """Count at most ``max_rows + 1`` rows to decide how the registry is joined."""
-    rows = frame.select(key).limit(max_rows + 1).count()
-    return Lookup(frame, key, rows <= max_rows)
 
 
 def lookup_join(
@@ -49,7 +36,7 @@ def lookup_join(
     ``None`` leaves unknown keys null. ``found`` says whether the key is known.
     """
     on = F.col(on) if isinstance(on, str) else on
-    side = lookup.joinable.select(
+    side = lookup.frame.select(
         F.col(lookup.key).alias("_lk"),
         F.lit(1).alias("_hit"),
         *[F.col(src).alias(f"_lk_{out}") for out, (src, _) in attrs.items()],

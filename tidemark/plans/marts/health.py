@@ -15,9 +15,6 @@ from tidemark.operators.cdc import Lake, cdc_profile
 from tidemark.operators.joins import mark_missing
 from tidemark.operators.windows import sample_per_group
 
-# Fixed value: most orphan records kept per relation and refresh.
-SAMPLE_ROWS = 100_000
-
 
 def union_by_contract(contracts: Iterable, build: Callable[..., DataFrame]) -> DataFrame:
     """One block per contract (or relation), put together by name."""
@@ -209,12 +206,13 @@ def _text(cols: Iterable[str]) -> Column:
 
 
 def orphan_records(
-    lake: Lake, as_of: datetime, window_days: int = 7, limit: int = SAMPLE_ROWS
+    lake: Lake, as_of: datetime, window_days: int = 7, limit: int | None = None
 ) -> DataFrame:
-    """Single orphans with their source coordinates, oldest first, at most
-    ``limit`` per relation (the report's own cap; exact numbers are in the summary)."""
+    """Single orphans with their source coordinates, all of them, or the
+    oldest ``limit`` per relation where a sample is asked for."""
     orphans = _all_references(lake, as_of, window_days).where(F.col("is_orphan") == 1)
     order = [F.col("first_seen_at").asc(), F.col("orphan_key").asc()]
-    return sample_per_group(orphans.drop("is_orphan"), ["relation_id"], order, limit).withColumn(
-        "_refreshed_at", stamp(as_of)
-    )
+    records = orphans.drop("is_orphan")
+    if limit is not None:
+        records = sample_per_group(records, ["relation_id"], order, limit)
+    return records.withColumn("_refreshed_at", stamp(as_of))

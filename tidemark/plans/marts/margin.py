@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.contracts import CANCELED, NARROW_DAYS
+from tidemark.contracts import CANCELED
 from tidemark.functions import (
     TOTAL,
     days_between,
@@ -26,8 +26,7 @@ def sold_items(lake: Lake, as_of: datetime, window_days: int) -> DataFrame:
     """Current items of the window with unit, currency and status of their order."""
     since = midnight(as_of, window_days)
     items = lake.current("order_item", since)
-    narrow = window_days <= NARROW_DAYS
-    head = lake.parents("order_item", "order_id", "order", since, narrow).select(
+    head = lake.parents("order_item", "order_id", "order", since, True).select(
         "order_id", "business_unit_code", "currency", "order_status"
     )
     return items.select(

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.contracts import NARROW_DAYS
 from tidemark.functions import midnight, money_sum, ratio, seconds_between, stamp
 from tidemark.operators.cdc import Lake
 from tidemark.operators.joins import Lookup, lookup_join
@@ -42,8 +41,7 @@ def payment_funnel_day(
     """
     since = midnight(as_of, window_days)
     payments = lake.current("order_payment", since)
-    narrow = window_days <= NARROW_DAYS
-    orders = lake.parents("order_payment", "order_id", "order", since, narrow).select(
+    orders = lake.parents("order_payment", "order_id", "order", since, True).select(
         "order_id", "business_unit_code", F.col("channel").alias("order_channel"), "currency"
     )
     attempts = payments.join(orders, "order_id").select(

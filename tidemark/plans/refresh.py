@@ -205,7 +205,7 @@ def run_logged(
     try:
         rows = work()
     except Exception as error:
-        log_refresh(spark, log_path, mart, as_of, "Failed", None, elapsed(), str(error)[:500])
+        log_refresh(spark, log_path, mart, as_of, "Failed", None, elapsed(), str(error))
         raise
     log_refresh(spark, log_path, mart, as_of, "Finished", rows, elapsed())
     return rows
@@ -232,21 +232,24 @@ def refresh_state(log: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def retain(path: str, spark: SparkSession, as_of: datetime, days: int, ts_col: str) -> None:
-    """Apply retention to a month-partitioned landing table: expired months are
-    removed as folders, the boundary month is rewritten without its old rows."""
-    limit = as_of - timedelta(days=days)
-    edge = limit.strftime("%Y%m")
-    for label, folder in files.partitions(spark, path, MONTH).items():
-        if label < edge:
-            files.delete(spark, folder)
-        elif label == edge:
-            rows = spark.read.parquet(path).where(F.col(MONTH) == int(edge))
-            with staged(apply_retention(rows, as_of, days, ts_col), "retain") as kept:
-                (
-                    kept.write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy(MONTH)
-                    .parquet(path)
-                )
-                if kept.isEmpty():
-                    files.delete(spark, folder)
+    """Apply retention to a month-partitioned landing table, by the clock ``ts_col`` and
+    whatever month a row was filed under. A month without an expired row is left
+    alone, one without any other row is removed as a folder, the rest are rewritten."""
+    folders = files.partitions(spark, path, MONTH)
+    if not folders:
+        return
+    kept_rows = apply_retention(spark.read.parquet(path), as_of, days, ts_col)
+    count = lambda df: {r[0]: r[1] for r in df.groupBy(MONTH).count().collect()}
+    before, after = count(spark.read.parquet(path)), count(kept_rows)
+    mixed = [m for m, n in before.items() if 0 < after.get(m, 0) < n]
+    if mixed:
+        with staged(kept_rows.where(F.col(MONTH).isin(mixed)), "retain") as kept:
+            (
+                kept.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(MONTH)
+                .parquet(path)
+            )
+    for month in before:
+        if not after.get(month):
+            files.delete(spark, folders[str(month)])

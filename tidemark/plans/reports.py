@@ -26,7 +26,6 @@ def order_lookup(order_360: DataFrame, as_of: datetime, order_id: str) -> DataFr
     return (
         order_360.where(F.col("order_id") == order_id)
         .withColumn("freshness_seconds", seconds_between("_refreshed_at", stamp(as_of)))
-        .limit(1)
     )
 
 

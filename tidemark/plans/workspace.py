@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.contracts import CONTRACTS
 from tidemark.operators.cdc import Lake
-from tidemark.operators.joins import Lookup, load_lookup
+from tidemark.operators.joins import Lookup
 from tidemark.plans.marts import customers, discounts, health, margin, payments, sales, stock
 from tidemark.sources.retail import PAYMENTS_AS_OF, SALES_AS_OF, WIDE_DAYS, RetailTables
 
@@ -17,8 +17,8 @@ from tidemark.sources.retail import PAYMENTS_AS_OF, SALES_AS_OF, WIDE_DAYS, Reta
 def load_lookups(lake: Lake) -> dict[str, Lookup]:
     """The two registries that marts look up by key."""
     return {
-        "business_unit": load_lookup(lake.current("business_unit"), "bu_code"),
-        "discount_codes": load_lookup(lake.current("discount_codes"), "discount_code"),
+        "business_unit": Lookup(lake.current("business_unit"), "bu_code"),
+        "discount_codes": Lookup(lake.current("discount_codes"), "discount_code"),
     }
 
 

@@ -70,7 +70,7 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 def coerce(raw: DataFrame, contract: Contract) -> DataFrame:
     """Text columns to contract types, with the list of failures in ``_errors``:
     not JSON, a required value missing, a value of the wrong type, a value
-    outside its domain. ``_ingested_at`` may be absent; it is then the clock."""
+    outside its domain, or with more decimals than its column. ``_ingested_at`` may be absent; it is then the clock."""
     typed: dict[str, Column] = {}
     errors: list[Column] = [F.when(F.col("_corrupt").isNotNull(), "unparseable")]
     readable = F.col("_corrupt").isNull()
@@ -81,6 +81,10 @@ def coerce(raw: DataFrame, contract: Contract) -> DataFrame:
         text = F.col(field.name)
         value = text.try_cast(field.dataType)
         errors.append(F.when(text.isNotNull() & value.isNull(), f"type:{field.name}"))
+        if isinstance(field.dataType, T.DecimalType):
+            # a cast would round what the column cannot hold
+            exact = text.try_cast(T.DecimalType(38, 18))
+            errors.append(F.when(exact != value.cast(T.DecimalType(38, 18)), f"scale:{field.name}"))
         if field.name in required:
             errors.append(F.when(readable & text.isNull(), f"missing:{field.name}"))
         if field.name in domains:

@@ -34,23 +34,17 @@ def landing_stream(spark: SparkSession, path: str, contract: Contract, glob: str
 
 def stream_landing(
     lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str,
-    trigger: dict = NOW, replay_window: str | None = None,
+    trigger: dict = NOW, skip_replays: bool = False,
 ) -> list[StreamingQuery]:
     """JSON lines to the landing table, and what cannot be read to quarantine.
 
     Two file sinks, each with its own checkpoint: every line ends in exactly one
-    of the two tables exactly once. With ``replay_window`` a record the producer
-    sends again within that time is dropped by its source coordinates; the state
-    kept for it is bounded by the window.
+    of the two tables exactly once. With ``skip_replays`` a record that the producer
+    sends again, however late, lands once by its source coordinates.
     """
+    if skip_replays:
+        return [_start(_landing_once(lines, contract, path, quarantine, checkpoint), trigger)]
     good, bad = split_malformed(coerce(parse_lines(lines, contract), contract), contract)
-    if replay_window is not None:
-        good = (
-            good.withColumn("_seen_at", F.col("_kafka_ts").cast("timestamp"))
-            .withWatermark("_seen_at", replay_window)
-            .dropDuplicatesWithinWatermark(list(OFFSET_KEY))
-            .drop("_seen_at")
-        )
     landed = (
         by_month(good)
         .writeStream.format("parquet")
@@ -68,6 +62,40 @@ def stream_landing(
     return [_start(landed, trigger), _start(rejected, trigger)]
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a query: Spark writes a new one into every new checkpoint."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _landing_once(lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str):
+    """One pass per batch for both tables. New coordinates are those not yet in the landing
+    months that the batch falls in, so a repeated batch adds nothing either; no record is
+    too late. Quarantined lines are written under the run and the batch."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        typed = coerce(parse_lines(batch, contract), contract).persist()
+        good, bad = split_malformed(typed, contract)
+        fresh = by_month(good.dropDuplicates(list(OFFSET_KEY)))
+        if files.exists(spark, path):
+            # a few month labels
+            months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
+            landed = spark.read.parquet(path).where(F.col(MONTH).isin(months)).select(*OFFSET_KEY)
+            fresh = fresh.join(landed, list(OFFSET_KEY), "left_anti").select(*fresh.columns)
+        fresh.write.mode("append").partitionBy(MONTH).parquet(path)
+        label = f"{_run_id(spark, checkpoint)}-{batch_id}"
+        (
+            bad.withColumn(BATCH, F.lit(label))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(BATCH)
+            .parquet(quarantine)
+        )
+        typed.unpersist()
+
+    return lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+
+
 def stream_core(
     landing: DataFrame, contract: Contract, path: str, checkpoint: str, trigger: dict = NOW
 ) -> StreamingQuery:
@@ -128,8 +156,12 @@ def stream_upsert(
     """Landing stream to a table with the newest row per key."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            merge_batch(batch, contract, path, f"{checkpoint}-staging", batch_id, buckets)
+        # staging of another run with the same batch numbers is never taken for this one's
+        staging = f"{checkpoint}-staging/{_run_id(batch.sparkSession, checkpoint)}"
+        if batch.isEmpty():
+            files.delete(batch.sparkSession, f"{staging}/batch-{batch_id - 1}")
+        else:
+            merge_batch(batch, contract, path, staging, batch_id, buckets)
 
     writer = landing.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _start(writer, trigger)
