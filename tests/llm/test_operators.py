@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -376,49 +377,52 @@ def test_hilbert_steps_are_one_cell():
 # --- language models ---------------------------------------------------------------------
 
 
-def test_losses_against_brute_force(spark, odd):
-    target = spark.createDataFrame([(1,), (6,), (None,), (99,)], "doc_id long")
-    size = 40
-    texts = {i: [w.decode("utf-8", "replace") for w in (r[1] or "").encode().lower().split()] for i, r in enumerate(ODD)}
-    known = set(crossent.frequent_words(odd, size - 1).toPandas().word)
-    from tidemark.llm.text import Words
+def brute_losses(rows, wanted):
+    texts = [(r[1] or "").encode().lower().split() for r in rows]
+    known = {w for t in texts for w in t}
+    models = []
+    for inside in (lambda r: r[0] in wanted, lambda r: True):
+        pairs = [(a, b) for r, t in zip(rows, texts, strict=True) if inside(r) for a, b in zip(["start", *t[:-1]], t, strict=False)]
+        models.append((Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs), len(pairs)))
+    scale = models[0][3] / models[1][3] if models[0][3] else 1.0
+    out = []
+    for r, t in zip(rows, texts, strict=True):
+        means = []
+        for (both, before, word, total), s in zip(models, (1.0, scale), strict=True):
+            losses = [
+                -np.log((both[a, b] * s + crossent.PRIOR * (word[b] * s + 1) / (total * s + len(known))) / (before[a] * s + crossent.PRIOR))
+                for a, b in zip(["start", *t[:-1]], t, strict=False)
+            ]
+            means.append(np.mean(losses) if losses else None)
+        out.append((str(r[0]), len(t), *means))
+    return sorted(out, key=lambda x: tuple(map(str, x[:2])))
 
-    def code(word):
-        raw = np.frombuffer(word.encode(), np.uint8)
-        h = int(Words(raw, np.array([0, len(raw)])).hashes().astype(np.int64)[0])
-        return h if h in known else None
 
-    models = []
-    for inside in (lambda r: r[0] in (1, 6), lambda r: True):
-        cells = {}
-        for i, r in enumerate(ODD):
-            if inside(r):
-                codes = ["start", *map(code, texts[i])]
-                for pair in zip(codes[:-1], codes[1:], strict=True):
-                    cells[pair] = cells.get(pair, 0) + 1
-        models.append(cells)
-    scale = sum(models[0].values()) / sum(models[1].values())
-
-    def loss(cells, s, a, b):
-        total, n = sum(cells.values()) * s, len(known) + 1
-        word = (sum(v for (_, y), v in cells.items() if y == b) * s + 1) / (total + n)
-        row = sum(v for (x, _), v in cells.items() if x == a) * s
-        return -np.log((cells.get((a, b), 0) * s + crossent.PRIOR * word) / (row + crossent.PRIOR))
-
-    want = []
-    for i, r in enumerate(ODD):
-        codes = ["start", *map(code, texts[i][:200])]
-        pairs = list(zip(codes[:-1], codes[1:], strict=True))
-        means = [np.mean([loss(m, s, a, b) for a, b in pairs]) if pairs else None for m, s in zip(models, (1, scale), strict=True)]
-        if len(texts[i]) <= 200:
-            want.append((str(r[0]), len(pairs), *(None if m is None else round(m, 4) for m in means)))
-    rows = crossent.score(odd, target, size).collect()
-    assert len(rows) == len(ODD)
-    got = [(str(r.doc_id), r.n_tokens, *(None if v is None else round(v, 4) for v in (r.loss_target, r.loss_background))) for r in rows if r.n_tokens <= 200]
-    assert len(got) == len(want)
-    for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
-        assert a[:2] == b[:2] and (a[2] is None or np.allclose(a[2:], b[2:], atol=2e-4))
+def got_losses(df, target, **sizes):
+    rows = [(str(r.doc_id), r.n_tokens, r.loss_target, r.loss_background) for r in crossent.score(df, target, **sizes).collect()]
+    return sorted(rows, key=lambda x: tuple(map(str, x[:2])))
+
+
+def same_losses(got, want):
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2:] == b[2:] or np.allclose(a[2:], b[2:], atol=1e-6), (a, b)
+
+
+def test_losses_of_odd_rows(spark, odd):
+    target = spark.createDataFrame([(1,), (1,), (6,), (None,), (99,)], "doc_id long")
+    same_losses(got_losses(odd, target), brute_losses(ODD, {1, 6}))
+    same_losses(got_losses(odd, empty(target)), brute_losses(ODD, set()))
     assert crossent.score(empty(odd), target).count() == 0
+    nothing = odd.where("text is null or trim(text) = ''")
+    assert [r[1:] for r in got_losses(nothing, target)] == [(0, None, None)] * nothing.count()
+
+
+def test_losses_over_many_blocks_and_buckets(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    wanted = {doc for doc, _ in rows if doc % 3 == 0}
+    target = spark.createDataFrame([(doc,) for doc in wanted], "doc_id long")
+    same_losses(got_losses(documents.repartition(5), target, block=20_000, bucket=5_000), brute_losses(rows, wanted))
 
 
 # --- pipeline -----------------------------------------------------------------------------

@@ -1,15 +1,22 @@
 """Documents scored by cross-entropy difference.
 
 A target model and a background model are bigram models of the same order and smoothing over
-one vocabulary: the ``VOCABULARY`` - 1 words that are most frequent over all documents, and one
-token for all other words. The background is counted on all documents, and its counts are
-scaled to the mass of the target's, so that smoothing weighs the same in both. The score of a
-document is the mean, per token, of the target's loss minus the background's: below 0 the text
-looks more like the target.
+one vocabulary, all words of all documents. The background is counted on all documents, and
+its counts are scaled to the mass of the target's, so that smoothing weighs the same in both.
+The score of a document is the mean, per token, of the target's loss minus the background's:
+below 0 the text looks more like the target.
 
-Words are counted over every whole text, lower-cased (A-Z). Texts become 2-byte codes once;
-counting, the join with the target ids and scoring read those. Both models are tables of
-VOCABULARY + 1 by VOCABULARY cells, 16 MB each whatever the corpus; every task gets them.
+Both models hold every bigram of the corpus, so no task has them whole:
+
+1. Tasks cut their documents into blocks of about ``BLOCK`` bytes of text, write each block
+   as word codes, and count its words, contexts and bigrams. The counts are dealt into
+   buckets by hash; the number of buckets follows the bytes of the corpus.
+2. A bucket sums the counts of its hashes and sends each block the sums it asked for. A bigram
+   comes at most once from a block, however common it is.
+3. A block meets its sums and scores its documents.
+
+Words are lower-cased (A-Z) and taken from whole texts. Entries of the models are told apart by
+62-bit hashes.
 
 Rows: a null or empty text has 0 tokens and null losses; repeated rows count and are scored one
 by one; a null doc_id is never in the target; without any target text the target model is
@@ -22,148 +29,174 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import Words, pieces, stored
+from tidemark.llm.text import Words, mix, pieces, shingles, stored
 
-VOCABULARY = 2048
 PRIOR = 500.0  # words of the unigram model that each context is mixed with
-HELD = 1 << 21  # distinct words that a task holds before it reports
-
-
-def frequent_words(docs: DataFrame, size: int = VOCABULARY - 1) -> DataFrame:
-    """``word`` (hash) and ``n`` of the most frequent words of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, fresh, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-
-        def fold() -> None:
-            nonlocal words, counts, fresh, waiting
-            every = np.concatenate([words, *[w for w, _ in fresh]])
-            weight = np.concatenate([counts, *[n for _, n in fresh]])
-            words, inverse = np.unique(every, return_inverse=True)
-            counts = np.bincount(inverse, weight, len(words)).astype(np.int64)
-            fresh, waiting = [], 0
-
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch):
-                fresh.append(np.unique(Words(data, offsets, lower=True).hashes(), return_counts=True))
-                waiting += len(fresh[-1][0])
-                if waiting > 1 << 20:
-                    fold()
-                if len(words) > HELD:
-                    yield _pairs(words, counts)
-                    words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        fold()
-        yield _pairs(words, counts)
-
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(size)  # the model's vocabulary, not rows
-
-
-def _pairs(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(counts)], names=["word", "n"])
-
-
-def encode(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """``doc_id`` and ``codes``: 2 bytes per word, the place in the sorted ``vocabulary`` of
-    hashes, or its length for any other word."""
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(vocabulary))
+BLOCK = 4 << 20
+BUCKET = 4 << 20  # bytes of text whose counts meet in one bucket, about
+SALTS = 4096  # parts of the rows without doc_id in the join with the target
+START = np.uint64(0x2545F4914F6CDD1D)  # the context of a document's first word
+
+_KIND = np.uint64(3)
+WORD, CONTEXT, BIGRAM = np.uint64(0), np.uint64(1), np.uint64(2)  # last bits of a key
+
+
+class Entries:
+    """Model entries of one block: ``keys`` of its words, contexts and bigrams in this order,
+    and which bigram (``token``) every token is."""
+
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
+        size = len(vocabulary)
+        before = np.concatenate([[size], codes[:-1]]) if len(codes) else codes
+        before[bounds[:-1][bounds[:-1] < len(codes)]] = size
+        pairs, self.token = np.unique(before * size + codes, return_inverse=True)
+        heads = np.append(vocabulary, START)
+        self.word = pairs % max(size, 1)
+        contexts, self.context = np.unique(pairs // max(size, 1), return_inverse=True)
+        both = np.stack([heads[contexts[self.context]], vocabulary[self.word]], axis=1).ravel()
+        self.sizes = (size, len(contexts), len(pairs))
+        kinds = ((vocabulary, WORD), (mix(heads[contexts]), CONTEXT), (shingles(both, 2)[::2], BIGRAM))
+        self.keys = np.concatenate([mix(k) & ~_KIND | kind for k, kind in kinds])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, inside: np.ndarray) -> np.ndarray:
+        """Times of each key, in all documents and (second row) where ``inside`` holds."""
+        rows = []
+        for weight in (np.ones(len(inside)), inside.astype(float)):
+            bigrams = np.bincount(self.token, weight, self.sizes[2])
+            rows.append(np.concatenate([
+                np.bincount(self.word, bigrams, self.sizes[0]), np.bincount(self.context, bigrams, self.sizes[1]), bigrams
+            ]))
+        return np.stack(rows).astype("<i8")
+
+    def losses(self, total: np.ndarray, mass: float, words: int, scale: float) -> np.ndarray:
+        """Loss of every token in nats: bigrams mixed with the smoothed unigrams."""
+        word, context, bigram = np.split(total * scale, np.cumsum(self.sizes[:2]))
+        word = (word + 1) / (mass * scale + words)
+        return -np.log((bigram + PRIOR * word[self.word]) / (context[self.context] + PRIOR))[self.token]
+
+
+def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``in_target``; rows without doc_id are spread over the tasks."""
+    wanted = target.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_salt")).distinct()
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    joined = docs.withColumn("_own", salt).join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_salt")), "left")
+    return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("in_target"))
+
+
+def blocks(rows: DataFrame, buckets: int, size: int) -> DataFrame:
+    """One row per block of documents (``doc_ids``, their ``bounds`` in ``codes``, and the
+    ``vocabulary`` that the codes number), and one per block and ``bucket`` with ``keys`` and ``counts``."""
+
+    def block(number: int, ids: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarray], inside: list[np.ndarray]) -> pa.RecordBatch:
+        vocabulary, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
+        entries = Entries(vocabulary, codes, bounds)
+        counts = entries.counts(np.repeat(np.concatenate(inside), np.diff(bounds)))[:, entries.order]
+        keys = entries.keys[entries.order]
+        at = bucket_of(keys, buckets)
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, int)
+        parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=False))
+        ids, none = pa.concat_arrays(ids), [None] * len(parts)
+        one = pa.ListArray.from_arrays(pa.array([0, len(ids), *[len(ids)] * len(parts)], pa.int32()), ids)
+        columns = [
+            pa.array([number] * (len(parts) + 1), pa.int64()),
+            pa.array([None, *at[cuts].tolist()], pa.int64()),
+            pa.array([None, *[keys[a:b].tobytes() for a, b in parts]], pa.binary()),
+            pa.array([None, *[counts[:, a:b].tobytes() for a, b in parts]], pa.binary()),
+            one,
+            *[pa.array([x.tobytes(), *none], pa.binary()) for x in (bounds, vocabulary, codes.astype("<i4"))],
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        number, held, waiting = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
                 words = Words(data, offsets, lower=True)
-                hashes = words.hashes()
-                codes = np.full(len(hashes), len(table), np.uint16)
-                if len(table):
-                    at = np.searchsorted(table, hashes).clip(0, len(table) - 1)
-                    codes = np.where(table[at] == hashes, at, len(table)).astype("<u2")
-                bounds = (words.first * 2).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(bounds), pa.py_buffer(codes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binary], names=["doc_id", "codes"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, codes binary")
-
-
-def _cells(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell (context * size + word) of every token, and the documents' bounds."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
-    data = column.buffers()[2]
-    codes = (np.frombuffer(data, "<u2") if data is not None else np.empty(0, "<u2"))[offsets[0] : offsets[-1]].astype(np.int64)
-    bounds = (offsets - offsets[0]).astype(np.int64)
-    before = np.concatenate([[size], codes[:-1]]) if len(codes) else codes
-    before[bounds[:-1][bounds[:-1] < len(codes)]] = size  # a document starts after a mark
-    return before * size + codes, bounds
-
-
-def count_cells(encoded: DataFrame, size: int) -> DataFrame:
-    """``cell``, count ``n`` over all documents and ``target`` over those with ``in_target``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = np.zeros((size + 1) * size, np.int64), np.zeros((size + 1) * size, np.int64)
-        for batch in batches:
-            cells, bounds = _cells(batch.column(0), size)
-            inside = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(bounds))
-            for table, some in ((every, cells), (target, cells[inside])):
-                found, n = np.unique(some, return_counts=True)
-                table[found] += n
-        for at in np.array_split(np.flatnonzero(every), 32):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(target[at])], names=["cell", "n", "target"])
-
-    rows = encoded.select("codes", "in_target").mapInArrow(run, "cell long, n long, target long")
-    return rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-def losses(counts: np.ndarray, scale: float) -> np.ndarray:
-    """Loss of every cell in nats: bigrams mixed with the smoothed unigrams."""
-    counts = counts * scale
-    size = counts.shape[1]
-    word = (counts.sum(axis=0) + 1) / (counts.sum() + size)
-    row = counts.sum(axis=1, keepdims=True)
-    return -np.log((counts + PRIOR * word) / (row + PRIOR)).astype(np.float32)
+                inside = batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                for values, new in zip(held, (batch.column(0).slice(lo, hi - lo), words.hashes(), words.counts, inside), strict=True):
+                    values.append(new)
+                waiting += len(data) + 64 * (hi - lo)
+                if waiting >= size:
+                    yield block(number, *held)
+                    number, held, waiting = number + 1, ([], [], [], []), 0
+        if held[0]:
+            yield block(number, *held)
+
+    names = ["block", "bucket", "keys", "counts", "doc_ids", "bounds", "vocabulary", "codes"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "in_target").mapInArrow(
+        run,
+        "block long, bucket long, keys binary, counts binary, "
+        f"doc_ids array<{kind}>, bounds binary, vocabulary binary, codes binary",
+    )
 
 
-def score(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the first bits, in the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _sum_bucket(table: pa.Table) -> pa.Table:
+    """The sums of one bucket, for each block in the order of its keys. The first row also
+    has the bucket's number of ``words`` and their times (``mass``, ``target_mass``)."""
+    keys = [np.frombuffer(k, "<u8") for k in table["keys"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(c, "<i8").reshape(2, -1) for c in table["counts"].to_pylist()], axis=1)
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((2, len(every)), "<i8")
+    for row, own in zip(sums, counts, strict=True):
+        np.add.at(row, at, own)
+    words = every & _KIND == WORD
+    facts = [int(words.sum()), *sums[:, words].sum(axis=1).tolist()]
+    ends = np.cumsum([len(k) for k in keys])
+    totals = [sums[:, at[a:b]].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    rest = [0] * (len(keys) - 1)
+    return pa.table({
+        "block": table["block"], "bucket": table["bucket"], "totals": pa.array(totals, pa.binary()),
+        **{name: pa.array([fact, *rest], pa.int64()) for name, fact in zip(("words", "mass", "target_mass"), facts, strict=True)},
+    })
+
+
+def score(docs: DataFrame, target: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``loss_target``, ``loss_background`` and ``score`` of every row
-    of ``docs`` (doc_id, text); ``target`` names the doc_id s of the target texts."""
+    of ``docs`` (doc_id, text); ``target`` names the doc_id s of the target texts. ``block`` and
+    ``bucket`` are bytes of text."""
     docs = docs.select("doc_id", "text")
-    words = frequent_words(docs, vocabulary - 1).toArrow()["word"].to_numpy().astype(np.uint64)
-    size = len(words) + 1
-    encoded = stored(encode(docs, words), "codes")
-    wanted = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    flagged = encoded.join(wanted, F.col("doc_id") == F.col("_id"), "left").withColumn("in_target", F.col("_id").isNotNull())
-    # at most (size + 1) * size rows, 4.2 million
-    cells = count_cells(flagged, size).toArrow()
-    tables = np.zeros((2, (size + 1) * size))
-    for name, table in zip(("target", "n"), tables, strict=True):
-        table[cells["cell"].to_numpy()] = cells[name].to_numpy()
-    mass = tables.sum(axis=1)
-    scale = mass[0] / mass[1] if mass[0] and mass[1] else 1.0
-    models = docs.sparkSession.sparkContext.broadcast(
-        [losses(t.reshape(size + 1, size), s).ravel() for t, s in zip(tables, (1.0, scale), strict=True)]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                at, bounds = _cells(part.column(1), size)
-                n = np.diff(bounds)
-                means = []
-                for model in models.value:
-                    sums = np.concatenate([[0.0], np.cumsum(model[at], dtype=np.float64)])
-                    means.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1))
-                columns = [*means, means[0] - means[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), *[pa.array(np.round(c, 9), mask=n == 0) for c in columns]],
-                    names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"],
-                )
-
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cut = stored(blocks(flagged(docs, target), volume // bucket + 1, block), "blocks")
+    sums = (
+        cut.where("bucket is not null").select("block", "bucket", "keys", "counts").groupBy("bucket")
+        .applyInArrow(_sum_bucket, "block long, bucket long, totals binary, words long, mass long, target_mass long")
+    )
+    sums = stored(sums, "sums")
+    facts = sums.agg(*[F.sum(c).alias(c) for c in ("words", "mass", "target_mass")]).first()
+    words, mass, wanted = (facts[c] or 0 for c in ("words", "mass", "target_mass"))
+    scale = wanted / mass if wanted and mass else 1.0
+
+    def run(coded: pa.Table, asked: pa.Table) -> pa.Table:
+        bounds, vocabulary, codes = (
+            np.frombuffer(coded[c][0].as_py(), kind) for c, kind in (("bounds", "<i8"), ("vocabulary", "<u8"), ("codes", "<i4"))
+        )
+        entries = Entries(vocabulary, codes.astype(np.int64), bounds)
+        parts = asked.sort_by("bucket")["totals"].to_pylist()
+        total = np.zeros((2, len(entries.keys)))
+        if parts:
+            total[:, entries.order] = np.concatenate([np.frombuffer(p, "<i8").reshape(2, -1) for p in parts], axis=1)
+        n, means = np.diff(bounds), []
+        for counts, sum_of, by in ((total[1], wanted, 1.0), (total[0], mass, scale)):
+            upto = np.concatenate([[0.0], np.cumsum(entries.losses(counts, sum_of, words, by))])
+            means.append((upto[bounds[1:]] - upto[bounds[:-1]]) / np.maximum(n, 1))
+        columns = [pa.array(np.round(c, 9), mask=n == 0) for c in (*means, means[0] - means[1])]
+        return pa.table([coded["doc_ids"].combine_chunks().flatten(), pa.array(n), *columns], names=names)
+
+    names = ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(
+    texts = cut.where("bucket is null").select("block", "doc_ids", "bounds", "vocabulary", "codes")
+    return texts.groupBy("block").cogroup(sums.select("block", "bucket", "totals").groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double"
     )
