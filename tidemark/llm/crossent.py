@@ -106,10 +106,11 @@ class Entries:
 
 
 def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``in_target``; rows without doc_id are spread over the tasks."""
+    """``docs`` (doc_id, text) with ``in_target``; rows without doc_id are spread over the tasks.
+    The target grows with the corpus, so it is never broadcast."""
     wanted = target.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_salt")).distinct()
     salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    joined = docs.withColumn("_own", salt).join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_salt")), "left")
+    joined = docs.withColumn("_own", salt).join(wanted.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_salt")), "left")
     return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("in_target"))
 
 
