@@ -71,7 +71,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2026-0
     are never revisited, though their bytes are stored once all the same."""
     raw = pages.select(
         "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
-    ).withColumn("address", F.sha2("payload", 256))
+    ).withColumn("address", F.unhex(F.sha2("payload", 256)))
     # exactly repeated rows are counted, then numbered
     facts = (
         raw.groupBy(
@@ -108,9 +108,9 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     heads = spark.read.parquet(os.path.join(folder, "heads"))
     payloads = spark.read.parquet(os.path.join(folder, "payloads"))
     end = F.lit(b"\r\n\r\n")
-    good = F.sha2("payload", 256) == F.col("address")
+    good = F.unhex(F.sha2("payload", 256)) == F.col("address")
     whole = F.when(good, F.concat("head", "payload", end)).otherwise(
-        F.raise_error(F.concat(F.lit("no verified payload at "), F.col("address"))).cast("binary")
+        F.raise_error(F.concat(F.lit("no verified payload at "), F.hex("address"))).cast("binary")
     )
     answers = heads.where("record_type = 'response'").join(payloads, "address", "left")
     return answers.select(whole.alias("record")).unionByName(
