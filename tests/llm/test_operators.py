@@ -95,6 +95,19 @@ def test_near_duplicates_of_edited_copies_over_many_tasks(spark):
     assert got_components(df) == brute_components(rows)
 
 
+def test_near_duplicates_of_appended_and_truncated_copies_in_one_task(spark):
+    rnd, texts = random.Random(11), []
+    for group, (size, more) in enumerate([(84, 20), (84, 20), (204, 40), (204, 51), (44, 9), (64, 16), (304, 75)] * 3):
+        base = [f"g{group}w{i}" for i in range(size)]
+        added = [f"g{group}a{i}" for i in range(more)]
+        texts += [base, base + added if group % 2 else added + base, base[: -(more // 2)]]
+        texts += [base[more // 3 :] + added[: more // 2]] * rnd.randint(0, 1)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert got_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute_components(rows)
+    alone = [(0, " ".join(texts[0])), (1, " ".join(texts[1]))]  # no other document lends a token
+    assert got_components(spark.createDataFrame(alone, "doc_id long, text string").coalesce(1)) == brute_components(alone)
+
+
 def test_representatives_keep_columns_and_one_row_of_each_group(odd):
     kept = prefixes.representatives(odd).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3, 4, 5, 6, 8, 11]

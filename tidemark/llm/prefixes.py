@@ -265,22 +265,22 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
     """Candidate pairs (a, b) of nodes in different components that share enough prefix
     tokens: ``a`` the smaller, meeting ``b`` in one of its first tokens. A pair is given up when
     the parity ``bits`` alone differ in more places than the sets may differ in tokens."""
-    # tokens of a prefix that no other set shares: the overlap with any set is at most ``alive``
+    # Of two sets, take the one whose prefix ends first in the global order. What both hold
+    # of its prefix lies in the other's prefix too, so tokens that no other prefix holds are
+    # not in the other set: the overlap is at most ``alive``. Nothing of the sort holds for the
+    # other one, whose unmet tokens may stand behind the first one's prefix. So a pair is given
+    # up only by the larger ``alive`` of the two, and no node alone.
+    bound = F.ceil(F.col("size") * percent / 100 - 1e-9)
     alive = (
         postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("size"), F.first("asked").alias("asked"))
-        .withColumn("alive", F.ceil(F.col("size") * percent / 100 - 1e-9) - F.col("asked") + F.col("shared"))
-        .where(F.col("alive") * 100 >= F.col("size") * percent)
-        .select("node", "alive")
+        .select("node", (bound - F.col("asked") + F.col("shared")).alias("alive"), (F.col("shared") >= F.col("asked")).alias("live"))
     )
     named = postings.where("part > 0").join(alive, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named.select("token", "root", "node", "n", "part", "alive"), "named")
+    named = stored(named.select("token", "root", "node", "n", "part", "alive", "live"), "named")
     small, large = named.where("part = 2"), named
-    meets = (
-        small.select("token", F.col("root").alias("roota")).distinct()
-        .join(large.select("token", F.col("root").alias("rootb")).distinct(), "token")
-        .where("roota != rootb")
-    )
-    meets = stored(meets, "meets")
+    roots_of = lambda rows, s: rows.groupBy("token", F.col("root").alias(f"root{s}")).agg(F.max("live").alias(f"live{s}"))
+    meets = roots_of(small, "a").join(roots_of(large, "b"), "token").where("roota != rootb and (livea or liveb)")
+    meets = stored(meets.select("token", "roota", "rootb"), "meets")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         rows = rows.select("token", *[F.col(c).alias(c + s) for c in ("root", "node", "n", "alive")])
@@ -290,7 +290,7 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
     a, b = side(small, "a"), side(large, "b")
     both = F.col("na") + F.col("nb")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
-    enough = F.least("alivea", "aliveb") * (100 + percent) >= both * percent
+    enough = F.greatest("alivea", "aliveb") * (100 + percent) >= both * percent
     differ = F.aggregate(
         F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
