@@ -114,6 +114,16 @@ def test_representatives_keep_columns_and_one_row_of_each_group(odd):
     assert {r.doc_id: r.node for r in kept}[8] == 8
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    own = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, own[2] + " tail"), (7, own[2]), (7, own[3]), (7, own[3].upper()),
+            (1, own[4]), (9, own[4] + " tail"), (9, own[5]), (3, None), (3, ""), (None, None), (None, " ")]
+    kept = prefixes.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    once = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (1, own[4]), (9, own[5]), (3, None), (3, ""), (None, None), (None, " ")]
+    lower = lambda x: str((x[0], x[1] and x[1].lower()))
+    assert sorted(map(lower, kept)) == sorted(map(lower, once))
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -40,6 +40,7 @@ SIZE = 5
 HOT = 1 << 20
 LOCAL_HOT = 2
 BITS = 512
+WORD = r"[^\x20\x09-\x0D]"
 VERIFY = 8.0  # cost of comparing one candidate, in postings
 
 
@@ -136,7 +137,7 @@ def matches_asked(frequency: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per row: ``doc_id``, ``n`` (set size), ``node``, and, once per node and task, ``asked``,
+    """Per row: ``doc_id``, ``text_hash``, ``n`` (set size), ``node``, and, once per node and task, ``asked``,
     its ``prefix`` tokens and ``bits`` (parity of the tokens that fall on each of 512 bits)."""
     rows = common(docs).toArrow()
     table = docs.sparkSession.sparkContext.broadcast(
@@ -166,15 +167,15 @@ def documents(docs: DataFrame, percent: int = 80) -> DataFrame:
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                        batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                         pa.array(asked, pa.int32()), pa.array(prefix, pa.list_(pa.int64())),
                         pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "node", "asked", "prefix", "bits"],
+                    names=["doc_id", "text_hash", "n", "node", "asked", "prefix", "bits"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, asked int, prefix array<bigint>, bits array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, asked int, prefix array<bigint>, bits array<bigint>")
 
 
 def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
@@ -308,13 +309,13 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest doc_id reachable by links)
-    of every row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n`` (set size), ``node`` and ``root`` (the component; both null
+    without words) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     full = documents(docs, percent)
     postings = stored(shared_postings(full, percent), "postings")
-    rows = stored(full.select("doc_id", "n", "node", "bits"), "sets")
+    rows = stored(full.select("doc_id", "text_hash", "n", "node", "bits"), "sets")
     bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
@@ -332,7 +333,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     else:
         final = components(links.unionByName(more))
 
-    named = rows.select("doc_id", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("doc_id", "text_hash", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest doc_id reachable by links)
+    of every row of ``docs`` (doc_id, text)."""
+    named = grouped(docs, percent)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
@@ -340,8 +347,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) without near duplicates: of each group the row with
-    the smallest doc_id stays, one row where that id is repeated."""
-    groups = near_duplicates(docs, percent)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` (all columns) without near duplicates: of each group one row with
+    the smallest doc_id stays (a null one only where the group has no other), and every row
+    without words. Rows are told apart by doc_id and text, so rows of one id, null too,
+    stand for themselves."""
+    named = grouped(docs, percent).where("root is not null")
+    # a null doc_id comes last
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "text_hash")).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    once = docs.where(worded).join(kept, same).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return once.unionByName(docs.where(~worded))
