@@ -379,6 +379,26 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_neighbours_among_vectors_of_uneven_length(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BLOCK", 128)
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(6000, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one = np.where(np.arange(6000) == 77, 100.0, 1.0)
+    for lengths in (one, np.exp(rng.normal(size=6000)), np.where(np.arange(6000) % 2000 == 0, 1e100, 1e-100)):
+        x = unit * lengths[:, None]
+        vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got, hits = {}, 0
+        for r in curves.search(vectors, F.col("vec_id") % 100 == 5, k=20).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sorted(got) == list(range(5, 6000, 100))
+        for q, found in got.items():
+            score = x @ unit[q]
+            score[q] = -np.inf
+            hits += len(found & set(np.argsort(-score, kind="stable")[:20].tolist()))
+        assert hits >= 0.9 * 20 * len(got)
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1),
             (6, [1.0, None], 1), (7, [2.0, 0.5], 1), (7, [2.0, 0.5], 1), (8, [1.0], 1), (9, [-1.0, 0.0], 1), (20, [0.0, 3.0], 1)]

@@ -6,7 +6,10 @@ sorts all places of all curves. A query searches the windows around its own plac
 every curve; the windows' best are merged, ranked by exact inner products.
 
 For the largest inner product, vectors get one more coordinate that makes all of them
-equally long (0 for a query), so near in direction means large product.
+equally long (0 for a query), so near in direction means large product. That coordinate
+would drown all others if one vector were far longer than the rest; so the vectors are
+parted by their length, a factor of two to a range, and every query searches each
+range on the range's own curves. Ranges of less than ``BLOCK`` vectors are searched whole.
 
 A window is a share of a curve (``share``), because in data without structure the recall
 depends on the share searched; in clustered data a far smaller share does. Blocks of a curve
@@ -78,29 +81,41 @@ def usable(vectors: DataFrame) -> DataFrame:
     return full.where(F.size("embedding") == (sizes["n"] if sizes else 0))
 
 
-def _places(rows: DataFrame, dim: int, longest: float, curves: int, seed: int) -> DataFrame:
-    """Each row once per curve, with its place."""
+def _norm(embedding: str) -> Column:
+    """Length of a vector; squares of its largest component neither overflow nor vanish."""
+    size = lambda x: F.abs(x.cast("double"))
+    top = F.array_max(F.transform(embedding, size))
+    return top * F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + F.pow(size(x) / top, 2)))
+
+
+def _places(rows: DataFrame, dim: int, longest: list[float], curves: int, seed: int) -> DataFrame:
+    """Each row (uid, embedding, query, level) once per curve of its range, with its place.
+    The curves of one range after the other are numbered through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
+        rng, most = np.random.default_rng(seed), np.array(longest)
         reach = 3.5 / np.sqrt(dim + 1)
         turns = [np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0][:, : min(DIRECTIONS, dim + 1)] for _ in range(curves)]
         shifts = [rng.uniform(0, 0.5, t.shape[1]) for t in turns]
         for batch in batches:
             x, query = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            level = batch.column(3).to_numpy()
+            top = np.abs(x).max(axis=1, initial=0.0)
+            x = x / top[:, None]
             norm = np.linalg.norm(x, axis=1)
-            x = x / np.where(query, norm, longest)[:, None]
-            rest = np.where(query, 0.0, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2)))
+            part = np.where(query, 1.0, np.minimum(1.0, top / most[level] * norm))  # of the longest
+            x = x * (part / norm)[:, None]
+            rest = np.where(query, 0.0, np.sqrt(np.maximum(0, 1 - part**2)))
             x = np.hstack([x, rest[:, None]])
             for curve, (turn, shift) in enumerate(zip(turns, shifts, strict=True)):
                 unit = ((x @ turn) / reach + 1) / 2  # most lie in 0 to 1
                 cells = np.clip((unit + shift) / 1.5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
                 place = pa.array(hilbert(cells, BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), curve, np.int32)), place, *batch.columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array((level * curves + curve).astype(np.int32)), place, *batch.columns[:3]], names=names)
 
     names = ["curve", "place", "uid", "embedding", "query"]
     kind = rows.schema["embedding"].dataType.simpleString()
-    return rows.mapInArrow(run, f"curve int, place long, uid long, embedding {kind}, query boolean")
+    return rows.select("uid", "embedding", "query", "level").mapInArrow(run, f"curve int, place long, uid long, embedding {kind}, query boolean")
 
 
 def _nearest_in_block(k: int):
@@ -144,11 +159,7 @@ def search(
     members = stored(few.select(F.element_at("ids", 1).alias("uid"), "ids", "embedding"), "members")
     asked = rows.where("query").groupBy("vec_id", "embedding").agg(F.count("*").alias("n")).select("vec_id", "embedding")
     asked = stored(asked.join(members.select("uid", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "uid"), "asked")
-    head = members.agg(
-        F.count("*").alias("n"),
-        F.max(F.size("embedding")).alias("dim"),
-        F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("square"),
-    ).first()
+    head = members.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(_norm("embedding")).alias("longest")).first()
     empty = vectors.sparkSession.createDataFrame([], "q long, v long, score double")
     found = empty if not head["n"] else _search(members, asked, head, k, curves, share, seed)
 
@@ -171,34 +182,61 @@ def search(
 
 
 def _search(members: DataFrame, asked: DataFrame, head, k: int, curves: int, share: float, seed: int) -> DataFrame:
-    items = members.select("uid", "embedding", F.lit(False).alias("query"))
     queries = members.join(asked.select("uid").distinct(), "uid", "left_semi").select("uid", "embedding", F.lit(True).alias("query"))
-    placed = _places(items.unionByName(queries), head["dim"], float(np.sqrt(head["square"])), curves, seed)
-    # place on all curves in one order: partition by range, row number inside a partition
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = placed.repartitionByRange("curve", "place", "uid").sortWithinPartitions("curve", "place", "uid", "query")
-    ranged = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", inside), "curves")
-    counts = dict(sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()))
-    starts, total = [], 0
-    for part in range(max(counts) + 1):
-        starts.append(total)
-        total += counts.get(part, 0)
-    number = F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("row")
-    per_curve = total // curves
-    reach = int(np.ceil(share * per_curve / 2))
-    ranked = ranged.withColumn("number", number.cast("long"))
-    low, high = F.col("curve") * per_curve, (F.col("curve") + 1) * per_curve - 1
-    block = lambda n: F.floor(n / BLOCK)
-    # queries meet every block that their window touches; groups of one block hold few queries
-    expected = int(per_curve and (2 * reach + BLOCK) * asked.select("uid").distinct().count() / per_curve)
-    groups = max(1, -(-expected // QUERIES))
-    window = F.sequence(
-        block(F.greatest(F.col("number") - reach, low.cast("long"))), block(F.least(F.col("number") + reach, high.cast("long")))
-    )
-    probes = ranked.where("query").select(
-        F.explode(window).alias("block"), F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("group"), "uid", "embedding", "query"
-    )
-    bases = ranked.where("not query").select(
-        block(F.col("number")).alias("block"), F.explode(F.array(*[F.lit(g).cast("long") for g in range(groups)])).alias("group"), "uid", "embedding", "query"
-    )
-    return probes.unionByName(bases).groupBy("block", "group").applyInArrow(_nearest_in_block(k + 1), "q long, v long, score double")
+    n_queries = asked.select("uid").distinct().count()
+    # vectors as long as the longest but for rounding are all in range 0
+    norm = _norm("embedding")
+    octave = F.floor(F.log2(F.lit(head["longest"])) - F.log2(norm) + 1e-6).cast("int")
+    items = members.select("uid", "embedding", F.lit(False).alias("query"), octave.alias("octave"), norm.alias("norm"))
+    ranges = sorted(tuple(r) for r in items.groupBy("octave").agg(F.count("*"), F.max("norm")).collect())
+    wide, few = [r for r in ranges if r[1] >= BLOCK], [r for r in ranges if r[1] < BLOCK]
+    groups = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    columns = ("block", "group", "uid", "embedding", "query")
+    parts = []
+
+    if few:
+        blocks, several = -(-sum(r[1] for r in few) // BLOCK), max(1, -(-n_queries // QUERIES))
+        here = items.join(members.sparkSession.createDataFrame([(r[0],) for r in few], "octave int"), "octave", "left_semi")
+        own = (-1 - F.pmod(F.xxhash64("uid"), F.lit(blocks))).cast("long")
+        parts.append(here.withColumn("block", own).withColumn("group", F.explode(groups(several))))
+        probes = queries.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(several)).cast("int"))
+        parts.append(probes.withColumn("block", F.explode(F.sequence(F.lit(-blocks).cast("long"), F.lit(-1).cast("long")))))
+
+    if wide:
+        level = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(wide) for x in (r[0], i)]), F.col("octave"))
+        placed = items.withColumn("level", level).where("level is not null").select("uid", "embedding", "query", "level")
+        placed = placed.unionByName(queries.withColumn("level", F.explode(groups(len(wide)))))
+        placed = _places(placed, head["dim"], [r[2] for r in wide], curves, seed)
+        # place on all curves in one order: partition by range, row number inside a partition
+        inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ranged = placed.repartitionByRange("curve", "place", "uid").sortWithinPartitions("curve", "place", "uid", "query")
+        ranged = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", inside), "curves")
+        counts = dict(sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()))
+        starts, total = [], 0
+        for part in range(max(counts) + 1):
+            starts.append(total)
+            total += counts.get(part, 0)
+        number = F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("row")
+        # rows of one curve of each range, and where the range's first curve starts
+        sizes = [r[1] + n_queries for r in wide]
+        firsts = [curves * sum(sizes[:i]) for i in range(len(wide))]
+        reaches = [int(np.ceil(share * n / 2)) for n in sizes]
+        of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.floor(F.col("curve") / curves).cast("int") + 1)
+        ranked = ranged.withColumn("number", number.cast("long")).withColumn("reach", of(reaches)).withColumn("size", of(sizes))
+        ranked = ranked.withColumn("low", of(firsts) + F.col("curve") % curves * F.col("size"))
+        low, high = F.col("low"), F.col("low") + F.col("size") - 1
+        block = lambda n: F.floor(n / BLOCK)
+        # queries meet every block that their window touches; groups of one block hold few queries
+        expected = max(int((2 * reach + BLOCK) * n_queries / n) for reach, n in zip(reaches, sizes, strict=True))
+        several = max(1, -(-expected // QUERIES))
+        window = F.sequence(
+            block(F.greatest(F.col("number") - F.col("reach"), low)), block(F.least(F.col("number") + F.col("reach"), high))
+        )
+        probes = ranked.where("query").withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(several)).cast("int"))
+        parts.append(probes.withColumn("block", F.explode(window)))
+        parts.append(ranked.where("not query").withColumn("block", block(F.col("number"))).withColumn("group", F.explode(groups(several))))
+
+    dealt = parts[0].select(*columns)
+    for part in parts[1:]:
+        dealt = dealt.unionByName(part.select(*columns))
+    return dealt.groupBy("block", "group").applyInArrow(_nearest_in_block(k + 1), "q long, v long, score double")
