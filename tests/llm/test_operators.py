@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +400,16 @@ def test_neighbours_among_vectors_of_uneven_length(spark, monkeypatch):
         assert hits >= 0.9 * 20 * len(got)
 
 
+def test_ties_at_the_edge_of_a_block_go_to_smaller_ids():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, size=(700, 24)).astype(float)
+    x[:, 0] = 1
+    block = pa.table({"uid": np.r_[np.arange(700), np.arange(40)], "embedding": pa.array(np.r_[x, x[:40]].tolist()), "query": np.arange(740) >= 700})
+    got = curves._nearest_in_block(21)(block).to_pylist()
+    want = [(q, int(v), x[q] @ x[v]) for q in range(40) for v in np.lexsort((np.arange(700), -(x @ x[q])))[:21]]
+    assert sorted((r["q"], r["v"], r["score"]) for r in got) == sorted(want)
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1),
             (6, [1.0, None], 1), (7, [2.0, 0.5], 1), (7, [2.0, 0.5], 1), (8, [1.0], 1), (9, [-1.0, 0.0], 1), (20, [0.0, 3.0], 1)]

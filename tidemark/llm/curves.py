@@ -40,6 +40,7 @@ BITS = 5
 SHARE = 0.09
 BLOCK = 1024
 QUERIES = 4096  # of one group
+PAIRS = 1 << 14  # multiplied at a time
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -129,13 +130,20 @@ def _nearest_in_block(k: int):
         if not len(q) or not len(v):
             return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         keep = min(k, len(v))
-        parts = []
+        parts, sizes = [], np.linalg.norm(vectors, axis=1)
         for some in np.array_split(q, -(-len(q) // 512)):
             near = vectors[some] @ vectors[v].T
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(v) else np.tile(np.arange(len(v)), (len(some), 1))
+            # all that may be among the best but for rounding, ties too
+            error = 4 * np.finfo(float).eps * vectors.shape[1] * np.outer(sizes[some], sizes[v])
+            edge = np.partition(near - error, len(v) - keep, axis=1)[:, [len(v) - keep]]
+            who, at = np.nonzero(~(near + error < edge))
             # the same sum in the same order wherever a pair is met
-            exact = (vectors[some][:, None, :] * vectors[v[best]]).sum(axis=2)
-            parts.append((np.repeat(ids[some], keep), ids[v[best]].ravel(), exact.ravel()))
+            pairs = zip(np.array_split(some[who], -(-len(who) // PAIRS)), np.array_split(v[at], -(-len(who) // PAIRS)), strict=True)
+            exact = np.concatenate([(vectors[x] * vectors[y]).sum(axis=1) for x, y in pairs])
+            by = np.lexsort((at, -exact, who))  # ``v`` is in order of ids
+            who, at, exact = who[by], at[by], exact[by]
+            best = np.arange(len(who)) - np.searchsorted(who, who) < keep
+            parts.append((ids[some[who[best]]], ids[v[at[best]]], exact[best]))
         return pa.table(dict(zip(("q", "v", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return run
