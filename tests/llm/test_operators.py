@@ -357,6 +357,20 @@ def test_mix_of_many_chunks_and_odd_rows(spark, odd, monkeypatch):
     assert pivotal.mix_sources(empty(odd)).count() == 0
 
 
+def test_mix_of_a_source_made_of_one_repeated_row(spark):
+    rows = [(1, "five words in this text", "a", i) for i in range(301)] + [(2 + i, f"t{i} " * (i % 5 + 1), "ab"[i % 2], i) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    each = pivotal.mix_sources(docs).collect()
+    for source in "ab":
+        own = [r for r in each if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+    assert len(each) == len(rows)
+    mixed = pivotal.apply(docs).collect()
+    assert Counter(r.doc_id for r in mixed) == +Counter({d: sum(r.copies for r in each if r.doc_id == d) for d in {r.doc_id for r in each}})
+    times = Counter(r.node for r in mixed if r.doc_id == 1)  # each of the equal rows in its turn
+    assert max(times.values()) - min(times[i] for i in range(301)) <= 1
+
+
 # --- neighbours ------------------------------------------------------------------------
 
 

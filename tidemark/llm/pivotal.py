@@ -12,7 +12,8 @@ The random numbers are hashes of the rows, so reruns agree. A chunk holds about
 documents, whatever the size of a source.
 
 Rows: a null text has size 0 and takes 0 words; null sources are one source, the last;
-equal rows are rounded as one and taken equally often; an empty table gives no rows; other columns are
+of n equal rows the whole part of n times the fraction get a copy for certain and only the
+rest is rounded by pairs, as one document; an empty table gives no rows; other columns are
 not read (``apply`` returns them).
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import Words, mix, pieces, stored
@@ -133,7 +134,8 @@ def rounded(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 1
 ) -> DataFrame:
     """Per distinct row of ``docs`` (doc_id, source, text): ``doc_id``, ``source``, ``text_hash``,
-    number ``n`` of equal rows, ``size``, ``source_size``, ``target`` and ``copies`` of each."""
+    number ``n`` of equal rows, ``size``, ``source_size``, ``target``, ``sure`` copies of each, number
+    ``more`` of the equal rows that get one copy more, and a ``key`` of the distinct row."""
     facts = sized(docs.select("doc_id", "source", "text")).withColumnsRenamed({"_size": "size", "_text_hash": "text_hash"})
     units = facts.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("n"))
     units = stored(units.withColumn("mass", F.col("n") * F.col("size")), "sizes")
@@ -141,11 +143,14 @@ def rounded(
     named = goals.withColumnRenamed("source", "name")
     times = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(times + 1e-12)
-    columns = ("doc_id", "source", "text_hash", "n", "size", "mass", "source_size", "target", "sure", "fraction", "key", "chunk")
+    columns = ("doc_id", "source", "text_hash", "n", "size", "mass", "source_size", "target", "sure", "whole", "fraction", "key", "chunk")
     rows = (
         units.join(named, F.col("source").eqNullSafe(F.col("name")))
         .withColumn("sure", whole.cast("long"))
-        .withColumn("fraction", F.greatest(F.lit(0.0), times - whole))
+        .withColumn("fraction", F.greatest(F.lit(0.0), times - whole) * F.col("n"))
+        .withColumn("whole", F.floor(F.col("fraction") + 1e-12).cast("long"))
+        .withColumn("fraction", F.greatest(F.lit(0.0), F.col("fraction") - F.col("whole")))
+        .withColumn("mass", F.col("size"))  # one document is open
         .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source", "text_hash"))
         .withColumn("chunk", F.pmod("key", F.ceil(F.col("documents") / CHUNK)))
         .select(*columns)
@@ -161,8 +166,8 @@ def rounded(
     out = rows.groupBy("source", "chunk").applyInArrow(_round_last, rows.schema)
     for level in done:
         out = out.unionByName(level)
-    copies = (F.col("sure") + F.round("fraction")).cast("long")
-    return out.select("doc_id", "source", "text_hash", "n", "size", "source_size", "target", copies.alias("copies"))
+    more = (F.col("whole") + F.round("fraction")).cast("long")
+    return out.select("doc_id", "source", "text_hash", "n", "size", "source_size", "target", "sure", more.alias("more"), "key")
 
 
 def mix_sources(
@@ -171,6 +176,7 @@ def mix_sources(
     """Per row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``
     and ``taken`` words."""
     each = rounded(docs, weights, most, seed).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    each = each.withColumn("copies", F.col("sure") + (F.col("_row") <= F.col("more")).cast("long"))
     return each.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -178,12 +184,29 @@ def mix_sources(
 
 def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix takes it."""
-    takes = rounded(docs, weights, most, seed).where("copies > 0")
-    takes = takes.select(*[F.col(c).alias(f"_{c}_") for c in ("doc_id", "source", "text_hash", "copies")])
+    takes = rounded(docs, weights, most, seed).where("sure > 0 or more > 0")
+    takes = stored(takes.select(*[F.col(c).alias(f"_{c}_") for c in ("doc_id", "source", "text_hash", "n", "sure", "more", "key")]), "takes")
     same = (
         F.col("doc_id").eqNullSafe(F.col("_doc_id_"))
         & F.col("source").eqNullSafe(F.col("_source_"))
         & (F.col("_text_hash") == F.col("_text_hash_"))
     )
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies_").cast("int")))
-    return sized(docs, text=True).join(takes, same).select(*docs.columns, times.alias("_time")).drop("_time")
+
+    def repeat(rows: DataFrame, copies: Column) -> DataFrame:
+        rows = rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
+        return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")).drop("_time")
+
+    facts = sized(docs, text=True)
+    alike = (F.col("_more_") == 0) | (F.col("_more_") == F.col("_n_"))
+    out = repeat(facts.join(takes.where(alike), same), F.col("_sure_") + (F.col("_more_") > 0).cast("long"))
+    # some of several equal rows get one copy more: number them, by part first
+    mixed = takes.where(~alike)
+    if mixed.isEmpty():
+        return out
+    part = stored(facts.join(mixed, same).withColumn("_part", F.spark_partition_id()), "repeated")
+    inside = F.row_number().over(Window.partitionBy("_key_", "_part").orderBy(F.lit(1)))
+    before = F.sum("_rows").over(Window.partitionBy("_key_").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = part.groupBy("_key_", "_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    numbered = part.withColumn("_place", inside).join(earlier, ["_key_", "_part"])
+    place = F.col("_place") + F.col("_before")
+    return out.unionByName(repeat(numbered, F.col("_sure_") + (place <= F.col("_more_")).cast("long")))
