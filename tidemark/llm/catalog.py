@@ -12,7 +12,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import archive, automata, backtrack, cascade, crossent, curves, kernel, ledger, pivotal, prefixes
+from tidemark.llm import (
+    archive, automata, backtrack, cascade, crossent, curves, divergence, kernel, ledger, licences, orchard, pivotal, prefixes,
+)
 from tidemark.llm.text import scratch
 
 # fixed values: the rules that the url query is asked to judge by
@@ -127,3 +129,18 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return automata.remove(table(spark, folder, "documents"), texts=False).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query
+def op11_orchard_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.compress(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_licence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents")).drop("spans")
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))

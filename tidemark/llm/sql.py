@@ -62,4 +62,57 @@ ORACLES = {
                sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE
                    list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN lost USING (doc_id)""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+        p AS (SELECT kept.lang, gn.source, kept.term, coalesce(c.c, 0) AS c,
+                     1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (gn.n + v.v) AS p
+              FROM kept JOIN gn USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = kept.lang AND c.source = gn.source AND c.term = kept.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + v) AS q
+              FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term) JOIN v USING (lang)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source) s
+                  ON s.lang = a.lang AND s.a = a.source AND s.b = b.source),
+        terms AS (SELECT p.lang, p.source, p.term AS item, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT AS value
+                  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+                   FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
+
+
+def _rounds(n: int, parts: int = 4, entries: int = 256) -> str:
+    """SQL of the vector codes, with one step of assignment and means per round."""
+    near = """
+        a{i} AS MATERIALIZED (SELECT vec_id, part, w, arg_min(entry, [dist, entry]) AS entry, min(dist) AS dist
+              FROM (SELECT vec_id, part, w, entry, list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i])))::BIGINT AS dist
+                    FROM x JOIN c{i} USING (part)) GROUP BY vec_id, part, w),"""
+    mean = """
+        c{j} AS MATERIALIZED (SELECT c{i}.part, c{i}.entry, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN
+              (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c
+               FROM (SELECT part, entry, place, sum(y)::BIGINT AS s, count(*) AS n
+                     FROM (SELECT part, entry, unnest(w) AS y, unnest(range(1, len(w) + 1)) AS place FROM a{i}) GROUP BY part, entry, place)
+               GROUP BY part, entry) m ON m.part = c{i}.part AND m.entry = c{i}.entry),"""
+    steps = "".join((near + mean).format(i=i, j=i + 1) for i in range(n)) + near.format(i=n)
+    return f"""
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS w FROM k, range({parts}) t(part)),
+        c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, w AS c
+               FROM x QUALIFY entry < {entries}),{steps}
+        d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{n}),
+        r AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{n} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM r JOIN k USING (vec_id), d"""
+
+
+ORACLES["op11_orchard_codes"] = _rounds(4)
