@@ -94,7 +94,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         yield Block(held)
 
 
-def document_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def document_counts(docs: DataFrame, block: int) -> DataFrame:
     """``lang``, ``term`` and number ``n`` of documents, once per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def document_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return docs.mapInArrow(run, "lang string, term string, n long")
 
 
-def vocabulary(kept: DataFrame, shard: int = SHARD) -> DataFrame:
+def vocabulary(kept: DataFrame, shard: int) -> DataFrame:
     """Shards of the kept terms (lang, term): ``lang``, ``head`` (first term), ``n`` and ``packed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def _unpack(packed: bytes) -> list[pa.Table]:
     return [pa.ipc.open_stream(reader).read_all().combine_chunks() for _ in range(3)]
 
 
-def dealt(docs: DataFrame, heads: dict[str, list[tuple[bytes, int]]], block: int = BLOCK) -> DataFrame:
+def dealt(docs: DataFrame, heads: dict[str, list[tuple[bytes, int]]], block: int) -> DataFrame:
     """``slot``, ``lane`` and ``packed`` counts by source of the words of every block that fall
     into the range of a shard; ``heads`` has first term and slot of the shards of each language."""
 
@@ -259,14 +259,14 @@ def away(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(table: pa.Table, span: int, top: int) -> pa.Table:
     """Sums of f for the pairs of sources over one range of ordinals, and the top terms of each.
     Rows of ``kind`` 0 name all sources of the language with their totals, those of kind 1 count."""
     kind = table["kind"].to_numpy()
     sites = table.filter(pa.array(kind == 0))
     sources, lang, terms = sites["source"].combine_chunks(), sites["lang"][0], sites["terms"][0].as_py()
-    base = sites["range"][0].as_py() * RANGE
-    size, width = min(RANGE, terms - base), len(sources)
+    base = sites["range"][0].as_py() * span
+    size, width = min(span, terms - base), len(sources)
     told = table.filter(pa.array(kind == 1))
     counts = np.zeros((max(0, size), width), np.int64)
     at = pc.index_in(told["source"].combine_chunks(), sources).to_numpy(zero_copy_only=False)
@@ -283,27 +283,30 @@ def _compare(table: pa.Table) -> pa.Table:
                 sums[i, j : j + step] = away(p[:, i : i + 1], p[:, j : j + step]).sum(axis=0)
             more = np.flatnonzero((counts[:, i] > 0) & (p[:, i] > q))
             value = away(p[more, i], q[more])
-            best = np.lexsort((more, -value))[:TOP]
+            best = np.lexsort((more, -value))[:top]
             tops.append((np.full(len(best), i), more[best] + base, value[best]))
     one, other = np.nonzero(~np.eye(width, dtype=bool))
-    top = [np.concatenate([t[c] for t in tops]) if tops else np.empty(0, np.int64) for c in range(3)]
-    n = len(one) + len(top[0])
+    found = [np.concatenate([t[c] for t in tops]) if tops else np.empty(0, np.int64) for c in range(3)]
+    n = len(one) + len(found[0])
     return pa.table({
         "lang": pa.array([lang.as_py()] * n, pa.string()),
-        "source": sources.take(pa.array(np.concatenate([one, top[0]]))),
-        "other": pa.concat_arrays([sources.take(pa.array(other)), pa.nulls(len(top[0]), pa.string())]),
-        "ordinal": pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(top[1].astype(np.int64))]),
-        "value": np.concatenate([sums[one, other], top[2].astype(np.int64)]),
+        "source": sources.take(pa.array(np.concatenate([one, found[0]]))),
+        "other": pa.concat_arrays([sources.take(pa.array(other)), pa.nulls(len(found[0]), pa.string())]),
+        "ordinal": pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(found[1].astype(np.int64))]),
+        "value": np.concatenate([sums[one, other], found[2].astype(np.int64)]),
     })
 
 
-def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP) -> DataFrame:
+def audit(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP, block: int = BLOCK, shard: int = SHARD, span: int = RANGE
+) -> DataFrame:
     """``lang``, ``source``, ``part`` (pair or term), ``item``, ``value`` and ``rank`` of the groups of
-    ``docs`` (text, lang, source)."""
+    ``docs`` (text, lang, source). ``block`` (bytes of text), ``shard`` and ``span`` (terms) size the
+    pieces of the work and change no result."""
     spark = docs.sparkSession
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    kept = document_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents)
-    shards = stored(vocabulary(stored(kept.select("lang", "term"), "terms")), "shards")
+    kept = document_counts(docs, block).groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents)
+    shards = stored(vocabulary(stored(kept.select("lang", "term"), "terms"), shard), "shards")
 
     # one row per shard
     listed = sorted((r["lang"], r["head"].encode(), r["n"]) for r in shards.select("lang", "head", "n").collect())
@@ -317,7 +320,7 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP) -
     numbered = spark.createDataFrame(slots, "slot long, lang string, head string, base long")
     shards = shards.join(F.broadcast(numbered), ["lang", "head"])
 
-    blocks = stored(dealt(docs, heads), "blocks")
+    blocks = stored(dealt(docs, heads, block), "blocks")
     places = recounted(blocks, shards.select("slot", "packed")).join(F.broadcast(numbered.select("slot", "lang", "base")), "slot")
     counts = stored(places.select("lang", (F.col("base") + F.col("place")).alias("ordinal"), "source", "n"), "counts")
 
@@ -326,12 +329,12 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP) -
     groups = (
         docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(F.broadcast(sizes), "lang", "left").na.fill(0)
     )
-    ranges = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("terms") / RANGE) - 1, F.lit(0))).cast("array<long>")
+    ranges = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("terms") / span) - 1, F.lit(0))).cast("array<long>")
     sites = groups.select("lang", F.explode(ranges).alias("range"), F.lit(0).alias("kind"), "source", "total", "terms")
-    told = counts.select("lang", F.floor(F.col("ordinal") / RANGE).alias("range"), F.lit(1).alias("kind"), "source", "ordinal", "n")
+    told = counts.select("lang", F.floor(F.col("ordinal") / span).alias("range"), F.lit(1).alias("kind"), "source", "ordinal", "n")
     compared = stored(
         sites.unionByName(told, allowMissingColumns=True).groupBy("lang", "range")
-        .applyInArrow(_compare, "lang string, source string, other string, ordinal long, value long"),
+        .applyInArrow(lambda table: _compare(table, span, top), "lang string, source string, other string, ordinal long, value long"),
         "compared",
     )
 

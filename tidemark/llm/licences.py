@@ -169,13 +169,13 @@ class Scanner:
 
     def _phrases_ending(self) -> list[tuple[tuple[int, int], ...]]:
         """For each state the phrases (number, words) that end where its strings end, if the match is long enough."""
-        out: list[tuple[tuple[int, int], ...]] = []
-        for ends in self.places.ends:
-            last = [(n, len(self.sequences[n])) for n, position in ends if n < self.phrases and position == len(self.sequences[n]) - 1]
-            out.append(tuple(sorted(last)))
-        # a string that ends in a phrase need not stand in the phrase: hand phrases down to longer strings
+        out: list[tuple[tuple[int, int], ...]] = [()] * len(self.places.size)
+        for number in range(self.phrases):
+            *_, (state, length) = self.places.walk(self.sequences[number])
+            out[state] += ((number, length),)
+        # the strings of a state end in those of the state above it
         for state in sorted(range(1, len(out)), key=lambda s: self.places.size[s]):
-            out[state] = tuple(sorted({*out[state], *out[self.places.up[state]]}))
+            out[state] += out[self.places.up[state]]
         return out
 
     def stretches(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -49,7 +49,7 @@ class Orchard:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        away = np.stack([((entries - e) ** 2).sum(axis=1) for e in entries])
+        away = np.array([((entries - e) ** 2).sum(axis=1) for e in entries]).reshape(len(entries), len(entries))
         self.near = np.argsort(away, axis=1, kind="stable")
         self.away = np.take_along_axis(away, self.near, axis=1)
 
