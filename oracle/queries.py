@@ -44,6 +44,11 @@ REASON = (
     f"WHEN {KEY} % 83 = 0 THEN 'missing:customer_id' WHEN {KEY} % 79 = 0 THEN 'domain:order_status' ELSE 'landed' END"
 )
 
+FRAME = (
+    f"CASE WHEN {KEY} % 79 = 0 THEN 'frame:short' WHEN {KEY} % 83 = 0 THEN 'frame:magic' "
+    f"WHEN {KEY} % 89 = 0 THEN 'frame:schema' WHEN {KEY} % 97 = 0 THEN 'frame:payload' ELSE 'landed' END"
+)
+
 
 def conformance() -> str:
     blocks = []
@@ -259,6 +264,17 @@ FROM mart_orphans""",
     "landing_stream": f"SELECT {ORDER_COLS} FROM order_raw",
     "core_stream": "SELECT * FROM order_now",
     "core_upsert": "SELECT * FROM order_now",
+    "landing_stream_replay": f"SELECT {ORDER_COLS} FROM order_raw",
+    "compaction_report": """
+SELECT (SELECT count(*) FROM order_item_core) AS rows_before, count(*) AS rows_after,
+  CAST(sum(_is_deleted) AS BIGINT) AS tombstones, (SELECT count(*) FROM order_item_core) - count(*) AS superseded
+FROM (SELECT *, row_number() OVER (PARTITION BY order_id, item_seq ORDER BY _cdc_seq DESC, _kafka_ts DESC, _partition DESC, _offset DESC) AS r
+      FROM order_item_core) WHERE r = 1""",
+    "core_differences": f"SELECT order_id, CAST(0 AS BIGINT) AS stored_rows, CAST(1 AS BIGINT) AS landed_rows FROM order_now WHERE {KEY} % 50 = 0",
+    "framed_landing": f"""
+SELECT {ORDER_COLS.replace("discount_code,", f"CASE WHEN {KEY} % 2 = 0 THEN discount_code END AS discount_code,").replace("_schema_id", f"CAST(2 - {KEY} % 2 AS INTEGER) AS _schema_id")}
+FROM order_raw WHERE {FRAME} = 'landed'""",
+    "framed_dlq": f"SELECT {FRAME} AS reason, count(*) AS messages, count(*) FILTER ({FRAME} = 'frame:short') AS short FROM order_raw WHERE {FRAME} <> 'landed' GROUP BY 1",
     "events_per_window": """
 SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS events,
   CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS total

@@ -87,28 +87,6 @@ def test_a_column_that_may_change_is_filtered_after_the_versions(spark):
     assert cdc.current_state(core, ORDER, ago(5), "updated_at").count() == 0
 
 
-def test_compaction_changes_nothing_and_keeps_tombstones(spark):
-    landing = records(spark, "order", [
-        {"order_id": "A", "_cdc_seq": 5}, {"order_id": "A", "_op": "d", "_cdc_seq": 9},
-        {"order_id": "B", "_cdc_seq": 1}, {"order_id": "B", "order_status": "shipped", "_cdc_seq": 2},
-    ])
-    core = cdc.to_core(landing, ORDER)
-    small = cdc.compact(core, ORDER)
-    assert small.count() == 2
-    assert cdc.current_state(small, ORDER).collect() == cdc.current_state(core, ORDER).collect()
-    # an older version of the deleted key arrives late: it stays dead
-    late = cdc.to_core(records(spark, "order", [{"order_id": "A", "_cdc_seq": 7}]), ORDER)
-    keys = {r.order_id for r in cdc.current_state(small.unionByName(late), ORDER).collect()}
-    assert keys == {"B"}
-    assert cdc.compact(core, ORDER, tombstones_after=ago(0)).count() == 1
-
-
-def test_rebuild_equals_the_projection(spark):
-    a_lake = workspace(spark, SMALL).lake
-    rebuilt = cdc.rebuild_core(a_lake.landing("order"), ORDER)
-    assert sorted(rebuilt.collect()) == sorted(a_lake.core("order").collect())
-
-
 def test_child_rows_under_their_parent(spark):
     a_lake = workspace(spark, SMALL).lake
     head = a_lake.current("order").select("order_id", F.col("currency").alias("cur"))
@@ -143,7 +121,7 @@ def test_profile_counts_operations_and_deleted_keys(spark):
         {"order_id": "A", "_cdc_seq": 2, "_op": "u"}, {"order_id": "A", "_cdc_seq": 1},
         {"order_id": "B"}, {"order_id": "B", "_op": "d"},
     ])
-    row = cdc.cdc_profile(a_lake.landing("order"), a_lake.core("order"), ORDER).first()
+    row = cdc.cdc_profile(a_lake.landing("order"), a_lake.state("order"), ORDER).first()
     assert (row.landing_rows, row.landing_distinct_keys) == (4, 2)
     assert (row.core_rows, row.core_deleted_keys, row.keys_with_dup_in_core) == (1, 1, 0)
     assert (row.ops_create, row.ops_update, row.ops_delete) == (2, 1, 1)

@@ -112,27 +112,44 @@ def test_frame_header(spark):
     assert other._magic == 7
 
 
-def test_framed_records_are_decoded_by_schema_id(spark):
-    frames = [bytearray(bytes([0, 0, 0, 0, n]) + b'{"a":"%d"}' % n) for n in (1, 1, 2)]
-    frames.append(bytearray(b"\x01\x00\x00\x00\x01junk"))
-    df = spark.createDataFrame([(f,) for f in frames], "value binary")
-
-    def decode(col, schema):
-        return F.from_json(col.cast("string"), schema)
-
-    out = landing.decode_framed_avro(df, "value", {1: "a string", 2: "b int, a string"}, decode)
-    assert [r.a for r in out[1].collect()] == ["1", "1"]
-    assert [(r.a, r.b) for r in out[2].collect()] == [("2", None)]
+def framed(schemas):
+    return landing.Framed(schemas, lambda col, schema: F.from_json(F.decode(col, "UTF-8"), schema))
+
+
+def test_framed_records_are_decoded_by_their_own_schema(spark):
+    row = records(spark, "order", [{"order_id": "A", "discount_code": "X"}])
+    body = landing.to_lines(row.drop("_schema_id")).first().value.encode()
+    names = [f.name for f in ORDER.landing_schema.fields if f.name != "_schema_id"]
+    known = {i: ", ".join(f"{n} string" for n in names if n not in without) for i, without in {1: ("discount_code",), 258: ()}.items()}
+    frames = [bytes([0]) + i.to_bytes(4, "big") + b for i, b in [(1, body), (258, body), (3, body), (1, b"")]]
+    frames += [b"\x01" + frames[0][1:], b"\x00\x00", b""]
+    messages = spark.createDataFrame([(bytearray(f), 4, n) for n, f in enumerate(frames)] + [(None, 4, 9)], "value binary, partition int, offset long")
+    good, bad = landing.split_malformed(landing.coerce(framed(known)(messages, ORDER), ORDER), ORDER)
+    got = sorted((r._schema_id, r.discount_code, r._partition, r._offset, r.order_id, r.total_amount) for r in good.collect())
+    total = row.first().total_amount
+    assert got == [(1, None, 4, 0, "A", total), (258, "X", 4, 1, "A", total)]
+    why = {(r.line, r.reason) for r in bad.collect()}
+    reasons = ["frame:schema", "frame:payload", "frame:magic", "frame:short", "frame:short"]
+    told = {(f.hex().upper(), r) for f, r in zip(frames[2:], reasons)}
+    assert why == told | {(None, "frame:short")}
+
+
+def test_framed_messages_without_any_known_schema_are_all_quarantined(spark):
+    messages = spark.createDataFrame([(bytearray(b"\x00\x00\x00\x00\x01x"),)], "value binary")
+    good, bad = landing.split_malformed(landing.coerce(framed({})(messages, ORDER), ORDER), ORDER)
+    assert good.count() == 0
+    assert [r.reason for r in bad.collect()] == ["frame:schema"]
 
 
 def test_avro_decoding_needs_its_package(spark):
     df = spark.createDataFrame([(bytearray(b"\x00\x00\x00\x00\x01\x02a"),)], "value binary")
+    schema = '{"type": "record", "name": "r", "fields": [{"name": "order_id", "type": "string"}]}'
     try:
-        out = landing.decode_framed_avro(df, "value", {1: '"string"'})
+        out = landing.Framed({1: schema})(df, ORDER)
     except Exception as error:
         assert "avro" in str(error).lower()
         pytest.skip("spark-avro is not on the class path")
-    assert 1 in out
+    assert [r.order_id for r in out.collect()] == ["a"]
 
 
 def test_conformance_counts_findings(spark):

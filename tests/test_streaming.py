@@ -1,16 +1,19 @@
 """Streams give the same tables as batches, over several micro-batches and replays."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tests.support import SMALL, ago, records
+from tests.support import AS_OF, SMALL, ago, records
 from tidemark.contracts import CONTRACTS
 from tidemark.operators import cdc
-from tidemark.plans.catalog import workspace
+from tidemark.operators.store import Store
+from tidemark.plans import refresh
+from tidemark.plans.catalog import framed_json, framed_orders, workspace
 from tidemark.session import scratch
 from tidemark.sources import files, landing
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, offsets
 
 ORDER = CONTRACTS["order"]
 
@@ -49,20 +52,20 @@ def test_upsert_equals_current_state_over_shuffled_batches(spark):
     source = spark.readStream.schema(ORDER.landing_schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/l0")
     assert stream.schema == source.schema
     finish(jobs.stream_upsert(source, ORDER, f"{base}/table", f"{base}/cp", buckets=6))
-    table = spark.read.parquet(f"{base}/table")
-    assert table.count() == rows.select("order_id").distinct().count()
-    live = table.where(F.col("_is_deleted") == 0).select(*ORDER.columns)
+    store = Store(spark, f"{base}/table", ORDER)
+    assert store.buckets == 6
+    assert store.table().count() == rows.select("order_id").distinct().count()
     expect = workspace(spark, SMALL).lake.current("order").select(*ORDER.columns)
-    assert sorted(live.collect()) == sorted(expect.collect())
+    assert sorted(store.current().select(*ORDER.columns).collect()) == sorted(expect.collect())
 
 
 def test_a_repeated_batch_and_an_old_version_change_nothing(spark):
     base = scratch(spark, "stream")
 
     def fold(batch_id, rows):
-        batch = records(spark, "order", rows)
-        jobs.merge_batch(batch, ORDER, f"{base}/t", f"{base}/s", batch_id, 4)
-        return sorted((r.order_id, r.order_status, r._is_deleted) for r in spark.read.parquet(f"{base}/t").collect())
+        jobs.merge_batch(records(spark, "order", rows), Store(spark, base, ORDER, 4), "w", batch_id)
+        state = Store(spark, base, ORDER).table().collect()
+        return sorted((r.order_id, r.order_status, r._is_deleted) for r in state)
 
     first = [{"order_id": "A", "_cdc_seq": 5}, {"order_id": "B", "_cdc_seq": 5}]
     assert fold(0, first) == [("A", "paid", 0), ("B", "paid", 0)]
@@ -129,7 +132,7 @@ def test_a_very_late_record_still_lands(spark):
     assert spark.read.parquet(f"{base}/dlq").count() == 3
 
 
-def test_a_reset_checkpoint_does_not_reuse_old_staging(spark):
+def test_a_reset_checkpoint_is_another_writer(spark):
     base = scratch(spark, "stream")
     for run, key in enumerate("AB"):
         records(spark, "order", [{"order_id": key}]).write.mode("append").parquet(f"{base}/l0-{key}")
@@ -137,4 +140,93 @@ def test_a_reset_checkpoint_does_not_reuse_old_staging(spark):
         if run:
             files.delete(spark, f"{base}/cp")
         finish(jobs.stream_upsert(source, ORDER, f"{base}/table", f"{base}/cp", buckets=2))
-    assert sorted(r.order_id for r in spark.read.parquet(f"{base}/table").collect()) == ["A", "B"]
+    assert sorted(r.order_id for r in Store(spark, f"{base}/table", ORDER).table().collect()) == ["A", "B"]
+
+
+def land(spark, base, **more):
+    lines = spark.readStream.text(f"{base}/topic")
+    finish(*jobs.stream_landing(lines, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", skip_replays=True, **more))
+
+
+def send(spark, base, *rows, bad=0):
+    for part in rows:
+        landing.to_lines(part).coalesce(1).write.mode("append").text(f"{base}/topic")
+    if bad:
+        spark.createDataFrame([(f"bad {n}",) for n in range(bad)], "value string").coalesce(1).write.mode("append").text(f"{base}/topic")
+
+
+def test_a_first_batch_of_bad_lines_does_not_stop_the_stream(spark):
+    base = scratch(spark, "stream")
+    rows = records(spark, "order", [{"order_id": str(n)} for n in range(6)])
+    for parts, bad in (((), 2), ((rows, rows), 1), ((), 1), ((rows,), 0)):
+        send(spark, base, *parts, bad=bad)
+        land(spark, base)
+    assert sorted(jobs.read_landed(spark, f"{base}/l0", ORDER).collect()) == sorted(rows.collect())
+    assert spark.read.parquet(f"{base}/dlq").count() == 4
+
+
+def test_a_batch_reads_no_landed_record_and_few_intervals(spark):
+    base = scratch(spark, "stream")
+    for n in range(4):
+        send(spark, base, records(spark, "order", [{"order_id": f"{n}-{i}", "_offset": n * 50 + i} for i in range(50)]))
+        land(spark, base)
+    index = offsets.read(spark, f"{base}/l0-offsets")
+    assert sorted((r.first, r.last) for r in index.collect()) == [(0, 49), (50, 99), (100, 149), (150, 199)]
+    plan = offsets.unseen(records(spark, "order", [{"order_id": "x"}]), index)
+    assert all("l0-offsets" in f for f in plan.inputFiles())
+    assert offsets.fold(spark, f"{base}/l0-offsets", "next", after=3)
+    assert [(r.first, r.last) for r in offsets.read(spark, f"{base}/l0-offsets").collect()] == [(0, 199)]
+    send(spark, base, records(spark, "order", [{"order_id": "again", "_offset": 77}, {"order_id": "new", "_offset": 200}]))
+    land(spark, base)
+    landed = jobs.read_landed(spark, f"{base}/l0", ORDER)
+    assert landed.count() == 201
+    assert landed.where("order_id = 'new'").count() == 1
+
+
+def test_a_batch_repeated_after_a_crash_lands_what_it_landed_before(spark):
+    base = scratch(spark, "stream")
+    rows = records(spark, "order", [{"order_id": str(n), "created_at": ago(40 * (n % 3))} for n in range(9)])
+    send(spark, base, rows)
+    land(spark, base)
+    # the checkpoint forgets that the batch was done: it runs again with the same number
+    files.delete(spark, f"{base}/cp/commits/0")
+    files.delete(spark, f"{base}/cp/commits/.0.crc")
+    month = next(iter(files.partitions(spark, f"{base}/l0", "_month").values()))
+    files.delete(spark, month)  # and one month was not written when it crashed
+    land(spark, base)
+    assert sorted(jobs.read_landed(spark, f"{base}/l0", ORDER).collect()) == sorted(rows.collect())
+
+
+def test_unseen_offsets_equal_brute_force(spark):
+    rng = random.Random(3)
+    landed = sorted(rng.sample(range(0, 3_000_000, 7), 400))
+    asked = [rng.choice((rng.choice(landed), rng.randrange(0, 3_000_000))) for _ in range(300)]
+    old = records(spark, "order", [{"order_id": "o", "_offset": o} for o in landed])
+    index = offsets.intervals(old).withColumn("_batch", F.lit("b"))
+    again = offsets.joined(index.unionByName(index).drop("_batch"))
+    assert sorted((r.first, r.last) for r in again.collect()) == sorted((r.first, r.last) for r in index.collect())
+    got = offsets.unseen(records(spark, "order", [{"order_id": "n", "_offset": o} for o in asked]), index)
+    assert sorted(r._offset for r in got.collect()) == sorted(set(asked) - set(landed))
+
+
+def test_retention_of_a_table_without_replays(spark):
+    base = scratch(spark, "stream")
+    send(spark, base, records(spark, "order", [{"order_id": "old", "created_at": ago(3)}, {"order_id": "new", "created_at": ago(1)}]))
+    land(spark, base)
+    refresh.retain(f"{base}/l0", spark, AS_OF, 2, "_kafka_ts")
+    send(spark, base, records(spark, "order", [{"order_id": "next", "created_at": ago(0), "_offset": 3}]))
+    land(spark, base)
+    assert sorted(r.order_id for r in jobs.read_landed(spark, f"{base}/l0", ORDER).collect()) == ["new", "next"]
+
+
+def test_framed_messages_land_and_are_quarantined(spark):
+    base = scratch(spark, "stream")
+    orders = workspace(spark, SMALL).lake.landing("order").where("order_id < 1000")
+    framed_orders(orders).write.parquet(f"{base}/topic")
+    parse = framed_json(ORDER, ("discount_code",))
+    messages = spark.readStream.schema(framed_orders(orders).schema).parquet(f"{base}/topic")
+    finish(*jobs.stream_landing(messages, ORDER, f"{base}/l0", f"{base}/dlq", f"{base}/cp", skip_replays=True, parse=parse))
+    good, bad = jobs.read_landed(spark, f"{base}/l0", ORDER), spark.read.parquet(f"{base}/dlq")
+    assert good.count() + bad.count() == orders.count()
+    assert {r.reason for r in bad.collect()} == {"frame:short", "frame:magic", "frame:schema", "frame:payload"}
+    assert {r._schema_id for r in good.collect()} == {1, 2}

@@ -39,6 +39,8 @@ VERSION_ORDER = ("_cdc_seq", "_kafka_ts", "_partition", "_offset")
 OFFSET_KEY = ("_topic", "_partition", "_offset")
 # Partition column of stored landing and core tables: yyyyMM of some time column.
 MONTH = "_month"
+# Partition column of what one micro-batch of a stream wrote.
+BATCH = "_batch"
 
 # Status sets used by several marts.
 BILLABLE = ("paid", "invoiced", "shipped", "delivered")

@@ -1,8 +1,8 @@
-"""The core layer: row projection, current state, compaction, rebuild, profile."""
+"""The core layer: row projection, current state, profile."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,23 +110,6 @@ def current_by_max(core: DataFrame, contract: Contract, columns: Sequence[str])
     )
 
 
-def compact(core: DataFrame, contract: Contract, tombstones_after: datetime | None = None) -> DataFrame:
-    """Drop superseded versions. A deleted key keeps its newest row as a
-    tombstone, so that an older version arriving late cannot bring it back;
-    tombstones ingested before ``tombstones_after`` (past retention) go too."""
-    kept = newest(core, contract.key)
-    if tombstones_after is not None:
-        kept = kept.where(
-            (F.col("_is_deleted") == 0) | (F.col("_ingested_at") >= stamp(tombstones_after))
-        )
-    return kept
-
-
-def rebuild_core(landing: DataFrame, contract: Contract) -> DataFrame:
-    """Re-derive the core from the whole landing table by the same projection."""
-    return to_core(landing, contract)
-
-
 # operation letter -> name of its counter
 OPERATION_COUNTS = {
     "c": "ops_create",
@@ -204,15 +187,14 @@ def landing_profile(landing: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def core_profile(core: DataFrame, contract: Contract) -> DataFrame:
-    """One row: live keys, deleted keys, and keys the current view holds twice."""
-    newest_rows = newest(core, contract.key)
+def core_profile(state: DataFrame, contract: Contract) -> DataFrame:
+    """One row: live keys, deleted keys, and keys that are live twice. ``state`` is what readers
+    get before deleted keys are dropped; it should hold one row per key, which is counted here
+    and not assumed."""
     live = flag(F.col("_is_deleted") == 0)
-    per_key = newest_rows.groupBy(*contract.key).agg(
-        F.sum(live).alias("live"), F.count(F.lit(1)).alias("n")
-    )
+    per_key = state.groupBy(*contract.key).agg(F.sum(live).alias("live"))
     return per_key.agg(
-        F.coalesce(F.sum("live"), F.lit(0)).alias("core_rows"),
+        F.count_if(F.col("live") > 0).alias("core_rows"),
         F.count_if(F.col("live") == 0).alias("core_deleted_keys"),
         F.count_if(F.col("live") > 1).alias("keys_with_dup_in_core"),
     )
@@ -227,19 +209,26 @@ def with_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
     return df
 
 
-def cdc_profile(landing: DataFrame, core: DataFrame, contract: Contract) -> DataFrame:
+def cdc_profile(landing: DataFrame, state: DataFrame, contract: Contract) -> DataFrame:
     """One row per entity: operations, keys, duplicates, out-of-order keys."""
-    both = with_scalars(landing_profile(landing, contract.key), core_profile(core, contract))
+    both = with_scalars(landing_profile(landing, contract.key), core_profile(state, contract))
     return both.select(
         F.lit(contract.context).alias("context"), F.lit(contract.entity).alias("entity"), "*"
     )
 
 
 class Lake:
-    """Access to the layers by entity name: landing, core and current state."""
+    """Access to the layers by entity name: landing, core and current state. ``stored`` gives
+    the rows of the stored state table of an entity, where there is one."""
 
-    def __init__(self, landing: dict, contracts: dict[str, Contract], core: dict | None = None):
-        self._landing, self.contracts, self._core = landing, contracts, core or {}
+    def __init__(
+        self,
+        landing: dict,
+        contracts: dict[str, Contract],
+        core: dict | None = None,
+        stored: Callable[[str], DataFrame] | None = None,
+    ):
+        self._landing, self.contracts, self._core, self._stored = landing, contracts, core or {}, stored
 
     def landing(self, entity: str) -> DataFrame:
         return self._landing[entity]
@@ -249,6 +238,12 @@ class Lake:
             self._core[entity] = to_core(self.landing(entity), self.contracts[entity])
         return self._core[entity]
 
+    def state(self, entity: str) -> DataFrame:
+        """The row of every key, deleted or not, as stored; worked out where nothing is."""
+        if self._stored is not None:
+            return self._stored(entity)
+        return newest(self.core(entity), self.contracts[entity].key)
+
     def parents(self, child: str, on: str, parent: str, since: datetime, narrow: bool) -> DataFrame:
         """Current parents of child rows created from ``since`` on. For a narrow
         window only the parents named by any of its child versions are resolved,

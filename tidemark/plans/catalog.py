@@ -12,6 +12,7 @@ from tidemark.contracts import CONTRACTS, MONTH
 from tidemark.functions import flag, in_window, is_blank, midnight, money_sum, seconds_between
 from tidemark.operators import cdc, joins, windows
 from tidemark.operators.aggregates import duplicate_keys, preferred_value, quantiles
+from tidemark.operators.store import Store
 from tidemark.plans import quality, refresh, reports
 from tidemark.plans.marts import discounts, health, margin, payments, sales, stock
 from tidemark.plans.workspace import Workspace
@@ -140,6 +141,55 @@ def _dlq_split(w: Workspace) -> DataFrame:
     )
 
 
+def framed_orders(orders: DataFrame) -> DataFrame:
+    """The order records as framed messages of two schemas: the first, for odd orders, does not
+    know coupons yet. Some are damaged: a cut payload, an unknown schema, another magic byte, less
+    than a header. The payload is JSON here; a topic has Avro."""
+    key = F.col("order_id").cast("bigint")
+    texts = [F.col(c).cast("string").alias(c) for c in orders.columns if c not in landing.MESSAGE]
+    first = F.to_json(F.struct(*[t for t, c in zip(texts, [c for c in orders.columns if c not in landing.MESSAGE]) if c != "discount_code"]))
+    payload = F.when(key % 2 == 1, first).otherwise(F.to_json(F.struct(*texts)))
+    payload = F.when(key % 97 == 0, F.substring(payload, 1, 20)).otherwise(payload)
+    schema = F.when(key % 89 == 0, 9).otherwise(F.when(key % 2 == 1, 1).otherwise(2))
+    head = F.concat(F.when(key % 83 == 0, "01").otherwise("00"), F.lpad(F.hex(schema.cast("bigint")), 8, "0"))
+    frame = F.concat(F.unhex(head), F.encode(payload, "UTF-8"))
+    return orders.select(
+        F.when(key % 79 == 0, F.substring(frame, 1, 3)).otherwise(frame).alias("value"),
+        *[F.col(name).alias(source) for name, source in landing.MESSAGE.items()],
+    )
+
+
+def framed_json(contract, without: tuple[str, ...]) -> landing.Framed:
+    """Reader of ``framed_orders``: JSON payloads, the first schema without some fields."""
+    names = [f.name for f in contract.landing_schema.fields if f.name not in landing.MESSAGE and f.name != "_schema_id"]
+    schemas = {1: [n for n in names if n not in without], 2: names}
+
+    def decode(payload, schema):
+        record = F.from_json(F.decode(payload, "UTF-8"), schema, {"mode": "PERMISSIVE"})
+        return F.when(F.col("_payload").isNotNull() & record["order_id"].isNotNull(), record)
+
+    return landing.Framed({i: ", ".join(f"{n} string" for n in ns) for i, ns in schemas.items()}, decode)
+
+
+def _framed_split(w: Workspace) -> tuple[DataFrame, DataFrame]:
+    contract = CONTRACTS["order"]
+    parse = framed_json(contract, ("discount_code",))
+    messages = framed_orders(w.lake.landing("order"))
+    return landing.split_malformed(landing.coerce(parse(messages, contract), contract), contract)
+
+
+@query("framed_landing")
+def _framed_landing(w: Workspace) -> DataFrame:
+    return _framed_split(w)[0]
+
+
+@query("framed_dlq")
+def _framed_dlq(w: Workspace) -> DataFrame:
+    """Why messages were quarantined, and how many bytes they have."""
+    bad = _framed_split(w)[1]
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.length("line") < 10).alias("short"))
+
+
 @query("landing_json")
 def _landing_json(w: Workspace) -> DataFrame:
     path = scratch(w.spark, "json")
@@ -217,26 +267,72 @@ def _delete_resurrect(w: Workspace) -> DataFrame:
     )
 
 
+def _stored_items(w: Workspace, writes: int = 3) -> Store:
+    """All versions of the items in a stored core table, in several runs."""
+    contract = CONTRACTS["order_item"]
+    store = Store(w.spark, scratch(w.spark, "core"), contract, 8)
+    core = w.lake.core("order_item")
+    for n in range(writes):
+        store.append(core.where(F.pmod(F.xxhash64("_offset", "_partition"), F.lit(writes)) == n), "load", n)
+    return store
+
+
 @query("compaction_invariant")
 def _compaction(w: Workspace) -> DataFrame:
-    contract = CONTRACTS["order_item"]
-    return cdc.current_state(cdc.compact(w.lake.core("order_item"), contract), contract)
+    """Stored versions, compacted: the current items are the same, and files have become smaller."""
+    store = _stored_items(w)
+    before = sum(p.bytes for p in store.parts)
+    hit = store.compact()
+    if hit and sum(p.bytes for p in store.parts) >= before:
+        raise ValueError("compaction has saved nothing")
+    return store.current()
+
+
+@query("compaction_report")
+def _compaction_report(w: Workspace) -> DataFrame:
+    """What compaction drops, by whether the key is live."""
+    store = _stored_items(w)
+    superseded = sum(store.superseded().values())
+    before = store.versions().agg(F.count(F.lit(1)).alias("rows_before"))
+    store.compact()
+    after = store.versions().agg(
+        F.count(F.lit(1)).alias("rows_after"), F.count_if(F.col("_is_deleted") == 1).alias("tombstones")
+    )
+    return cdc.with_scalars(before, after).withColumn("superseded", F.lit(superseded).cast("bigint"))
 
 
 @query("rebuild_parity")
 def _rebuild(w: Workspace) -> DataFrame:
-    rebuilt = cdc.rebuild_core(w.lake.landing("order_item"), CONTRACTS["order_item"])
-    return rebuilt.agg(
+    """A stored core table that lost one bucket and holds other amounts in a second: the two are
+    found by their fingerprints and derived from landing again."""
+    contract, raw = CONTRACTS["order_item"], w.lake.landing("order_item")
+    store = Store(w.spark, scratch(w.spark, "core"), contract, 8)
+    spoilt = F.when(store.bucket() == 5, F.col("total_amount") + 1).otherwise(F.col("total_amount"))
+    core = cdc.to_core(raw, contract).where(store.bucket() != 2)
+    store.append(core.withColumn("total_amount", spoilt.cast("decimal(18,4)")), "load", 0)
+    store.rebuild(raw, store.differing(raw))
+    return store.versions().agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("_is_deleted").alias("deleted_rows"),
         money_sum("total_amount").alias("total_amount"),
     )
 
 
+@query("core_differences")
+def _core_differences(w: Workspace) -> DataFrame:
+    """Live keys that a stored table without every 50th order does not have."""
+    contract, raw = CONTRACTS["order"], w.lake.landing("order")
+    store = Store(w.spark, scratch(w.spark, "core"), contract, 8)
+    kept = w.lake.core("order").where(F.col("order_id").cast("bigint") % 50 != 0)
+    store.append(kept, "load", 0, one_per_key=True)
+    found = store.differences(raw, store.differing(raw))
+    return found.select("order_id", "stored_rows", "landed_rows")
+
+
 query("cdc_profile")(
     lambda w: health.union_by_contract(
         CONTRACTS.values(),
-        lambda c: cdc.cdc_profile(w.lake.landing(c.entity), w.lake.core(c.entity), c),
+        lambda c: cdc.cdc_profile(w.lake.landing(c.entity), w.lake.state(c.entity), c),
     )
 )
 query("seq_regressions")(
@@ -538,11 +634,35 @@ def _core_stream(w: Workspace) -> DataFrame:
 
 @query("core_upsert")
 def _core_upsert(w: Workspace) -> DataFrame:
+    """A filled table, then four batches of changes, one of them a second time."""
     base, contract = scratch(w.spark, "stream"), CONTRACTS["order"]
-    stream = _order_stream(w, base)
-    _finish(jobs.stream_upsert(stream, contract, f"{base}/core", f"{base}/checkpoint", 8))
-    kept = w.spark.read.parquet(f"{base}/core").where(F.col("_is_deleted") == 0)
-    return kept.select(*contract.columns, "_ingested_at")
+    raw = w.lake.landing("order")
+    store = Store(w.spark, f"{base}/core", contract, 8)
+    store.append(cdc.to_core(raw.where(F.col("_cdc_seq") == 1), contract), "load", 0, one_per_key=True)
+    changes = raw.where(F.col("_cdc_seq") > 1)
+    for part in (0, 1, 2, 1):
+        changes.where(F.pmod(F.xxhash64("_offset"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    source = w.spark.readStream.schema(contract.landing_schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    _finish(jobs.stream_upsert(source, contract, f"{base}/core", f"{base}/checkpoint", 8))
+    return Store(w.spark, f"{base}/core", contract).current()
+
+
+@query("landing_stream_replay")
+def _landing_stream_replay(w: Workspace) -> DataFrame:
+    """Batches of the order topic: unreadable lines only, the later half, everything (so half of it
+    again, and the other half late), unreadable lines, everything again."""
+    base, contract = scratch(w.spark, "stream"), CONTRACTS["order"]
+    rows = w.lake.landing("order")
+    bad = w.spark.createDataFrame([("{ cut",)], "value string")
+    later = F.col("_kafka_ts") >= F.lit("1998-06-01").cast("timestamp_ntz")
+    whole = landing.to_lines(rows)
+    for lines in (bad, landing.to_lines(rows.where(later)), whole, bad, whole):
+        lines.coalesce(1).write.mode("append").text(f"{base}/topic")
+        stream = w.spark.readStream.text(f"{base}/topic")
+        _finish(*jobs.stream_landing(
+            stream, contract, f"{base}/landing", f"{base}/quarantine", f"{base}/checkpoint", skip_replays=True
+        ))
+    return jobs.read_landed(w.spark, f"{base}/landing", contract)
 
 
 @query("events_per_window")

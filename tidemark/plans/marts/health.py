@@ -25,7 +25,7 @@ def data_quality_overview(lake: Lake, as_of: datetime) -> DataFrame:
     """One row per entity: freshness, volume, reconciliation of keys, CDC counts."""
 
     def block(contract: Contract) -> DataFrame:
-        profile = cdc_profile(lake.landing(contract.entity), lake.core(contract.entity), contract)
+        profile = cdc_profile(lake.landing(contract.entity), lake.state(contract.entity), contract)
         return profile.withColumns(
             {
                 "topic": F.lit(contract.topic),

@@ -16,7 +16,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import MONTH
+from tidemark.contracts import BATCH, MONTH
 from tidemark.functions import flag, midnight, seconds_between, stamp
 from tidemark.operators.windows import latest_by
 from tidemark.session import scratch
@@ -239,6 +239,7 @@ def retain(path: str, spark: SparkSession, as_of: datetime, days: int, ts_col: s
     if not folders:
         return
     kept_rows = apply_retention(spark.read.parquet(path), as_of, days, ts_col)
+    by = [c for c in (MONTH, BATCH) if c in kept_rows.columns]  # a table without replays is cut by batch too
     count = lambda df: {r[0]: r[1] for r in df.groupBy(MONTH).count().collect()}
     before, after = count(spark.read.parquet(path)), count(kept_rows)
     mixed = [m for m, n in before.items() if 0 < after.get(m, 0) < n]
@@ -247,7 +248,7 @@ def retain(path: str, spark: SparkSession, as_of: datetime, days: int, ts_col: s
             (
                 kept.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(MONTH)
+                .partitionBy(*by)
                 .parquet(path)
             )
     for month in before:

@@ -8,11 +8,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.contracts import CONTRACTS
-from tidemark.operators.cdc import Lake
+from tidemark.operators.cdc import Lake, to_core
 from tidemark.operators.joins import Lookup
+from tidemark.operators.store import Store
 from tidemark.plans.marts import customers, discounts, health, margin, payments, sales, stock
+from tidemark.session import scratch
 from tidemark.sources.retail import PAYMENTS_AS_OF, SALES_AS_OF, WIDE_DAYS, RetailTables
 
+# of the stored state tables, each of a few megabytes in the test folders
+STORE_BUCKETS = 8
+
 
 def load_lookups(lake: Lake) -> dict[str, Lookup]:
     """The two registries that marts look up by key."""
@@ -38,8 +43,17 @@ class Workspace:
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str) -> Workspace:
         tables = RetailTables(spark, folder)
-        lake = Lake({e: tables.landing(e) for e in CONTRACTS}, CONTRACTS)
-        space = cls(lake)
+        landing = {e: tables.landing(e) for e in CONTRACTS}
+        stores: dict[str, Store] = {}
+
+        def stored(entity: str) -> DataFrame:
+            if entity not in stores:
+                store = Store(spark, scratch(spark, f"core-{entity}"), CONTRACTS[entity], STORE_BUCKETS)
+                store.append(to_core(landing[entity], CONTRACTS[entity]), "load", 0, one_per_key=True)
+                stores[entity] = store
+            return stores[entity].table()
+
+        space = cls(Lake(landing, CONTRACTS, stored=stored))
         space.spark, space.tables = spark, tables
         return space
 

@@ -32,3 +32,9 @@ def partitions(spark: SparkSession, path: str, column: str) -> dict[str, str]:
             found[name.split("=", 1)[1]] = status.getPath().toString()
     return found
 
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a folder."""
+    hadoop_path, fs = _path(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,12 @@ def _message_columns(lines: DataFrame) -> list[Column]:
 
 
 def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """A topic as a stream of JSON lines with message attributes. Needs the Kafka
+    """A topic as a stream of JSON lines with message attributes."""
+    return kafka_messages(spark, servers, topic).withColumn("value", F.col("value").cast("string"))
+
+
+def kafka_messages(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """A topic as a stream of binary messages with their attributes. Needs the Kafka
     connector package on the cluster."""
     messages = (
         spark.readStream.format("kafka")
@@ -62,9 +69,7 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
         .option("startingOffsets", "earliest")
         .load()
     )
-    return messages.select(
-        F.col("value").cast("string").alias("value"), *MESSAGE.values()
-    )
+    return messages.select("value", *MESSAGE.values())
 
 
 def coerce(raw: DataFrame, contract: Contract) -> DataFrame:
@@ -72,7 +77,8 @@ def coerce(raw: DataFrame, contract: Contract) -> DataFrame:
     not JSON, a required value missing, a value of the wrong type, a value
     outside its domain, or with more decimals than its column. ``_ingested_at`` may be absent; it is then the clock."""
     typed: dict[str, Column] = {}
-    errors: list[Column] = [F.when(F.col("_corrupt").isNotNull(), "unparseable")]
+    cause = F.col("_frame") if "_frame" in raw.columns else F.lit("unparseable")
+    errors: list[Column] = [F.when(F.col("_corrupt").isNotNull(), cause)]
     readable = F.col("_corrupt").isNull()
     technical = (f.name for f in TECHNICAL.fields if f.name != "_ingested_at")
     required = {*contract.required, *technical}
@@ -164,6 +170,8 @@ def apply_retention(
 
 # --- binary messages with a schema-registry header --------------------------
 
+HEADER_BYTES = 5  # magic byte and schema id
+
 
 def split_frame(df: DataFrame, col: str) -> DataFrame:
     """Header of a framed message: magic byte, big-endian schema id, payload."""
@@ -177,26 +185,63 @@ def split_frame(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def decode_framed_avro(
-    df: DataFrame, col: str, schemas: dict[int, str], decode: Callable | None = None
-) -> dict[int, DataFrame]:
-    """Decoded records per schema id. Frames with another magic byte or an unknown
-    id are not decoded; they stay with ``split_frame`` for quarantine.
+@dataclass(frozen=True)
+class Framed:
+    """How to read framed messages: the known ``schemas`` by id, and ``decode(column, schema)``,
+    which gives a struct or null. It defaults to Spark's ``from_avro``, which needs the spark-avro
+    package on the cluster."""
 
-    ``decode(column, json_schema)`` defaults to Spark's ``from_avro``, which needs
-    the spark-avro package on the cluster.
-    """
-    if decode is None:
+    schemas: Mapping[int, str]
+    decode: Callable[[Column, str], Column] | None = None
+
+    def decoder(self) -> Callable[[Column, str], Column]:
+        if self.decode is not None:
+            return self.decode
         from pyspark.sql.avro.functions import from_avro
 
-        decode = from_avro
-    framed = split_frame(df, col)
-    return {
-        schema_id: framed.where((F.col("_magic") == 0) & (F.col("_schema_id") == schema_id))
-        .withColumn("_record", decode(F.col("_payload"), schema))
-        .select("_record.*")
-        for schema_id, schema in schemas.items()
-    }
+        return lambda payload, schema: from_avro(payload, schema, {"mode": "PERMISSIVE"})
+
+    def __call__(self, messages: DataFrame, contract: Contract) -> DataFrame:
+        return parse_framed(messages, contract, self)
+
+
+def parse_framed(messages: DataFrame, contract: Contract, framed: Framed) -> DataFrame:
+    """Framed binary messages (column ``value``) to one text column per landing field, as
+    ``parse_lines`` does for JSON, in one plan for all schema ids.
+
+    ``_schema_id`` is that of the header; the other technical columns come from the message where
+    the source is a topic. Fields that a schema does not have are null, fields that the contract
+    does not have are left out. ``_frame`` says why a message cannot be read: it is shorter than
+    its header, has another magic byte, an unknown schema, or a payload that does not decode.
+    The quarantined line is the whole message in hexadecimal, so it can be sent again.
+    """
+    decode, records = framed.decoder(), {i: f"_record_{i}" for i in framed.schemas}
+    value = F.col("value")
+    out = split_frame(messages.select("value", *_message_columns(messages)), "value")
+    mine = {i: (F.col("_magic") == 0) & (F.col("_schema_id") == i) for i in records}
+    # a message is decoded by its own schema alone; ``inline`` keeps decoding a step of its own
+    each = [F.when(mine[i], decode(F.col("_payload"), framed.schemas[i])).alias(name) for i, name in records.items()]
+    out = out.select("*", F.inline(F.array(F.struct(*each))))
+    decoded = reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in records.values()], F.lit(False))
+    frame = (
+        F.when(value.isNull() | (F.octet_length(value) < HEADER_BYTES), "frame:short")
+        .when(F.col("_magic") != 0, "frame:magic")
+        .when(~F.col("_schema_id").isin(*records), "frame:schema")
+        .when(~decoded, "frame:payload")
+    )
+    fields: dict[str, Column] = {}
+    for field in contract.landing_schema.fields:
+        held = [F.col(f"{r}.{field.name}").cast("string") for r in records.values() if field.name in out.schema[r].dataType.names]
+        fields[field.name] = F.coalesce(*held) if held else F.lit(None).cast("string")
+    fields["_schema_id"] = F.col("_schema_id").cast("string")
+    for name, source in MESSAGE.items():
+        if source in messages.columns:
+            fields[name] = F.col(f"_msg_{source}")
+    line = F.hex(value)
+    return out.select(
+        line.alias("_line"), frame.alias("_frame"), F.when(frame.isNotNull(), F.coalesce(line, F.lit(""))).alias("_corrupt"),
+        *[col.alias(name) for name, col in fields.items()],
+    )
 
 
 # --- schema conformance ---------------------------------------------------

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.contracts import MONTH, OFFSET_KEY, Contract
-from tidemark.operators.cdc import newest, to_core
+from tidemark.contracts import BATCH, MONTH, Contract
+from tidemark.operators.cdc import to_core
+from tidemark.operators.store import Store
 from tidemark.operators.windows import latest_by
-from tidemark.sources import files
 from tidemark.sources.landing import by_month, coerce, parse_lines, split_malformed
-
-BUCKET, BATCH = "_bucket", "_batch"
+from tidemark.streaming import offsets
 
 
 def _start(writer, trigger: dict) -> StreamingQuery:
@@ -22,6 +21,7 @@ def _start(writer, trigger: dict) -> StreamingQuery:
 
 
 NOW = {"availableNow": True}
+Parse = Callable[[DataFrame, Contract], DataFrame]
 
 
 def landing_stream(spark: SparkSession, path: str, contract: Contract, glob: str | None = None) -> DataFrame:
@@ -34,17 +34,18 @@ def landing_stream(spark: SparkSession, path: str, contract: Contract, glob: str
 
 def stream_landing(
     lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str,
-    trigger: dict = NOW, skip_replays: bool = False,
+    trigger: dict = NOW, skip_replays: bool = False, parse: Parse = parse_lines,
 ) -> list[StreamingQuery]:
-    """JSON lines to the landing table, and what cannot be read to quarantine.
+    """Messages (JSON lines, or what ``parse`` reads) to the landing table, and what cannot be
+    read to quarantine.
 
     Two file sinks, each with its own checkpoint: every line ends in exactly one
     of the two tables exactly once. With ``skip_replays`` a record that the producer
     sends again, however late, lands once by its source coordinates.
     """
     if skip_replays:
-        return [_start(_landing_once(lines, contract, path, quarantine, checkpoint), trigger)]
-    good, bad = split_malformed(coerce(parse_lines(lines, contract), contract), contract)
+        return [_start(_landing_once(lines, contract, path, quarantine, checkpoint, parse), trigger)]
+    good, bad = split_malformed(coerce(parse(lines, contract), contract), contract)
     landed = (
         by_month(good)
         .writeStream.format("parquet")
@@ -67,35 +68,42 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def _landing_once(lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str):
-    """One pass per batch for both tables. New coordinates are those not yet in the landing
-    months that the batch falls in, so a repeated batch adds nothing either; no record is
-    too late. Quarantined lines are written under the run and the batch."""
+def _landing_once(lines: DataFrame, contract: Contract, path: str, quarantine: str, checkpoint: str, parse: Parse):
+    """One pass per batch for both tables. New records are those whose offsets are in no interval
+    of the index beside the table, so what a batch reads does not grow with what has landed, and
+    no record is too late. Everything is written under the run and the batch: a repeated
+    batch replaces what it wrote before, in the landing table, the index and quarantine."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        typed = coerce(parse_lines(batch, contract), contract).persist()
-        good, bad = split_malformed(typed, contract)
-        fresh = by_month(good.dropDuplicates(list(OFFSET_KEY)))
-        if files.exists(spark, path):
-            # a few month labels
-            months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
-            landed = spark.read.parquet(path).where(F.col(MONTH).isin(months)).select(*OFFSET_KEY)
-            fresh = fresh.join(landed, list(OFFSET_KEY), "left_anti").select(*fresh.columns)
-        fresh.write.mode("append").partitionBy(MONTH).parquet(path)
         label = f"{_run_id(spark, checkpoint)}-{batch_id}"
-        (
-            bad.withColumn(BATCH, F.lit(label))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH)
-            .parquet(quarantine)
-        )
+        typed = coerce(parse(batch, contract), contract).persist()
+        good, bad = split_malformed(typed, contract)
+        index = f"{path}-offsets"
+        offsets.fold(spark, index, label)
+        others = offsets.read(spark, index).where(F.col(BATCH) != label)
+        fresh = by_month(offsets.unseen(good, others)).persist()
+        for rows, folder, by in ((fresh, path, [MONTH, BATCH]), (bad, quarantine, [BATCH])):
+            (
+                rows.withColumn(BATCH, F.lit(label))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*by)
+                .parquet(folder)
+            )
+        offsets.add(fresh, index, label)
+        fresh.unpersist()
         typed.unpersist()
 
     return lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
+def read_landed(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
+    """The landing table that ``stream_landing`` fills; empty before its first record."""
+    names = [f.name for f in contract.landing_schema.fields]
+    return spark.read.schema(contract.landing_schema).parquet(path).select(*names)
+
+
 def stream_core(
     landing: DataFrame, contract: Contract, path: str, checkpoint: str, trigger: dict = NOW
 ) -> StreamingQuery:
@@ -111,38 +119,12 @@ def stream_core(
     return _start(writer, trigger)
 
 
-def merge_batch(
-    batch: DataFrame, contract: Contract, path: str, staging: str, batch_id: int, buckets: int
-) -> None:
-    """Fold a batch of landing rows into a table that holds one row per key.
-
-    Only the hash buckets of the batch's keys are read and replaced. The merged
-    buckets are staged under the batch number first: a repeated batch finds them
-    and only repeats the replacement. The staging of the batch before is removed,
-    as that batch is complete by now. Deleted keys stay as tombstones.
-    """
-    spark = batch.sparkSession
-    files.delete(spark, f"{staging}/batch-{batch_id - 1}")
-    staged_path = f"{staging}/batch-{batch_id}"
-    if not files.exists(spark, f"{staged_path}/_SUCCESS"):
-        bucket = F.pmod(F.xxhash64(*contract.key), F.lit(buckets)).cast("int")
-        rows = newest(to_core(batch, contract), contract.key).withColumn(BUCKET, bucket).persist()
-        # at most ``buckets`` small numbers
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
-        merged = rows
-        if files.exists(spark, path):
-            old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
-            merged = newest(old.unionByName(rows), contract.key)
-        merged.write.mode("overwrite").parquet(staged_path)
-        rows.unpersist()
-    (
-        spark.read.parquet(staged_path)
-        .hint("rebalance", BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+def merge_batch(batch: DataFrame, store: Store, writer: str, batch_id: int) -> bool:
+    """Add a batch of landing rows to a stored core table: the batch writes its own rows, and
+    folds the buckets that have become due. A repeated batch adds nothing."""
+    added = store.append(to_core(batch, store.contract), writer, batch_id, one_per_key=True)
+    store.fold(store.due())
+    return added
 
 
 def stream_upsert(
@@ -153,15 +135,12 @@ def stream_upsert(
     buckets: int = 64,
     trigger: dict = NOW,
 ) -> StreamingQuery:
-    """Landing stream to a table with the newest row per key."""
+    """Landing stream to a stored core table (``Store``) that gives the newest row per key."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # staging of another run with the same batch numbers is never taken for this one's
-        staging = f"{checkpoint}-staging/{_run_id(batch.sparkSession, checkpoint)}"
-        if batch.isEmpty():
-            files.delete(batch.sparkSession, f"{staging}/batch-{batch_id - 1}")
-        else:
-            merge_batch(batch, contract, path, staging, batch_id, buckets)
+        if not batch.isEmpty():
+            spark = batch.sparkSession
+            merge_batch(batch, Store(spark, path, contract, buckets), _run_id(spark, checkpoint), batch_id)
 
     writer = landing.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _start(writer, trigger)
