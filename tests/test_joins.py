@@ -132,3 +132,36 @@ def test_sketch_quantiles_are_close(spark):
     exact = {r.g: r.p for r in aggregates.quantiles(df, ["g"], "v", {"p": 0.9}).collect()}
     rough = {r.g: r.p for r in aggregates.quantiles(df, ["g"], "v", {"p": 0.9}, exact=False).collect()}
     assert all(abs(exact[g] - rough[g]) < 20 for g in exact)
+
+
+def test_quantiles_of_a_hot_group_equal_percentile_and_no_task_holds_it(spark):
+    rng = random.Random(7)
+    rows = [("hot", int(rng.lognormvariate(6, 3))) for _ in range(20_000)] + [("few", 5), ("few", 8), ("one", -3), (None, 1), (None, 2), ("tie", 4), ("tie", 4), ("gone", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    qs = {"q0": 0.0, "q1": 0.013, "q5": 0.5, "q9": 0.99, "q10": 1.0}
+    got = {r[0]: list(r)[1:] for r in aggregates.quantiles(df, ["g"], "v", qs).collect()}
+    expect = {r.g: list(r.q) for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs.values()])).alias("q")).collect()}
+    assert {g: pytest.approx(v) for g, v in expect.items()} == got
+    # the ordered part: slices that hold a wanted rank, each a small share of the group
+    counted = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"))
+    distinct = counted.where("g = 'hot'").count()
+    cuts = counted.where("g = 'hot'").agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], aggregates.SKETCH).alias("c"))
+    sizes = counted.where("g = 'hot'").crossJoin(cuts).groupBy(F.size(F.filter("c", lambda c: c < F.col("v"))).alias("s")).count()
+    assert sizes.agg(F.max("count")).first()[0] < distinct / 64
+
+
+def test_quantiles_of_decimals_without_groups_and_of_nothing(spark):
+    df = spark.range(11).select((F.col("id") / 4).cast("decimal(18,4)").alias("v"))
+    assert [list(r) for r in aggregates.quantiles(df, [], "v", {"p": 0.25}).collect()] == [[0.625]]
+    nothing = spark.createDataFrame([("a", None)], "g string, v long")
+    assert aggregates.quantiles(nothing, ["g"], "v", {"p": 0.5}).collect() == []
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    right = spark.range(100).select(F.col("id").alias("r"))
+    marked = joins.mark_missing(left, right, [("k", "r")])
+    assert marked.columns == ["id", "k", "is_orphan"]
+    assert marked.agg(F.sum("is_orphan")).first()[0] == 4000 - 50
+    salts = joins.with_null_salt(left, ["k"]).where("k is null").groupBy("_salt").count()
+    assert salts.count() > 1000 and salts.agg(F.max("count")).first()[0] < 10

@@ -9,6 +9,7 @@ from tidemark.functions import midnight
 from tidemark.operators import cdc
 from tidemark.plans import refresh
 from tidemark.plans.catalog import QUERIES, workspace
+from tidemark.plans.marts import health
 from tidemark.sources import landing
 from tidemark.session import RECOMMENDED, scratch, shared_dir
 
@@ -86,3 +87,14 @@ def test_working_folders_lie_in_the_named_shared_folder(spark):
 @pytest.mark.parametrize("key", sorted(RECOMMENDED))
 def test_session_defaults(spark, key):
     assert spark.conf.get(key) == RECOMMENDED[key]
+
+
+def test_parents_of_a_window_are_filtered_by_its_keys_below_their_versions(spark):
+    w = workspace(spark, SMALL)
+    contract = CONTRACTS["order_item"]
+    (relation,) = (r for r in contract.relations if r.to == "order")
+    plan = physical(health._parents(w.lake, contract, relation, midnight(w.as_of, 7)))
+    windowed = plan.split("Window [row_number()", 1)[1]
+    assert "LeftSemi" in windowed and "LeftSemi" not in plan.split("Window [row_number()", 1)[0]
+    rows = health._parents(w.lake, contract, relation, midnight(w.as_of, 7))
+    assert 0 < rows.count() < w.lake.current("order").count() / 10

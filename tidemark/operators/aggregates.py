@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cdc import with_scalars
+
+SKETCH = 10_000  # accuracy of approximate quantiles
+
 
 def quantiles(
     df: DataFrame, group: Sequence[str], col: str, qs: dict[str, float], exact: bool = True
@@ -14,24 +19,74 @@ def quantiles(
     """Quantiles of ``col`` per group, one output column per entry of ``qs``.
 
     Exact: values are first counted (combined on the map side), so only distinct
-    values travel and are held. ``exact=False`` uses a bounded sketch.
+    values travel; see ``counted_quantiles``. ``exact=False`` uses a bounded sketch.
     """
     values = df.where(F.col(col).isNotNull())
-    probs = F.array(*[F.lit(q) for q in qs.values()])
     if exact:
         counted = values.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n"))
-        picked = counted.groupBy(*group).agg(
-            F.percentile(F.col(col), probs, F.col("_n")).alias("_q")
-        )
-    else:
-        picked = values.groupBy(*group).agg(
-            F.percentile_approx(F.col(col), list(qs.values()), 10_000).alias("_q")
-        )
+        return counted_quantiles(counted, group, col, "_n", qs)
+    picked = values.groupBy(*group).agg(
+        F.percentile_approx(F.col(col), list(qs.values()), SKETCH).alias("_q")
+    )
     return picked.select(
         *group, *[F.col("_q")[i].cast("double").alias(name) for i, name in enumerate(qs)]
     )
 
 
+def counted_quantiles(
+    counted: DataFrame, group: Sequence[str], col: str, weight: str, qs: dict[str, float], slices: int = 256
+) -> DataFrame:
+    """Exact interpolated quantiles per group of distinct values with their ``weight``.
+
+    No task holds the values of a group: a sketch of bounded size cuts every group into slices
+    of about as many values, the weights of slices say in which of them the wanted ranks lie, and
+    only those slices are put in order.
+    """
+    group = list(group)
+    probs = [i / slices for i in range(1, slices)]
+    facts = counted.groupBy(*group).agg(
+        F.percentile_approx(F.col(col), probs, SKETCH).alias("_cuts"), F.sum(weight).alias("_total")
+    )
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(col)))
+    sliced = _same(counted, facts, group).withColumn("_slice", below).drop("_cuts")
+
+    sizes = sliced.groupBy(*group, "_slice").agg(F.sum(weight).alias("_in"), F.first("_total").alias("_total"))
+    upto = Window.partitionBy(*group).orderBy("_slice")
+    places = [F.col("_total") * 1.0 * q - q for q in qs.values()]
+    ranks = [(F.floor(p), F.ceil(p)) for p in places]
+    wanted = sizes.withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
+    inside = reduce(
+        lambda a, b: a | b,
+        [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for pair in ranks for r in pair],
+    )
+    wanted = wanted.where(inside).select(*group, "_slice", "_before")
+
+    in_slice = Window.partitionBy(*group, "_slice").orderBy(col)
+    ordered = _same(sliced, wanted, [*group, "_slice"]).withColumn("_end", F.col("_before") + F.sum(weight).over(in_slice))
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col(weight)), F.col(col))).cast("double")
+
+    picked = ordered.groupBy(*group).agg(
+        F.first("_total").alias("_total"),
+        *[at(r).alias(f"_{name}_{side}") for name, pair in zip(qs, ranks) for side, r in zip(("lo", "hi"), pair)],
+    )
+    part = [p - F.floor(p) for p in places]
+    return picked.select(
+        *group,
+        *[((1 - f) * F.col(f"_{name}_lo") + f * F.col(f"_{name}_hi")).alias(name) for name, f in zip(qs, part)],
+    )
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns, null equal to null. Without columns ``right`` has one row."""
+    if not on:
+        return with_scalars(left, right)
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, condition).drop(*[f"_r_{c}" for c in on])
+
+
 def preferred_value(df: DataFrame, key: str, col: str, out: str, weight: str | None = None) -> DataFrame:
     """Most frequent value per key; ties go to the smaller value."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract, Relation
 from tidemark.functions import age_seconds, flag, is_blank, midnight, normalize_code, stamp
-from tidemark.operators.cdc import Lake, cdc_profile
-from tidemark.operators.joins import mark_missing
+from tidemark.operators.aggregates import counted_quantiles
+from tidemark.operators.cdc import Lake, cdc_profile, current_of
+from tidemark.operators.joins import mark_missing, with_null_salt
 from tidemark.operators.windows import sample_per_group
 
 
@@ -72,27 +73,44 @@ def relation_id(contract: Contract, relation: Relation, lake: Lake) -> str:
     return f"{contract.context}.{contract.entity} -> {to.context}.{to.entity}"
 
 
-def _references(lake: Lake, contract: Contract, as_of: datetime, days: int) -> DataFrame:
+def _local(relation: Relation, names: list[str]) -> dict[str, Column]:
+    """The local key of a relation, all of it null where a part is blank."""
+    filled = reduce(lambda a, b: a & b, [~is_blank(c) for c in relation.local])
+    values = [normalize_code(c) if relation.normalize else F.col(c) for c in relation.local]
+    return {n: F.when(filled, v) for n, v in zip(names, values)}
+
+
+def _parents(lake: Lake, contract: Contract, relation: Relation, since: datetime | None) -> DataFrame:
+    """Current rows a relation points to. For a window only those whose keys its child versions
+    name: the keys go into the parent's scan, before its versions are compared."""
+    if since is None:
+        return lake.current(relation.to)
+    recent = lake.core(contract.entity).where(F.col("created_at") >= stamp(since))
+    remote = list(relation.remote)
+    keys = recent.select(*[c.alias(r) for r, c in _local(relation, remote).items()]).where(F.col(remote[0]).isNotNull())
+    return current_of(lake.core(relation.to), lake.contracts[relation.to], keys.distinct())
+
+
+def _references(lake: Lake, contract: Contract, as_of: datetime, days: int | None) -> DataFrame:
     """One row per current row of the window and relation it takes part in, with an
     orphan mark. A relation whose local value is blank is not taken part in. All
     relations of an entity are looked up from one pass over its rows."""
-    rows = lake.current(contract.entity, midnight(as_of, days), coordinates=True)
+    since = None if days is None else midnight(as_of, days)
+    rows = lake.current(contract.entity, since, coordinates=True)
     entries = []
     for i, relation in enumerate(r for c, r in relations_of(lake) if c is contract):
         local = [f"_l{i}_{j}" for j in range(len(relation.local))]
-        for name, col in zip(local, relation.local):
-            rows = rows.withColumn(name, normalize_code(col) if relation.normalize else F.col(col))
+        rows = rows.withColumns(_local(relation, local))
         mark = f"_orphan{i}"
-        target = lake.current(relation.to)
+        target = _parents(lake, contract, relation, since)
         pairs = list(zip(local, relation.remote))
         if relation.kind == "temporal":
             rows = _mark_not_begun(rows, target, pairs, mark)
         else:
             rows = mark_missing(rows, target, pairs, mark)
-        filled = reduce(lambda a, b: a & b, [~is_blank(c) for c in local])
         entries.append(
             F.when(
-                filled,
+                F.col(local[0]).isNotNull(),
                 F.struct(
                     F.lit(relation_id(contract, relation, lake)).alias("relation_id"),
                     F.col(mark).alias("is_orphan"),
@@ -117,14 +135,17 @@ def _mark_not_begun(rows: DataFrame, target: DataFrame, pairs: list, mark: str)
     renamed = begins.select(
         *[F.col(r).alias(f"_r{j}") for j, (_, r) in enumerate(pairs)], "_begins"
     )
+    renamed = renamed.withColumn("_side", F.lit(0).cast("bigint"))
     same = reduce(
-        lambda a, b: a & b, [F.col(l) == F.col(f"_r{j}") for j, (l, _) in enumerate(pairs)]
+        lambda a, b: a & b,
+        [F.col(l) == F.col(f"_r{j}") for j, (l, _) in enumerate(pairs)],
+        F.col("_salt") == F.col("_side"),
     )
     begun = F.col("_begins") <= F.col("created_at")
-    return rows.join(renamed, same, "left").select(*rows.columns, (1 - flag(begun)).alias(mark))
+    return with_null_salt(rows, [l for l, _ in pairs]).join(renamed, same, "left").select(*rows.columns, (1 - flag(begun)).alias(mark))
 
 
-def _all_references(lake: Lake, as_of: datetime, days: int) -> DataFrame:
+def _all_references(lake: Lake, as_of: datetime, days: int | None) -> DataFrame:
     children = list(dict.fromkeys(c for c, _ in relations_of(lake)))
     return union_by_contract(children, lambda c: _references(lake, c, as_of, days))
 
@@ -153,9 +174,9 @@ def _declared(lake: Lake) -> DataFrame:
     )
 
 
-def orphan_summary(lake: Lake, as_of: datetime, window_days: int = 7) -> DataFrame:
-    """One row per relation: rate and age of the rows without a partner. A
-    quantile over nothing is null and passes."""
+def orphan_summary(lake: Lake, as_of: datetime, window_days: int | None = 7) -> DataFrame:
+    """One row per relation: rate and age of the rows without a partner, in a window or (None)
+    over all rows. A quantile over nothing is null and passes."""
     orphan = F.col("is_orphan") == 1
     # whole seconds of the window at most, however many orphans there are
     by_age = (
@@ -167,18 +188,21 @@ def orphan_summary(lake: Lake, as_of: datetime, window_days: int = 7) -> DataFra
     stats = by_age.groupBy("relation_id").agg(
         F.sum("n").alias("total_rows"),
         F.sum(F.when(orphan, F.col("n"))).alias("orphan_rows"),
-        F.percentile("age", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"),
         F.max("age").alias("orphan_age_max_s"),
     )
+    ages = counted_quantiles(
+        by_age.where(F.col("age").isNotNull()), ["relation_id"], "age", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    )
     every = (
         _declared(lake)
         .join(stats, "relation_id", "left")
+        .join(ages, "relation_id", "left")
         .na.fill(0, ["total_rows", "orphan_rows"])
     )
     pct = F.when(F.col("total_rows") == 0, F.lit(0.0)).otherwise(
         F.lit(100.0) * F.col("orphan_rows") / F.nullif(F.col("total_rows"), F.lit(0))
     )
-    p99 = F.col("q")[2]
+    p99 = F.col("p99")
     return every.select(
         "relation_id",
         "from_context",
@@ -191,8 +215,8 @@ def orphan_summary(lake: Lake, as_of: datetime, window_days: int = 7) -> DataFra
         pct.alias("orphan_rate_pct"),
         "threshold_pct",
         flag(pct <= F.col("threshold_pct")).alias("rate_ok"),
-        F.col("q")[0].alias("orphan_age_p50_s"),
-        F.col("q")[1].alias("orphan_age_p95_s"),
+        F.col("p50").alias("orphan_age_p50_s"),
+        F.col("p95").alias("orphan_age_p95_s"),
         p99.alias("orphan_age_p99_s"),
         "orphan_age_max_s",
         "refresh_window_s",
@@ -206,7 +230,7 @@ def _text(cols: Iterable[str]) -> Column:
 
 
 def orphan_records(
-    lake: Lake, as_of: datetime, window_days: int = 7, limit: int | None = None
+    lake: Lake, as_of: datetime, window_days: int | None = 7, limit: int | None = None
 ) -> DataFrame:
     """Single orphans with their source coordinates, all of them, or the
     oldest ``limit`` per relation where a sample is asked for."""

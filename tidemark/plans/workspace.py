@@ -69,6 +69,7 @@ class Workspace:
     @cached_property
     def _builders(self):
         lake, at, days = self.lake, self.as_of, self.days
+        wide = None if days >= WIDE_DAYS else days
         return {
             "order_360": lambda: sales.order_360(lake, self.lookups, at, None),
             "revenue_by_bu_day": lambda: sales.revenue_by_bu_day(lake, self.lookups, at, days),
@@ -85,7 +86,7 @@ class Workspace:
             "customer_metrics": lambda: customers.customer_metrics(lake, at),
             "customer_cohort": lambda: customers.customer_cohort(lake, at),
             "dq_overview": lambda: health.data_quality_overview(lake, at),
-            "orphan_summary": lambda: health.orphan_summary(lake, at, days),
-            "orphan_records": lambda: health.orphan_records(lake, at, days),
+            "orphan_summary": lambda: health.orphan_summary(lake, at, wide),
+            "orphan_records": lambda: health.orphan_records(lake, at, wide),
             "idle_catalog": lambda: stock.idle_catalog(lake, at),
         }
