@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on
 nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -252,6 +253,8 @@ def test_archive_round_trip(spark, tmp_path):
     rows = [
         (1, "http://a/ b\r\nX: y", "<p>é</p>\r\n\r\nWARC/1.1"), (2, None, "<p>é</p>\r\n\r\nWARC/1.1"), (3, "u", None), (4, "u", ""),
         (5, "u", "z" * 300_000), (5, "u", "z" * 300_000), (None, "n", "alone"), (6, "u", "n" * 30), (7, "u", "n" * 30),
+        (8, "http://a.com/ééé", "<html>" + "é" * 62), (9, "http://例え.jp/日本", "<html>漢字</html>"), (10, "http://例え.jp/" + "日本🙂/" * 40_000, "\r\n\r\n long"),
+        (11, "http://例え.jp/日本", "<html>漢字</html>"),
     ]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, record_type int")
     folder = scratch(spark, "archive")
@@ -264,7 +267,17 @@ def test_archive_round_trip(spark, tmp_path):
         assert r.record_type == "revisit" or bytes(r.payload) == html[r.page_id]
     kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in back)
     assert ("2", "revisit", 1) in kinds and ("4", "revisit", 3) in kinds and kinds.count(("5", "response", None)) == 1
-    assert ("5", "revisit", 5) in kinds and ("7", "revisit", 6) in kinds
+    assert ("5", "revisit", 5) in kinds and ("7", "revisit", 6) in kinds and ("11", "revisit", 9) in kinds
+    for r in back:
+        sha1 = hashlib.sha1(html[r.page_id]).digest()
+        assert r.payload_digest == base64.b32encode(sha1).decode()
+    assert {r.page_id: r.url for r in back}[9] == "http://例え.jp/日本"
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in archive.records(spark, folder).collect()]
+    names = re.findall("WARC-Record-ID: (.*)\r", "\n".join(heads))
+    assert len(set(names)) == len(rows) and set(re.findall("WARC-Refers-To: (.*)\r", "\n".join(heads))) <= set(names)
+    cut = archive.records(spark, folder).select(F.expr("substring(record, 1, octet_length(record) - 9)").alias("record"))
+    with pytest.raises(Exception, match="no whole payload"):
+        archive.parse(cut.where("contains(record, 'X-Page-Id: 8')")).collect()
     none = scratch(spark, "archive")
     archive.write(empty(pages), none)
     assert archive.records(spark, none).count() == 0
@@ -414,24 +427,42 @@ def test_neighbours_among_vectors_of_uneven_length(spark, monkeypatch):
         assert hits >= 0.9 * 20 * len(got)
 
 
-def test_ties_at_the_edge_of_a_block_go_to_smaller_ids():
+def test_neighbours_of_vectors_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BLOCK", 128)  # windows, not whole curves
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(10_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got, hits = {}, 0
+    for r in curves.search(vectors, F.col("vec_id") % 50 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert len(got) == 200 and hits >= 0.9 * 20 * 200
+
+
+def test_ties_at_the_edge_of_a_list_go_to_smaller_ids(spark):
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2, size=(700, 24)).astype(float)
     x[:, 0] = 1
-    block = pa.table({"uid": np.r_[np.arange(700), np.arange(40)], "embedding": pa.array(np.r_[x, x[:40]].tolist()), "query": np.arange(740) >= 700})
-    got = curves._nearest_in_block(21)(block).to_pylist()
+    rows = [(0, g, int(i), v.tolist(), q) for q, ids in ((True, range(40)), (False, rng.permutation(700))) for g in (0, 1) for i, v in zip(ids, x[list(ids)])]
+    dealt = spark.createDataFrame(rows, "block long, group int, uid long, embedding array<double>, query boolean").repartition(3)
     want = [(q, int(v), x[q] @ x[v]) for q in range(40) for v in np.lexsort((np.arange(700), -(x @ x[q])))[:21]]
-    assert sorted((r["q"], r["v"], r["score"]) for r in got) == sorted(want)
+    assert sorted(tuple(r) for r in curves._nearest(dealt, 21).collect()) == sorted(want * 2)
 
 
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1),
-            (6, [1.0, None], 1), (7, [2.0, 0.5], 1), (7, [2.0, 0.5], 1), (8, [1.0], 1), (9, [-1.0, 0.0], 1), (20, [0.0, 3.0], 1)]
+            (6, [1.0, None], 1), (7, [2.0, 0.5], 1), (7, [2.0, 0.5], 1), (7, [1.5, 0.25], 1), (8, [1.0], 1), (40, [2.0], 1), (60, [1.0, 2.0, 3.0], 1),
+            (9, [-1.0, 0.0], 1), (20, [0.0, 3.0], 1), (None, [5.0, 5.0], 1)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = {}
     for r in sorted(curves.search(vectors, F.col("vec_id") % 20 == 0, k=3).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == {0: [(7, 2.0), (1, 1.0), (2, 1.0)], 20: [(7, 1.5), (0, 0.0), (1, 0.0)]}
+    # one id with two vectors is two candidates; other numbers of components are other spaces
+    assert got == {0: [(7, 2.0), (7, 1.5), (1, 1.0)], 20: [(7, 1.5), (7, 0.75), (0, 0.0)], 40: [(8, 2.0)]}
     assert curves.search(empty(vectors), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -35,8 +35,10 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
 
-def _record_id(page: Column) -> Column:
-    digest = F.md5(F.concat(F.lit("page "), F.coalesce(page.cast("string"), F.lit("null"))))
+def _record_id(page: Column, url: Column, copy: Column) -> Column:
+    """A name of its own for every record, equal rows included."""
+    parts = F.struct(page.cast("string").alias("p"), url.alias("u"), F.hex("address").alias("a"), copy.alias("c"))
+    digest = F.md5(F.to_json(parts, {"ignoreNullFields": "false"}))
     parts = [F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -51,11 +53,11 @@ def _head(date: str) -> Column:
     fields = [
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("url"), F.col("copy"))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to")))),
+        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), _record_id(*[F.col(f"first.{c}") for c in ("page_id", "url", "copy")]))),
         F.when(~response, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")),
         F.when(~response, F.concat(F.lit("X-Refers-To-Page: "), F.col("refers_to").cast("string"))),
@@ -121,15 +123,20 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 def parse(archive: DataFrame) -> DataFrame:
     """Fields of ``record`` bytes: page_id, url, payload, payload_bytes, payload_digest,
     record_type and refers_to. For a response, length and digest are worked out from the
-    bytes read, for a revisit they are those of its header."""
-    text = F.decode(F.substring("record", 1, F.instr(F.expr("decode(record, 'UTF-8')"), "\r\n\r\n")), "UTF-8")
-    split = archive.select("record", F.concat(text, F.lit("\n")).alias("fields"))
+    bytes read, for a revisit they are those of its header. A response whose payload is shorter
+    than its header says stops the job."""
+    # one character per byte, so that the place found is one of bytes
+    end = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n")
+    text = F.decode(F.substring("record", 1, end), "UTF-8")
+    split = archive.select("record", end.alias("end"), F.concat(text, F.lit("\n")).alias("fields"))
     field = lambda name: F.nullif(
         F.regexp_extract("fields", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit("")
     )
-    start = F.octet_length("fields") + len("\n\r\n") - 1 + len(HTTP)
     size = field("Content-Length").cast("int") - len(HTTP)
-    payload = F.when(field("WARC-Type") == "response", F.substring("record", start + 1, size))
+    body = F.substring("record", F.col("end") + 4 + len(HTTP), size)
+    whole = (F.octet_length(body) == size) & (size.cast("long") == field("X-Payload-Length").cast("long"))
+    body = F.when(whole, body).otherwise(F.raise_error(F.concat(F.lit("no whole payload in "), "fields")).cast("binary"))
+    payload = F.when(field("WARC-Type") == "response", body)
     return split.select(
         field("X-Page-Id").cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),

@@ -9,18 +9,21 @@ For the largest inner product, vectors get one more coordinate that makes all of
 equally long (0 for a query), so near in direction means large product. That coordinate
 would drown all others if one vector were far longer than the rest; so the vectors are
 parted by their length, a factor of two to a range, and every query searches each
-range on the range's own curves. Ranges of less than ``BLOCK`` vectors are searched whole.
+range on the range's own curves.
 
 A window is a share of a curve (``share``), because in data without structure the recall
-depends on the share searched; in clustered data a far smaller share does. Blocks of a curve
-have ``BLOCK`` rows whatever the input; queries of a block are dealt over several groups
-when they are many.
-
-Rows: vectors that are null, zero, hold null or non-finite components, or have another
-length than most take no part, as a query or a candidate. Equal vectors are searched
-once and stand for their k + 1 smallest ids, which is all that can be among k nearest. A
-repeated vec_id counts once. Ties go to the smaller id. Other columns are not read; an empty
-table gives no rows.
+depends on the share searched; in clustered data a far smaller share does. A curve is cut into
+blocks of half a window (``BLOCK`` rows at least), so a query meets three blocks of each curve at
+most, at any size of the table. A block streams past its queries, which keep their best so far:
+a task holds ``QUERIES`` queries and one batch of vectors, and gives one list per query.
+
+Rows: vectors that are null, zero, or hold null or non-finite components take no part, as a query
+or a candidate. Vectors with another number of components are other spaces, each searched on its
+own; spaces of less than ``BLOCK`` vectors are searched whole. Equal vectors are searched
+once and stand for their k + 1 smallest ids, which is all that can be among k nearest; they are
+numbered in the order of their smallest ids. A vec_id that repeats with the same vector counts
+once, with another vector each counts. Ties go to the smaller id. Other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from tidemark.llm.text import stored
 CURVES = 16
 DIRECTIONS = 6
 BITS = 5
-SHARE = 0.09
+SHARE = 0.06
 BLOCK = 1024
-QUERIES = 4096  # of one group
+QUERIES = 4096  # that one task holds
 PAIRS = 1 << 14  # multiplied at a time
 
 
@@ -77,9 +80,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, embedding) that take part."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     full = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding")
-    full = full.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
-    sizes = full.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return full.where(F.size("embedding") == (sizes["n"] if sizes else 0))
+    return full.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
 
 def _norm(embedding: str) -> Column:
@@ -119,34 +120,74 @@ def _places(rows: DataFrame, dim: int, longest: list[float], curves: int, seed:
     return rows.select("uid", "embedding", "query", "level").mapInArrow(run, f"curve int, place long, uid long, embedding {kind}, query boolean")
 
 
-def _nearest_in_block(k: int):
-    """Best candidates of each query of one block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        query = table["query"].to_numpy(zero_copy_only=False) if len(table) else np.empty(0, bool)
-        ids, vectors = table["uid"].to_numpy(), _matrix(table["embedding"].combine_chunks())
-        # a block where one curve ends and the next begins may hold a row twice
-        q, v = (rows[np.unique(ids[rows], return_index=True)[1]] for rows in (np.flatnonzero(query), np.flatnonzero(~query)))
-        if not len(q) or not len(v):
-            return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        keep = min(k, len(v))
-        parts, sizes = [], np.linalg.norm(vectors, axis=1)
-        for some in np.array_split(q, -(-len(q) // 512)):
-            near = vectors[some] @ vectors[v].T
-            # all that may be among the best but for rounding, ties too
-            error = 4 * np.finfo(float).eps * vectors.shape[1] * np.outer(sizes[some], sizes[v])
-            edge = np.partition(near - error, len(v) - keep, axis=1)[:, [len(v) - keep]]
-            who, at = np.nonzero(~(near + error < edge))
-            # the same sum in the same order wherever a pair is met
-            pairs = zip(np.array_split(some[who], -(-len(who) // PAIRS)), np.array_split(v[at], -(-len(who) // PAIRS)), strict=True)
-            exact = np.concatenate([(vectors[x] * vectors[y]).sum(axis=1) for x, y in pairs])
-            by = np.lexsort((at, -exact, who))  # ``v`` is in order of ids
-            who, at, exact = who[by], at[by], exact[by]
-            best = np.arange(len(who)) - np.searchsorted(who, who) < keep
-            parts.append((ids[some[who[best]]], ids[v[at[best]]], exact[best]))
-        return pa.table(dict(zip(("q", "v", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    return run
+class Lists:
+    """The ``k`` best candidates so far of some queries (ids and vectors)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.sizes = np.linalg.norm(vectors, axis=1)
+        self.who, self.found, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take candidates in. Those whose rounded product may reach a query's list are worked
+        out exactly, by the same sum in the same order wherever a pair is met."""
+        error = 4 * np.finfo(float).eps * vectors.shape[1] * np.outer(self.sizes, np.linalg.norm(vectors, axis=1))
+        near = self.vectors @ vectors.T
+        edge = self.floor
+        if len(ids) > self.k:
+            edge = np.maximum(edge, np.partition(near - error, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        who, at = np.nonzero(~(near + error < edge[:, None]))
+        if not len(who):
+            return
+        cuts = range(0, len(who), PAIRS)
+        exact = np.concatenate([(self.vectors[who[c : c + PAIRS]] * vectors[at[c : c + PAIRS]]).sum(axis=1) for c in cuts])
+        who, found, scores = (np.concatenate(x) for x in ((self.who, who), (self.found, ids[at]), (self.scores, exact)))
+        by = np.lexsort((found, -scores, who))
+        who, found, scores = who[by], found[by], scores[by]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last = place == self.k - 1
+        self.floor[who[last]] = scores[last]
+        keep = place < self.k
+        self.who, self.found, self.scores = who[keep], found[keep], scores[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.who]), pa.array(self.found), pa.array(self.scores)], names=["q", "v", "score"])
+
+
+FOUND = "q long, v long, score double"
+_DEALT = ["block", "group", "uid", "embedding", "query"]
+
+
+def _nearest(dealt: DataFrame, k: int) -> DataFrame:
+    """Best candidates of each query in each block and group. Queries come first, then the
+    block streams past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, held, lists = None, [], [], None
+        for batch in batches:
+            block, group, uid = (batch.column(c).to_numpy() for c in range(3))
+            query, vectors = batch.column(4).to_numpy(zero_copy_only=False), batch.column(3)
+            change = np.flatnonzero((np.diff(block) != 0) | (np.diff(group) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+                if lo == hi:
+                    continue
+                if (block[lo], group[lo]) != unit:
+                    if lists is not None:
+                        yield lists.rows()
+                    unit, ids, held, lists = (block[lo], group[lo]), [], [], None
+                if query[lo]:
+                    ids.append(uid[lo:hi])
+                    held.append(_matrix(vectors.slice(lo, hi - lo)))
+                elif ids:
+                    lists = lists or Lists(np.concatenate(ids), np.concatenate(held), k)
+                    for i in range(lo, hi, 1000):
+                        lists.offer(uid[i : min(i + 1000, hi)], _matrix(vectors.slice(i, min(1000, hi - i))))
+        if lists is not None:
+            yield lists.rows()
+
+    placed = dealt.select(*_DEALT).repartition("block", "group")
+    return placed.sortWithinPartitions("block", "group", F.col("query").desc()).mapInArrow(run, FOUND)
 
 
 def search(
@@ -164,12 +205,21 @@ def search(
         .groupBy("embedding")
         .agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
-    members = stored(few.select(F.element_at("ids", 1).alias("uid"), "ids", "embedding"), "members")
-    asked = rows.where("query").groupBy("vec_id", "embedding").agg(F.count("*").alias("n")).select("vec_id", "embedding")
-    asked = stored(asked.join(members.select("uid", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "uid"), "asked")
-    head = members.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(_norm("embedding")).alias("longest")).first()
-    empty = vectors.sparkSession.createDataFrame([], "q long, v long, score double")
-    found = empty if not head["n"] else _search(members, asked, head, k, curves, share, seed)
+    members = _numbered(few.select("ids", "embedding"), [F.element_at("ids", 1), F.col("embedding")], "members")
+    members = members.select(F.col("number").alias("uid"), "ids", "embedding")
+    asked = rows.where("query").select("vec_id", "embedding").distinct()
+    asked = asked.join(members.select("uid", "embedding"), "embedding").select(
+        F.col("vec_id").alias("query_id"), "uid", F.size("embedding").alias("dim")
+    )
+    asked = stored(asked, "asked")
+    # one row per number of components
+    spaces = members.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(_norm("embedding")).alias("longest")).collect()
+    wide = [s for s in spaces if s["n"] >= BLOCK]
+    here = ~F.size("embedding").isin(*[s["dim"] for s in wide])
+    found = _whole(members.where(here), asked, k)
+    for space in wide:
+        own = F.size("embedding") == space["dim"]
+        found = found.unionByName(_search(members.where(own), asked.where(F.col("dim") == space["dim"]), space, k, curves, share, seed))
 
     pairs = found.groupBy("q", "v").agg(F.max("score").alias("score"))
     best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).where(
@@ -189,62 +239,61 @@ def search(
     )
 
 
-def _search(members: DataFrame, asked: DataFrame, head, k: int, curves: int, share: float, seed: int) -> DataFrame:
-    queries = members.join(asked.select("uid").distinct(), "uid", "left_semi").select("uid", "embedding", F.lit(True).alias("query"))
+def _numbered(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``rows`` stored in one order, with their ``number`` in it."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", inside), label)
+    # one row per partition
+    counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in range(max(counts, default=0) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    number = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("part") + 1) + F.col("row")
+    return ranged.withColumn("number", number).drop("part", "row")
+
+
+def _probes(members: DataFrame, asked: DataFrame) -> DataFrame:
+    return members.join(asked.select("uid").distinct(), "uid", "left_semi").select("uid", "embedding", F.lit(True).alias("query"))
+
+
+def _whole(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Spaces of few vectors: all of one space are one block."""
+    block, group = F.size("embedding").cast("long").alias("block"), F.lit(0).alias("group")
+    items = members.select("uid", "embedding", F.lit(False).alias("query"))
+    return _nearest(_probes(members, asked).unionByName(items).select("*", block, group), k + 1)
+
+
+def _search(members: DataFrame, asked: DataFrame, space, k: int, curves: int, share: float, seed: int) -> DataFrame:
+    queries = _probes(members, asked)
     n_queries = asked.select("uid").distinct().count()
     # vectors as long as the longest but for rounding are all in range 0
     norm = _norm("embedding")
-    octave = F.floor(F.log2(F.lit(head["longest"])) - F.log2(norm) + 1e-6).cast("int")
+    octave = F.floor(F.log2(F.lit(space["longest"])) - F.log2(norm) + 1e-6).cast("int")
     items = members.select("uid", "embedding", F.lit(False).alias("query"), octave.alias("octave"), norm.alias("norm"))
     ranges = sorted(tuple(r) for r in items.groupBy("octave").agg(F.count("*"), F.max("norm")).collect())
-    wide, few = [r for r in ranges if r[1] >= BLOCK], [r for r in ranges if r[1] < BLOCK]
-    groups = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    columns = ("block", "group", "uid", "embedding", "query")
-    parts = []
-
-    if few:
-        blocks, several = -(-sum(r[1] for r in few) // BLOCK), max(1, -(-n_queries // QUERIES))
-        here = items.join(members.sparkSession.createDataFrame([(r[0],) for r in few], "octave int"), "octave", "left_semi")
-        own = (-1 - F.pmod(F.xxhash64("uid"), F.lit(blocks))).cast("long")
-        parts.append(here.withColumn("block", own).withColumn("group", F.explode(groups(several))))
-        probes = queries.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(several)).cast("int"))
-        parts.append(probes.withColumn("block", F.explode(F.sequence(F.lit(-blocks).cast("long"), F.lit(-1).cast("long")))))
-
-    if wide:
-        level = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(wide) for x in (r[0], i)]), F.col("octave"))
-        placed = items.withColumn("level", level).where("level is not null").select("uid", "embedding", "query", "level")
-        placed = placed.unionByName(queries.withColumn("level", F.explode(groups(len(wide)))))
-        placed = _places(placed, head["dim"], [r[2] for r in wide], curves, seed)
-        # place on all curves in one order: partition by range, row number inside a partition
-        inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        ranged = placed.repartitionByRange("curve", "place", "uid").sortWithinPartitions("curve", "place", "uid", "query")
-        ranged = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", inside), "curves")
-        counts = dict(sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()))
-        starts, total = [], 0
-        for part in range(max(counts) + 1):
-            starts.append(total)
-            total += counts.get(part, 0)
-        number = F.element_at(F.array(*map(F.lit, starts)), F.col("part") + 1) + F.col("row")
-        # rows of one curve of each range, and where the range's first curve starts
-        sizes = [r[1] + n_queries for r in wide]
-        firsts = [curves * sum(sizes[:i]) for i in range(len(wide))]
-        reaches = [int(np.ceil(share * n / 2)) for n in sizes]
-        of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.floor(F.col("curve") / curves).cast("int") + 1)
-        ranked = ranged.withColumn("number", number.cast("long")).withColumn("reach", of(reaches)).withColumn("size", of(sizes))
-        ranked = ranked.withColumn("low", of(firsts) + F.col("curve") % curves * F.col("size"))
-        low, high = F.col("low"), F.col("low") + F.col("size") - 1
-        block = lambda n: F.floor(n / BLOCK)
-        # queries meet every block that their window touches; groups of one block hold few queries
-        expected = max(int((2 * reach + BLOCK) * n_queries / n) for reach, n in zip(reaches, sizes, strict=True))
-        several = max(1, -(-expected // QUERIES))
-        window = F.sequence(
-            block(F.greatest(F.col("number") - F.col("reach"), low)), block(F.least(F.col("number") + F.col("reach"), high))
-        )
-        probes = ranked.where("query").withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(several)).cast("int"))
-        parts.append(probes.withColumn("block", F.explode(window)))
-        parts.append(ranked.where("not query").withColumn("block", block(F.col("number"))).withColumn("group", F.explode(groups(several))))
-
-    dealt = parts[0].select(*columns)
-    for part in parts[1:]:
-        dealt = dealt.unionByName(part.select(*columns))
-    return dealt.groupBy("block", "group").applyInArrow(_nearest_in_block(k + 1), "q long, v long, score double")
+    level = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(ranges) for x in (r[0], i)]), F.col("octave"))
+    levels = F.sequence(F.lit(0), F.lit(len(ranges) - 1))
+    placed = items.select("uid", "embedding", "query", level.alias("level")).unionByName(queries.withColumn("level", F.explode(levels)))
+    placed = _places(placed, space["dim"], [r[2] for r in ranges], curves, seed)
+    ranked = _numbered(placed, [F.col(c) for c in ("curve", "place", "uid", "query")], "curves")
+
+    # rows of one curve of each range, and where the range's first curve starts
+    sizes = [r[1] + n_queries for r in ranges]
+    firsts = [curves * sum(sizes[:i]) for i in range(len(ranges))]
+    reaches = [int(np.ceil(share * n / 2)) for n in sizes]
+    lengths = [max(BLOCK, reach) for reach in reaches]
+    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.floor(F.col("curve") / curves).cast("int") + 1)
+    ranked = ranked.withColumns({"reach": of(reaches), "size": of(sizes), "length": of(lengths)})
+    ranked = ranked.withColumn("at", F.col("number") - of(firsts) - F.col("curve") % curves * F.col("size"))
+    # blocks are numbered by curve first
+    block = lambda at: F.shiftleft(F.col("curve").cast("long"), 40) + F.floor(at / F.col("length"))
+    several = max(1, max(-(-n_queries * (2 * r + n) // (s * QUERIES)) for r, n, s in zip(reaches, lengths, sizes, strict=True)))
+    window = F.sequence(
+        block(F.greatest(F.col("at") - F.col("reach"), F.lit(0))), block(F.least(F.col("at") + F.col("reach"), F.col("size") - 1))
+    )
+    groups = F.sequence(F.lit(0), F.lit(several - 1))
+    probes = ranked.where("query").withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(several)).cast("int")).withColumn("block", F.explode(window))
+    blocks = ranked.where("not query").withColumn("block", block(F.col("at"))).withColumn("group", F.explode(groups))
+    return _nearest(probes.select(*_DEALT).unionByName(blocks.select(*_DEALT)), k + 1)
