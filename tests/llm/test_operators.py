@@ -542,3 +542,40 @@ def test_pipeline_runs_and_keeps_columns(spark):
     nothing = spark.createDataFrame([], spark.read.parquet(f"{SMALL}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing, SMALL).count() == 0
+
+
+# --- columns of any name --------------------------------------------------------------
+
+
+def test_columns_with_inner_names_pass_through(spark):
+    names = ["row", "_id", "_hash", "_key", "_doc", "marks", "starts", "doc", "key", "text_hash", "n_words", "_size", "_n_", "_time", "_copies", "root", "node", "a.b"]
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate([base, base + " more", " ".join(f"x{i}" for i in range(40)), None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    carried = lambda out: {tuple(r[n] for n in names) for r in out.collect()}
+    every = carried(df)
+    assert prefixes.representatives(df).columns == df.columns and carried(prefixes.representatives(df)) == {r for r in every if not r[0].endswith("1")}
+    assert carried(pivotal.apply(df)) <= every and pivotal.apply(df).columns == df.columns
+    cut = automata.removed(df).select("text", *[F.col(f"row.`{n}`") for n in names])
+    assert carried(cut) == every
+    assert automata.remove(df).columns == [c for c in df.columns if c not in ("text", "n_words")] + ["text", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_many_rows_without_id_keep_their_marks_apart(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(base[i % 20 : i % 20 + 15] + [f"u{i}"])) for i in range(300)] + [(1, " ".join(base)), (None, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = automata.marked(df)
+    assert marks.groupBy("doc", "text_hash").count().agg(F.max("count")).first()[0] == 1
+    assert marks.agg(F.max(F.size("starts"))).first()[0] == 28
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in automata.remove(df).collect())
+    assert got == {(None, 16, 15): 300, (1, 40, 0): 1, (None, 40, 40): 1}
+
+
+def test_texts_of_many_rows_without_id_meet_only_their_own(spark):
+    rows = [(None, " ".join(f"d{i}w{j}" for j in range(30)) + (" tail" if copy else "")) for i in range(60) for copy in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(prefixes.representatives(df).collect()) == 60
+    named = prefixes.grouped(df)
+    first = named.groupBy("node").agg(F.min("text_hash").alias("text_hash")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert prefixes.texts_of(df, first).count() == 120

@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.filters import build_filter
-from tidemark.llm.text import Words, mix, pieces, shingles, stored
+from tidemark.llm.text import Words, carried, pieces, shingles, stored
 
 WINDOW = 13
 GRAM = 5
@@ -73,13 +74,6 @@ class Stretches:
         self.start, self.doc, self.anchor = starts[head], owner[head], grams[place[head]]
         self.size = np.diff(np.append(head, len(starts)))
 
-    def text_hash(self) -> np.ndarray:
-        """A hash of all words of each document."""
-        first = self.words.first
-        spread = mix(self.hashes + (np.arange(len(self.hashes)) - np.repeat(first[:-1], self.words.counts)).astype(np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
-        return mix(total[first[1:]] - total[first[:-1]]).astype(np.int64)
-
 
 def _doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -130,14 +124,14 @@ def stretches(docs: DataFrame, shared, common) -> DataFrame:
                 content = pa.Array.from_buffers(
                     pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(symbols[index]))]
                 )
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(doc))
+                ids, texts = (batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 2))
                 inside = (start - found.words.first[doc]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.int64)), content, ids, pa.array(found.text_hash()[doc]), pa.array(inside)],
+                    [pa.array(anchor.astype(np.int64)), content, ids, texts, pa.array(inside)],
                     names=["shard", "content", "doc", "text_hash", "start"],
                 )
 
-    return docs.select(_doc_key().alias("doc"), "text").mapInArrow(
+    return docs.select(_doc_key().alias("doc"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         run, "shard long, content binary, doc long, text_hash long, start long"
     )
 
@@ -241,8 +235,8 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``doc`` and ``marks``: for each of its texts (``text_hash``) the ``starts`` of windows that
-    also start in a document with a smaller doc_id."""
+    """``doc``, ``text_hash`` and ``starts`` of the windows that also start in a document with a
+    smaller doc_id."""
     spark = docs.sparkSession
     counted = stored(anchors(docs), "anchors")
     facts = counted.agg(
@@ -264,47 +258,57 @@ def marked(docs: DataFrame) -> DataFrame:
     starts = F.filter(
         F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull()
     )
-    per_text = hit.select("doc", "text_hash", starts.alias("starts")).groupBy("doc", "text_hash").agg(
-        F.flatten(F.collect_list("starts")).alias("starts")
+    return hit.select("doc", "text_hash", starts.alias("starts")).groupBy("doc", "text_hash").agg(
+        # equal rows of one id give their windows once
+        F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")
     )
-    return per_text.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "starts")).alias("marks"))
+
+
+FACTS = ("n_words", "n_removed", "kept_sha256")
 
 
 def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
     """The columns of ``docs`` with ``text`` cut (or left out), and ``n_words``, ``n_removed`` and
-    ``kept_sha256`` (of the kept words joined by one space)."""
-    keep = [c for c in docs.columns if c != "text"]
-    found = stored(marked(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc"), "marks")
-    # documents that the filter does not know lose nothing and are spared the join
-    known = docs.sparkSession.sparkContext.broadcast(build_filter(found.select("_doc"), found.count()))
-    keyed = docs.select(*keep, "text", _doc_key().alias("_key"))
+    ``kept_sha256`` (of the kept words joined by one space); these take the place of columns of
+    their names."""
+    cut = removed(docs, texts)
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", *FACTS)]
+    return cut.select(*others, *(["text"] if texts else []), *FACTS)
+
+
+def removed(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """``row`` (all columns of ``docs`` but ``text``, whatever their names), the cut ``text``, and ``FACTS``."""
+    found = stored(marked(docs.select("doc_id", "text")), "marks")
+    # texts that the filter does not know lose nothing and are spared the join
+    key = F.xxhash64("doc", "text_hash")
+    known = docs.sparkSession.sparkContext.broadcast(build_filter(found.select(key.alias("key")), found.count()))
+    keyed = docs.select(carried(docs), "text", _doc_key().alias("doc"), F.xxhash64("text").alias("text_hash")).withColumn("key", key)
 
     def pick(meets: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                has = known.value.has(batch.column(len(keep) + 1).to_numpy().astype(np.uint64))
-                yield batch.filter(pa.array(has == meets))
+                has = known.value.has(batch.column(4).to_numpy().astype(np.uint64))
+                yield batch.filter(pa.array(has == meets, pa.bool_()))
 
         return keyed.mapInArrow(run, keyed.schema)
 
-    met = pick(True).join(found, F.col("_key") == F.col("_doc"), "left").select(*keep, "text", "marks")
-    joined = met.unionByName(pick(False).select(*keep, "text", F.lit(None).cast(found.schema["marks"].dataType).alias("marks")))
+    met = pick(True).join(found, ["doc", "text_hash"], "left").select("row", "text", "starts")
+    joined = met.unionByName(pick(False).select("row", "text", F.lit(None).cast("array<long>").alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch):
                 found = Stretches(data, offsets)
-                words, hashes = found.words, found.text_hash().tolist()
-                raw, olds = words._raw, batch.column(len(keep)).slice(lo, hi - lo)
+                words = found.words
+                raw, olds = words._raw, batch.column(1).slice(lo, hi - lo)
                 removed, digests, new = [], [], []
-                for i, marks in enumerate(batch.column(len(keep) + 1).slice(lo, hi - lo).to_pylist()):
+                for i, starts in enumerate(batch.column(2).slice(lo, hi - lo)):
                     a, b = int(words.first[i]), int(words.first[i + 1])
                     gone = np.zeros(b - a + 1, np.int32)
-                    for mark in marks or ():
-                        if mark["text_hash"] == hashes[i]:
-                            starts = np.unique(np.array(mark["starts"], np.int64))
-                            gone[starts] += 1
-                            gone[starts + WINDOW] -= 1
+                    if starts.is_valid:
+                        starts = starts.values.to_numpy()
+                        gone[starts] += 1
+                        gone[starts + WINDOW] -= 1
                     out = np.cumsum(gone)[:-1] > 0
                     kept = a + np.flatnonzero(~out)
                     removed.append(int(out.sum()))
@@ -317,12 +321,10 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
                         before = np.concatenate([[offsets[i]], words.ends[a : b - 1]])[~out]
                         parts = [raw[s:e] for s, e in zip(before.tolist(), words.ends[kept].tolist(), strict=True)]
                         new.append((b"".join(parts) + raw[words.ends[b - 1] : offsets[i + 1]]).decode("utf-8", "replace"))
-                columns = [batch.column(j).slice(lo, hi - lo) for j in range(len(keep))]
                 facts = [pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
                 text = [pa.array(new, pa.string())] if texts else []
-                yield pa.RecordBatch.from_arrays([*columns, *text, *facts], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *text, *facts], names=names)
 
-    names = [*keep, *(["text"] if texts else []), "n_words", "n_removed", "kept_sha256"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    kinds += ["text string"] * texts + ["n_words long", "n_removed long", "kept_sha256 string"]
-    return joined.mapInArrow(run, ", ".join(kinds))
+    names = ["row", *(["text"] if texts else []), *FACTS]
+    fields = [joined.schema["row"], *[T.StructField("text", T.StringType())] * texts, *[T.StructField(f, T.LongType()) for f in FACTS[:2]]]
+    return joined.mapInArrow(run, T.StructType([*fields, T.StructField(FACTS[2], T.StringType())]))

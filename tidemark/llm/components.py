@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import stored
+from tidemark.llm.text import free, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,8 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges, "edges")
     before = print_of(edges)
     while before[0]:
-        edges = stored(_star(_star(edges, large=True), large=False), "edges")
+        old, edges = edges, stored(_star(_star(edges, large=True), large=False), "edges")
         now = print_of(edges)
+        free(old)
         if now == before:
             break
         before = now

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.text import Words, mix, pieces, stored
+from tidemark.llm.text import Words, carried, mix, pieces, restored, stored
 
 CHUNK = 2048
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -49,8 +50,8 @@ def sized(docs: DataFrame, text: bool = False) -> DataFrame:
                 columns = [batch.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(hashes, pa.int64())], names=[*keep, "_size", "_text_hash"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.mapInArrow(run, f"{kinds}, _size long, _text_hash long")
+    added = [T.StructField(name, T.LongType()) for name in ("_size", "_text_hash")]
+    return docs.mapInArrow(run, T.StructType([*docs.select(*keep).schema, *added]))
 
 
 def targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -194,9 +195,10 @@ def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
 
     def repeat(rows: DataFrame, copies: Column) -> DataFrame:
         rows = rows.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-        return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")).drop("_time")
+        times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")
+        return rows.select("row", "text", times).select(*restored(docs))
 
-    facts = sized(docs, text=True)
+    facts = sized(docs.select(carried(docs), "doc_id", "source", "text"), text=True)
     alike = (F.col("_more_") == 0) | (F.col("_more_") == F.col("_n_"))
     out = repeat(facts.join(takes.where(alike), same), F.col("_sure_") + (F.col("_more_") > 0).cast("long"))
     # some of several equal rows get one copy more: number them, by part first

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.filters import build_filter
-from tidemark.llm.text import Words, mix, pieces, shingles, stored
+from tidemark.llm.text import Words, carried, free, mix, pieces, restored, shingles, stored
 
 SIZE = 5
 HOT = 1 << 20
@@ -199,10 +199,12 @@ def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and one text for each of ``nodes`` (node, doc_id). A bounded filter keeps most
-    other texts out of the exact join."""
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())
-    wanted = stored(nodes.select("node", F.col("doc_id").alias("_id"), key.alias("_key")), "wanted")
+    """``node`` and one text for each of ``nodes`` (node, doc_id, text_hash). A bounded filter keeps
+    most other texts out of the exact join, which goes by id and text: rows of one id, null too,
+    meet only the node that their own text is."""
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    wanted = stored(nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), key.alias("_key")), "wanted")
     known = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.select("_key"), wanted.count()))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     near = docs.select("doc_id", "text", key.alias("key")).mapInArrow(pick, f"doc_id {kind}, text string, key long")
     found = near.join(wanted, (near["key"] == wanted["_key"]) & near["doc_id"].eqNullSafe(wanted["_id"]))
-    # repeated rows once; a doc_id may also stand on rows of other texts
+    # repeated rows once
     once = found.groupBy("key", "node", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
     return once.select("node", "text").mapInArrow(run, "node long, own long, text string").where("own = node").select("node", "text")
 
@@ -279,9 +281,14 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
     named = postings.where("part > 0").join(alive, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named.select("token", "root", "node", "n", "part", "alive", "live"), "named")
     small, large = named.where("part = 2"), named
-    roots_of = lambda rows, s: rows.groupBy("token", F.col("root").alias(f"root{s}")).agg(F.max("live").alias(f"live{s}"))
-    meets = roots_of(small, "a").join(roots_of(large, "b"), "token").where("roota != rootb and (livea or liveb)")
-    meets = stored(meets.select("token", "roota", "rootb"), "meets")
+    # Components meet in a token by their sizes there, and only members of a size that some
+    # member of the other one allows are taken out of them.
+    roots_of = lambda rows, s: rows.groupBy("token", F.col("root").alias(f"root{s}")).agg(
+        F.max("live").alias(f"live{s}"), F.min("n").alias(f"least{s}"), F.max("n").alias(f"most{s}")
+    )
+    may = (F.col("mosta") * 100 >= F.col("leastb") * percent) & (F.col("leasta") <= F.col("mostb"))
+    meets = roots_of(small, "a").join(roots_of(large, "b"), "token").where("roota != rootb and (livea or liveb)").where(may)
+    meets = stored(meets.select("token", "roota", "rootb", "leasta", "mosta", "leastb", "mostb"), "meets")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         rows = rows.select("token", *[F.col(c).alias(c + s) for c in ("root", "node", "n", "alive")])
@@ -289,6 +296,8 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
         return there.join(bits.select(F.col("node").alias(f"node{s}"), F.col("bits").alias(f"bits{s}")), f"node{s}")
 
     a, b = side(small, "a"), side(large, "b")
+    fits_a = (F.col("na") * 100 >= F.col("leastb") * percent) & (F.col("na") <= F.col("mostb"))
+    fits_b = (F.col("nb") >= F.col("leasta")) & (F.col("nb") * percent <= F.col("mosta") * 100)
     both = F.col("na") + F.col("nb")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
     enough = F.greatest("alivea", "aliveb") * (100 + percent) >= both * percent
@@ -296,17 +305,22 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
         F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
     alike = differ <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
-    pairs = meets.join(a, ["token", "roota"]).join(b, ["token", "rootb"])
+    pairs = meets.join(a, ["token", "roota"]).where(fits_a).join(b, ["token", "rootb"]).where(fits_b)
     pairs = pairs.where(ordered & enough & (F.col("na") * 100 >= F.col("nb") * percent) & alike).select("nodea", "nodeb").distinct()
     # the whole prefixes, as far as others share them
     lists = postings.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("asked").alias("asked"))
     of = lambda s: lists.select(*[F.col(c).alias(c + s) for c in ("node", "tokens", "asked")])
     met = F.size(F.array_intersect("tokensa", "tokensb"))
-    return (
-        stored(pairs, "candidates").join(of("a"), "nodea").join(of("b"), "nodeb")
+    pairs = stored(pairs, "candidates")
+    free(named, meets)
+    several = (
+        pairs.join(of("a"), "nodea").join(of("b"), "nodeb")
         .where(met >= F.least("askeda", "askedb"))
         .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
     )
+    several = stored(several, "pairs")
+    free(pairs)
+    return several
 
 
 def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -317,21 +331,21 @@ def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
     postings = stored(shared_postings(full, percent), "postings")
     rows = stored(full.select("doc_id", "text_hash", "n", "node", "bits"), "sets")
     bits = rows.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    first = first.select("node", "x.doc_id", "x.text_hash")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = stored(texts_of(docs, first.join(wanted, "node")), "texts")
-        return stored(verified(pairs, texts, percent), "links")
+        links = stored(verified(pairs, texts, percent), "links")
+        free(texts, pairs)
+        return links
 
-    links = check(likely(postings, percent))
+    links = check(stored(likely(postings, percent), "pairs"))
     roots = stored(components(links), "roots")
     more = check(across(postings, roots, bits, percent))
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(links.unionByName(more))
+    free(postings)
+    final = roots if more.isEmpty() else stored(components(links.unionByName(more)), "roots")
 
     return rows.select("doc_id", "text_hash", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -355,7 +369,8 @@ def representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     # a null doc_id comes last
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "text_hash")).alias("x"))
     kept = least.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
+    held = docs.select(carried(docs), "text", "doc_id")
     worded = F.coalesce("text", F.lit("")).rlike(WORD)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    once = docs.where(worded).join(kept, same).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    once = held.where(worded).join(kept, same).dropDuplicates(["_id", "_hash"]).select(*restored(docs))
     return once.unionByName(docs.where(~worded))

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import files
+
 PIECE_BYTES = 1 << 20
 
 _GAP = np.zeros(256, dtype=bool)
@@ -133,9 +135,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
         lo = hi
 
 
-def bare(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns; other columns, whatever their names, go no further."""
-    return docs.select(*columns)
+def carried(docs: DataFrame) -> Column:
+    """All columns but ``text`` as one, ``row``, so that their names meet no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+
+
+def restored(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, from ``row`` and ``text``."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -158,10 +165,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     executor loses nothing."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def word_count(text: Column) -> Column:
-    """Number of words of a text as a column expression; null counts as 0."""
-    starts = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return starts.cast("long")
+def free(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once its last reader is done."""
+    for table in tables:
+        files.delete(table.sparkSession, table._stored_at)
