@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import automata, backtrack, kernel, pivotal, prefixes
 from tidemark.llm.catalog import ship, table, vocabulary
-from tidemark.llm.text import stored
+from tidemark.llm.text import restored, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that an earlier document holds; ``n_chars`` follows the text."""
     ship(spark)
-    cut = automata.remove(docs)
-    if "n_chars" in docs.columns:
-        size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    cut = automata.removed(docs)
+    kept = dict(zip(docs.columns, restored(docs), strict=True))
+    if "n_chars" in kept:
+        size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(kept["n_chars"])
+        kept["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[column.alias(name) for name, column in kept.items()])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
