@@ -284,11 +284,11 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
     # Components meet in a token by their sizes there, and only members of a size that some
     # member of the other one allows are taken out of them.
     roots_of = lambda rows, s: rows.groupBy("token", F.col("root").alias(f"root{s}")).agg(
-        F.max("live").alias(f"live{s}"), F.min("n").alias(f"least{s}"), F.max("n").alias(f"most{s}")
+        F.max("live").alias(f"live{s}"), F.min("n").alias(f"least{s}"), F.max("n").alias(f"most{s}"), F.count("*").alias(f"k{s}")
     )
     may = (F.col("mosta") * 100 >= F.col("leastb") * percent) & (F.col("leasta") <= F.col("mostb"))
     meets = roots_of(small, "a").join(roots_of(large, "b"), "token").where("roota != rootb and (livea or liveb)").where(may)
-    meets = stored(meets.select("token", "roota", "rootb", "leasta", "mosta", "leastb", "mostb"), "meets")
+    meets = stored(meets.select("token", "roota", "rootb", "leasta", "mosta", "leastb", "mostb", "ka", "kb"), "meets")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         rows = rows.select("token", *[F.col(c).alias(c + s) for c in ("root", "node", "n", "alive")])
@@ -305,8 +305,12 @@ def across(postings: DataFrame, roots: DataFrame, bits: DataFrame, percent: int)
         F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
     alike = differ <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
-    pairs = meets.join(a, ["token", "roota"]).where(fits_a).join(b, ["token", "rootb"]).where(fits_b)
-    pairs = pairs.where(ordered & enough & (F.col("na") * 100 >= F.col("nb") * percent) & alike).select("nodea", "nodeb").distinct()
+    fits = ordered & enough & (F.col("na") * 100 >= F.col("nb") * percent) & alike
+    # the component with fewer members there is taken apart first; the other one's members join
+    # it under the conditions of a pair
+    of_a = meets.where("ka <= kb").join(a, ["token", "roota"]).where(fits_a).join(b, ["token", "rootb"]).where(fits_b & fits)
+    of_b = meets.where("ka > kb").join(b, ["token", "rootb"]).where(fits_b).join(a, ["token", "roota"]).where(fits_a & fits)
+    pairs = of_a.select("nodea", "nodeb").unionByName(of_b.select("nodea", "nodeb")).distinct()
     # the whole prefixes, as far as others share them
     lists = postings.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("asked").alias("asked"))
     of = lambda s: lists.select(*[F.col(c).alias(c + s) for c in ("node", "tokens", "asked")])
