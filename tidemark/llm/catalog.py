@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     archive, automata, backtrack, cascade, crossent, curves, divergence, kernel, ledger, licences, orchard, pivotal, prefixes,
 )
-from tidemark.llm.text import scratch
+from tidemark.llm.text import PIECE_BYTES, scratch
 
 # fixed values: the rules that the url query is asked to judge by
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
 
+# rows and bytes of an Arrow batch: Spark's default and what the operators run with. A batch takes
+# a piece of texts (``text.PIECE_BYTES``), one row at least
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(PIECE_BYTES)),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SHIPPED: set[str] = set()
 
@@ -28,8 +35,9 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once per application, unless they have it on their path,
     and make Arrow batches small where the session left their size as it was: texts are long."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, (default, small) in BATCH.items():
+        if spark.conf.get(name, default) in (default, default + "b"):
+            spark.conf.set(name, small)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
