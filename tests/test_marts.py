@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.support import AS_OF, ago, lake, lookups, only, space
 from tidemark.plans import quality, reports
 from tidemark.plans.marts import customers, discounts, health, margin, payments, sales, stock
+from tidemark.session import scratch
 
 
 def revenue(spark, orders, items=(), days=400):
@@ -491,6 +492,38 @@ def test_money_is_never_floating_point(spark):
         assert quality.float_money_columns(w.mart(name)) == [], name
     bad = spark.createDataFrame([(1.0, 0.5)], "net_amount double, discount_pct double")
     assert quality.float_money_columns(bad) == ["net_amount"]
+    good = w.mart("revenue_by_bu_day")
+    assert set(quality.MONEY_MARTS) == {n for n in w._builders if quality.money_columns(w.mart(n))}
+    got = only(quality.float_money({"good": good, "bad": bad.union(bad)}))
+    assert (got.value, got.details) == (2, "bad.net_amount")
+    got = only(quality.float_money({"good": good}))
+    assert (got.value, got.details) == (0, None)
+
+
+def test_history_of_checks_keeps_one_row_per_run_and_tells_since_when(spark):
+    w = space(spark, order=[{"order_id": "A", "total_amount": 10}, {"order_id": "B", "total_amount": 5}])
+    root, path = scratch(spark, "marts"), scratch(spark, "checks")
+    w.store(root, "order_360")
+    good = w.mart("order_360")
+    assert good.inputFiles() and good.count() == 2
+    ids = ["marts.order_360.grain", "customer.signup_after_first_order"]
+    instants = [AS_OF + timedelta(minutes=5 * n) for n in range(5)]
+    for at, damaged in zip(instants, (True, False, True, True, True)):
+        w._marts["order_360"] = good.unionAll(good) if damaged else good
+        for _ in range(2):  # a run that is repeated replaces itself
+            quality.record(quality.run_checks(w, at, ids), path, at)
+    kept = quality.history(spark, path)
+    assert kept.count() == 10
+    got = {r.check_id: r for r in quality.standing(kept).collect()}
+    grain = got[ids[0]]
+    assert (grain.runs, grain.failed_runs, grain.turns, grain.failing_since, grain.last_run_at) == (5, 4, 2, instants[2], instants[4])
+    assert (grain.severity, grain.value, grain.passed, grain.details) == ("error", 2.0, 0, "violated: lte 0.0")
+    empty = got[ids[1]]
+    assert (empty.failed_runs, empty.turns, empty.failing_since, empty.value, empty.details) == (0, 0, None, None, "nothing to measure")
+    w._marts["order_360"] = good
+    last = instants[4] + timedelta(minutes=5)
+    quality.record(quality.run_checks(w, last, ids), path, last)
+    assert {r.check_id: r.failing_since for r in quality.standing(quality.history(spark, path)).collect()} == dict.fromkeys(ids)
 
 
 def test_checks_fail_when_a_mart_is_damaged(spark):

@@ -570,23 +570,27 @@ def _latest_by(w: Workspace) -> DataFrame:
     return windows.latest_by(both, ["order_date", "business_unit_code"], "_refreshed_at")
 
 
-def _logged(w: Workspace) -> DataFrame:
-    """Two refreshes with their log."""
+TOOK = {"stock_coverage": 8, "idle_catalog": 29}  # minutes; their intervals are 15 and 60
+
+
+def _logged(w: Workspace, minutes: dict[str, int]) -> DataFrame:
+    """Refreshes with their log, by a clock on which each takes its ``minutes``."""
     log, root = scratch(w.spark, "log"), scratch(w.spark, "mart")
-    for name in ("stock_coverage", "idle_catalog"):
+    for name, took in minutes.items():
         refresh.run_logged(
             w.spark,
             log,
             name,
             w.as_of,
             lambda name=name: refresh.refresh_full(w.mart(name), f"{root}/{name}", "1"),
+            clock=iter((0, took * 60)).__next__,
         )
     return w.spark.read.parquet(log)
 
 
 @query("refresh_log")
 def _refresh_log(w: Workspace) -> DataFrame:
-    state = refresh.refresh_state(_logged(w), w.as_of)
+    state = refresh.refresh_state(_logged(w, TOOK), w.as_of)
     return state.select("mart", "run_at", "status", "rows", "age_seconds", "healthy")
 
 
@@ -697,4 +701,24 @@ def _dlq_depth(w: Workspace) -> DataFrame:
     return quality.run_check(item, w, w.as_of)
 
 
-query("dq_marts_refresh")(lambda w: quality.refresh_checks(_logged(w), w.as_of))
+query("dq_marts_refresh")(lambda w: quality.refresh_checks(_logged(w, TOOK), w.as_of))
+
+KEPT_CHECKS = (
+    "marts.order_360.grain", "marts.order_360.amount_mismatch_rate", "marts.order_360.bu_orphan_rate",
+    "customer.signup_after_first_order", "stock.negative_available",
+)
+
+
+@query("dq_history")
+def _dq_history(w: Workspace) -> DataFrame:
+    """Three daily runs of checks over stored marts and what the history says. For the second run
+    the order mart holds every row twice; the third one is recorded twice."""
+    root, path = scratch(w.spark, "marts"), scratch(w.spark, "checks")
+    space = Workspace(w.lake, w.as_of, w.payments_as_of, w.days)
+    space.store(root, "order_360", "customer_metrics")
+    twice = Workspace(w.lake, w.as_of, w.payments_as_of, w.days)
+    twice._marts = {**space._marts, "order_360": space.mart("order_360").unionAll(space.mart("order_360"))}
+    for days, state in ((2, space), (1, twice), (0, space), (0, space)):
+        run_at = w.as_of - timedelta(days=days)
+        quality.record(quality.run_checks(state, run_at, KEPT_CHECKS), path, run_at)
+    return quality.standing(quality.history(w.spark, path))

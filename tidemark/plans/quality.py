@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +48,16 @@ def check(check_id: str, severity: str = "error", comparator: str = "lte", thres
     return register
 
 
-def run_check(item: Check, space: Workspace, run_at: datetime) -> DataFrame:
+def run_check(item: Check, space: Workspace, run_at: datetime, details: bool = False) -> DataFrame:
+    """One row; with ``details`` also what was found, in words: the check's own column ``details``
+    if it has one, else the verdict against the threshold."""
     value = F.col("value").cast("double")
     verdict = COMPARATORS[item.comparator](value, item.threshold)
-    return item.value(space).select(
+    measured = item.value(space)
+    rule = f"{item.comparator} {float(item.threshold)!r}"
+    words = F.when(value.isNull(), "nothing to measure").when(verdict, f"holds: {rule}").otherwise(f"violated: {rule}")
+    found = F.coalesce("details", words) if "details" in measured.columns else words
+    return measured.select(
         F.lit(item.check_id).alias("check_id"),
         stamp(run_at).alias("run_at"),
         F.lit(item.severity).alias("severity"),
@@ -60,15 +66,66 @@ def run_check(item: Check, space: Workspace, run_at: datetime) -> DataFrame:
         F.lit(item.comparator).alias("comparator"),
         # nothing to measure is not a violation
         flag(value.isNull() | verdict).alias("passed"),
+        *([found.alias("details")] if details else []),
     )
 
 
 def run_checks(
     space: Workspace, run_at: datetime, ids: Iterable[str] | None = None
 ) -> DataFrame:
-    """All (or the named) checks, one row each; append it to the result history."""
+    """All (or the named) checks, one row each with details; ``record`` adds it to the history.
+    Store the marts first (``Workspace.store``), or each check builds its own again."""
     wanted = [CHECKS[i] for i in ids] if ids is not None else list(CHECKS.values())
-    return reduce(DataFrame.unionByName, [run_check(c, space, run_at) for c in wanted])
+    return reduce(DataFrame.unionByName, [run_check(c, space, run_at, details=True) for c in wanted])
+
+
+# --- history of results -------------------------------------------------------
+
+RUN = "_run"
+HISTORY_SCHEMA = (
+    "check_id string, run_at timestamp_ntz, severity string, value double, threshold double, "
+    f"comparator string, passed int, details string, {RUN} string"
+)
+
+
+def record(results: DataFrame, path: str, run_at: datetime) -> None:
+    """Add the results of one run to the stored history. Every run is a partition of its own, so a
+    run repeated after a crash replaces what it wrote."""
+    (
+        results.repartition(1)  # one row per check; the checks themselves run before this shuffle
+        .withColumn(RUN, F.lit(f"{run_at:%Y%m%dT%H%M%S.%f}"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(RUN)
+        .parquet(path)
+    )
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded results, one row per check and run."""
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).drop(RUN)
+
+
+def standing(results: DataFrame) -> DataFrame:
+    """Per check of a history: its runs, how many failed, how often the verdict turned, the last
+    result, and since when it fails without a break (null while it passes)."""
+    by_check = Window.partitionBy("check_id")
+    marked = results.select(
+        "*",
+        F.max(F.when(F.col("passed") == 1, F.col("run_at"))).over(by_check).alias("_last_pass"),
+        F.lag("passed").over(by_check.orderBy("run_at")).alias("_before"),
+    )
+    failed = F.col("passed") == 0
+    unbroken = failed & (F.col("_last_pass").isNull() | (F.col("run_at") > F.col("_last_pass")))
+    last = F.max_by(F.struct("severity", "value", "passed", "details"), "run_at")
+    return marked.groupBy("check_id").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.count_if(failed).alias("failed_runs"),
+        F.count_if(F.col("_before") != F.col("passed")).alias("turns"),
+        F.min(F.when(unbroken, F.col("run_at"))).alias("failing_since"),
+        F.max("run_at").alias("last_run_at"),
+        last.alias("_last"),
+    ).select("*", "_last.*").drop("_last")
 
 
 def share(condition: Column) -> Column:
@@ -81,19 +138,38 @@ def rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("value"))
 
 
-def float_money_columns(df: DataFrame) -> list[str]:
-    """Money must never be floating point; empty means the schema is right."""
+def money_columns(df: DataFrame) -> list[T.StructField]:
+    """The numeric columns that hold money, by their names."""
     words = ("amount", "price", "revenue", "ticket", "capital", "net_", "gross_", "lifetime_", "cost")
     rates = ("_pct", "_rate", "_ratio")
     return [
-        f.name
+        f
         for f in df.schema.fields
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))
         and any(w in f.name for w in words)
         and not f.name.endswith(rates)
     ]
 
 
+def float_money_columns(df: DataFrame) -> list[str]:
+    """Money must never be floating point; empty means the schema is right."""
+    return [f.name for f in money_columns(df) if not isinstance(f.dataType, T.DecimalType)]
+
+
+def float_money(marts: dict[str, DataFrame]) -> DataFrame:
+    """One row: ``value``, the rows of marts that hold money in floating point, and the columns in
+    question in ``details``."""
+    blocks = []
+    for name, mart in marts.items():
+        wrong = float_money_columns(mart)
+        held = F.count(F.lit(1) if wrong else F.lit(None))
+        named = F.lit(", ".join(f"{name}.{c}" for c in wrong) or None).cast("string")
+        blocks.append(mart.agg(held.alias("n")).select("n", named.alias("wrong")))
+    return reduce(DataFrame.unionByName, blocks).agg(
+        F.sum("n").alias("value"), F.nullif(F.array_join(F.array_sort(F.collect_list("wrong")), "; "), F.lit("")).alias("details")
+    )
+
+
 # --- parity: the mart against an independent computation --------------------
 
 
@@ -520,6 +596,18 @@ def _dict_loaded(w: Workspace) -> DataFrame:
     return reduce(DataFrame.unionByName, blocks).agg(F.sum("value").alias("value"))
 
 
+# marts with columns of money
+MONEY_MARTS = (
+    "order_360", "revenue_by_bu_day", "payment_funnel_day", "discount_effectiveness", "discount_baseline_day",
+    "item_margin_daily", "stockout_candidates", "customer_metrics", "customer_cohort", "idle_catalog",
+)
+
+
+@check("money.no_float")
+def _money_no_float(w: Workspace) -> DataFrame:
+    return float_money({name: w.mart(name) for name in MONEY_MARTS})
+
+
 # --- refresh log --------------------------------------------------------------
 
 

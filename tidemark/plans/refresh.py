@@ -193,14 +193,15 @@ def log_refresh(
 
 
 def run_logged(
-    spark: SparkSession, log_path: str, mart: str, as_of: datetime, work: Callable[[], int]
+    spark: SparkSession, log_path: str, mart: str, as_of: datetime, work: Callable[[], int],
+    clock: Callable[[], float] = time.monotonic,
 ) -> int | None:
     """Run a refresh and append its outcome to the log; a failure is logged and
-    raised again."""
-    begun = time.monotonic()
+    raised again. ``clock`` gives seconds, read before and after the work."""
+    begun = clock()
 
     def elapsed() -> int:
-        return int((time.monotonic() - begun) * 1000)
+        return int((clock() - begun) * 1000)
 
     try:
         rows = work()

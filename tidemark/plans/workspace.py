@@ -11,6 +11,7 @@ from tidemark.contracts import CONTRACTS
 from tidemark.operators.cdc import Lake, to_core
 from tidemark.operators.joins import Lookup
 from tidemark.operators.store import Store
+from tidemark.plans import refresh
 from tidemark.plans.marts import customers, discounts, health, margin, payments, sales, stock
 from tidemark.session import scratch
 from tidemark.sources.retail import PAYMENTS_AS_OF, SALES_AS_OF, WIDE_DAYS, RetailTables
@@ -66,6 +67,14 @@ class Workspace:
             self._marts[name] = self._builders[name]()
         return self._marts[name]
 
+    def store(self, folder: str, *names: str, version: str = "1") -> None:
+        """Write the named marts (all, if none is named) once, each below ``folder``, and read them
+        from there from now on. A mart stored before takes a new ``version``."""
+        for name in names or tuple(self._builders):
+            mart = self.mart(name)
+            refresh.refresh_full(mart, f"{folder}/{name}", version)
+            self._marts[name] = refresh.read_current(mart.sparkSession, f"{folder}/{name}")
+
     @cached_property
     def _builders(self):
         lake, at, days = self.lake, self.as_of, self.days
