@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +303,48 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_classifier_against_ridge_and_isotonic_fit_of_all_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    marks = {}
+    for r in labels.where("quality is not null").collect():
+        marks.setdefault(r.doc_id, []).append(r.quality)
+    stats = {r.doc_id: np.array(r.stats) for r in kernel.statistics(docs).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in stats}
+    learn = sorted(i for i in stats if i in marks and fold[i] in (1, 2, 3))
+    back = sorted(i for i in stats if i in marks and fold[i] == 4)
+    label = lambda ids: np.array([np.mean(marks[i]) for i in ids])
+    x = np.stack([stats[i] for i in learn])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    rng = np.random.default_rng(7)
+    turns = rng.normal(size=(x.shape[1], kernel.FEATURES)) / np.sqrt(x.shape[1] / 2)
+    shift = rng.uniform(0, 2 * np.pi, kernel.FEATURES)
+
+    def raw(ids):
+        z = np.clip((np.stack([stats[i] for i in ids]) - mean) / scale, -6, 6)
+        return np.hstack([np.cos(z @ turns + shift), np.ones((len(ids), 1))])
+
+    z = raw(learn)
+    beta = np.linalg.solve(z.T @ z + 1e-3 * len(z) * np.eye(z.shape[1]), z.T @ label(learn))
+    place = lambda ids: np.clip((raw(ids) @ beta + 0.25) / 1.5, 0, 1)
+    model = kernel.learn(kernel.statistics(docs), labels)
+    every = sorted(stats)
+    assert np.abs(model.raw(np.stack([stats[i] for i in every])) - place(every)).max() < 2e-3  # features are rounded to 1 / 2048
+
+    # the isotonic fit by its min-max form, over the bins of the held-back rows
+    at = np.minimum((model.raw(np.stack([stats[i] for i in back])) * kernel.BINS).astype(int), kernel.BINS - 1)
+    total, weight = np.bincount(at, label(back), kernel.BINS), np.bincount(at, minlength=kernel.BINS)
+    full = np.flatnonzero(weight)
+    t, w = np.cumsum([0, *total[full]]), np.cumsum([0, *weight[full]])
+    level = [max(min((t[b] - t[a]) / (w[b] - w[a]) for b in range(i + 1, len(full) + 1)) for a in range(i + 1)) for i in range(len(full))]
+    assert np.abs(model.levels[full] - level).max() < 1e-3
+    assert (np.diff(model.levels) >= 0).all()
+    scores = {r.doc_id: r for r in kernel.judge(docs, labels).collect()}
+    expect = model.score(np.stack([stats[i] for i in every]))
+    assert len(scores) == len(every) and max(abs(scores[i].score - e) for i, e in zip(every, expect)) < 1e-9
+    assert all(scores[i].held_out == (fold[i] == 0) and scores[i].predicted == (scores[i].score >= 0.3) for i in every)
+
+
 def test_classifier_on_odd_rows_and_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in kernel.judge(odd, none).collect()} == {0.5}
@@ -353,6 +396,37 @@ def test_mix_meets_its_targets(spark):
     assert all(r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0) for r in rows)
 
 
+def brute_targets(sizes):
+    """Exact shares of the sum by weight; a source over its cap stops there, the rest share again."""
+    names = sorted((n for n in sizes if n is not None)) + [n for n in sizes if n is None]
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        rest, free = total - sum(3 * sizes[n] for n in capped), [n for n in names if n not in capped]
+        shares = {n: Fraction(rest * weight[n], sum(weight[m] for m in free)) for n in free}
+        over = {n for n in free if shares[n] > 3 * sizes[n]}
+        if not over:
+            return {**shares, **{n: Fraction(3 * sizes[n]) for n in capped}}
+        capped |= over
+
+
+def test_mix_targets_against_exact_shares(spark):
+    names = ["Z", "a", "B", "b", "é", "漢", "🙂", "", None]  # not the order of a locale, nor of UTF-16
+    counts = [1, 40, 3, 700, 2, 90, 11, 1, 25]
+    rows = [(i, "w " * (1 + i % 7), n, i) for n, c in zip(names, counts) for i in range(c)] + [(1, None, "none", 0), (2, "", "none", 0)]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for docs in (spark.createDataFrame(rows, SCHEMA).repartition(5), given):
+        sizes = Counter()
+        for r in docs.select("source", "text").collect():
+            sizes[r.source] += len(words(r.text))
+        expect = brute_targets(sizes)
+        got = pivotal.mix_sources(docs).collect()
+        assert {r.source for r in got} == set(expect)
+        for r in got:
+            assert r.source_size == sizes[r.source]
+            assert abs(r.target - float(expect[r.source])) <= 1e-9 * sum(sizes.values()) + 1e-6
+
+
 def test_mix_of_many_chunks_and_odd_rows(spark, odd, monkeypatch):
     monkeypatch.setattr(pivotal, "CHUNK", 8)
     many = spark.range(700).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")).alias("text"),
