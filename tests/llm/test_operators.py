@@ -214,6 +214,8 @@ def test_ledger_measures_and_ablation(spark, odd, documents):
         bit = ledger.mask([row.rule])
         assert (row.failing, row.alone) == (sum(f & bit != 0 for f in failed), sum(f == bit for f in failed))
         assert row.kept_without == sum(f & ~bit == 0 for f in failed)
+        assert row.alone == book.where(ledger.only_rule(policy) == row.rule).count()
+    assert book.where(ledger.passes(policy) & ledger.only_rule(policy).isNotNull()).count() == 0
     assert ledger.ledger(empty(odd)).count() == 0
 
 

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     archive, automata, backtrack, cascade, crossent, curves, divergence, kernel, ledger, licences, orchard, pivotal, prefixes,
 )
-from tidemark.llm.text import PIECE_BYTES, scratch
+from tidemark.llm.text import PIECE_BYTES, scratch, stored
 
 # fixed values: the rules that the url query is asked to judge by
 ALLOW = ("com/", "www.example.com/en/")
@@ -102,15 +102,27 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    book = ledger.ledger(table(spark, folder, "documents"))
+    book = stored(ledger.ledger(table(spark, folder, "documents")), "ledger")
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~ledger.passes(ledger.POLICIES["base-1"])).alias("base_failed"),
         ledger.passes(ledger.POLICIES["web-1"]).alias("kept"),
         "failed",
+        ledger.only_rule(ledger.POLICIES["web-1"]).alias("only_rule"),
     )
 
 
+@query
+def rule_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """What leaving out one rule of each policy would keep, from the stored ledger alone."""
+    book = stored(ledger.ledger(table(spark, folder, "documents")), "ledger")
+    counts = [
+        ledger.ablation(book, rules).select(F.lit(name).alias("policy"), "rule", "failing", "alone", "kept_without")
+        for name, rules in ledger.POLICIES.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def op7_kernel_quality(spark: SparkSession, folder: str) -> DataFrame:
     return kernel.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)

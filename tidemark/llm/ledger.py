@@ -119,6 +119,14 @@ def passes(policy: Sequence[str], rules: Sequence[tuple[str, str]] = RULES) -> C
     return F.col("failed").bitwiseAND(F.lit(mask(policy, rules))) == 0
 
 
+def only_rule(policy: Sequence[str], rules: Sequence[tuple[str, str]] = RULES) -> Column:
+    """The one rule without which a ledger row would pass a policy; null where it passes, or fails
+    two or more."""
+    bits = F.col("failed").bitwiseAND(F.lit(mask(policy, rules)))
+    names = [F.when(bits == (1 << i), name) for i, (name, _) in enumerate(rules)]
+    return F.coalesce(*names)
+
+
 def ablation(book: DataFrame, policy: Sequence[str], rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """Per rule of a policy: ``failing`` documents, those failing it ``alone``, and
     ``kept_without`` it. The ledger is summed by bit pattern first, at most one row for

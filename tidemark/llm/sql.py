@@ -51,7 +51,10 @@ ORACLES = {
         f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 2 * n_words)::INT
                      + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
                      + 32 * (word_chars > 15 * n_words)::INT)::BIGINT AS failed FROM m)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed,
+               CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+                           WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS only_rule
+        FROM f""",
     "op10_suffix_dedup": rf"""
         WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
         g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY ws[i:i + 12]) AS first
@@ -116,3 +119,12 @@ def _rounds(n: int, parts: int = 4, entries: int = 256) -> str:
 
 
 ORACLES["op11_orchard_codes"] = _rounds(4)
+
+ORACLES["rule_ablation"] = f"""
+        SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed & mask = bit) AS alone,
+               count(*) FILTER (failed & mask IN (0, bit)) AS kept_without
+        FROM ({ORACLES["op6_rule_ledger"]}) l,
+             (VALUES ('base-1', 'few_words', 1, 3), ('base-1', 'repeated_words', 2, 3), ('web-1', 'few_words', 1, 63),
+                     ('web-1', 'repeated_words', 2, 63), ('web-1', 'symbols', 4, 63), ('web-1', 'duplicate_lines', 8, 63),
+                     ('web-1', 'short_words', 16, 63), ('web-1', 'long_words', 32, 63)) r(policy, rule, bit, mask)
+        GROUP BY policy, rule"""
