@@ -253,6 +253,8 @@ FROM mart_orphans""",
     "refresh_window_parity": "SELECT * FROM mart_revenue",
     "refresh_full_parity": "SELECT * FROM mart_coverage",
     "refresh_keys_parity": "SELECT * FROM mart_order_360",
+    "stream_refresh": "SELECT * FROM mart_order_360",
+    "order_point_read": f"SELECT *, CAST({secs('_refreshed_at', SALES)} AS BIGINT) AS freshness_seconds FROM mart_order_360 WHERE order_id = '42'",
     "late_arrival": "SELECT * FROM mart_revenue",
     "latest_by": "SELECT * FROM mart_baseline",
     "refresh_log": "\nUNION ALL\n".join(

@@ -102,6 +102,26 @@ def test_global_ntile_equals_one_sorted_list(spark, n):
     assert {r.id: r.tile for r in got} == {r[0]: t for r, t in zip(ordered, tiles)}
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 3000])
+def test_several_global_ranks_with_a_common_value_nulls_and_few_slices(spark, n):
+    rng = random.Random(n)
+    rows = [(f"k{i}", rng.choice([0, 0, 0, None, 1, 2]), rng.choice([0.5, None, -3.0])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, a int, b double")
+    ranked = windows.global_ranks(df, {"ra": ["a", "id"], "rb": ["b", "id"]}, "total", slices=37)
+    for col, at in (("ra", 1), ("rb", 2)):
+        ordered = sorted(rows, key=lambda r: (r[at] is not None, r[at] or 0, r[0]))
+        assert {r.id: r[col] for r in ranked.collect()} == {r[0]: i for i, r in enumerate(ordered)}
+    assert {r.total for r in ranked.collect()} <= {n}
+
+
+def test_a_value_of_a_third_of_all_rows_fills_many_slices(spark):
+    df = spark.range(30_000).select(F.format_string("c%06d", "id").alias("id"), (F.col("id") % 3).alias("v"))
+    cuts = windows._cuts(df, {"r": ["v", "id"]}, 256)
+    sliced = windows.with_scalars(df, cuts).withColumn("s", windows._slice("_cuts_r", ["v", "id"]))
+    sizes = [r["count"] for r in sliced.groupBy("s").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 600
+
+
 def test_capped_sample_equals_plain_top_rows(spark):
     rng = random.Random(5)
     rows = [(rng.choice("aab"), i, rng.randrange(10)) for i in range(500)]

@@ -46,7 +46,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 WRITERS = ("refresh", "landing_json", "landing_partitioned", "landing_stream", "late_arrival", "second",
-           "core_stream", "core_stored", "core_upsert", "events_per_window", "rfm_scores")
+           "core_stream", "core_stored", "core_upsert", "events_per_window", "stream_refresh", "order_point_read")
 
 
 def test_no_query_multiplies_rows_by_a_cross_join(spark):

@@ -121,3 +121,20 @@ def test_window_is_stretched_to_whole_partitions():
     assert refresh.aligned_days(AS_OF, 3, "day") == 3
     assert refresh.aligned_days(AS_OF, 3, "month") == 12
     assert refresh.aligned_days(AS_OF, 20, "month") == 43
+
+
+def test_a_point_read_opens_one_file_and_finds_every_key(spark):
+    path = scratch(spark, "keyed")
+    df = spark.range(2_000).select(F.format_string("é%d", "id").alias("k"), F.col("id").alias("v"))
+    df = df.unionAll(spark.createDataFrame([(None, -1), ("", -2), ("é7", -3)], df.schema))
+    for parts in (3, 8):  # written again with other parts
+        refresh.write_keyed(df, path, "k", parts)
+    one = refresh.read_keyed(spark, path, df.schema, "k", "é7")
+    assert sorted(r.v for r in one.collect()) == [-3, 7]
+    assert len(one.inputFiles()) == 1
+    plan = one._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(k,é7)" in plan.replace("In(k, [é7])", "EqualTo(k,é7)")
+    several = refresh.read_keyed(spark, path, df.schema, "k", "é1", "é1999", "", "none")
+    assert sorted(r.v for r in several.collect()) == [-2, 1, 1999]
+    refresh.write_keyed(df.limit(0), path, "k", 8)
+    assert refresh.read_keyed(spark, path, df.schema, "k", "é7").count() == 0

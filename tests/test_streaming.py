@@ -13,7 +13,7 @@ from tidemark.plans import refresh
 from tidemark.plans.catalog import framed_json, framed_orders, workspace
 from tidemark.session import scratch
 from tidemark.sources import files, landing
-from tidemark.streaming import jobs, offsets
+from tidemark.streaming import frontier, jobs, offsets
 
 ORDER = CONTRACTS["order"]
 
@@ -230,3 +230,33 @@ def test_framed_messages_land_and_are_quarantined(spark):
     assert good.count() + bad.count() == orders.count()
     assert {r.reason for r in bad.collect()} == {"frame:short", "frame:magic", "frame:schema", "frame:payload"}
     assert {r._schema_id for r in good.collect()} == {1, 2}
+
+
+def test_a_mart_takes_open_notes_when_it_is_due_and_again_after_a_failure(spark):
+    path, seen = scratch(spark, "touched"), []
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "order_id string")
+    take = lambda now, work: frontier.take(spark, path, "order_360", now, work)
+
+    def work(touched):
+        seen.append(sorted(r[0] for r in touched.collect()))
+        return len(seen[-1])
+
+    def lost(touched):
+        work(touched)
+        raise RuntimeError
+
+    assert take(ago(0), work) is None  # nothing noted
+    frontier.note(keys("A", "A", None), path, ["order_id"], "q-0")
+    frontier.note(keys("A", "B"), path, ["order_id"], "q-1")
+    frontier.note(keys("B", "C"), path, ["order_id"], "q-1")  # the batch again
+    with pytest.raises(RuntimeError):
+        take(ago(0), lost)
+    assert take(ago(0), work) == 3
+    frontier.note(keys("D"), path, ["order_id"], "q-2")
+    assert take(ago(0) + timedelta(seconds=59), work) is None  # not due
+    assert frontier.open_notes(spark, path, "order_360") == ["q-2"]
+    assert frontier.clear(spark, path, ["order_360"]) == 2
+    assert take(ago(0) + timedelta(seconds=60), work) == 1
+    frontier.note(keys(None), path, ["order_id"], "q-3")  # a note without keys
+    assert take(ago(0) + timedelta(seconds=120), work) == 0
+    assert seen == [["A", "B", "C"], ["A", "B", "C"], ["D"], []]

@@ -2,50 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.cdc import newest
-from tidemark.session import checkpointed
+from tidemark.operators.cdc import newest, with_scalars
 
-_LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in these bits
+SLICES = 256  # parts of about equal size that a global order is cut into
+_SAMPLED = 64  # rows looked at per slice to choose its bounds
+_BLOCK = 16  # bounds between two heads, so that a row is compared with few of them
 
 
-def global_rank(df: DataFrame, order: Sequence[str], rank: str, total: str) -> DataFrame:
-    """0-based rank of every row in one global order, and the number of rows,
-    without sending all rows through one task.
+def _cuts(df: DataFrame, orders: Mapping[str, Sequence[str]], slices: int) -> DataFrame:
+    """One row with the sorted slice bounds of every order.
 
-    Rows are range-partitioned and sorted; the running row id then holds
-    (partition, position). It is materialized once, so that a re-run cannot see
-    other range bounds. The offset of each partition comes from the partition
-    counts: one row per partition, whatever the size of the data.
-    """
-    placed = checkpointed(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_id", _LOCAL_BITS))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    Of each of a fixed number of hash classes the row with the smallest hash is kept, so the
+    sample depends on the rows alone: a task that runs again finds the same bounds."""
+    cols = list(dict.fromkeys(c for order in orders.values() for c in order))
+    classes = slices * _SAMPLED
+    picked = (
+        df.select(*cols)
+        .withColumn("_h", F.xxhash64(*cols))
+        .groupBy(F.pmod("_h", F.lit(classes)).alias("_class"))
+        .agg(F.min(F.struct("_h", *cols)).alias("_row"))
     )
-    offsets = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_part",
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_n").over(everything).alias(total),
-        )
+
+    keys = picked.agg(
+        *[
+            F.sort_array(F.collect_list(F.struct(*[F.col(f"_row.{c}").alias(c) for c in order]))).alias(name)
+            for name, order in orders.items()
+        ]
     )
-    position = F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(rank, F.col("_before") + position)
-        .select(*df.columns, rank, total)
+
+    def bounds(name: str) -> Column:
+        places = F.sequence(F.lit(1), F.lit(slices - 1))
+        return F.transform(places, lambda i: F.col(name)[F.floor(i * F.size(name) / slices).cast("int")])
+
+    # in a step of its own, so that the sorted list is made once and not per bound
+    return keys.select(*[F.when(F.size(name) > 0, bounds(name)).alias(f"_cuts_{name}") for name in orders])
+
+
+def _slice(cuts: str, order: Sequence[str]) -> Column:
+    """How many bounds lie below a row: first by every ``_BLOCK``-th of them, then in one block."""
+    key = F.struct(*order)
+    heads = F.filter(cuts, lambda cut, at: ((at + 1) % _BLOCK == 0) & (cut < key))
+    block = F.slice(cuts, F.size(heads) * _BLOCK + 1, F.lit(_BLOCK))
+    return F.size(heads) * _BLOCK + F.size(F.filter(block, lambda cut: cut < key))
+
+
+def global_ranks(
+    df: DataFrame, orders: Mapping[str, Sequence[str]], total: str, slices: int = SLICES
+) -> DataFrame:
+    """0-based rank of every row in each of several global orders (``name -> columns``), and the
+    number of rows, without sending all rows through one task.
+
+    Bounds from a small sample cut each order into slices; one pass counts the slices of all
+    orders, and prefix sums over these counts (one number per slice) say how many rows come
+    before a slice. Only inside a slice are rows put in order. Equal values are told apart by the
+    further columns of the order, in the bounds too, so a value that a third of all rows share
+    fills many slices. The plan is lazy; bounds and counts are scalar subqueries.
+    """
+    sliced = with_scalars(df, _cuts(df, orders, slices)).select(
+        *df.columns, *[_slice(f"_cuts_{name}", order).alias(f"_slice_{name}") for name, order in orders.items()]
     )
+    places = [F.struct(F.lit(name).alias("o"), F.col(f"_slice_{name}").alias("s")) for name in orders]
+    sizes = sliced.select(F.explode(F.array(*places)).alias("p")).groupBy("p.o", "p.s").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("o").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+    def start_of(name: str) -> Column:
+        here = F.when(F.col("o") == name, F.struct("s", "before"))
+        return F.map_from_entries(F.collect_list(here)).alias(f"_start_{name}")
+
+    first = next(iter(orders))
+    rows = F.coalesce(F.sum(F.when(F.col("o") == first, F.col("n"))), F.lit(0)).alias(total)
+    ranked = with_scalars(sliced, starts.agg(rows, *[start_of(name) for name in orders]))
+    for name, order in orders.items():
+        inside = Window.partitionBy(f"_slice_{name}").orderBy(*order)
+        before = F.col(f"_start_{name}")[F.col(f"_slice_{name}")]
+        ranked = ranked.withColumn(f"_before_{name}", before).drop(f"_start_{name}")
+        ranked = ranked.withColumn(name, F.col(f"_before_{name}") + F.row_number().over(inside) - 1)
+    return ranked.select(*df.columns, *orders, total)
 
 
 def tile(rank: Column, total: Column, n: int) -> Column:
@@ -59,10 +97,19 @@ def tile(rank: Column, total: Column, n: int) -> Column:
     )
 
 
+def ntiles_global(
+    df: DataFrame, orders: Mapping[str, Sequence[str]], n: int, slices: int = SLICES
+) -> DataFrame:
+    """``ntile(n)`` over each global order, as columns named by ``orders``. Every order must end
+    in a unique column."""
+    ranked = global_ranks(df, orders, "_total", slices)
+    tiles = {name: tile(F.col(name), F.col("_total"), n) for name in orders}
+    return ranked.withColumns(tiles).drop("_total")
+
+
 def ntile_global(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
     """``ntile(n)`` over one global order; ``order`` must end in a unique column."""
-    ranked = global_rank(df, order, "_rank", "_total")
-    return ranked.withColumn(name, tile(F.col("_rank"), F.col("_total"), n)).drop("_rank", "_total")
+    return ntiles_global(df, {name: order}, n)
 
 
 def sample_per_group(

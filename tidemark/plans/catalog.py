@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tidemark.plans.marts import discounts, health, margin, payments, sales, sto
 from tidemark.plans.workspace import Workspace
 from tidemark.session import scratch
 from tidemark.sources import landing
-from tidemark.streaming import jobs
+from tidemark.streaming import frontier, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _spaces: dict[tuple[str, str], Workspace] = {}
@@ -602,6 +603,15 @@ def _second_access_path(w: Workspace) -> DataFrame:
     return reports.customer_orders(w.spark.read.parquet(path))
 
 
+@query("order_point_read")
+def _order_point_read(w: Workspace) -> DataFrame:
+    """One order out of a stored copy of the order mart: one file is opened."""
+    path, mart = scratch(w.spark, "by-order"), w.mart("order_360")
+    refresh.write_keyed(mart, path, "order_id", 16)
+    row = refresh.read_keyed(w.spark, path, mart.schema, "order_id", "42")
+    return _flat(reports.order_lookup(row, w.as_of, "42"))
+
+
 # --- streams --------------------------------------------------------------
 
 
@@ -669,6 +679,50 @@ def _landing_stream_replay(w: Workspace) -> DataFrame:
     return jobs.read_landed(w.spark, f"{base}/landing", contract)
 
 
+@query("stream_refresh")
+def _stream_refresh(w: Workspace) -> DataFrame:
+    """Orders land in three parts, the last one late for the interval of the mart. The run dies in
+    the second part, when the mart has been written and not yet recorded, and is started again."""
+    base, contract, died = scratch(w.spark, "stream"), CONTRACTS["order"], []
+    rows, glance = w.lake.landing("order"), timedelta(seconds=20)
+
+    def run(now) -> None:
+        def work(keys: DataFrame) -> int:
+            lake = _lake_with(w, order=w.spark.read.parquet(f"{base}/landing"))
+            written = refresh.refresh_keys(
+                lambda keys: sales.order_360(lake, w.lookups, w.as_of, None, keys),
+                keys, f"{base}/mart", "order_id", "order_created_at",
+            )
+            if now == w.as_of + 3 * glance and not died:
+                died.append(now)
+                raise RuntimeError("lost in the middle")
+            return written
+
+        stream = jobs.landing_stream(w.spark, f"{base}/landing", contract)
+        step = lambda: frontier.take(w.spark, f"{base}/touched", "order_360", now, work)
+        _finish(jobs.stream_marts(stream, "order_id", f"{base}/touched", step, f"{base}/checkpoint"))
+
+    for part, late in enumerate((0, 3, 4)):
+        rows.where(F.pmod(F.xxhash64("_offset"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/landing")
+        now = w.as_of + late * glance
+        try:
+            run(now)
+        except StreamingQueryException:
+            if died != [now]:
+                raise
+            run(now)
+    # a third of a minute after the second refresh the third part was not due; now it is
+    lake = _lake_with(w, order=w.spark.read.parquet(f"{base}/landing"))
+    frontier.take(
+        w.spark, f"{base}/touched", "order_360", w.as_of + 6 * glance,
+        lambda keys: refresh.refresh_keys(
+            lambda keys: sales.order_360(lake, w.lookups, w.as_of, None, keys),
+            keys, f"{base}/mart", "order_id", "order_created_at",
+        ),
+    )
+    return _flat(refresh.read_mart(w.spark, f"{base}/mart"))
+
+
 @query("events_per_window")
 def _events_per_window(w: Workspace) -> DataFrame:
     base = scratch(w.spark, "stream")

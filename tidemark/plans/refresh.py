@@ -9,12 +9,14 @@ the replacement from. Nothing is read and overwritten in one plan.
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.contracts import BATCH, MONTH
 from tidemark.functions import flag, midnight, seconds_between, stamp
@@ -147,6 +149,45 @@ def write_second_order(df: DataFrame, path: str, cols: Sequence[str]) -> None:
     df.repartitionByRange(*cols).sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
 
 
+_PARTS = "_parts"  # how many parts a keyed copy has stands in its folder name
+_PART = "_part"
+
+
+def write_keyed(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """A copy for reading single keys: dealt to ``parts`` folders by a checksum of the text
+    ``key``, sorted by it, with a Bloom filter of it in every row group. Rows without a key are
+    kept in part 0. Writing it again, also with other ``parts``, replaces it."""
+    spark = df.sparkSession
+    part = F.coalesce(F.crc32(F.col(key)) % parts, F.lit(0)).cast("int")
+    (
+        df.withColumn(_PART, part)
+        .repartition(parts, _PART)
+        .sortWithinPartitions(_PART, key)
+        .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option("parquet.block.size", str(16 << 20))
+        .partitionBy(_PART)
+        .parquet(f"{path}/{_PARTS}={parts}")
+    )
+    for found, folder in files.partitions(spark, path, _PARTS).items():
+        if found != str(parts):
+            files.delete(spark, folder)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: StructType, key: str, *values: str) -> DataFrame:
+    """Rows of a keyed copy whose ``key`` is one of ``values``. Only the folders of their parts
+    are listed, and row groups without the keys are passed over."""
+    found = files.partitions(spark, path, _PARTS)
+    if not found:
+        raise FileNotFoundError(f"no keyed copy in {path}")
+    parts, root = max(found.items(), key=lambda entry: int(entry[0]))
+    named = sorted({f"{root}/{_PART}={zlib.crc32(value.encode()) % int(parts)}" for value in values})
+    folders = [folder for folder in named if files.exists(spark, folder)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders).where(F.col(key).isin(*values))
+
+
 def write_bucketed(df: DataFrame, table: str, key: Sequence[str], buckets: int) -> None:
     """A catalog table bucketed and sorted by its join key: later joins,
     aggregations and current-state windows on that key need no shuffle."""

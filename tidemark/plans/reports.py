@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import average_money, flag, money_sum, ratio, seconds_between, stamp
-from tidemark.operators.windows import ntile_global
+from tidemark.operators.windows import ntiles_global
 
 
 def _since(as_of: datetime, days: int):
@@ -315,9 +315,8 @@ def rfm_scores(metrics: DataFrame) -> DataFrame:
     base = metrics.where(F.col("never_purchased") == 0).select(
         "customer_id", "segment", "recency_days", "total_orders", "lifetime_net"
     )
-    scored = ntile_global(base, ["recency_days", "customer_id"], 5, "_r")
-    scored = ntile_global(scored, ["total_orders", "customer_id"], 5, "f_score")
-    scored = ntile_global(scored, ["lifetime_net", "customer_id"], 5, "m_score")
+    by = {"_r": "recency_days", "f_score": "total_orders", "m_score": "lifetime_net"}
+    scored = ntiles_global(base, {name: [col, "customer_id"] for name, col in by.items()}, 5)
     return scored.select(
         "customer_id", "segment", (6 - F.col("_r")).alias("r_score"), "f_score", "m_score"
     )

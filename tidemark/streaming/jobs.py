@@ -13,7 +13,7 @@ from tidemark.operators.cdc import to_core
 from tidemark.operators.store import Store
 from tidemark.operators.windows import latest_by
 from tidemark.sources.landing import by_month, coerce, parse_lines, split_malformed
-from tidemark.streaming import offsets
+from tidemark.streaming import frontier, offsets
 
 
 def _start(writer, trigger: dict) -> StreamingQuery:
@@ -209,3 +209,19 @@ def stream_refresh(
 
     writer = source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return _start(writer, trigger)
+
+
+def stream_marts(
+    source: DataFrame, key: str, path: str, refresh: Callable[[], None], checkpoint: str, trigger: dict = NOW
+) -> StreamingQuery:
+    """Note the keys of every batch of new records in the frontier ``path``, then let ``refresh``
+    bring up to date the marts that are due (``frontier.take``). A batch that fails on the way
+    is repeated with its own note."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        frontier.note(batch, path, [key], f"{_run_id(spark, checkpoint)}-{batch_id}")
+        refresh()
+
+    writer = source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return _start(writer, trigger)
