@@ -126,7 +126,7 @@ def test_window_is_stretched_to_whole_partitions():
 def test_a_point_read_opens_one_file_and_finds_every_key(spark):
     path = scratch(spark, "keyed")
     df = spark.range(2_000).select(F.format_string("é%d", "id").alias("k"), F.col("id").alias("v"))
-    df = df.unionAll(spark.createDataFrame([(None, -1), ("", -2), ("é7", -3)], df.schema))
+    df = df.unionAll(spark.createDataFrame([(None, -1), ("", -2), ("é7", -3)], "k string, v bigint"))
     for parts in (3, 8):  # written again with other parts
         refresh.write_keyed(df, path, "k", parts)
     one = refresh.read_keyed(spark, path, df.schema, "k", "é7")
