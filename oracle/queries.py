@@ -341,12 +341,19 @@ def total(a: str, b: str, source: str) -> str:
     return f"SELECT CAST(sum({a}) AS DOUBLE) / CAST(sum({b}) AS DOUBLE) FROM {source}"
 
 
+IMMUTABLE = {"order": "created_at", "order_item": "created_at", "order_payment": "created_at", "customer": "customer_since", "prices": "valid_from"}
+
+
 CHECKS = {
     "landing.freshness": ("error", "lte", 0, "SELECT count(*) FROM mart_overview WHERE freshness_ok = 0"),
     "landing.dlq_depth": ("error", "lte", 0, f"SELECT count(*) FROM order_raw WHERE {REASON} <> 'landed'"),
     "core.dup_key": ("error", "lte", 0, "SELECT count(*) FROM mart_overview WHERE keys_with_dup_in_core <> 0"),
     "core.reconcile_count": ("error", "lte", 0, "SELECT count(*) FROM mart_overview WHERE reconcile_ok = 0"),
     "core.cdc_monotonic": ("warn", "lte", 0, "SELECT sum(cdc_seq_non_monotonic) FROM mart_overview"),
+    "core.immutable_columns": ("error", "lte", 0, "SELECT " + " + ".join(
+        f"(SELECT count(*) FROM (SELECT 1 FROM {e}_core GROUP BY {entities.KEYS[e]} "
+        f"HAVING count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END > 1) d)"
+        for e, c in IMMUTABLE.items())),
     "core.deleted_leak": ("error", "lte", 0, "SELECT " + " + ".join(
         f"(SELECT count(*) FROM {e}_now JOIN (SELECT {k} FROM {e}_newest WHERE _op = 'd') d USING ({k}))"
         for e, k in entities.KEYS.items())),

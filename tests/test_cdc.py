@@ -149,3 +149,20 @@ def test_parents_of_a_narrow_window_equal_all_parents(spark):
     narrow = items.join(a_lake.parents("order_item", "order_id", "order", since, True), "order_id")
     assert 0 < narrow.count() < a_lake.current("order_item").count()
     assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_a_changed_immutable_column_is_found_with_deletes_and_nulls(spark):
+    order = {"created_at": ago(3)}
+    rows = [
+        {**order, "order_id": "same"}, {**order, "order_id": "same", "_op": "d"},
+        {**order, "order_id": "moved"}, {**order, "order_id": "moved", "created_at": ago(40)},
+        {**order, "order_id": "gone"}, {**order, "order_id": "gone", "created_at": ago(40), "_op": "d"},
+    ]
+    contract = CONTRACTS["order"]
+    core = cdc.to_core(records(spark, "order", rows), contract)
+    half = core.where(F.col("order_id") == "same").withColumn(
+        "created_at", F.when(F.col("_is_deleted") == 0, F.col("created_at")))
+    none = half.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    both = core.unionByName(half.withColumn("order_id", F.lit("half"))).unionByName(none.withColumn("order_id", F.lit("none")))
+    got = {r.order_id: r.changed for r in cdc.immutable_changes(both, contract).collect()}
+    assert got == {"moved": ["created_at"], "gone": ["created_at"], "half": ["created_at"]}

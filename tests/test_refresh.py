@@ -138,3 +138,30 @@ def test_a_point_read_opens_one_file_and_finds_every_key(spark):
     assert sorted(r.v for r in several.collect()) == [-2, 1, 1999]
     refresh.write_keyed(df.limit(0), path, "k", 8)
     assert refresh.read_keyed(spark, path, df.schema, "k", "é7").count() == 0
+
+
+@pytest.mark.parametrize("lost_at", ["rows", "gone", "replaced"])
+def test_the_next_refresh_finishes_one_that_was_cut_off(spark, lost_at, monkeypatch):
+    path = scratch(spark, "mart")
+    job = lambda *days: lambda at, span: spark.createDataFrame(
+        [(ago(d).date(), d) for d in days], "day date, n int")
+    refresh.refresh_window(job(1, 2, 100), path, AS_OF, 200, "day", "day")
+
+    def lost(*args):
+        raise ConnectionError
+
+    with monkeypatch.context() as patch:
+        if lost_at == "rows":  # staged, not yet decided
+            patch.setattr(refresh.files, "partitions", lost)
+        elif lost_at == "gone":  # decided, nothing replaced
+            patch.setattr(refresh, "_finish", lost)
+        else:  # replaced, the vanished day still there
+            delete = refresh.files.delete
+            patch.setattr(refresh.files, "delete", lambda s, p: lost() if f"{refresh.PERIOD}=" in p else delete(s, p))
+        with pytest.raises(ConnectionError):
+            refresh.refresh_window(job(2, 3), path, AS_OF, 3, "day", "day")
+    assert refresh.files.exists(spark, f"{path}-staging")
+    assert refresh.recover(spark, path) is (lost_at != "rows")
+    assert rows_of(spark, path, "n") == ([(1,), (2,), (100,)] if lost_at == "rows" else [(2,), (3,), (100,)])
+    assert not refresh.files.exists(spark, f"{path}-staging")
+    assert refresh.recover(spark, path) is False

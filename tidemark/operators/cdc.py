@@ -217,6 +217,22 @@ def cdc_profile(landing: DataFrame, state: DataFrame, contract: Contract) -> Dat
     )
 
 
+def immutable_changes(core: DataFrame, contract: Contract) -> DataFrame:
+    """Keys with versions that differ in a column declared immutable, and in which (``changed``).
+
+    Deletes count as versions: readers restrict such a column before versions are compared, so a
+    delete with another value would be passed over and its key come back. Null beside a value
+    is a difference, null in all versions is none."""
+
+    def differs(name: str) -> Column:
+        nulls = F.count_if(F.col(name).isNull())
+        return (F.min(name) != F.max(name)) | ((nulls > 0) & (F.count(name) > 0))
+
+    named = [F.when(differs(name), F.lit(name)) for name in contract.immutable]
+    per_key = core.groupBy(*contract.key).agg(F.array_compact(F.array(*named)).alias("changed"))
+    return per_key.where(F.size("changed") > 0)
+
+
 class Lake:
     """Access to the layers by entity name: landing, core and current state. ``stored`` gives
     the rows of the stored state table of an entity, where there is one."""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemark.contracts import BILLABLE, CANCELED, VERSION_ORDER
 from tidemark.functions import flag, midnight, money_sum, out_of_range, stamp
 from tidemark.operators.aggregates import duplicate_keys, quantiles
-from tidemark.operators.cdc import with_scalars
+from tidemark.operators.cdc import immutable_changes, with_scalars
 from tidemark.operators.joins import fanout_guard, price_at
 from tidemark.plans.refresh import refresh_state
 from tidemark.plans.reports import coupons_over_limit
@@ -335,6 +335,21 @@ def _cdc_monotonic(w: Workspace) -> DataFrame:
     return w.mart("dq_overview").agg(F.sum("cdc_seq_non_monotonic").alias("value"))
 
 
+@check("core.immutable_columns")
+def _immutable_columns(w: Workspace) -> DataFrame:
+    """Keys whose versions differ in a column that readers prune on before comparing versions."""
+    found = [
+        immutable_changes(w.lake.core(c.entity), c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c.entity).alias("entity"), "n")
+        for c in w.lake.contracts.values()
+        if c.immutable
+    ]
+    words = F.when(F.col("n") > 0, F.concat_ws(": ", "entity", F.col("n").cast("string")))
+    return reduce(DataFrame.unionAll, found).agg(
+        F.sum("n").alias("value"),
+        F.nullif(F.array_join(F.array_sort(F.collect_list(words)), ", "), F.lit("")).alias("details"),
+    )
+
+
 @check("core.deleted_leak")
 def _deleted_leak(w: Workspace) -> DataFrame:
     """Live keys whose newest version, found by another route, is a delete."""

@@ -1,9 +1,9 @@
 """Materialization of marts: by window, in full, by touched keys; refresh log.
 
-A refresh first writes its result to a fresh staging folder of the shared store
-and then replaces partitions from there. A lost executor only repeats tasks; a
-lost driver leaves either the old table or a complete staging folder to repeat
-the replacement from. Nothing is read and overwritten in one plan.
+A refresh first writes its result to a staging folder beside the mart and then replaces
+partitions from there. A lost executor only repeats tasks. After a lost driver the next refresh,
+or ``recover``, finishes the replacement from a complete staging folder and drops an
+incomplete one. Nothing is read and overwritten in one plan. One writer per mart.
 """
 
 from __future__ import annotations
@@ -52,22 +52,52 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     files.delete(spark, path)
 
 
-def _replace_periods(fresh: DataFrame, path: str, drop: Callable[[str], bool]) -> None:
-    """Overwrite the partitions present in ``fresh``; of those absent from it,
-    remove the ones ``drop`` names (their groups have vanished)."""
-    spark = fresh.sparkSession
+def _publish(rows: DataFrame, path: str, drop: Callable[[str], bool]) -> int:
+    """Replace the periods of ``rows`` in the mart at ``path``; of the periods absent from them,
+    remove those ``drop`` names (their groups have vanished). Returns the number of rows.
+
+    The rows are staged beside the mart first, then the periods to remove. From then on the
+    refresh is decided, and ``recover`` can finish it whatever happens to the driver."""
+    spark, stage = rows.sparkSession, f"{path}-staging"
+    files.delete(spark, stage)
+    rows.write.parquet(f"{stage}/rows")
     # a handful of period labels, not data
-    present = {r[0] for r in fresh.select(F.col(PERIOD).cast("string")).distinct().collect()}
+    fresh = spark.read.parquet(f"{stage}/rows").groupBy(F.col(PERIOD).cast("string")).count().collect()
+    present = {label: n for label, n in fresh}
+    gone = [(label,) for label in files.partitions(spark, path, PERIOD) if label not in present and drop(label)]
+    spark.createDataFrame(gone, "label string").coalesce(1).write.parquet(f"{stage}/gone")
+    _finish(spark, path)
+    return sum(present.values())
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    stage = f"{path}-staging"
     (
-        fresh.hint("rebalance", PERIOD)
+        spark.read.parquet(f"{stage}/rows")
+        .hint("rebalance", PERIOD)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PERIOD)
         .parquet(path)
     )
-    for label, folder in files.partitions(spark, path, PERIOD).items():
-        if label not in present and drop(label):
-            files.delete(spark, folder)
+    folders = files.partitions(spark, path, PERIOD)
+    for (label,) in spark.read.schema("label string").parquet(f"{stage}/gone").collect():
+        if label in folders:
+            files.delete(spark, folders[label])
+    files.delete(spark, f"{stage}/gone")  # before the rows: what is left is then no decided refresh
+    files.delete(spark, stage)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a refresh of the mart at ``path`` that was cut off after its result had been staged
+    whole, and throw away one that was cut off before. Every refresh begins with it, so a crash
+    can leave a mart half replaced only until the next one. Whether there was one to finish."""
+    stage = f"{path}-staging"
+    decided = files.exists(spark, f"{stage}/gone/_SUCCESS")
+    if decided:
+        _finish(spark, path)
+    files.delete(spark, stage)
+    return decided
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +119,9 @@ def refresh_window(
     period = F.date_format(date_col, _FORMATS[grain])
     fmt = {"day": "%Y-%m-%d", "month": "%Y%m"}[grain]
     first = period_start(midnight(as_of, days), grain).strftime(fmt)
-    with staged(job(as_of, span).withColumn(PERIOD, period), "window") as fresh:
-        _replace_periods(fresh, path, drop=lambda label: label >= first)
-        return fresh.count()
+    rows = job(as_of, span).withColumn(PERIOD, period)
+    recover(rows.sparkSession, path)
+    return _publish(rows, path, drop=lambda label: label >= first)
 
 
 def refresh_keys(
@@ -107,19 +137,18 @@ def refresh_keys(
     key the job no longer returns disappears."""
     spark = keys.sparkSession
     period = F.date_format(date_col, _FORMATS[grain])
+    recover(spark, path)
     with (
         staged(keys.select(key).distinct(), "keys") as wanted,
         staged(job(wanted).withColumn(PERIOD, period), "fresh") as fresh,
     ):
         if not files.exists(spark, path):
-            _replace_periods(fresh, path, drop=lambda label: False)
-            return fresh.count()
+            return _publish(fresh, path, drop=lambda label: False)
         old = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
         hit = old.join(wanted, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
         touched = {r[0] for r in hit.distinct().collect()}  # period labels, not data
         kept = old.where(F.col(PERIOD).isin(*touched)).join(wanted, key, "left_anti")
-        with staged(kept.unionByName(fresh), "merged") as merged:
-            _replace_periods(merged, path, drop=lambda label: label in touched)
+        _publish(kept.unionByName(fresh), path, drop=lambda label: label in touched)
         return fresh.count()
 
 
