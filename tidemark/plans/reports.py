@@ -400,13 +400,17 @@ def entity_state(overview: DataFrame) -> DataFrame:
     ).orderBy("freshness_ok", "context", "entity")
 
 
+# Verdict words of the orphan report.
+ORPHANS_BOTH, ORPHANS_LATE, ORPHANS_MANY, ORPHANS_NORMAL = "INCIDENTE", "ATRASO ACIMA DA JANELA", "TAXA ALTA", "normal"
+
+
 def orphan_verdict(orphans: DataFrame) -> DataFrame:
     bad_rate, bad_age = F.col("rate_ok") == 0, F.col("age_ok") == 0
     verdict = (
-        F.when(bad_rate & bad_age, "INCIDENTE")
-        .when(bad_age, "ATRASO ACIMA DA JANELA")
-        .when(bad_rate, "TAXA ALTA")
-        .otherwise("normal")
+        F.when(bad_rate & bad_age, ORPHANS_BOTH)
+        .when(bad_age, ORPHANS_LATE)
+        .when(bad_rate, ORPHANS_MANY)
+        .otherwise(ORPHANS_NORMAL)
     )
     return orphans.select(
         "relation_id",
