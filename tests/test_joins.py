@@ -64,6 +64,19 @@ def test_asof_is_inclusive_and_never_looks_ahead(spark):
     assert {r.id: r.price for r in got} == {1: 90, 2: None}
 
 
+def test_asof_never_broadcasts_the_prices_carried_into_slices(spark):
+    """They are a row per key and slice; the byte statistics take them for as few as the prices."""
+    left = spark.createDataFrame([(1, "k", "BRL", T0)], LEFT)
+    right = spark.range(90, 91).selectExpr(  # of known size, unlike rows from Python
+        "'k' k", "'BRL' c", "timestamp_ntz'2024-01-01' at", "'x' lst", "cast(id as int) price"
+    )
+    got = joins.asof_left(
+        left, right, ["k", "c"], "ts", "at", ["price"], span=(T0 - timedelta(days=30), T0 + timedelta(days=30))
+    )
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.price for r in got.collect()] == [90]
+
+
 def test_lookup_keeps_unknown_keys_in_a_lookup(spark):
     facts = spark.createDataFrame([("a",), ("zz",), (None,)], "code string")
     registry = spark.createDataFrame([("a", "Alpha", None), ("b", "Beta", "s")], "key string, name string, scope string")

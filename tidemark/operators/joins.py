@@ -136,7 +136,9 @@ def asof_left(
         F.struct(*left.columns).alias("_row"),
         part.alias("_salt"),
     ).withColumn("_salt", F.when(F.col("_slot") >= 0, F.col("_salt")).otherwise(0))
-    with_carry = placed.join(carried, [*keys, "_slot"], "left").withColumn("_side", F.lit(1))
+    # one row per key and slice, of which Spark's byte statistics know nothing (they take the sequence
+    # for one row): left to them it would be broadcast, and pass through the driver
+    with_carry = placed.join(carried.hint("merge"), [*keys, "_slot"], "left").withColumn("_side", F.lit(1))
     repeated = changes.withColumn(
         "_salt",
         F.explode(
