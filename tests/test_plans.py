@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.support import SMALL
-from tidemark.contracts import CONTRACTS
+from tidemark.contracts import CONTRACTS, VERSION_ORDER
 from tidemark.functions import midnight
 from tidemark.operators import cdc
+from tidemark.operators.store import Store
 from tidemark.plans import refresh
 from tidemark.plans.catalog import QUERIES, workspace
 from tidemark.plans.marts import health
@@ -98,3 +99,27 @@ def test_parents_of_a_window_are_filtered_by_its_keys_below_their_versions(spark
     assert "LeftSemi" in windowed and "LeftSemi" not in plan.split("Window [row_number()", 1)[0]
     rows = health._parents(w.lake, contract, relation, midnight(w.as_of, 7))
     assert 0 < rows.count() < w.lake.current("order").count() / 10
+
+
+def test_the_join_of_items_serves_their_current_state(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(workspace(spark, SMALL).lake.current("order_item"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # the two sides of the join
+
+
+def test_orphan_totals_read_no_column_that_is_not_looked_up(spark):
+    plan = physical(workspace(spark, SMALL).mart("orphan_summary"))
+    assert "l_partkey" in plan and "l_extendedprice" not in plan
+
+
+def test_stored_rows_are_compared_without_their_columns(spark):
+    contract = CONTRACTS["order"]
+    space, store = workspace(spark, SMALL), Store(spark, scratch(spark, "store"), CONTRACTS["order"], 8)
+    store.append(space.lake.core("order"), "load", 0)
+    narrow = store.table(store.marked)
+    assert narrow.columns == [*contract.key, *VERSION_ORDER, "_is_deleted", "_mark"]
+    whole = {r.order_id: r[-1] for r in store.marked(store.table()).collect()}
+    assert {r.order_id: r._mark for r in narrow.collect()} == whole

@@ -177,10 +177,11 @@ def price_at(prices: DataFrame, as_of: datetime) -> DataFrame:
 NULL_SALTS = 4096
 
 
-def with_null_salt(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``_salt``: 0 where the key is whole, otherwise a number from 1 on by the other columns."""
+def with_null_salt(df: DataFrame, key: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+    """``_salt``: 0 where the key is whole, otherwise a number from 1 on by the columns ``by`` (all,
+    if none are named: then all of them have to be read and carried up to here)."""
     part = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(NULL_SALTS)) + 1
+    spread = F.pmod(F.xxhash64(*(by or df.columns)), F.lit(NULL_SALTS)) + 1
     return df.withColumn("_salt", F.when(part, spread).otherwise(F.lit(0).cast("bigint")))
 
 
@@ -189,10 +190,12 @@ def mark_missing(
     right: DataFrame,
     on: Sequence[tuple[str, str]],
     mark: str = "is_orphan",
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Anti join that keeps the denominator: every left row stays, ``mark`` is 1
     where no right row matches. The right side is made unique first. Left rows with a null in
-    their key match nothing, so they are spread by a salt and never meet in one task."""
+    their key match nothing, so they are spread by a salt (of the columns ``by``) and never meet in
+    one task."""
     names = [f"_r{i}" for i in range(len(on))]
     side = (
         right.select(*[F.col(r).alias(n) for (_, r), n in zip(on, names)])
@@ -202,7 +205,7 @@ def mark_missing(
     condition = reduce(
         lambda a, b: a & b, [F.col(l) == F.col(n) for (l, _), n in zip(on, names)], F.col("_salt") == F.col("_side")
     )
-    return with_null_salt(left, [l for l, _ in on]).join(side, condition, "left").select(
+    return with_null_salt(left, [l for l, _ in on], by).join(side, condition, "left").select(
         *left.columns, flag(F.col("_hit").isNull()).alias(mark)
     )
 

@@ -14,19 +14,21 @@ that long to finish.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import Contract
+from tidemark.contracts import VERSION_ORDER, Contract
 from tidemark.functions import stamp
 from tidemark.operators.cdc import newest, to_core
 from tidemark.sources import files
 
 BUCKET = "_bucket"
+MARK = "_mark"
+FEW_BUCKETS = 16  # so few that every task may write a file of its own into each
 VERSION = "version"
 KEPT_VERSIONS = 2
 MANIFEST = "run string, bucket int, rows bigint, bytes bigint, folded boolean"
@@ -97,15 +99,17 @@ class Store:
     def _folder(self, run: str, bucket: int) -> str:
         return f"{self.root}/runs/{run}/{BUCKET}={bucket}"
 
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The newest row of every key, in the order of the buckets, in which they are written."""
+        return newest(rows.withColumn(BUCKET, self.bucket()), [BUCKET, *self.contract.key])
+
     def _write(self, rows: DataFrame, run: str, folded: Iterable[int]) -> list[Part]:
         path, folded = f"{self.root}/runs/{run}", set(folded)
-        (
-            rows.withColumn(BUCKET, self.bucket())
-            .hint("rebalance", BUCKET)
-            .write.mode("overwrite")
-            .partitionBy(BUCKET)
-            .parquet(path)
-        )
+        placed = rows if BUCKET in rows.columns else rows.withColumn(BUCKET, self.bucket())
+        if self.buckets > FEW_BUCKETS:
+            # a shuffle of all rows, or every task would write a small file into each of many buckets
+            placed = placed.hint("rebalance", BUCKET)
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(path)
         if not files.partitions(self.spark, path, BUCKET):
             return []
         # at most one row per bucket
@@ -128,12 +132,13 @@ class Store:
             out[part.bucket].append(part)
         return out
 
-    def table(self) -> DataFrame:
+    def table(self, told: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
         """The newest row of every key, deleted or not. Buckets that are folded are read as they
-        are; only the others are merged, which needs a shuffle."""
+        are; only the others are merged, which needs a shuffle. ``told`` makes of the rows what
+        the caller needs of them (with key and version), before they are merged."""
         single = [ps[0] for ps in self.by_bucket().values() if len(ps) == 1 and ps[0].folded]
-        merged = newest(self._read([p for p in self.parts if p not in set(single)]), self.contract.key)
-        return self._read(single).unionByName(merged) if single else merged
+        merged = newest(told(self._read([p for p in self.parts if p not in set(single)])), self.contract.key)
+        return told(self._read(single)).unionByName(merged) if single else merged
 
     def current(self) -> DataFrame:
         return self.table().where(F.col("_is_deleted") == 0).select(*self.contract.columns, "_ingested_at")
@@ -145,7 +150,7 @@ class Store:
         ``one_per_key`` keeps the newest row of each key of the batch."""
         if self.writers.get(writer, -1) >= batch:
             return False
-        rows = newest(core, self.contract.key) if one_per_key else core
+        rows = self._newest(core) if one_per_key else core
         taken = set(self.by_bucket()) if one_per_key else set(range(self.buckets))
         new = self._write(rows, f"{writer}-{batch}", set(range(self.buckets)) - taken)
         self._commit([*self.parts, *new], {**self.writers, writer: batch})
@@ -173,7 +178,7 @@ class Store:
         buckets = set(buckets)
         if not buckets:
             return
-        kept = newest(self.versions(buckets), self.contract.key)
+        kept = self._newest(self.versions(buckets))
         if tombstones_after is not None:
             kept = kept.where((F.col("_is_deleted") == 0) | (F.col("_ingested_at") >= stamp(tombstones_after)))
         self.replace(kept, buckets, folded=True)
@@ -198,16 +203,24 @@ class Store:
 
     # --- reconciliation with landing -----------------------------------------
 
+    def marked(self, core: DataFrame) -> DataFrame:
+        """Core rows as key, version and a hash of their columns: all that is shuffled where rows
+        are only compared."""
+        mark = F.xxhash64(*self.contract.columns, "_cdc_seq").alias(MARK)
+        names = dict.fromkeys([*self.contract.key, *VERSION_ORDER, "_is_deleted"])
+        return core.select(*names, mark)
+
     def fingerprints(self, state: DataFrame) -> DataFrame:
         """Count and hash sum per bucket of the live rows of ``state``, whatever their order."""
-        live = state.where(F.col("_is_deleted") == 0)
-        mark = F.xxhash64(*self.contract.columns, "_cdc_seq").cast("decimal(38,0)")
+        marked = state if MARK in state.columns else self.marked(state)
+        live = marked.where(F.col("_is_deleted") == 0)
+        mark = F.col(MARK).cast("decimal(38,0)")
         return live.groupBy(self.bucket().alias(BUCKET)).agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark"))
 
     def differing(self, landing: DataFrame) -> list[int]:
         """Buckets whose stored state is not that of the landing table."""
-        there = self.fingerprints(newest(to_core(landing, self.contract), self.contract.key))
-        both = self.fingerprints(self.table()).alias("s").join(there.alias("l"), BUCKET, "full")
+        there = self.fingerprints(newest(self.marked(to_core(landing, self.contract)), self.contract.key))
+        both = self.fingerprints(self.table(self.marked)).alias("s").join(there.alias("l"), BUCKET, "full")
         unlike = ~(F.col("s.n").eqNullSafe(F.col("l.n")) & F.col("s.mark").eqNullSafe(F.col("l.mark")))
         return sorted(r[0] for r in both.where(unlike).select(BUCKET).collect())
 
@@ -217,13 +230,13 @@ class Store:
 
         def told(state: DataFrame, side: str) -> DataFrame:
             rows = state.where((F.col("_is_deleted") == 0) & wanted)
-            mark = F.sum(F.xxhash64(*self.contract.columns, "_cdc_seq").cast("decimal(38,0)"))
+            mark = F.sum(F.col(MARK).cast("decimal(38,0)"))
             return rows.groupBy(*key).agg(
                 F.count(F.lit(1)).alias(f"{side}_rows"), F.max("_cdc_seq").alias(f"{side}_seq"), mark.alias(f"_{side}")
             )
 
-        landed = newest(to_core(landing, self.contract).where(wanted), self.contract.key)
-        both = told(self.table(), "stored").join(told(landed, "landed"), key, "full")
+        landed = newest(self.marked(to_core(landing, self.contract).where(wanted)), self.contract.key)
+        both = told(self.table(self.marked), "stored").join(told(landed, "landed"), key, "full")
         unlike = ~F.col("_stored").eqNullSafe(F.col("_landed"))
         return both.where(unlike).drop("_stored", "_landed").na.fill(0, ["stored_rows", "landed_rows"])
 

@@ -229,16 +229,19 @@ def order_records(orders: DataFrame) -> DataFrame:
 
 
 def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """The table repeats keys; the repeats are the versions of an item."""
+    """The table repeats keys; the repeats are the versions of an item.
+
+    The join is on the key as text, as it stands in the records: whatever groups or joins them by
+    ``order_id`` afterwards then needs no second shuffle."""
     supp = F.col("l_suppkey")
     gross = _money("l_extendedprice")
     created = _ntz(F.col("o_orderdate"))
-    head = orders.select(F.col("o_orderkey"), F.col("o_orderdate"))
+    head = orders.select(F.col("o_orderkey").cast("string").alias("_head"), F.col("o_orderdate"))
     df = (
-        lineitem.join(head, lineitem.l_orderkey == head.o_orderkey, "left")
+        lineitem.withColumn("order_id", F.col("l_orderkey").cast("string"))
+        .join(head, F.col("order_id") == F.col("_head"), "left")
         .withColumns(
             {
-                "order_id": F.col("l_orderkey").cast("string"),
                 "item_seq": F.col("l_linenumber"),
                 "item_id": F.col("l_partkey").cast("string"),
                 "dc_id": F.when(supp % 9 != 0, (supp % 12).cast("string")),
