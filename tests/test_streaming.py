@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.support import AS_OF, SMALL, ago, records
-from tidemark.contracts import CONTRACTS
+from tidemark.contracts import BATCH, CONTRACTS
 from tidemark.operators import cdc
 from tidemark.operators.store import Store
 from tidemark.plans import refresh
@@ -261,3 +261,14 @@ def test_a_mart_takes_open_notes_when_it_is_due_and_again_after_a_failure(spark)
     frontier.note(keys(None), path, ["order_id"], "q-3")  # a note without keys
     assert take(ago(0) + timedelta(seconds=120), work) == 0
     assert seen == [["A", "B", "C"], ["A", "B", "C"], ["D"], []]
+
+
+def test_intervals_of_many_chunks_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).selectExpr("'t' _topic", "cast(id % 8 as int) _partition", f"id * {offsets.CHUNK} _offset")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        offsets.add(rows, str(tmp_path), "one")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / f"{BATCH}=one").glob("part-*"))) > 1
+    assert offsets.read(spark, str(tmp_path)).count() == 64

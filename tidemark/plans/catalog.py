@@ -671,7 +671,8 @@ def _landing_stream_replay(w: Workspace) -> DataFrame:
     later = F.col("_kafka_ts") >= F.lit("1998-06-01").cast("timestamp_ntz")
     whole = landing.to_lines(rows)
     for lines in (bad, landing.to_lines(rows.where(later)), whole, bad, whole):
-        lines.coalesce(1).write.mode("append").text(f"{base}/topic")
+        # many files, as packed ones are not split
+        lines.write.mode("append").options(compression="gzip", maxRecordsPerFile=100_000).text(f"{base}/topic")
         stream = w.spark.readStream.text(f"{base}/topic")
         _finish(*jobs.stream_landing(
             stream, contract, f"{base}/landing", f"{base}/quarantine", f"{base}/checkpoint", skip_replays=True

@@ -83,7 +83,8 @@ def _landing_once(lines: DataFrame, contract: Contract, path: str, quarantine: s
         offsets.fold(spark, index, label)
         others = offsets.read(spark, index).where(F.col(BATCH) != label)
         fresh = by_month(offsets.unseen(good, others)).persist()
-        for rows, folder, by in ((fresh, path, [MONTH, BATCH]), (bad, quarantine, [BATCH])):
+        # quarantine first: one pass fills the cache, which two sides of the join would each do at once
+        for rows, folder, by in ((bad, quarantine, [BATCH]), (fresh, path, [MONTH, BATCH])):
             (
                 rows.withColumn(BATCH, F.lit(label))
                 .write.mode("overwrite")

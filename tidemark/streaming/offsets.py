@@ -76,7 +76,8 @@ def joined(index: DataFrame) -> DataFrame:
 
 def add(records: DataFrame, path: str, label: str) -> None:
     """Note the offsets of ``records`` under ``label``, in place of an earlier try."""
-    intervals(records).coalesce(1).write.mode("overwrite").parquet(f"{path}/{BATCH}={label}")
+    # no coalesce: one task would then put all chunks in order
+    intervals(records).write.mode("overwrite").parquet(f"{path}/{BATCH}={label}")
 
 
 def fold(spark: SparkSession, path: str, label: str, after: int = FOLD_AFTER) -> bool:
