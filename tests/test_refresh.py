@@ -1,6 +1,6 @@
 """Refresh modes: vanished groups, touched keys, versions, the refresh log."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +165,22 @@ def test_the_next_refresh_finishes_one_that_was_cut_off(spark, lost_at, monkeypa
     assert rows_of(spark, path, "n") == ([(1,), (2,), (100,)] if lost_at == "rows" else [(2,), (3,), (100,)])
     assert not refresh.files.exists(spark, f"{path}-staging")
     assert refresh.recover(spark, path) is False
+
+
+def test_recomputed_rows_are_staged_once_and_kept_rows_beside_them(spark, tmp_path, monkeypatch):
+    path, finish, seen = str(tmp_path / "mart"), refresh._finish, []
+
+    def look(session, where):
+        seen.append({n: session.read.parquet(f"{where}-staging/{n}").count() for n in ("rows", "kept")
+                     if refresh.files.exists(session, f"{where}-staging/{n}")})
+        finish(session, where)
+
+    def job(value):
+        return lambda keys: keys.select("k", F.lit(value).alias("v"), F.lit(datetime(2024, 1, 5)).alias("at"))
+
+    monkeypatch.setattr(refresh, "_finish", look)
+    every = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    assert refresh.refresh_keys(job(1), every, path, "k", "at") == 3
+    assert refresh.refresh_keys(job(2), every.where("k = 'b'"), path, "k", "at") == 1
+    assert seen == [{"rows": 3}, {"rows": 1, "kept": 2}]
+    assert {(r.k, r.v) for r in refresh.read_mart(spark, path).collect()} == {("a", 1), ("b", 2), ("c", 1)}

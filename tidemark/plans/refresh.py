@@ -52,17 +52,35 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     files.delete(spark, path)
 
 
-def _publish(rows: DataFrame, path: str, drop: Callable[[str], bool]) -> int:
-    """Replace the periods of ``rows`` in the mart at ``path``; of the periods absent from them,
-    remove those ``drop`` names (their groups have vanished). Returns the number of rows.
-
-    The rows are staged beside the mart first, then the periods to remove. From then on the
-    refresh is decided, and ``recover`` can finish it whatever happens to the driver."""
+def _stage(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` written beside the mart at ``path``, as the first step of a refresh, and read back."""
     spark, stage = rows.sparkSession, f"{path}-staging"
     files.delete(spark, stage)
-    rows.write.parquet(f"{stage}/rows")
+    rows.write.option("compression", "zstd").parquet(f"{stage}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{stage}/rows")
+
+
+def _staged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What the periods of a refresh will hold: its rows, and those of the mart that it keeps."""
+    stage = f"{path}-staging"
+    rows = spark.read.parquet(f"{stage}/rows")
+    if not files.exists(spark, f"{stage}/kept"):
+        return rows
+    return rows.unionByName(spark.read.parquet(f"{stage}/kept"))
+
+
+def _publish(spark: SparkSession, path: str, drop: Callable[[str], bool], kept: DataFrame | None = None) -> int:
+    """Replace the periods of the staged rows in the mart at ``path``, together with the rows
+    ``kept`` of it; of the periods absent from both, remove those ``drop`` names (their groups have
+    vanished). Returns the number of rows.
+
+    What is kept is staged beside the rows, then the periods to remove. From then on the
+    refresh is decided, and ``recover`` can finish it whatever happens to the driver."""
+    stage = f"{path}-staging"
+    if kept is not None:
+        kept.write.option("compression", "zstd").parquet(f"{stage}/kept")
     # a handful of period labels, not data
-    fresh = spark.read.parquet(f"{stage}/rows").groupBy(F.col(PERIOD).cast("string")).count().collect()
+    fresh = _staged_rows(spark, path).groupBy(F.col(PERIOD).cast("string")).count().collect()
     present = {label: n for label, n in fresh}
     gone = [(label,) for label in files.partitions(spark, path, PERIOD) if label not in present and drop(label)]
     spark.createDataFrame(gone, "label string").coalesce(1).write.parquet(f"{stage}/gone")
@@ -73,9 +91,10 @@ def _publish(rows: DataFrame, path: str, drop: Callable[[str], bool]) -> int:
 def _finish(spark: SparkSession, path: str) -> None:
     stage = f"{path}-staging"
     (
-        spark.read.parquet(f"{stage}/rows")
+        _staged_rows(spark, path)
         .hint("rebalance", PERIOD)
         .write.mode("overwrite")
+        .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PERIOD)
         .parquet(path)
@@ -121,7 +140,8 @@ def refresh_window(
     first = period_start(midnight(as_of, days), grain).strftime(fmt)
     rows = job(as_of, span).withColumn(PERIOD, period)
     recover(rows.sparkSession, path)
-    return _publish(rows, path, drop=lambda label: label >= first)
+    _stage(rows, path)
+    return _publish(rows.sparkSession, path, drop=lambda label: label >= first)
 
 
 def refresh_keys(
@@ -138,25 +158,24 @@ def refresh_keys(
     spark = keys.sparkSession
     period = F.date_format(date_col, _FORMATS[grain])
     recover(spark, path)
-    with (
-        staged(keys.select(key).distinct(), "keys") as wanted,
-        staged(job(wanted).withColumn(PERIOD, period), "fresh") as fresh,
-    ):
+    with staged(keys.select(key).distinct(), "keys") as wanted:
+        fresh = _stage(job(wanted).withColumn(PERIOD, period), path)
         if not files.exists(spark, path):
-            return _publish(fresh, path, drop=lambda label: False)
+            return _publish(spark, path, drop=lambda label: False)
+        rows = fresh.count()
         old = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
         hit = old.join(wanted, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
         touched = {r[0] for r in hit.distinct().collect()}  # period labels, not data
         kept = old.where(F.col(PERIOD).isin(*touched)).join(wanted, key, "left_anti")
-        _publish(kept.unionByName(fresh), path, drop=lambda label: label in touched)
-        return fresh.count()
+        _publish(spark, path, drop=lambda label: label in touched, kept=kept)
+        return rows
 
 
 def refresh_full(df: DataFrame, root: str, version: str) -> int:
     """Write a new version folder, then name it current by one appended record. A
     failed job leaves the old version; an empty result is a legal version."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/version={version}")
     rows = spark.read.parquet(f"{root}/version={version}").count()
     switched = spark.createDataFrame(
         [(version, time.time_ns(), rows)], "version string, switched_at bigint, rows bigint"
