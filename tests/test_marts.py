@@ -452,6 +452,12 @@ def test_coupon_relation_uses_the_clean_code_and_skips_orders_without(spark):
     assert (row.total_rows, row.orphan_rows) == (2, 1)
 
 
+def test_a_blank_order_takes_no_part_even_where_an_order_without_a_name_exists(spark):
+    items = [{"order_id": o, "item_seq": n} for n, o in enumerate(("", " ", None, "A", "GONE"))]
+    row = orphans(spark, order_item=items, order=[{"order_id": ""}, {"order_id": "A"}])["sales.order_item -> sales.order"]
+    assert (row.total_rows, row.orphan_rows) == (2, 1)
+
+
 def test_orphan_records_carry_coordinates_and_obey_the_cap(spark):
     a_lake = lake(spark, order_item=[
         {"order_id": f"G{n}", "created_at": ago(0, hours=n), "_partition": 3, "_offset": 70 + n} for n in range(5)])

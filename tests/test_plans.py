@@ -123,3 +123,35 @@ def test_stored_rows_are_compared_without_their_columns(spark):
     assert narrow.columns == [*contract.key, *VERSION_ORDER, "_is_deleted", "_mark"]
     whole = {r.order_id: r[-1] for r in store.marked(store.table()).collect()}
     assert {r.order_id: r._mark for r in narrow.collect()} == whole
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """As on large tables, whose sides are too large to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_items_meet_their_orders_without_a_second_shuffle(spark, no_broadcast):
+    """The key is part of the item's own, by which its versions were compared."""
+    w = workspace(spark, SMALL)
+    plan = physical(health._references(w.lake, CONTRACTS["order_item"], w.as_of, None))
+    assert "hashpartitioning(_l0_0" not in plan
+
+
+def test_the_salt_of_references_carries_no_key(spark, no_broadcast):
+    w = workspace(spark, SMALL)
+    references = health._references(w.lake, CONTRACTS["order_item"], w.as_of, None).select("relation_id", "is_orphan", "age_seconds")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = references._jdf.queryExecution().explainString(mode)
+    shuffled = [b for b in plan.split("\n\n") if ") Exchange" in b and "_salt" in b]
+    assert shuffled and not any("item_seq" in b for b in shuffled)
+
+
+def test_items_are_shuffled_to_their_orders_without_floating_point(spark, no_broadcast):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = workspace(spark, SMALL).tables.landing("order_item")._jdf.queryExecution().explainString(mode)
+    shuffled = [b for b in plan.split("\n\n") if ") Exchange" in b]
+    assert shuffled and not any(c in b for b in shuffled for c in ("l_extendedprice", "l_quantity", "l_returnflag"))

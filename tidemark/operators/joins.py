@@ -191,21 +191,25 @@ def mark_missing(
     on: Sequence[tuple[str, str]],
     mark: str = "is_orphan",
     by: Sequence[str] | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Anti join that keeps the denominator: every left row stays, ``mark`` is 1
     where no right row matches. The right side is made unique first. Left rows with a null in
     their key match nothing, so they are spread by a salt (of the columns ``by``) and never meet in
-    one task."""
+    one task. Without ``spread`` there is no salt, and left rows that are partitioned by the key
+    already are not shuffled again."""
     names = [f"_r{i}" for i in range(len(on))]
     side = (
         right.select(*[F.col(r).alias(n) for (_, r), n in zip(on, names)])
         .distinct()
         .withColumns({"_hit": F.lit(1), "_side": F.lit(0).cast("bigint")})
     )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(l) == F.col(n) for (l, _), n in zip(on, names)], F.col("_salt") == F.col("_side")
-    )
-    return with_null_salt(left, [l for l, _ in on], by).join(side, condition, "left").select(
+    same = [F.col(l) == F.col(n) for (l, _), n in zip(on, names)]
+    rows = left
+    if spread:
+        rows = with_null_salt(left, [l for l, _ in on], by)
+        same.append(F.col("_salt") == F.col("_side"))
+    return rows.join(side, reduce(lambda a, b: a & b, same), "left").select(
         *left.columns, flag(F.col("_hit").isNull()).alias(mark)
     )
 

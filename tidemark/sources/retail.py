@@ -232,24 +232,32 @@ def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """The table repeats keys; the repeats are the versions of an item.
 
     The join is on the key as text, as it stands in the records: whatever groups or joins them by
-    ``order_id`` afterwards then needs no second shuffle."""
+    ``order_id`` afterwards then needs no second shuffle. What needs nothing of the order is worked out
+    before the join, so that whole numbers and one letter are shuffled, not floating point and flags."""
     supp = F.col("l_suppkey")
-    gross = _money("l_extendedprice")
     created = _ntz(F.col("o_orderdate"))
     head = orders.select(F.col("o_orderkey").cast("string").alias("_head"), F.col("o_orderdate"))
+    items = lineitem.select(
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_linenumber").alias("item_seq"),
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_quantity").cast("int").alias("quantity"),
+        _money("l_extendedprice").alias("gross_amount"),
+        F.col("l_discount").cast("decimal(4,2)").alias("_discount"),
+        _ntz(F.col("l_shipdate")).alias("updated_at"),
+        F.datediff(F.to_date(F.col("l_shipdate")), F.lit("1970-01-01").cast("date")).alias("_shipped"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "d").otherwise("u").alias("_operation"),
+    )
+    gross = F.col("gross_amount")
     df = (
-        lineitem.withColumn("order_id", F.col("l_orderkey").cast("string"))
-        .join(head, F.col("order_id") == F.col("_head"), "left")
+        items.join(head, F.col("order_id") == F.col("_head"), "left")
         .withColumns(
             {
-                "item_seq": F.col("l_linenumber"),
                 "item_id": F.col("l_partkey").cast("string"),
                 "dc_id": F.when(supp % 9 != 0, (supp % 12).cast("string")),
-                "quantity": F.col("l_quantity").cast("int"),
-                "gross_amount": gross,
-                "discount_amount": (gross * F.col("l_discount").cast("decimal(4,2)")).cast(AMOUNT),
+                "discount_amount": (gross * F.col("_discount")).cast(AMOUNT),
                 "created_at": created,
-                "updated_at": _ntz(F.col("l_shipdate")),
             }
         )
         .withColumns(
@@ -261,10 +269,8 @@ def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
                     F.col("l_partkey"),
                     supp,
                     _hours(created, 1),
-                    F.when(
-                        (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "d"
-                    ).otherwise("u"),
-                    F.datediff(F.to_date(F.col("l_shipdate")), F.lit("1970-01-01").cast("date")),
+                    F.col("_operation"),
+                    F.col("_shipped"),
                 ),
             }
         )
