@@ -3,15 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.support import SMALL
+from tests.support import SMALL, records
 from tidemark.contracts import CONTRACTS, VERSION_ORDER
 from tidemark.functions import midnight
 from tidemark.operators import cdc
 from tidemark.operators.store import Store
 from tidemark.plans import refresh
 from tidemark.plans.catalog import QUERIES, workspace
-from tidemark.plans.marts import health
-from tidemark.sources import landing
+from tidemark.plans.marts import customers, health, margin, stock
+from tidemark.sources import landing, retail
 from tidemark.session import RECOMMENDED, scratch, shared_dir
 
 
@@ -155,3 +155,39 @@ def test_items_are_shuffled_to_their_orders_without_floating_point(spark, no_bro
     plan = workspace(spark, SMALL).tables.landing("order_item")._jdf.queryExecution().explainString(mode)
     shuffled = [b for b in plan.split("\n\n") if ") Exchange" in b]
     assert shuffled and not any(c in b for b in shuffled for c in ("l_extendedprice", "l_quantity", "l_returnflag"))
+
+
+def few_sales(spark):
+    """Five orders of one item each, all of it of a size that Spark knows to be small."""
+    orders = spark.range(1, 6).selectExpr(
+        "id o_orderkey", "id o_custkey", "'O' o_orderstatus", "100D o_totalprice",
+        "timestamp'2001-07-20 00:00:00' o_orderdate", "'1-URGENT' o_orderpriority",
+    )
+    lines = spark.range(1, 6).selectExpr(
+        "id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2D l_quantity", "200D l_extendedprice",
+        "0D l_discount", "0D l_tax", "'N' l_returnflag", "'O' l_linestatus", "timestamp'2001-07-21 00:00:00' l_shipdate",
+    )
+    parts = spark.range(1, 6).selectExpr("id p_partkey", "10 p_size", "50D p_retailprice")
+    people = spark.range(1, 6).selectExpr("id c_custkey", "'n' c_name", "1 c_nationkey", "'S' c_mktsegment")
+    made = {
+        "order": retail.order_records(orders),
+        "order_item": retail.order_item_records(lines, orders),
+        "prices": retail.price_records(parts),
+        "stock_position": retail.stock_records(parts),
+        "customer": retail.customer_records(people),
+    }
+    return cdc.Lake({e: made[e] if e in made else records(spark, e, []) for e in CONTRACTS}, CONTRACTS)
+
+
+def test_items_meet_orders_without_a_broadcast(spark):
+    """Orders grow with the data: at a small size too they do not pass through the driver."""
+    a_lake = few_sales(spark)
+    for mart in (
+        stock.stockout_candidates(a_lake, retail.SALES_AS_OF),
+        margin.item_margin_daily(a_lake, retail.SALES_AS_OF, 28),
+        customers.customer_metrics(a_lake, retail.SALES_AS_OF),
+    ):
+        plan = physical(mart)
+        assert "BroadcastHashJoin [order_id" not in plan and "SortMergeJoin [order_id" in plan
+    priced = margin.item_margin_daily(a_lake, retail.SALES_AS_OF, 28)
+    assert priced.agg(F.sum("units_sold")).first()[0] == 8  # one order of five is canceled

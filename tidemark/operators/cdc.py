@@ -90,9 +90,10 @@ def current_under(core: DataFrame, contract: Contract, head: DataFrame, on: str)
 
     ``head`` has one row per ``on``, which is part of the child's key or constant
     per key, so the join may come before the versions are compared: only versions
-    of wanted parents are shuffled, and the join's partitioning serves the window.
+    of wanted parents are shuffled, and the join's partitioning serves the window. The
+    parents may be all there are, so they are merged and never broadcast.
     """
-    joined = core.join(head, on)
+    joined = core.join(head.hint("merge"), on)
     extra = [c for c in head.columns if c != on]
     live = newest(joined, contract.key).where(F.col("_is_deleted") == 0)
     return live.select(*contract.columns, *extra)
@@ -263,11 +264,11 @@ class Lake:
     def parents(self, child: str, on: str, parent: str, since: datetime, narrow: bool) -> DataFrame:
         """Current parents of child rows created from ``since`` on. For a narrow
         window only the parents named by any of its child versions are resolved,
-        instead of all history."""
+        instead of all history. A wide window names all parents, so they are merged."""
         if not narrow:
             return self.current(parent)
         recent = self.core(child).where(F.col("created_at") >= stamp(since))
-        return current_of(self.core(parent), self.contracts[parent], recent.select(on).distinct())
+        return current_of(self.core(parent), self.contracts[parent], recent.select(on).distinct().hint("merge"))
 
     def current(
         self,

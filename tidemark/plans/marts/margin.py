@@ -31,7 +31,7 @@ def sold_items(lake: Lake, as_of: datetime, window_days: int) -> DataFrame:
     )
     return items.select(
         "order_id", "item_seq", "item_id", "quantity", "unit_price", "total_amount", "created_at"
-    ).join(head, "order_id")
+    ).join(head.hint("merge"), "order_id")  # as many orders as the window has, never broadcast
 
 
 def priced_items(lake: Lake, as_of: datetime, window_days: int) -> DataFrame:

@@ -233,7 +233,9 @@ def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
     The join is on the key as text, as it stands in the records: whatever groups or joins them by
     ``order_id`` afterwards then needs no second shuffle. What needs nothing of the order is worked out
-    before the join, so that whole numbers and one letter are shuffled, not floating point and flags."""
+    before the join, so that whole numbers and one letter are shuffled, not floating point and flags.
+    Orders grow as the items do: they are merged at every size and never broadcast through the driver
+    (Spark estimates their keys as text at a tenth of what they take there)."""
     supp = F.col("l_suppkey")
     created = _ntz(F.col("o_orderdate"))
     head = orders.select(F.col("o_orderkey").cast("string").alias("_head"), F.col("o_orderdate"))
@@ -251,7 +253,7 @@ def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     gross = F.col("gross_amount")
     df = (
-        items.join(head, F.col("order_id") == F.col("_head"), "left")
+        items.join(head.hint("merge"), F.col("order_id") == F.col("_head"), "left")
         .withColumns(
             {
                 "item_id": F.col("l_partkey").cast("string"),
