@@ -8,9 +8,10 @@ from tidemark.contracts import CONTRACTS, VERSION_ORDER
 from tidemark.functions import midnight
 from tidemark.operators import cdc
 from tidemark.operators.store import Store
-from tidemark.plans import refresh
+from tidemark.plans import quality, refresh
 from tidemark.plans.catalog import QUERIES, workspace
 from tidemark.plans.marts import customers, health, margin, stock
+from tidemark.plans.workspace import Workspace
 from tidemark.sources import landing, retail
 from tidemark.session import RECOMMENDED, scratch, shared_dir
 
@@ -191,3 +192,16 @@ def test_items_meet_orders_without_a_broadcast(spark):
         assert "BroadcastHashJoin [order_id" not in plan and "SortMergeJoin [order_id" in plan
     priced = margin.item_margin_daily(a_lake, retail.SALES_AS_OF, 28)
     assert priced.agg(F.sum("units_sold")).first()[0] == 8  # one order of five is canceled
+
+
+def test_parity_of_the_margin_broadcasts_neither_prices_nor_orders(spark):
+    found = quality.parity_margin(Workspace(few_sales(spark)))
+    assert "BroadcastHashJoin" not in physical(found)
+    row = found.first()
+    assert row["mart_value"] == row["direct_value"] != 0
+
+
+def test_the_cohort_does_not_broadcast_customers(spark):
+    found = customers.customer_cohort(few_sales(spark), retail.SALES_AS_OF)
+    assert "BroadcastHashJoin [customer_id" not in physical(found)
+    assert found.agg(F.sum("orders")).first()[0] == 4  # one of five is canceled

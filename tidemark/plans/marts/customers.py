@@ -167,7 +167,7 @@ def customer_cohort(lake: Lake, as_of: datetime) -> DataFrame:
     )
     # one row per customer and month, so active customers are a plain count
     activity = (
-        orders.join(customers, "customer_id")
+        orders.join(customers.hint("merge"), "customer_id")  # all customers: too many to broadcast
         .groupBy("cohort_month", "segment", "activity_month")
         .agg(
             F.count(F.lit(1)).alias("active_customers"),

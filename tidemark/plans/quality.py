@@ -236,7 +236,10 @@ def parity_baseline(w: Workspace) -> DataFrame:
 
 
 def parity_margin(w: Workspace) -> DataFrame:
-    """Directly: every price is an interval up to the next one of its item."""
+    """Directly: every price is an interval up to the next one of its item.
+
+    Prices and orders grow with the data, and their keys as text are larger than Spark's byte statistics
+    say: they are merged, or they would be broadcast and pass through the driver."""
     by_item = Window.partitionBy("item_id", "currency").orderBy("valid_from")
     intervals = (
         w.lake.current("prices")
@@ -246,9 +249,9 @@ def parity_margin(w: Workspace) -> DataFrame:
     )
     heads = w.lake.current("order").where(F.col("order_status") != CANCELED)
     sold = w.lake.current("order_item", midnight(w.as_of, w.days)).join(
-        heads.select("order_id", "currency"), "order_id"
+        heads.select("order_id", "currency").hint("merge"), "order_id"
     )
-    priced = sold.join(intervals, ["item_id", "currency"]).where(
+    priced = sold.join(intervals.hint("merge"), ["item_id", "currency"]).where(
         (F.col("created_at") >= F.col("valid_from"))
         & (F.col("until").isNull() | (F.col("created_at") < F.col("until")))
     )
