@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS, MONEY
 from tidemark.functions import AMOUNT, stamp
+from tidemark.sources import files
 
 # The reference instants of the test data.
 SALES_AS_OF = datetime(2001, 8, 2)
 PAYMENTS_AS_OF = datetime(2024, 1, 31)
 WIDE_DAYS = 3650
 
+FEW_BYTES = 1 << 20  # of an orders file so small that its rows may be broadcast
+
 
 def pick(index: Column, *values) -> Column:
     """The value at ``index`` (0-based) of a short literal list."""
@@ -91,7 +94,8 @@ class RetailTables:
         return order_records(self.table("orders"))
 
     def order_item_raw(self) -> DataFrame:
-        return order_item_records(self.table("lineitem"), self.table("orders"))
+        few = files.size(self.spark, f"{self.folder}/orders.parquet") <= FEW_BYTES
+        return order_item_records(self.table("lineitem"), self.table("orders"), few)
 
     def order_payment_raw(self) -> DataFrame:
         return order_payment_records(self.table("events"))
@@ -228,14 +232,14 @@ def order_records(orders: DataFrame) -> DataFrame:
     return conform(df, "order")
 
 
-def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def order_item_records(lineitem: DataFrame, orders: DataFrame, few: bool = False) -> DataFrame:
     """The table repeats keys; the repeats are the versions of an item.
 
     The join is on the key as text, as it stands in the records: whatever groups or joins them by
     ``order_id`` afterwards then needs no second shuffle. What needs nothing of the order is worked out
     before the join, so that whole numbers and one letter are shuffled, not floating point and flags.
-    Orders grow as the items do: they are merged at every size and never broadcast through the driver
-    (Spark estimates their keys as text at a tenth of what they take there)."""
+    Orders grow as the items do: they are merged and not broadcast through the driver (Spark estimates
+    their keys as text at a tenth of what they take there), unless they are ``few``: then it is left to Spark."""
     supp = F.col("l_suppkey")
     created = _ntz(F.col("o_orderdate"))
     head = orders.select(F.col("o_orderkey").cast("string").alias("_head"), F.col("o_orderdate"))
@@ -253,7 +257,7 @@ def order_item_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     gross = F.col("gross_amount")
     df = (
-        items.join(head.hint("merge"), F.col("order_id") == F.col("_head"), "left")
+        items.join(head if few else head.hint("merge"), F.col("order_id") == F.col("_head"), "left")
         .withColumns(
             {
                 "item_id": F.col("l_partkey").cast("string"),
