@@ -77,6 +77,15 @@ def test_asof_never_broadcasts_the_prices_carried_into_slices(spark):
     assert [r.price for r in got.collect()] == [90]
 
 
+def test_asof_returns_the_left_columns_in_their_own_types(spark):
+    """Keys and times of other types than on the right are compared, and come back as they were."""
+    left = spark.sql("select 7 k, date'2024-01-02' ts, 'n' note union all select null, date'2024-01-02', 'm'")
+    right = spark.sql("select 7L k, timestamp_ntz'2024-01-01' at, 90 price")
+    got = joins.asof_left(left, right, ["k"], "ts", "at", ["price"], span=(T0, T0 + timedelta(days=30)))
+    assert got.dtypes == [*left.dtypes, ("price", "int")]
+    assert {(r.k, r.ts.day, r.note, r.price) for r in got.collect()} == {(7, 2, "n", 90), (None, 2, "m", None)}
+
+
 def test_lookup_keeps_unknown_keys_in_a_lookup(spark):
     facts = spark.createDataFrame([("a",), ("zz",), (None,)], "code string")
     registry = spark.createDataFrame([("a", "Alpha", None), ("b", "Beta", "s")], "key string, name string, scope string")

@@ -1,5 +1,7 @@
 """What the optimizer makes of the jobs: pruning, map-side combine, no cross joins."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from tidemark.contracts import CONTRACTS, VERSION_ORDER
 from tidemark.functions import midnight
 from tidemark.operators import cdc
 from tidemark.operators.store import Store
-from tidemark.plans import quality, refresh
+from tidemark.plans import catalog, quality, refresh
 from tidemark.plans.catalog import QUERIES, workspace
 from tidemark.plans.marts import customers, health, margin, stock
 from tidemark.plans.workspace import Workspace
@@ -205,3 +207,29 @@ def test_the_cohort_does_not_broadcast_customers(spark):
     found = customers.customer_cohort(few_sales(spark), retail.SALES_AS_OF)
     assert "BroadcastHashJoin [customer_id" not in physical(found)
     assert found.agg(F.sum("orders")).first()[0] == 4  # one of five is canceled
+
+
+PRICED = (
+    "dq_price_below_cost", "dq_price_coverage", "dq_price_staleness", "item_margin_daily",
+    "item_margin_daily_window", "items_without_price", "sold_below_cost", "top_margin_items",
+)
+
+
+@pytest.mark.parametrize("name", [*PRICED, "stockout_candidates", "stockout_candidates_vetoed"])
+def test_prices_and_orders_never_pass_through_the_driver(spark, monkeypatch, name):
+    """Spark knows these tables to be small, so whatever is left to it is broadcast."""
+    space = Workspace(few_sales(spark), datetime(2001, 7, 22))  # two days after the orders
+    monkeypatch.setitem(catalog._spaces, (spark.sparkContext.applicationId, "few"), space)
+    plan = physical(QUERIES[name](spark, "few"))
+    assert "BroadcastExchange" not in plan and "SortMergeJoin [order_id" in plan
+    assert name not in PRICED or "SortMergeJoin [item_id" in plan
+
+
+def test_keys_and_time_of_a_sale_are_shuffled_once_to_its_prices(spark):
+    priced = margin.priced_items(few_sales(spark), retail.SALES_AS_OF, 28)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    asked = priced.select("item_id", "currency", "created_at", "price_valid_from")
+    plan = asked._jdf.queryExecution().explainString(mode)
+    inputs = [b.split("]: [")[1].split("]")[0] for b in plan.split("\n\n") if ") Exchange" in b and "_side#" in b]
+    (names,) = ({c.split("#")[0].strip() for c in b.split(",")} for b in inputs)
+    assert names - {"_side", "_value", "_tie0", "_carry"} == {"item_id", "currency", "_slot", "_at", "_salt"}

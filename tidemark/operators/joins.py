@@ -127,13 +127,19 @@ def asof_left(
         )
     )
 
+    # Each left column goes along once and by itself: keys and time are there already (unless the union
+    # below would widen them), and what nobody asks for afterwards is not shuffled.
+    pairs = [*((k, k, k) for k in keys), (left_ts, right_ts, "_at")]
+    there = {l: name for l, r, name in pairs if left.select(l).schema[0].dataType == right.select(r).schema[0].dataType}
+    carrier = {c: there.get(c, f"_left{i}") for i, c in enumerate(left.columns)}
+
     # a content hash, so a re-run task puts every row where it was before
     part = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     placed = left.select(
         *keys,
         _slot(F.col(left_ts), start, width, buckets).alias("_slot"),
         F.col(left_ts).alias("_at"),
-        F.struct(*left.columns).alias("_row"),
+        *[F.col(c).alias(n) for c, n in carrier.items() if c not in there],
         part.alias("_salt"),
     ).withColumn("_salt", F.when(F.col("_slot") >= 0, F.col("_salt")).otherwise(0))
     # one row per key and slice, of which Spark's byte statistics know nothing (they take the sequence
@@ -158,7 +164,8 @@ def asof_left(
         F.col("_side") == 1
     )
     return filled.select(
-        "_row.*", F.coalesce(F.col("_seen"), F.col("_carry")).alias("_match")
+        *[F.col(n).alias(c) for c, n in carrier.items()],
+        F.coalesce(F.col("_seen"), F.col("_carry")).alias("_match"),
     ).select(*left.columns, *[F.col(f"_match.{c}").alias(c) for c in cols])
 
 
