@@ -1,14 +1,19 @@
 """Refresh modes: vanished groups, touched keys, versions, the refresh log."""
 
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.support import AS_OF, ago, lake, lookups, only
+from tests.support import AS_OF, SMALL, ago, lake, lookups, only
+from tidemark.contracts import CONTRACTS
+from tidemark.operators import joins
+from tidemark.operators.cdc import current_of, to_core
 from tidemark.plans import quality, refresh, reports
 from tidemark.plans.marts import sales, stock
 from tidemark.session import scratch
+from tidemark.sources.retail import RetailTables
 
 
 def revenue_job(spark, **entities):
@@ -184,3 +189,127 @@ def test_recomputed_rows_are_staged_once_and_kept_rows_beside_them(spark, tmp_pa
     assert refresh.refresh_keys(job(2), every.where("k = 'b'"), path, "k", "at") == 1
     assert seen == [{"rows": 3}, {"rows": 1, "kept": 2}]
     assert {(r.k, r.v) for r in refresh.read_mart(spark, path).collect()} == {("a", 1), ("b", 2), ("c", 1)}
+
+
+def keyed_rows(value, *days):
+    """A job that dates the key ``n`` by the n-th of ``days``."""
+    dates = F.array(*[F.lit(datetime(2024, month, 5)) for month in days])
+    return lambda keys: keys.select("k", F.lit(value).alias("v"), F.get(dates, F.col("k").cast("int")).alias("at"))
+
+
+def mart_files(path):
+    return sorted(str(f.relative_to(path)) for f in path.glob(f"{refresh.PERIOD}=*/*.parquet"))
+
+
+def test_staged_files_become_the_mart_and_no_shuffle_is_left_behind(spark, tmp_path, monkeypatch):
+    path, finish, staged_files = tmp_path / "mart", refresh._finish, []
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in disk.getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle_")}
+
+    def look(session, where):
+        stage = tmp_path / "mart-staging"
+        staged_files.append(sorted(mart_files(stage / "rows") + mart_files(stage / "kept")))
+        finish(session, where)
+
+    monkeypatch.setattr(refresh, "_finish", look)
+    every = spark.range(4).select(F.col("id").cast("string").alias("k"))
+    refresh.refresh_keys(keyed_rows("a", 1, 1, 2, 2), every, str(path), "k", "at")
+    assert mart_files(path) == staged_files[0] and len(staged_files[0]) == 2
+    # a row leaves its month, another one is replaced, the third month is new
+    refresh.refresh_keys(keyed_rows("b", 1, 3, 2, 2), every.where("k in ('1', '2')"), str(path), "k", "at")
+    assert mart_files(path) == staged_files[1]
+    assert rows_of(spark, str(path), "k", "v") == [("0", "a"), ("1", "b"), ("2", "b"), ("3", "a")]
+    before = shuffled()
+    rows = every.repartition(3).withColumn(refresh.PERIOD, F.lit("202401"))
+    assert refresh._stage(rows, str(tmp_path / "other")).count() == 4
+    # the count's own, and none of the staged write
+    assert len({b.split("_")[1] for b in shuffled() - before}) <= 1
+
+
+@pytest.mark.parametrize("gather", [True, False])
+def test_rows_of_other_keys_are_kept_whatever_the_sieve_says(spark, monkeypatch, gather):
+    monkeypatch.setattr(joins, "SIEVE_BITS", (1 << 12, 1 << 12))  # so few that many others pass
+    old = spark.range(8_000).select(F.col("id").cast("string").alias("k"), F.lit("202401").alias(refresh.PERIOD))
+    old = old.unionAll(old.limit(3)).unionAll(spark.createDataFrame([(None, "202401")], f"k string, {refresh.PERIOD} string"))
+    keys = spark.range(0, 8_000, 4).select(F.col("id").cast("string").alias("k"))
+    keys = keys.unionAll(spark.createDataFrame([(None,)], "k string"))
+    kept = refresh._without(old, keys, joins.sieve(keys), gather)
+    want = old.join(keys, "k", "left_anti")
+    assert kept.count() == want.count() and kept.exceptAll(want).isEmpty()
+
+
+def test_a_sieve_passes_every_key_and_few_others(spark):
+    number = F.col("id").cast("string").alias("k")
+    keys = spark.range(20_000).select(number)
+    through = joins.sieve(keys)
+    assert keys.where(~joins.passes(["k"], through)).isEmpty()
+    assert spark.range(20_000, 40_000).select(number).where(joins.passes(["k"], through)).count() < 2_000
+    none = joins.sieve(keys.limit(0))
+    assert keys.where(joins.passes(["k"], none)).isEmpty()
+    # a key of another type has other hashes
+    assert joins.can_sieve(keys, keys) and not joins.can_sieve(spark.range(1).withColumnRenamed("id", "k"), keys)
+
+
+def test_only_items_of_wanted_orders_are_shuffled(spark):
+    """The filter stands below the join of the items with their orders, not above it."""
+    tables = RetailTables(spark, SMALL)
+    keys = spark.createDataFrame([("1",)], "order_id string")
+    core = to_core(tables.landing("order_item"), CONTRACTS["order_item"])
+    found = current_of(core, CONTRACTS["order_item"], keys, joins.sieve(keys))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = next(n for n, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert not any("getbit" in line for line in plan[:joined])
+    assert any("getbit" in line for line in plan[joined:])
+    assert found.exceptAll(current_of(core, CONTRACTS["order_item"], keys)).isEmpty() and not found.isEmpty()
+
+
+def test_a_replacement_cut_off_at_any_step_is_finished(spark, tmp_path, monkeypatch):
+    made = tmp_path / "made"
+    write = lambda rows, to: refresh._write_periods(spark.createDataFrame(rows, f"k string, {refresh.PERIOD} string"), str(to))
+    write([("old", "1"), ("old", "2"), ("old", "3"), ("stays", "4")], made / "mart")
+    write([("new", "1"), ("new", "2"), ("new", "5")], made / "mart-staging" / "rows")
+    write([("kept", "1"), ("kept", "6")], made / "mart-staging" / "kept")
+    spark.createDataFrame([("3",)], "label string").write.parquet(str(made / "mart-staging" / "gone"))
+    want = [("kept", 1), ("kept", 6), ("new", 1), ("new", 2), ("new", 5), ("stays", 4)]
+    steps = {name: getattr(refresh.files, name) for name in ("move", "delete")}
+    for cut in range(40):
+        top = tmp_path / str(cut)
+        shutil.copytree(made, top)
+        left = [cut]
+
+        def step(name):
+            def one(session, *paths):
+                left[0] -= 1
+                if left[0] < 0:
+                    raise ConnectionError
+                steps[name](session, *paths)
+
+            return one
+
+        with monkeypatch.context() as patch:
+            for name in steps:
+                patch.setattr(refresh.files, name, step(name))
+            try:
+                refresh._finish(spark, str(top / "mart"))
+                break
+            except ConnectionError:
+                pass
+        refresh.recover(spark, str(top / "mart"))
+        got = spark.read.parquet(str(top / "mart")).select("k", refresh.PERIOD).collect()
+        assert sorted(tuple(r) for r in got) == want, cut
+        assert not (top / "mart-staging").exists()
+    assert cut > 10
+
+
+def test_many_small_files_of_a_period_are_gathered(spark, tmp_path, monkeypatch):
+    path = tmp_path / "mart"
+    every = spark.range(3).select(F.col("id").cast("string").alias("k"))
+    once = lambda value, *keys: refresh.refresh_keys(
+        keyed_rows(value, 1, 1, 1), every.where(F.col("k").isin(*keys)), str(path), "k", "at")
+    once("a", "0", "1", "2")
+    once("b", "0")
+    assert len(mart_files(path)) == 2
+    monkeypatch.setattr(refresh, "MANY_FILES", 1)
+    once("c", "1")
+    assert len(mart_files(path)) == 2  # what is kept, and what is new
+    assert rows_of(spark, str(path), "k", "v") == [("0", "b"), ("1", "c"), ("2", "a")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import MONTH, VERSION_ORDER, Contract
 from tidemark.functions import flag, stamp
+from tidemark.operators.joins import Sieve, can_sieve, passes
 
 CORE_TECHNICAL = ("_cdc_seq", "_kafka_ts", "_partition", "_offset", "_is_deleted", "_ingested_at")
 
@@ -68,8 +69,11 @@ def current_state(
     return live.select(*contract.columns, "_ingested_at", *extra)
 
 
-def current_of(core: DataFrame, contract: Contract, keys: DataFrame) -> DataFrame:
-    """Current rows whose ``keys`` columns are among ``keys``.
+def current_of(
+    core: DataFrame, contract: Contract, keys: DataFrame, through: Sieve | None = None
+) -> DataFrame:
+    """Current rows whose ``keys`` columns are among ``keys``; ``through`` is their sieve, if
+    there is one.
 
     Columns that cannot differ between the versions of a key are restricted before
     the versions are compared. Otherwise a key may have moved (a payment to another
@@ -77,7 +81,8 @@ def current_of(core: DataFrame, contract: Contract, keys: DataFrame) -> DataFram
     rows that are there now are kept.
     """
     on = keys.columns
-    hit = core.join(keys, on, "left_semi")
+    likely = core if through is None or not can_sieve(core, keys) else core.where(passes(on, through))
+    hit = likely.join(keys, on, "left_semi")
     if set(on) <= {*contract.key, *contract.immutable}:
         return current_state(hit, contract)
     ever = hit.select(*contract.key).distinct()

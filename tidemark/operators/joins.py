@@ -250,6 +250,63 @@ def touched_keys(frames: Sequence[DataFrame], key: str, cut: datetime) -> DataFr
     return reduce(DataFrame.unionByName, recent).distinct()
 
 
+# Bits of a sieve: 16 per key, up to 16 MB. Its memory does not grow with the keys, only its errors do.
+SIEVE_BITS = 1 << 15, 1 << 27
+_WORD, _ROW = 6, 12  # a word has 2**6 bits; words are gathered by 2**12 bits first
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """``words``, one row: a bitmap of the hashes of keys, of ``bits`` bits."""
+
+    words: DataFrame
+    bits: int
+
+
+def sieve(keys: DataFrame) -> Sieve:
+    """To drop rows before a shuffle that a join with many keys would drop after it. It passes all keys
+    and a few others (one of twelve, for 11 million keys), so the join is still needed. ``keys`` are
+    counted, and read once more for it: they should be stored."""
+    least, most = SIEVE_BITS
+    bits = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    words = (
+        keys.select(bit.alias("_bit"))
+        .groupBy(F.shiftright("_bit", _WORD).alias("_word"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, cast(_bit & {(1 << _WORD) - 1} as int)))").alias("_bits"))
+    )
+    width = 1 << (_ROW - _WORD)
+    zero = F.lit(0).cast("bigint")
+    empty = keys.sparkSession.range(bits >> _ROW).select((F.col("id") * width).alias("_word"), zero.alias("_bits"))
+    entry = F.map_from_entries(F.collect_list(F.struct((F.col("_word") % width).cast("int"), "_bits")))
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    rows = (
+        words.unionAll(empty)
+        .groupBy("_word")
+        .agg(F.bit_or("_bits").alias("_bits"))
+        .groupBy(F.shiftright("_word", _ROW - _WORD).alias("_row"))
+        .agg(entry.alias("_set"))  # at most ``width`` entries
+        .select("_row", F.transform(places, lambda i: F.coalesce(F.col("_set")[i], zero)).alias("_words"))
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("_row", "_words")))  # as many as ``bits`` have, no more
+    return Sieve(rows.agg(F.flatten(F.transform(in_order, lambda r: r["_words"])).alias("_sieve")), bits)
+
+
+def can_sieve(df: DataFrame, keys: DataFrame) -> bool:
+    """Whether equal values of the columns of ``keys`` have equal hashes in ``df``."""
+    plain = {"string", "int", "bigint", "date"}
+    kinds = [(df.schema[c].dataType, keys.schema[c].dataType) for c in keys.columns]
+    return all(a == b and a.simpleString() in plain for a, b in kinds)
+
+
+def passes(on: Sequence[str], through: Sieve) -> Column:
+    """Whether the ``on`` columns of a row pass a sieve. As a filter, and not a join, it goes down to
+    where the rows are read."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(through.bits))
+    word = F.get(through.words.scalar(), F.shiftright(bit, _WORD).cast("int"))
+    return F.getbit(word, (bit % (1 << _WORD)).cast("int")) == 1
+
+
 def fanout_guard(mart: DataFrame, detail: DataFrame, key: str, count_col: str) -> DataFrame:
     """Keys whose count in the mart differs from the number of detail rows."""
     counted = detail.groupBy(key).agg(F.count(F.lit(1)).alias("actual_count"))

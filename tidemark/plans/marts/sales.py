@@ -20,7 +20,7 @@ from tidemark.functions import (
     sum_if,
 )
 from tidemark.operators.cdc import Lake, current_of
-from tidemark.operators.joins import Lookup, lookup_join, touched_keys
+from tidemark.operators.joins import Lookup, Sieve, lookup_join, sieve, touched_keys
 
 # What payments count as authorized and as captured.
 AUTHORIZED = ("authorized", "captured", "refunded")
@@ -39,11 +39,11 @@ COUPON_360 = {
 }
 
 
-def _of(lake: Lake, entity: str, keys: DataFrame | None) -> DataFrame:
+def _of(lake: Lake, entity: str, keys: DataFrame | None, through: Sieve | None) -> DataFrame:
     """Current rows of an entity, of the orders in ``keys`` if given."""
     if keys is None:
         return lake.current(entity)
-    return current_of(lake.core(entity), lake.contracts[entity], keys)
+    return current_of(lake.core(entity), lake.contracts[entity], keys, through)
 
 
 def items_by_order(items: DataFrame) -> DataFrame:
@@ -96,16 +96,18 @@ def order_360(
     ``window_days`` keeps orders of which the order itself, an item or a payment
     was updated in the window; ``None`` builds all orders. The key set is first
     taken from any recent version (a plain filtered scan) and made exact at the
-    end, on the current rows.
+    end, on the current rows. ``keys`` names the orders instead; they may be many, and
+    are read several times, so they should be stored.
     """
+    through = None if keys is None else sieve(keys)
     cut = None if window_days is None else as_of - timedelta(days=window_days)
     if keys is None and cut is not None:
         sources = [lake.core(e) for e in ("order", "order_item", "order_payment")]
         keys = touched_keys(sources, "order_id", cut)
 
-    orders = _of(lake, "order", keys).drop("_ingested_at")
-    items = items_by_order(_of(lake, "order_item", keys))
-    payments = payments_by_order(_of(lake, "order_payment", keys))
+    orders = _of(lake, "order", keys, through).drop("_ingested_at")
+    items = items_by_order(_of(lake, "order_item", keys, through))
+    payments = payments_by_order(_of(lake, "order_payment", keys, through))
     customers = lake.current("customer").select(
         "customer_id",
         F.col("first_name").alias("customer_first_name"),

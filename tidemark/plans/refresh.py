@@ -1,7 +1,7 @@
 """Materialization of marts: by window, in full, by touched keys; refresh log.
 
-A refresh first writes its result to a staging folder beside the mart and then replaces
-partitions from there. A lost executor only repeats tasks. After a lost driver the next refresh,
+A refresh first writes its result, by period, to a staging folder beside the mart and then moves
+the folders of its periods from there. A lost executor only repeats tasks. After a lost driver the next refresh,
 or ``recover``, finishes the replacement from a complete staging folder and drops an
 incomplete one. Nothing is read and overwritten in one plan. One writer per mart.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
@@ -20,8 +20,9 @@ from pyspark.sql.types import StructType
 
 from tidemark.contracts import BATCH, MONTH
 from tidemark.functions import flag, midnight, seconds_between, stamp
+from tidemark.operators.joins import Sieve, can_sieve, passes, sieve
 from tidemark.operators.windows import latest_by
-from tidemark.session import scratch
+from tidemark.session import scratch, shuffles_freed
 from tidemark.sources import files
 from tidemark.sources.landing import apply_retention
 
@@ -47,41 +48,42 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     folder is removed when the block has succeeded; after a failure it stays."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     yield spark.read.schema(df.schema).parquet(path)
     files.delete(spark, path)
 
 
+def _write_periods(rows: DataFrame, folder: str) -> None:
+    with shuffles_freed(rows.sparkSession):
+        rows.write.option("compression", "zstd").partitionBy(PERIOD).parquet(folder)
+
+
 def _stage(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` written beside the mart at ``path``, as the first step of a refresh, and read back."""
+    """``rows`` written beside the mart at ``path`` by period, as the first step of a refresh, and
+    read back. They are gathered by period here, once; afterwards only their files are moved."""
     spark, stage = rows.sparkSession, f"{path}-staging"
     files.delete(spark, stage)
-    rows.write.option("compression", "zstd").parquet(f"{stage}/rows")
+    _write_periods(rows.hint("rebalance", PERIOD), f"{stage}/rows")
     return spark.read.schema(rows.schema).parquet(f"{stage}/rows")
 
 
-def _staged_rows(spark: SparkSession, path: str) -> DataFrame:
-    """What the periods of a refresh will hold: its rows, and those of the mart that it keeps."""
-    stage = f"{path}-staging"
-    rows = spark.read.parquet(f"{stage}/rows")
-    if not files.exists(spark, f"{stage}/kept"):
-        return rows
-    return rows.unionByName(spark.read.parquet(f"{stage}/kept"))
-
-
-def _publish(spark: SparkSession, path: str, drop: Callable[[str], bool], kept: DataFrame | None = None) -> int:
-    """Replace the periods of the staged rows in the mart at ``path``, together with the rows
-    ``kept`` of it; of the periods absent from both, remove those ``drop`` names (their groups have
-    vanished). Returns the number of rows.
+def _publish(
+    spark: SparkSession, path: str, drop: Callable[[str], bool], fresh: DataFrame, kept: DataFrame | None = None
+) -> int:
+    """Replace the periods of the staged rows, ``fresh``, in the mart at ``path``, together with the
+    rows ``kept`` of it; of the periods absent from both, remove those ``drop`` names (their groups
+    have vanished). Returns the number of rows.
 
     What is kept is staged beside the rows, then the periods to remove. From then on the
     refresh is decided, and ``recover`` can finish it whatever happens to the driver."""
     stage = f"{path}-staging"
+    staged_rows = fresh.select(PERIOD)
     if kept is not None:
-        kept.write.option("compression", "zstd").parquet(f"{stage}/kept")
+        _write_periods(kept, f"{stage}/kept")
+        staged_rows = staged_rows.unionAll(spark.read.schema(kept.schema).parquet(f"{stage}/kept").select(PERIOD))
     # a handful of period labels, not data
-    fresh = _staged_rows(spark, path).groupBy(F.col(PERIOD).cast("string")).count().collect()
-    present = {label: n for label, n in fresh}
+    present = dict(staged_rows.groupBy(PERIOD).count().collect())
     gone = [(label,) for label in files.partitions(spark, path, PERIOD) if label not in present and drop(label)]
     spark.createDataFrame(gone, "label string").coalesce(1).write.parquet(f"{stage}/gone")
     _finish(spark, path)
@@ -89,16 +91,22 @@ def _publish(spark: SparkSession, path: str, drop: Callable[[str], bool], kept:
 
 
 def _finish(spark: SparkSession, path: str) -> None:
+    """Put the staged folder of every period in place of that of the mart. Done again after it was
+    cut off anywhere, it goes on where it was: a period is staged until its folder has been moved."""
     stage = f"{path}-staging"
-    (
-        _staged_rows(spark, path)
-        .hint("rebalance", PERIOD)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PERIOD)
-        .parquet(path)
-    )
+    files.make(spark, path)
+    for label, kept in files.partitions(spark, f"{stage}/kept", PERIOD).items():
+        rows = f"{stage}/rows/{PERIOD}={label}"
+        if not files.exists(spark, rows):
+            files.move(spark, kept, rows)
+            continue
+        for name in files.names(spark, kept):
+            files.move(spark, f"{kept}/{name}", f"{rows}/{name}")
+        files.delete(spark, kept)  # before its rows are moved on, or it would be taken for all of the period
+    for label, rows in files.partitions(spark, f"{stage}/rows", PERIOD).items():
+        target = f"{path}/{PERIOD}={label}"
+        files.delete(spark, target)
+        files.move(spark, rows, target)
     folders = files.partitions(spark, path, PERIOD)
     for (label,) in spark.read.schema("label string").parquet(f"{stage}/gone").collect():
         if label in folders:
@@ -140,8 +148,31 @@ def refresh_window(
     first = period_start(midnight(as_of, days), grain).strftime(fmt)
     rows = job(as_of, span).withColumn(PERIOD, period)
     recover(rows.sparkSession, path)
-    _stage(rows, path)
-    return _publish(rows.sparkSession, path, drop=lambda label: label >= first)
+    return _publish(rows.sparkSession, path, drop=lambda label: label >= first, fresh=_stage(rows, path))
+
+
+MANY_FILES = 8  # of a period, where they are smaller than
+FILE_BYTES = 16 << 20
+
+
+def _crumbled(spark: SparkSession, folders: Collection[str]) -> bool:
+    """Whether the files of periods, to which every refresh adds, are many and small."""
+    count = sum(len(files.names(spark, f)) for f in folders)
+    return count > MANY_FILES * len(folders) and sum(files.size(spark, f) for f in folders) < count * FILE_BYTES
+
+
+def _without(old: DataFrame, keys: DataFrame, through: Sieve | None, gather: bool) -> DataFrame:
+    """The rows of a mart that are not of ``keys``, gathered by period or left in theirs. Most rows
+    are told by a sieve where they are read, and are not shuffled; the others are joined."""
+    on = keys.columns
+    if through is None:
+        return old.join(keys, on, "left_anti").hint("rebalance", PERIOD)
+    likely = passes(on, through)
+    clear = old.where(~likely)
+    left = old.where(likely).join(keys, on, "left_anti").select(*old.columns)
+    if gather:
+        return clear.unionByName(left).hint("rebalance", PERIOD)
+    return clear.unionByName(left.hint("rebalance", PERIOD))
 
 
 def refresh_keys(
@@ -161,13 +192,17 @@ def refresh_keys(
     with staged(keys.select(key).distinct(), "keys") as wanted:
         fresh = _stage(job(wanted).withColumn(PERIOD, period), path)
         if not files.exists(spark, path):
-            return _publish(spark, path, drop=lambda label: False)
+            return _publish(spark, path, drop=lambda label: False, fresh=fresh)
         rows = fresh.count()
         old = spark.read.parquet(path).withColumn(PERIOD, F.col(PERIOD).cast("string"))
-        hit = old.join(wanted, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
+        through = sieve(wanted) if can_sieve(old, wanted) else None
+        likely = old if through is None else old.where(passes([key], through))
+        hit = likely.join(wanted, key, "left_semi").select(PERIOD).union(fresh.select(PERIOD))
         touched = {r[0] for r in hit.distinct().collect()}  # period labels, not data
-        kept = old.where(F.col(PERIOD).isin(*touched)).join(wanted, key, "left_anti")
-        _publish(spark, path, drop=lambda label: label in touched, kept=kept)
+        folders = [f for label, f in files.partitions(spark, path, PERIOD).items() if label in touched]
+        kept = _without(old.where(F.col(PERIOD).isin(*touched)), wanted, through, _crumbled(spark, folders))
+        kept = fresh.limit(0).unionByName(kept)  # in the columns of the mart
+        _publish(spark, path, drop=lambda label: label in touched, fresh=fresh, kept=kept)
         return rows
 
 

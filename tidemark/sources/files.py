@@ -33,6 +33,24 @@ def partitions(spark: SparkSession, path: str, column: str) -> dict[str, str]:
     return found
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Give a file or folder another path of the same file system, where there is nothing yet."""
+    hadoop_path, fs = _path(spark, path)
+    to = _path(spark, target)[0]
+    if fs.exists(to) or not fs.rename(hadoop_path, to):
+        raise OSError(f"cannot move {path} to {target}")
+
+
+def make(spark: SparkSession, path: str) -> None:
+    hadoop_path, fs = _path(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a folder, those of folders below it left out."""
+    hadoop_path, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isFile()]
+
 
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of the files under a folder."""
